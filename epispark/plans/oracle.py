@@ -71,47 +71,241 @@ PREFIX = (f"WITH raw_cases AS ({RAW_CASES_CTE}),\n typed AS ({TYPED_CTE}),\n cas
           f" articles AS ({ARTICLES_CTE})\n")
 
 
-def with_fixtures(body: str) -> str:
-    """Prefix a statement (which may add ``, name AS (...)`` CTEs first) with the fixture CTEs."""
-    body = body.strip()
-    if body.upper().startswith(","):
-        return PREFIX.rstrip() + body + "\n"
-    return PREFIX + body + "\n"
+
+# ===================================================================== helpers
+ORACLE: dict[str, str] = {}
+BODY: dict[str, str] = {}
+
+
+def register(key: str, body: str) -> None:
+    """Wrap a standalone statement (it may carry its own WITH) as a subquery
+    under the fixture CTEs; keep the body for composite statements."""
+    BODY[key] = body.strip()
+    ORACLE[key] = PREFIX + "SELECT * FROM (\n" + body.strip() + "\n) AS q\n"
+
+
+def sub(key: str) -> str:
+    return "(" + BODY[key] + ")"
 
 
 def half_up(num: str, den: str, mult: int = 10000, div: str = "100.0") -> str:
-    """Half-up rounding of num/den*(mult/div) for non-negative integer num."""
-    return f"(CASE WHEN ({den}) > 0 THEN floor((({num}) * {2 * mult} + ({den})) / (2 * ({den}))) / {div} ELSE 0.0 END)"
+    """Half-up rounding of num/den*(mult/div) for non-negative num; 0.0 when den = 0."""
+    return (f"(CASE WHEN ({den}) > 0 THEN floor((CAST({num} AS DOUBLE) * {2 * mult} + ({den})) / (2 * ({den}))) / {div} "
+            f"ELSE CAST(0.0 AS DOUBLE) END)")
+
+
+def signed_half_up(num: str, den: str) -> str:
+    return (f"(CASE WHEN ({den}) > 0 THEN sign({num}) * floor((abs(CAST({num} AS DOUBLE)) * 20000 + ({den})) / (2 * ({den}))) / 100.0 "
+            f"ELSE CAST(0.0 AS DOUBLE) END)")
 
 
 def tenths(num: str, den: str) -> str:
-    u = f"floor((abs({num}) * 2000 + ({den})) / (2 * ({den})))"
-    return f"concat(CAST(CAST(floor({u} / 10) AS BIGINT) AS VARCHAR), '.', CAST(CAST({u} % 10 AS BIGINT) AS VARCHAR))"
+    u = f"CAST(floor((abs(CAST({num} AS DOUBLE)) * 2000 + ({den})) / (2 * ({den}))) AS BIGINT)"
+    return f"concat(CAST({u} // 10 AS VARCHAR), '.', CAST({u} % 10 AS VARCHAR))"
 
 
-ORACLE: dict[str, str] = {}
+def numtxt(x: str) -> str:
+    """Python ``str()`` of a float with at most two decimals."""
+    cents = f"CAST(floor(abs({x}) * 100 + 0.5) AS BIGINT)"
+    frac = f"({cents} % 100)"
+    frac_txt = (f"CASE WHEN {frac} = 0 THEN '0' WHEN {frac} % 10 = 0 THEN CAST({frac} // 10 AS VARCHAR) "
+                f"WHEN {frac} < 10 THEN concat('0', CAST({frac} AS VARCHAR)) ELSE CAST({frac} AS VARCHAR) END")
+    return f"concat(CASE WHEN {x} < 0 THEN '-' ELSE '' END, CAST({cents} // 100 AS VARCHAR), '.', {frac_txt})"
 
 
-def register(key: str, body: str) -> None:
-    ORACLE[key] = with_fixtures(body)
-
-
-# --------------------------------------------------------------- metrics
-register("mortality_rate", f"""
-, ref AS (
-  SELECT CASE WHEN max(DT_NOTIFIC) < {AS_OF} - 1095 THEN max(DT_NOTIFIC) ELSE {AS_OF} END AS r FROM cases)
-, w AS (
-  SELECT r, count(*) FILTER (WHERE DT_NOTIFIC BETWEEN r - 90 AND r) AS total_cases,
-         count(*) FILTER (WHERE DT_NOTIFIC BETWEEN r - 90 AND r AND EVOLUCAO IN ('2','3')) AS deaths
-  FROM cases, ref GROUP BY r)
-SELECT 'mortality_rate' AS metric, r AS reference_date, r - 90 AS start_date, r AS end_date,
-  total_cases, deaths,
-  {half_up('deaths', 'total_cases')} AS rate,
-  CASE WHEN total_cases = 0 THEN NULL ELSE {half_up('total_cases - deaths', 'total_cases')} END AS survival_rate,
-  CASE WHEN total_cases = 0 THEN 'Sem dados para o período analisado'
-       WHEN deaths = 0 THEN 'Nenhum óbito registrado no período'
-       WHEN deaths * 100.0 / total_cases < 5 THEN concat('Taxa de mortalidade baixa: ', {tenths('deaths', 'total_cases')}, '%')
-       WHEN deaths * 100.0 / total_cases < 15 THEN concat('Taxa de mortalidade moderada: ', {tenths('deaths', 'total_cases')}, '%')
-       ELSE concat('Taxa de mortalidade alta: ', {tenths('deaths', 'total_cases')}, '%') END AS interpretation
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+TXT = "lower(concat(coalesce(title, ''), ' ', coalesce(summary, '')))"
+
+
+def any_in(text: str, words) -> str:
+    return "(" + " OR ".join(f"contains({text}, {q(w)})" for w in words) + ")"
+
+
+def count_in(text: str, words) -> str:
+    return "(" + " + ".join(f"CASE WHEN contains({text}, {q(w)}) THEN 1 ELSE 0 END" for w in words) + ")"
+
+
+def code(col: str, valid: str) -> str:
+    v = f"trim(replace({col}, '.0', ''))"
+    return f"(CASE WHEN {v} IN ({valid}) THEN {v} END)"
+
+
+from .. import params as P  # noqa: E402
+
+SEARCH_ANY = any_in(TXT, sorted({t.lower() for t in P.SEARCH_TERMS}))
+RELEVANCE = count_in(TXT, P.RELEVANCE_KEYWORDS)
+VACC_ANY = "(DOSE_1_COV IS NOT NULL OR DOSE_2_COV IS NOT NULL OR DOSE_REF IS NOT NULL OR DOSE_2REF IS NOT NULL OR DOSE_ADIC IS NOT NULL)"
+CPF, PHONE, EMAIL = q(P.CPF_PATTERN), q(P.PHONE_PATTERN), q(P.EMAIL_PATTERN)
+
+
+def redact_sql(x: str) -> str:
+    out = x
+    for pat, rep in ((CPF, P.CPF_REPLACEMENT), (PHONE, P.PHONE_REPLACEMENT), (EMAIL, P.EMAIL_REPLACEMENT)):
+        out = f"regexp_replace({out}, {pat}, {q(rep)}, 'g')"
+    return out
+
+
+REF_CTE = f"""ref AS (SELECT CASE WHEN max(DT_NOTIFIC) < {AS_OF} - 1095 THEN max(DT_NOTIFIC) ELSE {AS_OF} END AS r,
+                     count(DT_NOTIFIC) AS total_records FROM cases)"""
+
+
+def in_win(lo: int, hi: int = 0) -> str:
+    return f"DT_NOTIFIC BETWEEN r - {lo} AND r - {hi}"
+
+
+BUNDLE = f"""
+WITH {REF_CTE},
+win AS (
+  SELECT r, total_records,
+    count(*) FILTER (WHERE {in_win(30)}) AS g_cur,
+    count(*) FILTER (WHERE {in_win(60, 30)}) AS g_prev,
+    count(*) FILTER (WHERE {in_win(90)}) AS m_total,
+    count(*) FILTER (WHERE {in_win(90)} AND EVOLUCAO IN ('2', '3')) AS m_deaths,
+    count(*) FILTER (WHERE {in_win(30)}) AS i_total,
+    count(*) FILTER (WHERE {in_win(30)} AND UTI = '1') AS i_icu,
+    count(*) FILTER (WHERE {in_win(90)}) AS v_total,
+    count(*) FILTER (WHERE {in_win(90)} AND {VACC_ANY}) AS v_vacc
+  FROM cases, ref GROUP BY r, total_records)
+SELECT 'case_increase_rate' AS metric, 30 AS period_days, r AS reference_date, g_cur - g_prev AS numerator,
+       g_prev AS denominator,
+       CASE WHEN g_prev = 0 THEN CASE WHEN g_cur = 0 THEN CAST(0.0 AS DOUBLE) ELSE CAST(100.0 AS DOUBLE) END
+            ELSE {signed_half_up('g_cur - g_prev', 'g_prev')} END AS rate, total_records FROM win
+UNION ALL SELECT 'mortality_rate', 90, r, m_deaths, m_total, {half_up('m_deaths', 'm_total')}, total_records FROM win
+UNION ALL SELECT 'icu_occupancy_rate', 30, r, i_icu, i_total, {half_up('i_icu', 'i_total')}, total_records FROM win
+UNION ALL SELECT 'vaccination_rate', 90, r, v_vacc, v_total, {half_up('v_vacc', 'v_total')}, total_records FROM win
+"""
+register("metrics_bundle", BUNDLE)
+
+# ===================================================================== metrics
+register("case_increase_rate", f"""
+WITH {REF_CTE},
+w AS (SELECT r, total_records, count(*) FILTER (WHERE {in_win(30)}) AS c,
+             count(*) FILTER (WHERE {in_win(60, 30)}) AS p FROM cases, ref GROUP BY r, total_records)
+SELECT 'case_increase_rate' AS metric, r AS reference_date, r - 30 AS current_start, r AS current_end,
+  r - 60 AS previous_start, r - 30 AS previous_end, c AS current_cases, p AS previous_cases, c - p AS absolute_change,
+  CASE WHEN total_records = 0 THEN CAST(0.0 AS DOUBLE) WHEN p = 0 THEN CASE WHEN c = 0 THEN CAST(0.0 AS DOUBLE) ELSE CAST(100.0 AS DOUBLE) END
+       ELSE {signed_half_up('c - p', 'p')} END AS rate,
+  CASE WHEN total_records = 0 THEN 'Sem dados disponíveis para o período analisado'
+       WHEN p = 0 AND c = 0 THEN 'Sem casos em ambos os períodos'
+       WHEN p = 0 THEN 'Novos casos identificados'
+       WHEN c > p THEN concat('Aumento de ', {tenths('c - p', 'p')}, '% em relação ao período anterior')
+       WHEN c < p THEN concat('Diminuição de ', {tenths('c - p', 'p')}, '% em relação ao período anterior')
+       ELSE 'Número de casos estável' END AS interpretation
 FROM w
 """)
+
+
+def _rate_metric(key: str, metric: str, days: int, num_name: str, den_name: str, cond: str, extra_cols: str,
+                 empty: str, zero: str, bands, last: str, suffix: str = "") -> None:
+    t = tenths(num_name, den_name)
+    band_sql = "".join(f" WHEN {num_name} * 100.0 < {den_name} * {lim} THEN concat({q(lbl)}, {t}, '%{suffix}')" for lim, lbl in bands)
+    register(key, f"""
+WITH {REF_CTE},
+w AS (SELECT r, count(*) FILTER (WHERE {in_win(days)}) AS {den_name},
+             count(*) FILTER (WHERE {in_win(days)} AND {cond}) AS {num_name} FROM cases, ref GROUP BY r)
+SELECT {q(metric)} AS metric, r AS reference_date, r - {days} AS start_date, r AS end_date,
+  {extra_cols},
+  {half_up(num_name, den_name)} AS rate,
+  CASE WHEN {den_name} = 0 THEN {q(empty)} WHEN {num_name} = 0 THEN {q(zero)}{band_sql}
+       ELSE concat({q(last)}, {t}, '%{suffix}') END AS interpretation
+FROM w
+""")
+
+
+_rate_metric("mortality_rate", "mortality_rate", 90, "deaths", "total_cases", "EVOLUCAO IN ('2', '3')",
+             "total_cases, deaths, CASE WHEN total_cases = 0 THEN NULL ELSE " + half_up("total_cases - deaths", "total_cases") + " END AS survival_rate",
+             "Sem dados para o período analisado", "Nenhum óbito registrado no período",
+             [(5, "Taxa de mortalidade baixa: "), (15, "Taxa de mortalidade moderada: ")], "Taxa de mortalidade alta: ")
+_rate_metric("icu_rate", "icu_occupancy_rate", 30, "icu_cases", "total_hospitalized", "UTI = '1'",
+             "total_hospitalized, icu_cases, total_hospitalized - icu_cases AS non_icu_cases",
+             "Sem dados para o período analisado", "Nenhuma internação em UTI registrada",
+             [(20, "Taxa de UTI baixa: "), (40, "Taxa de UTI moderada: ")], "Taxa de UTI alta: ", " - casos graves")
+_rate_metric("vaccination_rate", "vaccination_rate", 90, "vaccinated_cases", "total_cases", VACC_ANY,
+             "total_cases, vaccinated_cases, total_cases - vaccinated_cases AS unvaccinated_cases",
+             "Dados de vacinação não disponíveis para o período", "Nenhum caso vacinado identificado no período",
+             [(30, "Taxa de vacinação baixa: "), (70, "Taxa de vacinação moderada: ")], "Taxa de vacinação alta: ")
+
+register("dose_breakdown", f"""
+WITH {REF_CTE}
+SELECT d.dose, d.cases FROM (
+  SELECT 0 AS pos, 'dose_1' AS dose, count(DOSE_1_COV) FILTER (WHERE {in_win(90)}) AS cases FROM cases, ref
+  UNION ALL SELECT 1, 'dose_2', count(DOSE_2_COV) FILTER (WHERE {in_win(90)}) FROM cases, ref
+  UNION ALL SELECT 2, 'dose_booster', count(DOSE_REF) FILTER (WHERE {in_win(90)}) FROM cases, ref
+  UNION ALL SELECT 3, 'dose_2nd_booster', count(DOSE_2REF) FILTER (WHERE {in_win(90)}) FROM cases, ref
+  UNION ALL SELECT 4, 'dose_additional', count(DOSE_ADIC) FILTER (WHERE {in_win(90)}) FROM cases, ref) d
+""")
+
+register("adjust_reference_date", f"""
+WITH m AS (SELECT max(DT_NOTIFIC) AS max_date FROM cases)
+SELECT max_date, {AS_OF} AS requested_date,
+  CASE WHEN max_date < DATE '2005-01-01' - 1095 THEN max_date ELSE {AS_OF} END AS reference_date,
+  (CASE WHEN max_date < DATE '2005-01-01' - 1095 THEN max_date ELSE {AS_OF} END) <> {AS_OF} AS adjusted
+FROM m
+""")
+
+register("metric_bands", f"""
+SELECT metric, rate,
+  CASE WHEN metric = 'case_increase_rate' AND denominator = 0 THEN CASE WHEN numerator = 0 THEN 'zero' ELSE 'new' END
+       WHEN metric = 'case_increase_rate' THEN CASE WHEN numerator > 0 THEN 'increase' WHEN numerator < 0 THEN 'decrease' ELSE 'stable' END
+       WHEN denominator = 0 THEN 'no_data' WHEN numerator = 0 THEN 'zero'
+       WHEN metric = 'mortality_rate' AND numerator * 100 < denominator * 5 THEN 'low'
+       WHEN metric = 'mortality_rate' AND numerator * 100 < denominator * 15 THEN 'moderate'
+       WHEN metric = 'icu_occupancy_rate' AND numerator * 100 < denominator * 20 THEN 'low'
+       WHEN metric = 'icu_occupancy_rate' AND numerator * 100 < denominator * 40 THEN 'moderate'
+       WHEN metric = 'vaccination_rate' AND numerator * 100 < denominator * 30 THEN 'low'
+       WHEN metric = 'vaccination_rate' AND numerator * 100 < denominator * 70 THEN 'moderate'
+       ELSE 'high' END AS band,
+  CASE WHEN denominator = 0 THEN NULL ELSE {tenths('numerator', 'denominator')} END AS rate_text
+FROM {sub('metrics_bundle')} b
+""")
+
+_LIMITS = ", ".join(f"({q(m)}, CAST({lo} AS DOUBLE), CAST({hi} AS DOUBLE), CAST({w} AS DOUBLE))" for m, lo, hi, w in P.METRIC_LIMITS)
+register("metric_limits", f"""
+WITH limits(metric, min_value, max_value, warning_threshold) AS (VALUES {_LIMITS}),
+j AS (SELECT b.metric, b.rate, l.min_value, l.max_value, l.warning_threshold FROM {sub('metrics_bundle')} b LEFT JOIN limits l ON b.metric = l.metric),
+s AS (SELECT *, CASE WHEN min_value IS NULL THEN NULL WHEN rate < min_value THEN 'below_min' WHEN rate > max_value THEN 'above_max'
+                     WHEN rate > warning_threshold THEN 'above_warning' END AS status FROM j)
+SELECT metric, coalesce(rate, CAST(0.0 AS DOUBLE)) AS rate, min_value, max_value, warning_threshold, status,
+  CASE WHEN rate IS NULL THEN concat(metric, ': valor inválido (nan)')
+       WHEN status = 'below_min' THEN concat(metric, ': valor abaixo do mínimo (', {numtxt('rate')}, ' < ', {numtxt('min_value')}, ')')
+       WHEN status = 'above_max' THEN concat(metric, ': valor acima do máximo (', {numtxt('rate')}, ' > ', {numtxt('max_value')}, ')')
+       WHEN status = 'above_warning' THEN concat(metric, ': valor alto, requer atenção (', {numtxt('rate')}, '%)') END AS warning,
+  CASE WHEN rate IS NULL THEN 'Valor indisponível devido a erro de cálculo' END AS override_interpretation
+FROM s
+""")
+
+_VAL = ", ".join(f"({q(m)}, CAST({lo} AS DOUBLE), CAST({hi} AS DOUBLE))" for m, lo, hi in P.VALIDATION_LIMITS)
+register("metric_alerts", f"""
+WITH v(metric, min_value, max_value) AS (VALUES {_VAL}),
+j AS (SELECT b.metric, b.rate, v.min_value, v.max_value FROM {sub('metrics_bundle')} b LEFT JOIN v ON b.metric = v.metric)
+SELECT metric, rate,
+  CASE WHEN metric = 'vaccination_rate' THEN CASE WHEN rate < 50 THEN 'low' WHEN rate > 80 THEN 'good' ELSE 'adequate' END
+       WHEN metric = 'case_increase_rate' THEN CASE WHEN rate > 100 THEN 'critical' WHEN rate > 50 THEN 'warning' ELSE 'normal' END
+       WHEN metric = 'mortality_rate' THEN CASE WHEN rate > 25 THEN 'critical' WHEN rate > 15 THEN 'warning' ELSE 'normal' END
+       WHEN metric = 'icu_occupancy_rate' THEN CASE WHEN rate > 80 THEN 'critical' WHEN rate > 60 THEN 'warning' ELSE 'normal' END
+  END AS alert_level,
+  NOT (rate < min_value OR rate > max_value) AS valid,
+  CASE WHEN rate < min_value THEN concat('Valor ', {numtxt('rate')}, ' abaixo do mínimo ', {numtxt('min_value')})
+       WHEN rate > max_value THEN concat('Valor ', {numtxt('rate')}, ' acima do máximo ', {numtxt('max_value')})
+       ELSE 'Valor dentro dos limites' END AS message
+FROM j
+""")
+
+register("rates_by_state", f"""
+WITH s AS (
+  SELECT SG_UF_NOT,
+    count(*) FILTER (WHERE DT_NOTIFIC BETWEEN {AS_OF} - 90 AND {AS_OF}) AS cases_mortality_window,
+    count(*) FILTER (WHERE DT_NOTIFIC BETWEEN {AS_OF} - 90 AND {AS_OF} AND TEVE_OBITO = 1) AS deaths,
+    count(*) FILTER (WHERE DT_NOTIFIC BETWEEN {AS_OF} - 30 AND {AS_OF}) AS cases_icu_window,
+    count(*) FILTER (WHERE DT_NOTIFIC BETWEEN {AS_OF} - 30 AND {AS_OF} AND TEVE_UTI = 1) AS icu_cases,
+    count(*) FILTER (WHERE DT_NOTIFIC BETWEEN {AS_OF} - 90 AND {AS_OF}) AS cases_vaccination_window,
+    count(*) FILTER (WHERE DT_NOTIFIC BETWEEN {AS_OF} - 90 AND {AS_OF} AND {VACC_ANY}) AS vaccinated_cases
+  FROM cases WHERE DT_NOTIFIC BETWEEN {AS_OF} - 90 AND {AS_OF} GROUP BY SG_UF_NOT)
+SELECT *, {half_up('deaths', 'cases_mortality_window')} AS mortality_rate,
+  {half_up('icu_cases', 'cases_icu_window')} AS icu_rate,
+  {half_up('vaccinated_cases', 'cases_vaccination_window')} AS vaccination_rate
+FROM s
+""")
