@@ -309,3 +309,181 @@ SELECT *, {half_up('deaths', 'cases_mortality_window')} AS mortality_rate,
   {half_up('vaccinated_cases', 'cases_vaccination_window')} AS vaccination_rate
 FROM s
 """)
+
+# ===================================================================== sources
+ESSENTIAL_PRESENT = ["DT_NOTIFIC", "SG_UF_NOT", "CO_MUN_NOT", "CS_SEXO", "NU_IDADE_N", "UTI", "EVOLUCAO", "DT_EVOLUCA",
+                     "HOSPITAL", "DOSE_1_COV", "DOSE_2_COV", "DOSE_REF", "FEBRE", "TOSSE", "DISPNEIA", "DESC_RESP",
+                     "DIARREIA", "VOMITO"]
+register("src_project", f"SELECT {', '.join(ESSENTIAL_PRESENT)} FROM raw_cases")
+register("src_csv_scan", "SELECT * FROM raw_cases")
+register("load_window", "SELECT * FROM typed WHERE DT_NOTIFIC BETWEEN DATE '2000-06-01' AND DATE '2001-06-01'")
+register("load_with_fallback", """
+WITH probe AS (SELECT count(*) FILTER (WHERE DT_NOTIFIC BETWEEN DATE '1994-06-01' - 365 AND DATE '1994-06-01') AS n FROM typed)
+SELECT t.*, CASE WHEN n > 0 THEN 'recent' ELSE 'historical' END AS mode
+FROM typed t, probe
+WHERE DT_NOTIFIC IS NOT NULL
+  AND CASE WHEN n > 0 THEN DT_NOTIFIC BETWEEN DATE '1994-06-01' - 365 AND DATE '1994-06-01'
+           ELSE DT_NOTIFIC BETWEEN DATE '2000-01-01' AND DATE '2001-06-01' END
+""")
+_ACOLS = "article_id, title, summary, link, published, source, source_type"
+register("articles_union", f"""
+SELECT {_ACOLS} FROM articles WHERE source_type = 'rss'
+UNION ALL
+SELECT {_ACOLS} FROM articles WHERE source_type = 'news_api' AND title IS NOT NULL AND title <> ''
+""")
+register("articles_fallback", f"""
+SELECT {_ACOLS}, CAST(NULL AS INTEGER) AS relevance_score
+FROM articles WHERE source_type = 'news_api' AND title IS NOT NULL AND title <> ''
+""")
+register("sink_parquet_roundtrip", "SELECT * FROM cases")
+
+# ===================================================================== cleaning
+register("parse_dates", "SELECT NU_NOTIFIC, DT_NOTIFIC, DT_EVOLUCA, DOSE_1_COV, DOSE_2_COV, DOSE_REF, DOSE_2REF, DOSE_ADIC FROM typed")
+register("clean_codes", "SELECT NU_NOTIFIC, CS_SEXO, UTI, HOSPITAL, EVOLUCAO FROM typed")
+register("clean_age", "SELECT NU_NOTIFIC, NU_IDADE_N FROM typed")
+register("clean_symptoms", "SELECT NU_NOTIFIC, FEBRE, TOSSE, DISPNEIA, DESC_RESP, DIARREIA, VOMITO FROM typed")
+register("age_band", "SELECT NU_NOTIFIC, NU_IDADE_N, FAIXA_ETARIA FROM cases")
+register("outcome_label", "SELECT NU_NOTIFIC, EVOLUCAO, EVOLUCAO_SIMPLES FROM cases")
+register("icu_flag", "SELECT NU_NOTIFIC, UTI, CASO_GRAVE, TEVE_UTI FROM cases")
+register("death_flag", "SELECT NU_NOTIFIC, EVOLUCAO, TEVE_OBITO FROM cases")
+register("vaccination_status", "SELECT NU_NOTIFIC, DOSE_1_COV, STATUS_VACINAL_COVID FROM cases")
+register("symptom_count", "SELECT NU_NOTIFIC, NUM_SINTOMAS FROM cases")
+register("calendar_fields", "SELECT NU_NOTIFIC, DT_NOTIFIC, ANO, MES, SEMANA_EPI, CAST(isoyear(DT_NOTIFIC) AS INTEGER) AS ANO_SEMANA_EPI FROM cases")
+register("age_risk", "SELECT NU_NOTIFIC, NU_IDADE_N, GRUPO_RISCO_IDADE FROM cases")
+register("decode_codes", """
+SELECT NU_NOTIFIC,
+  CASE CS_SEXO WHEN 'M' THEN 'Masculino' WHEN 'F' THEN 'Feminino' WHEN 'I' THEN 'Ignorado' END AS CS_SEXO_DESC,
+  CASE UTI WHEN '1' THEN 'Sim' WHEN '2' THEN 'Não' WHEN '9' THEN 'Ignorado' END AS UTI_DESC,
+  CASE EVOLUCAO WHEN '1' THEN 'Cura' WHEN '2' THEN 'Óbito por SRAG' WHEN '3' THEN 'Óbito por outras causas' WHEN '9' THEN 'Ignorado' END AS EVOLUCAO_DESC
+FROM cases
+""")
+register("age_from_birth", f"SELECT NU_NOTIFIC, DT_NOTIFIC, CAST(floor(datediff('day', DT_NOTIFIC, {AS_OF}) / 365) AS BIGINT) AS IDADE_CALCULADA FROM cases")
+register("age_band_anonymised", """
+WITH a AS (SELECT CAST(trunc(NU_IDADE_N / 5) * 5 AS DOUBLE) AS a FROM cases)
+SELECT CASE WHEN a >= 0 AND a <= 12 THEN 'Criança' WHEN a > 12 AND a <= 18 THEN 'Adolescente'
+            WHEN a > 18 AND a <= 60 THEN 'Adulto' WHEN a > 60 AND a <= 120 THEN 'Idoso' END AS FAIXA_ETARIA,
+       CASE WHEN a >= 60 OR a < 2 THEN 'Alto' ELSE 'Baixo' END AS GRUPO_RISCO_IDADE,
+       count(*) AS cases
+FROM a GROUP BY ALL
+""")
+
+# ===================================================================== filters
+register("filter_date_range", f"SELECT NU_NOTIFIC, DT_NOTIFIC, EVOLUCAO FROM cases WHERE DT_NOTIFIC BETWEEN DATE '2001-03-03' AND {AS_OF}")
+register("require_date", "SELECT NU_NOTIFIC, DT_NOTIFIC FROM typed WHERE DT_NOTIFIC IS NOT NULL")
+register("filter_temporal_order", "SELECT NU_NOTIFIC, DT_NOTIFIC, DT_EVOLUCA FROM cases WHERE DT_EVOLUCA IS NULL OR DT_EVOLUCA >= DT_NOTIFIC")
+register("drop_all_null", "SELECT NU_NOTIFIC, DT_NOTIFIC, SG_UF_NOT FROM cases WHERE DT_NOTIFIC IS NOT NULL OR SG_UF_NOT IS NOT NULL")
+register("filter_plausible_date", f"SELECT NU_NOTIFIC, DT_NOTIFIC FROM cases WHERE DT_NOTIFIC IS NULL OR DT_NOTIFIC BETWEEN DATE '2000-01-01' AND {AS_OF}")
+register("filter_plausible_age", """
+SELECT NU_NOTIFIC, TRY_CAST(NU_IDADE_N AS DOUBLE) AS NU_IDADE_N FROM raw_cases
+WHERE TRY_CAST(NU_IDADE_N AS DOUBLE) IS NULL OR TRY_CAST(NU_IDADE_N AS DOUBLE) BETWEEN 0 AND 120
+""")
+
+# ===================================================================== series
+DAILY_FILL = f"""
+WITH cal AS (SELECT CAST(d AS DATE) AS "date" FROM generate_series(TIMESTAMP '2001-05-02', TIMESTAMP '2001-06-01', INTERVAL 1 DAY) t(d)),
+daily AS (SELECT DT_NOTIFIC AS "date", count(*) AS n FROM cases WHERE DT_NOTIFIC BETWEEN {AS_OF} - 30 AND {AS_OF} GROUP BY 1)
+SELECT cal."date", CAST(coalesce(daily.n, 0) AS BIGINT) AS cases FROM cal LEFT JOIN daily ON cal."date" = daily."date"
+"""
+register("daily_calendar_fill", DAILY_FILL)
+register("daily_counts", f'SELECT DT_NOTIFIC AS "date", count(*) AS cases FROM cases WHERE DT_NOTIFIC BETWEEN {AS_OF} - 30 AND {AS_OF} GROUP BY 1')
+
+
+def _monthly(as_of: str) -> str:
+    return f"""
+WITH st AS (SELECT count(*) FILTER (WHERE DT_NOTIFIC BETWEEN {as_of} - 365 AND {as_of}) AS recent, max(DT_NOTIFIC) AS mx FROM cases),
+picked AS (SELECT DT_NOTIFIC FROM cases, st WHERE DT_NOTIFIC IS NOT NULL AND
+           CASE WHEN recent > 0 THEN DT_NOTIFIC BETWEEN {as_of} - 365 AND {as_of} ELSE DT_NOTIFIC >= mx - 365 END)
+SELECT CAST(year(DT_NOTIFIC) AS INTEGER) AS year, CAST(month(DT_NOTIFIC) AS INTEGER) AS month, count(*) AS cases,
+       CAST(date_trunc('month', DT_NOTIFIC) AS DATE) AS month_start
+FROM picked GROUP BY ALL
+"""
+
+
+register("monthly_counts", _monthly(AS_OF))
+register("monthly_counts_fallback", _monthly("DATE '2005-06-01'"))
+register("moving_average_7d", f"""
+SELECT "date", cases, CASE WHEN count(*) OVER w = 7 THEN CAST(sum(cases) OVER w AS DOUBLE) / 7.0 END AS moving_average_7d
+FROM {sub('daily_calendar_fill')} f
+WINDOW w AS (ORDER BY "date" ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)
+""")
+
+
+def _series_summary(src: str, key: str) -> str:
+    return f"""
+SELECT CAST(sum(cases) AS BIGINT) AS total_cases, {half_up('sum(cases)', 'count(*)', 10, '10.0')} AS avg_cases,
+  CAST(max(cases) AS BIGINT) AS peak_cases,
+  min({key}) FILTER (WHERE cases = (SELECT max(cases) FROM {src} x)) AS peak_{key.strip('"')},
+  count(*) AS points
+FROM {src} s
+"""
+
+
+register("daily_series_summary", _series_summary(sub("daily_calendar_fill"), '"date"'))
+register("monthly_series_summary", _series_summary(sub("monthly_counts"), "month_start"))
+
+# ===================================================================== profile
+register("value_counts_outcome", "SELECT EVOLUCAO, count(*) AS count FROM cases GROUP BY EVOLUCAO")
+register("top_states", "SELECT SG_UF_NOT, count(*) AS count FROM cases WHERE SG_UF_NOT IS NOT NULL GROUP BY 1 ORDER BY count DESC, SG_UF_NOT LIMIT 5")
+register("vaccination_distribution", "SELECT STATUS_VACINAL_COVID, count(*) AS count FROM cases GROUP BY 1")
+register("completeness", "\nUNION ALL\n".join(
+    f"SELECT {q(c)} AS \"column\", count({c}) AS non_null_count, {half_up(f'count({c})', 'count(*)')} AS completeness_percent FROM cases"
+    for c in ESSENTIAL_PRESENT))
+register("age_summary", f"""
+SELECT count(NU_IDADE_N) AS n, {half_up('sum(NU_IDADE_N)', 'count(NU_IDADE_N)', 10, '10.0')} AS mean,
+  floor(median(NU_IDADE_N) * 10 + 0.5) / 10.0 AS median,
+  CAST(trunc(min(NU_IDADE_N)) AS BIGINT) AS min, CAST(trunc(max(NU_IDADE_N)) AS BIGINT) AS max
+FROM cases
+""")
+register("age_ranges", """
+SELECT count(*) FILTER (WHERE NU_IDADE_N < 18) AS age_0_17,
+       count(*) FILTER (WHERE NU_IDADE_N >= 18 AND NU_IDADE_N < 60) AS age_18_59,
+       count(*) FILTER (WHERE NU_IDADE_N >= 60) AS age_60_plus
+FROM cases
+""")
+register("date_span", "SELECT min(DT_NOTIFIC) AS start, max(DT_NOTIFIC) AS \"end\", CAST(datediff('day', min(DT_NOTIFIC), max(DT_NOTIFIC)) AS INTEGER) AS total_days FROM cases")
+register("severity_indicators", """
+SELECT 'uti_cases' AS indicator, CAST(NULL AS VARCHAR) AS code, count(*) FILTER (WHERE UTI = '1') AS count FROM cases
+UNION ALL
+SELECT 'evolution', EVOLUCAO, count(*) FROM cases WHERE EVOLUCAO IS NOT NULL GROUP BY EVOLUCAO
+""")
+_comp_rows = "\n".join(f"UNION ALL SELECT 'completeness', {q(c)}, {half_up(f'c_{c}', 'n')}, NULL FROM st" for c in ESSENTIAL_PRESENT)
+register("data_summary", f"""
+WITH st AS (SELECT count(*) AS n, min(DT_NOTIFIC) AS s, max(DT_NOTIFIC) AS e, count(NU_IDADE_N) AS an,
+                   sum(NU_IDADE_N) AS asum, median(NU_IDADE_N) AS amed, min(NU_IDADE_N) AS amin, max(NU_IDADE_N) AS amax,
+                   {', '.join(f'count({c}) AS c_{c}' for c in ESSENTIAL_PRESENT)} FROM cases)
+SELECT 'total_records' AS section, CAST(NULL AS VARCHAR) AS item, CAST(n AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS text_value FROM st
+UNION ALL SELECT 'date_range', 'start', NULL, CAST(s AS VARCHAR) FROM st
+UNION ALL SELECT 'date_range', 'end', NULL, CAST(e AS VARCHAR) FROM st
+UNION ALL SELECT 'date_range', 'total_days', datediff('day', s, e), NULL FROM st
+{_comp_rows}
+UNION ALL SELECT 'age', 'mean', CASE WHEN an > 0 THEN {half_up('asum', 'an', 10, '10.0')} END, NULL FROM st
+UNION ALL SELECT 'age', 'median', CASE WHEN an > 0 THEN floor(amed * 10 + 0.5) / 10.0 END, NULL FROM st
+UNION ALL SELECT 'age', 'min', floor(amin), NULL FROM st
+UNION ALL SELECT 'age', 'max', floor(amax), NULL FROM st
+UNION ALL SELECT 'evolution', EVOLUCAO, count(*), NULL FROM cases WHERE EVOLUCAO IS NOT NULL GROUP BY EVOLUCAO
+UNION ALL SELECT 'vaccination_status', STATUS_VACINAL_COVID, count(*), NULL FROM cases WHERE STATUS_VACINAL_COVID IS NOT NULL GROUP BY STATUS_VACINAL_COVID
+UNION ALL SELECT * FROM (SELECT 'top_states', SG_UF_NOT, count(*) AS c, NULL FROM cases WHERE SG_UF_NOT IS NOT NULL
+                         GROUP BY SG_UF_NOT ORDER BY c DESC, SG_UF_NOT LIMIT 5)
+""")
+_REST = ["NU_NOTIFIC", "SG_UF_NOT", "UTI", "HOSPITAL", "EVOLUCAO", "DT_EVOLUCA", "DOSE_1_COV", "DOSE_2_COV", "DOSE_REF",
+         "DOSE_2REF", "DOSE_ADIC", "FEBRE", "TOSSE", "DISPNEIA", "DESC_RESP", "DIARREIA", "VOMITO"]
+register("dedupe_cases", f"""
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY DT_NOTIFIC, CO_MUN_NOT, NU_IDADE_N, CS_SEXO
+                               ORDER BY {', '.join(c + ' ASC NULLS FIRST' for c in _REST)}) AS rn
+  FROM cases) WHERE rn = 1
+""")
+
+
+def _dups(src: str) -> str:
+    return f"""
+WITH t AS (SELECT count(*) AS total FROM {src}),
+f AS (SELECT count(*) AS g FROM (SELECT DISTINCT * FROM {src})),
+k AS (SELECT count(*) AS g FROM (SELECT DISTINCT DT_NOTIFIC, SG_UF_NOT, NU_IDADE_N, CS_SEXO FROM {src}))
+SELECT total AS total_records, total - f.g AS complete_duplicates, total - k.g AS key_field_duplicates,
+  'DT_NOTIFIC,SG_UF_NOT,NU_IDADE_N,CS_SEXO' AS key_fields_used, k.g AS unique_records
+FROM t, f, k
+"""
+
+
+register("duplicate_counts", _dups("cases"))
