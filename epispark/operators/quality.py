@@ -141,8 +141,8 @@ def q_categorical(df: DataFrame, rules: dict[str, Sequence[str]] = P.CATEGORICAL
     fields = [f for f in _present(df, list(rules)) if f not in skip]
     if not fields:
         return _empty(df.sparkSession, "field string, invalid_count bigint, invalid_values string, severity string, message string")
-    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.upper(F.trim(F.col(f).cast("string"))).alias("value"),
-                               F.lit(f).alias("_f")) for f in fields])
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.upper(F.trim(F.col(f).cast("string"))).alias("value")
+                               ) for f in fields])
     exploded = df.select(F.explode(pairs).alias("p")).select("p.field", "p.value")
     valid = F.lit(False)
     for f in fields:
@@ -266,7 +266,7 @@ def q_outliers(df: DataFrame, field: str = P.AGE_COL, method: str = "iqr", facto
     flagged = nums.crossJoin(F.broadcast(stats)).where((F.col("v") < F.col("lower_bound")) | (F.col("v") > F.col("upper_bound")))
     count = flagged.agg(F.count(F.lit(1)).alias("outlier_count"))
     sample = (flagged.select("v").orderBy("v").limit(samples)
-              .agg(F.array_join(F.array_sort(F.collect_list(F.col("v").cast("string"))), ",").alias("sample_outliers")))
+              .agg(F.array_join(F.transform(F.array_sort(F.collect_list("v")), lambda x: x.cast("string")), ",").alias("sample_outliers")))
     j = stats.crossJoin(count).crossJoin(sample)
     n, o = F.col("n"), F.col("outlier_count")
     high = o * 100 > n * warn_percent

@@ -525,7 +525,11 @@ def q_redact_frame(spark, sf_dir):
     nested = a.select("article_id", F.col("title").alias("nome_paciente"),
                       F.struct("title", "summary", F.col("link").alias("email_contato")).alias("detalhes"),
                       F.array("summary", "link").alias("trechos"))
-    return G.redact_frame(nested)
+    r = G.redact_frame(nested)
+    return r.select("article_id", "nome_paciente", F.col("detalhes.title").alias("detalhes_title"),
+                    F.col("detalhes.summary").alias("detalhes_summary"),
+                    F.col("detalhes.email_contato").alias("detalhes_email_contato"),
+                    F.array_join("trechos", " | ").alias("trechos"))
 
 
 @query("article_appropriate")

@@ -487,3 +487,367 @@ FROM t, f, k
 
 
 register("duplicate_counts", _dups("cases"))
+
+# ===================================================================== quality (on raw_cases)
+RAW_COLS = ["NU_NOTIFIC", "DT_NOTIFIC", "SG_UF_NOT", "CO_MUN_NOT", "CS_SEXO", "NU_IDADE_N", "UTI", "HOSPITAL", "EVOLUCAO",
+            "DT_EVOLUCA", "DOSE_1_COV", "DOSE_2_COV", "DOSE_REF", "DOSE_2REF", "DOSE_ADIC", "FEBRE", "TOSSE", "DISPNEIA",
+            "DESC_RESP", "DIARREIA", "VOMITO"]
+
+register("q_required", "\nUNION ALL\n".join(f"""
+SELECT {q(f)} AS field, true AS present, count(*) FILTER (WHERE {f} IS NULL) AS null_count,
+  {half_up(f'count(*) FILTER (WHERE {f} IS NULL)', 'count(*)')} AS null_percentage,
+  count(*) FILTER (WHERE {f} IS NULL) = 0 AS complete,
+  CASE WHEN count(*) FILTER (WHERE {f} IS NULL) > 0 THEN 'error' END AS severity,
+  CASE WHEN count(*) FILTER (WHERE {f} IS NULL) > 0 THEN concat('Campo obrigatório ''{f}'' tem ',
+       {tenths(f'count(*) FILTER (WHERE {f} IS NULL)', 'count(*)')}, '% valores nulos') END AS message
+FROM raw_cases""" for f in P.REQUIRED_FIELDS))
+
+register("q_null_profile", "\nUNION ALL\n".join(f"""
+SELECT {q(c)} AS field, count(*) FILTER (WHERE {c} IS NULL) AS null_count,
+  {half_up(f'count(*) FILTER (WHERE {c} IS NULL)', 'count(*)')} AS null_percentage,
+  CASE WHEN count(*) FILTER (WHERE {c} IS NULL) * 100 > count(*) * 50.0 THEN 'warning' END AS severity,
+  CASE WHEN count(*) FILTER (WHERE {c} IS NULL) * 100 > count(*) * 50.0 THEN concat('Campo ''{c}'' tem alta taxa de nulos: ',
+       {tenths(f'count(*) FILTER (WHERE {c} IS NULL)', 'count(*)')}, '%') END AS message
+FROM raw_cases""" for c in RAW_COLS))
+
+
+def _type_row(f: str, kind: str, bad_cond: str, ok: str, bad: str, msg: str) -> str:
+    n = f"count(*) FILTER (WHERE {f} IS NOT NULL AND {bad_cond})"
+    return (f"SELECT {q(f)} AS field, {q(kind)} AS kind, {n} AS invalid_count, "
+            f"CASE WHEN {n} > 0 THEN {q(bad)} ELSE {q(ok)} END AS status, "
+            f"CASE WHEN {n} > 0 THEN 'warning' END AS severity, CASE WHEN {n} > 0 THEN {q(msg)} END AS message FROM raw_cases")
+
+
+register("q_types", "\nUNION ALL\n".join([
+    _type_row("DT_NOTIFIC", "date", "try_strptime(DT_NOTIFIC, '%Y-%m-%d') IS NULL", "convertible_to_date", "invalid_date_format",
+              "Campo de data 'DT_NOTIFIC' não está em formato válido"),
+    _type_row("DT_EVOLUCA", "date", "try_strptime(DT_EVOLUCA, '%Y-%m-%d') IS NULL", "convertible_to_date", "invalid_date_format",
+              "Campo de data 'DT_EVOLUCA' não está em formato válido"),
+    _type_row("NU_IDADE_N", "numeric", "TRY_CAST(NU_IDADE_N AS DOUBLE) IS NULL", "convertible_to_numeric", "invalid_numeric",
+              "Campo numérico 'NU_IDADE_N' contém valores não numéricos"),
+]))
+
+_AGE = "TRY_CAST(NU_IDADE_N AS DOUBLE)"
+register("q_ranges", f"""
+SELECT 'NU_IDADE_N' AS field, 'min' AS side, CAST(0 AS DOUBLE) AS bound, count(*) FILTER (WHERE {_AGE} < 0) AS violations,
+  CASE WHEN count(*) FILTER (WHERE {_AGE} < 0) > 0 THEN 'warning' END AS severity,
+  CASE WHEN count(*) FILTER (WHERE {_AGE} < 0) > 0 THEN concat('Campo ''NU_IDADE_N'': ', CAST(count(*) FILTER (WHERE {_AGE} < 0) AS VARCHAR), ' valores abaixo do mínimo (0)') END AS message
+FROM raw_cases
+UNION ALL
+SELECT 'NU_IDADE_N', 'max', CAST(120 AS DOUBLE), count(*) FILTER (WHERE {_AGE} > 120),
+  CASE WHEN count(*) FILTER (WHERE {_AGE} > 120) > 0 THEN 'warning' END,
+  CASE WHEN count(*) FILTER (WHERE {_AGE} > 120) > 0 THEN concat('Campo ''NU_IDADE_N'': ', CAST(count(*) FILTER (WHERE {_AGE} > 120) AS VARCHAR), ' valores acima do máximo (120)') END
+FROM raw_cases
+""")
+
+_CAT = [("CS_SEXO", "'M','F','I',''"), ("EVOLUCAO", "'1','2','3','9',''"), ("UTI", "'1','2','9',''"), ("HOSPITAL", "'1','2','9',''")]
+register("q_categorical", f"""
+WITH v AS ({' UNION ALL '.join(f"SELECT {q(f)} AS field, upper(trim({f})) AS value, ({'upper(trim(' + f + ')) IN (' + vals + ')'}) AS ok FROM raw_cases" for f, vals in _CAT)}),
+bad AS (SELECT field, value, count(*) AS n FROM v WHERE value IS NOT NULL AND NOT ok GROUP BY field, value),
+top AS (SELECT field, string_agg(value, ', ' ORDER BY value) AS invalid_values
+        FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY value) AS rn FROM bad) WHERE rn <= 10 GROUP BY field),
+cnt AS (SELECT field, CAST(sum(n) AS BIGINT) AS invalid_count FROM bad GROUP BY field),
+base(field) AS (VALUES {', '.join(f"({q(f)})" for f, _ in _CAT)})
+SELECT base.field, coalesce(cnt.invalid_count, 0) AS invalid_count, top.invalid_values,
+  CASE WHEN coalesce(cnt.invalid_count, 0) > 0 THEN 'warning' END AS severity,
+  CASE WHEN coalesce(cnt.invalid_count, 0) > 0 THEN concat('Campo ''', base.field, ''': ', CAST(cnt.invalid_count AS VARCHAR), ' valores inválidos encontrados') END AS message
+FROM base LEFT JOIN cnt ON base.field = cnt.field LEFT JOIN top ON base.field = top.field
+""")
+
+register("q_temporal", f"""
+WITH d AS (SELECT try_strptime(DT_NOTIFIC, '%Y-%m-%d') AS a, try_strptime(DT_EVOLUCA, '%Y-%m-%d') AS b FROM raw_cases),
+s AS (SELECT count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL AND b < a) AS x,
+             count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS c FROM d)
+SELECT 'DT_NOTIFIC_vs_DT_EVOLUCA' AS pair, x AS inconsistent_count, c AS total_comparable,
+  CASE WHEN c > 0 THEN {half_up('c - x', 'c')} ELSE CAST(100.0 AS DOUBLE) END AS consistency_rate,
+  CASE WHEN x > 0 THEN 'error' END AS severity,
+  CASE WHEN x > 0 THEN concat('Inconsistência temporal: ', CAST(x AS VARCHAR), ' registros onde ''DT_EVOLUCA'' é anterior a ''DT_NOTIFIC''') END AS message
+FROM s
+""")
+
+
+def _rule(name: str, desc: str, cond: str) -> str:
+    n = f"count(*) FILTER (WHERE coalesce({cond}, false))"
+    return f"""
+SELECT {q(name)} AS rule, {q(desc)} AS description, {n} AS violations, {n} = 0 AS passed,
+  CASE WHEN {n} > 0 THEN 'warning' END AS severity,
+  CASE WHEN {n} > 0 THEN concat({q('Regra de negócio violada: ' + desc + ' (')}, CAST({n} AS VARCHAR), ' casos)') END AS message
+FROM raw_cases"""
+
+
+_SYM_ANY = " OR ".join(f"coalesce(TRY_CAST({s} AS DOUBLE) = 1, false)" for s in P.COUNTED_SYMPTOMS)
+_D1, _D2, _DR = ("(try_strptime(DOSE_1_COV, '%d/%m/%Y') IS NOT NULL)", "(try_strptime(DOSE_2_COV, '%d/%m/%Y') IS NOT NULL)",
+                 "(try_strptime(DOSE_REF, '%d/%m/%Y') IS NOT NULL)")
+register("q_rule_icu", _rule("uti_requires_internment", "UTI=1 requer internação hospitalar",
+                             f"{code('UTI', "'1','2','9'")} = '1' AND {code('HOSPITAL', "'1','2','9'")} = '2'"))
+register("q_rule_death_symptoms", _rule("death_without_symptoms", "Óbito sem sintomas registrados",
+                                        f"coalesce({code('EVOLUCAO', "'1','2','3','9'")} = '2', false) AND NOT ({_SYM_ANY})"))
+register("q_rule_doses", _rule("vaccination_consistency", "Consistência nas doses de vacina",
+                               f"(NOT {_D1} AND {_D2}) OR ({_DR} AND (NOT {_D1} OR NOT {_D2}))"))
+
+
+def _outliers(method: str, p_lo: str, p_hi: str) -> str:
+    if method == "iqr":
+        bounds = "q1 - (q3 - q1) * 1.5 AS lower_bound, q3 + (q3 - q1) * 1.5 AS upper_bound"
+    else:
+        bounds = "q1 AS lower_bound, q3 AS upper_bound"
+    return f"""
+WITH nums AS (SELECT {_AGE} AS v FROM raw_cases WHERE {_AGE} IS NOT NULL),
+st AS (SELECT count(*) AS n, quantile_cont(v, {p_lo}) AS q1, quantile_cont(v, {p_hi}) AS q3 FROM nums),
+b AS (SELECT n, {bounds} FROM st),
+o AS (SELECT v FROM nums, b WHERE v < lower_bound OR v > upper_bound),
+oc AS (SELECT count(*) AS outlier_count FROM o),
+sm AS (SELECT string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) AS s FROM (SELECT v FROM o ORDER BY v LIMIT 5))
+SELECT 'NU_IDADE_N' AS field, {q(method)} AS method, lower_bound, upper_bound, outlier_count,
+  {half_up('outlier_count', 'n')} AS outlier_percentage, coalesce(sm.s, '') AS sample_outliers,
+  CASE WHEN outlier_count * 100 > n * 5.0 THEN 'warning' END AS severity,
+  CASE WHEN outlier_count * 100 > n * 5.0 THEN concat('Campo ''NU_IDADE_N'' tem alta taxa de outliers: ', {tenths('outlier_count', 'n')}, '%') END AS message
+FROM b, oc, sm WHERE n > 0
+"""
+
+
+register("q_outliers_iqr", _outliers("iqr", "0.25", "0.75"))
+register("q_outliers_percentile", _outliers("percentile", "0.01", "0.99"))
+
+register("q_duplicates_raw", _dups("raw_cases"))
+_QDUP = f"""
+SELECT total_records, 'complete' AS kind, complete_duplicates AS duplicates,
+  CASE WHEN complete_duplicates > 0 THEN 'warning' END AS severity,
+  CASE WHEN complete_duplicates > 0 THEN concat('Encontradas ', CAST(complete_duplicates AS VARCHAR), ' duplicatas completas') END AS message
+FROM {sub('q_duplicates_raw')} d
+UNION ALL
+SELECT total_records, 'key_fields', key_field_duplicates,
+  CASE WHEN key_field_duplicates > complete_duplicates THEN 'warning' END,
+  CASE WHEN key_field_duplicates > complete_duplicates THEN concat('Encontradas ', CAST(key_field_duplicates AS VARCHAR), ' duplicatas baseadas em campos-chave') END
+FROM {sub('q_duplicates_raw')} d
+"""
+BODY["q_duplicates"] = _QDUP
+del ORACLE["q_duplicates_raw"]
+
+FINDINGS = f"""
+SELECT * FROM (
+  SELECT 'required' AS "check", field, severity, message FROM {sub('q_required')} a
+  UNION ALL SELECT 'null_profile', field, severity, message FROM {sub('q_null_profile')} b
+  UNION ALL SELECT 'types', field, severity, message FROM {sub('q_types')} c
+  UNION ALL SELECT 'ranges', field, severity, message FROM {sub('q_ranges')} d
+  UNION ALL SELECT 'categorical', field, severity, message FROM {sub('q_categorical')} e
+  UNION ALL SELECT 'temporal', pair, severity, message FROM {sub('q_temporal')} f
+  UNION ALL SELECT 'business_rule', rule, severity, message FROM {sub('q_rule_icu')} g
+  UNION ALL SELECT 'business_rule', rule, severity, message FROM {sub('q_rule_death_symptoms')} h
+  UNION ALL SELECT 'business_rule', rule, severity, message FROM {sub('q_rule_doses')} i
+  UNION ALL SELECT 'outliers', field, severity, message FROM {sub('q_outliers_iqr')} j
+  UNION ALL SELECT 'duplicates', kind, severity, message FROM {sub('q_duplicates')} k
+) WHERE severity IS NOT NULL
+"""
+register("quality_score", f"""
+WITH f AS (SELECT count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings FROM ({FINDINGS})),
+req AS (SELECT count(*) AS req_n, sum(CAST(100.0 AS DOUBLE) - null_percentage) AS req_sum FROM {sub('q_required')} r WHERE present),
+dup AS (SELECT total_records, duplicates AS key_dups FROM {sub('q_duplicates')} d WHERE kind = 'key_fields'),
+s AS (SELECT *, CAST(100.0 AS DOUBLE) - errors * CAST(10.0 AS DOUBLE) - warnings * CAST(2.0 AS DOUBLE) AS base FROM f, req, dup),
+t AS (SELECT *, CASE WHEN req_n > 0 THEN base * (req_sum / req_n / CAST(100.0 AS DOUBLE)) ELSE base END
+               - CASE WHEN total_records > 0 THEN key_dups / total_records ELSE CAST(0.0 AS DOUBLE) END * CAST(20.0 AS DOUBLE) AS raw FROM s)
+SELECT errors, warnings, total_records, key_dups AS key_field_duplicates,
+  floor(greatest(CAST(0.0 AS DOUBLE), least(CAST(100.0 AS DOUBLE), raw)) * 100 + 0.5) / 100.0 AS quality_score,
+  errors = 0 AS passed
+FROM t
+""")
+register("quality_report", f"""
+SELECT "check", field, severity, message, CAST(NULL AS DOUBLE) AS value FROM ({FINDINGS})
+UNION ALL SELECT 'summary', 'total_records', NULL, NULL, CAST(total_records AS DOUBLE) FROM {sub('quality_score')} s1
+UNION ALL SELECT 'summary', 'errors', NULL, NULL, CAST(errors AS DOUBLE) FROM {sub('quality_score')} s2
+UNION ALL SELECT 'summary', 'warnings', NULL, NULL, CAST(warnings AS DOUBLE) FROM {sub('quality_score')} s3
+UNION ALL SELECT 'summary', 'quality_score', NULL, NULL, quality_score FROM {sub('quality_score')} s4
+UNION ALL SELECT 'summary', 'passed', NULL, NULL, CASE WHEN passed THEN 1.0 ELSE 0.0 END FROM {sub('quality_score')} s5
+""")
+
+# ===================================================================== privacy
+_TYPED_COLS = ["NU_NOTIFIC", "DT_NOTIFIC", "SG_UF_NOT", "CO_MUN_NOT", "CS_SEXO", "NU_IDADE_N", "UTI", "HOSPITAL", "EVOLUCAO",
+               "DT_EVOLUCA", "DOSE_1_COV", "DOSE_2_COV", "DOSE_REF", "DOSE_2REF", "DOSE_ADIC", "FEBRE", "TOSSE", "DISPNEIA",
+               "DESC_RESP", "DIARREIA", "VOMITO"]
+_ANON_BAND = ("CASE WHEN NU_IDADE_N >= 0 AND NU_IDADE_N <= 12 THEN '0-12' WHEN NU_IDADE_N > 12 AND NU_IDADE_N <= 18 THEN '13-18' "
+              "WHEN NU_IDADE_N > 18 AND NU_IDADE_N <= 60 THEN '19-60' WHEN NU_IDADE_N > 60 AND NU_IDADE_N <= 120 THEN '60+' END")
+_ANON_AGE = "CAST(trunc(NU_IDADE_N / 5) * 5 AS DOUBLE)"
+register("anonymise_columns", "SELECT * EXCLUDE (NU_NOTIFIC) FROM cases")
+register("anonymise_age", f"SELECT NU_NOTIFIC, {_ANON_AGE} AS NU_IDADE_N, {_ANON_BAND} AS FAIXA_ETARIA FROM typed")
+register("anonymise_cases", f"SELECT * EXCLUDE (NU_NOTIFIC, CO_MUN_NOT, NU_IDADE_N), {_ANON_AGE} AS NU_IDADE_N, {_ANON_BAND} AS FAIXA_ETARIA FROM typed")
+register("redact_text", f"SELECT article_id, {redact_sql('summary')} AS summary FROM articles")
+_FIXED = q(P.REDACTED_FIELD_TEXT)
+register("redact_frame", f"""
+SELECT article_id, {_FIXED} AS nome_paciente, {redact_sql('title')} AS detalhes_title,
+  {redact_sql('summary')} AS detalhes_summary, {_FIXED} AS detalhes_email_contato,
+  concat_ws(' | ', {redact_sql('summary')}, {redact_sql('link')}) AS trechos
+FROM articles
+""")
+_TXT2 = "concat(lower(coalesce(title, '')), ' ', lower(coalesce(summary, '')))"
+register("article_appropriate", f"""
+SELECT article_id,
+  CASE WHEN {any_in(_TXT2, P.PROHIBITED_TERMS)} THEN false
+       WHEN {any_in("lower(coalesce(source, ''))", P.RELIABLE_SOURCES)} THEN true
+       WHEN {any_in(_TXT2, P.SUSPICIOUS_TERMS)} THEN false
+       ELSE true END AS appropriate
+FROM articles
+""")
+_mask = "summary"
+for _t in P.PROHIBITED_TERMS:
+    _mask = f"regexp_replace({_mask}, {q('(?i)' + chr(92) + 'Q' + _t + chr(92) + 'E')}, {q(P.MASK_TEXT)}, 'g')"
+register("mask_terms", f"SELECT article_id, {_mask} AS summary FROM articles")
+
+
+def _rate_of(m: str) -> str:
+    return f"max(CASE WHEN metric = {q(m)} THEN rate END)"
+
+
+_FP_PARTS = ", ".join(["'2001-06-01'", "CAST(count(*) AS VARCHAR)", q(P.GUARDRAILS_VERSION)] + [
+    f"CAST(CAST(floor({_rate_of(m)} * 100 + 0.5) AS BIGINT) AS VARCHAR)"
+    for m in ("case_increase_rate", "mortality_rate", "icu_occupancy_rate", "vaccination_rate")])
+register("report_fingerprint", f"""
+SELECT '2001-06-01' AS report_date, count(*) AS metrics_count,
+  concat('SRAG-', substr(sha256(concat_ws('|', {_FP_PARTS})), 1, 16)) AS signature
+FROM {sub('metrics_bundle')} b
+""")
+register("pii_scan", "\nUNION ALL\n".join(f"""
+SELECT {q(c)} AS "column", count(*) FILTER (WHERE regexp_matches({c}, {CPF})) AS cpf_hits,
+  count(*) FILTER (WHERE regexp_matches({c}, {PHONE})) AS phone_hits,
+  count(*) FILTER (WHERE regexp_matches({c}, {EMAIL})) AS email_hits FROM articles"""
+    for c in ["title", "summary", "link", "source", "source_type"]))
+
+# ===================================================================== news
+register("article_recency", f"SELECT article_id, published FROM articles WHERE published IS NULL OR published >= {AS_OF} - 120")
+register("article_term_filter", f"SELECT article_id, title FROM articles WHERE {SEARCH_ANY}")
+register("article_relevance", f"SELECT article_id, relevance_score FROM (SELECT article_id, {RELEVANCE} AS relevance_score FROM articles) WHERE relevance_score >= 1")
+register("article_rank", f"""
+SELECT article_id, relevance_score, row_number() OVER (ORDER BY relevance_score DESC, article_id) AS rank
+FROM (SELECT article_id, {RELEVANCE} AS relevance_score FROM articles) WHERE relevance_score >= 1
+""")
+register("article_topk", f"""
+SELECT article_id, title, relevance_score FROM (SELECT article_id, title, {RELEVANCE} AS relevance_score FROM articles)
+WHERE relevance_score >= 1 ORDER BY relevance_score DESC, article_id LIMIT 10
+""")
+register("article_dedupe", f"""
+SELECT {_ACOLS} FROM (
+  SELECT *, row_number() OVER (PARTITION BY lower(trim(title)) ORDER BY article_id) AS rn
+  FROM articles WHERE title IS NOT NULL AND trim(title) <> '') WHERE rn = 1
+""")
+
+
+def _theme_union(themes, cols: str, src: str = "articles") -> str:
+    return " UNION ALL ".join(f"SELECT {cols}, {q(name)} AS theme FROM {src} WHERE {any_in(TXT, words)}" for name, words in themes)
+
+
+register("theme_top3", f"""
+SELECT article_id, title, link, theme, row_number() OVER (PARTITION BY theme ORDER BY article_id) AS position
+FROM ({_theme_union(P.WIDE_THEMES, 'article_id, title, link')}) QUALIFY position <= 3
+""")
+register("theme_breakdown", f"SELECT theme, count(*) AS articles FROM ({_theme_union(P.ARTICLE_THEMES, 'article_id')}) GROUP BY theme")
+register("theme_counts_wide", " UNION ALL ".join(
+    f"SELECT {q(name)} AS theme, count(*) FILTER (WHERE {any_in(TXT, words)}) AS articles FROM articles" for name, words in P.WIDE_THEMES))
+_THEMES_JOINED = "concat_ws('|', " + ", ".join(f"CASE WHEN {any_in(TXT, w)} THEN {q(n)} END" for n, w in P.ARTICLE_THEMES) + ")"
+_THEMES_COUNT = "(" + " + ".join(f"CASE WHEN {any_in(TXT, w)} THEN 1 ELSE 0 END" for _, w in P.ARTICLE_THEMES) + ")"
+register("article_themes", f"SELECT article_id, {_THEMES_JOINED} AS themes, {_THEMES_COUNT} AS theme_count FROM articles")
+_SRC = "coalesce(source, 'Desconhecido')"
+_SRC_CASE = "CASE " + " ".join(
+    f"WHEN contains({'lower(' + _SRC + ')' if ins else _SRC}, {q(n)}) THEN {q(lbl)}" for n, ins, lbl in P.SOURCE_NAMES) + f" ELSE {_SRC} END"
+register("source_breakdown", f"SELECT {_SRC_CASE} AS source, count(*) AS articles FROM articles GROUP BY 1")
+register("article_origin_counts", "SELECT source_type, count(*) AS articles FROM articles GROUP BY 1")
+
+_ctx_flags = []
+_ctx_cols = []
+_ctx_parts = []
+for _cat, _words in P.CONTEXT_KEYWORDS.items():
+    _names = []
+    for _i, _w in enumerate(_words):
+        _ctx_flags.append(f"max(CASE WHEN contains({TXT}, {q(_w)}) THEN 1 ELSE 0 END) AS {_cat}__{_i}")
+        _names.append(f"coalesce({_cat}__{_i}, 0)")
+    _ctx_cols.append(f"({' + '.join(_names)}) AS {_cat}_mentions")
+    _ctx_parts.append(f"least(({' + '.join(_names)}) * 30, 250)")
+register("context_score", f"""
+WITH f AS (SELECT count(*) AS articles, {', '.join(_ctx_flags)}
+           FROM (SELECT *, {RELEVANCE} AS relevance_score FROM articles) WHERE relevance_score >= 1)
+SELECT articles, {', '.join(_ctx_cols)},
+  CASE WHEN articles = 0 THEN CAST(0.0 AS DOUBLE)
+       ELSE CAST(least({' + '.join(_ctx_parts)} + least(articles * 15, 200), 1000) AS DOUBLE) / 100.0 END AS context_score
+FROM f
+""")
+register("search_funnel", f"""
+WITH s AS (SELECT count(*) AS total_entries,
+  count(*) FILTER (WHERE NOT {SEARCH_ANY}) AS rejected_no_terms,
+  count(*) FILTER (WHERE {SEARCH_ANY} AND published IS NOT NULL AND published < {AS_OF} - 120) AS rejected_old_date,
+  count(*) FILTER (WHERE {SEARCH_ANY} AND NOT (published IS NOT NULL AND published < {AS_OF} - 120)) AS accepted
+FROM articles)
+SELECT *, {half_up('accepted', 'total_entries', 1000, '10.0')} AS approval_rate FROM s
+""")
+_TERMS_LIST = "[" + ", ".join(q(t) for t in P.SEARCH_TERMS) + "]"
+register("matching_terms", f"""
+WITH m AS (SELECT article_id, list_filter({_TERMS_LIST}, lambda t: contains({TXT}, lower(t))) AS m FROM articles)
+SELECT article_id, array_to_string(list_slice(m, 1, 5), ', ') AS matching_terms, CAST(len(m) AS INTEGER) AS terms_matched
+FROM m WHERE len(m) > 0
+""")
+register("truncate_summary", "SELECT article_id, CASE WHEN length(summary) > 300 THEN concat(substr(summary, 1, 300), '...') ELSE summary END AS summary_short FROM articles")
+_HEUR = ", ".join(f"count(*) FILTER (WHERE {any_in(TXT, w)}) AS {n}" for n, w in P.HEURISTIC_THEMES)
+register("heuristic_analysis", f"""
+WITH c AS (SELECT count(*) AS articles, {_HEUR}
+           FROM (SELECT *, {RELEVANCE} AS relevance_score FROM articles) WHERE relevance_score >= 1),
+g AS (SELECT rate AS growth_rate FROM {sub('case_increase_rate')} x)
+SELECT articles, increase, deaths, hospitalization, vaccination, growth_rate,
+  CASE WHEN articles = 0 THEN 'Nenhuma notícia relevante encontrada para análise.'
+  ELSE concat('Análise de Contexto de Notícias (', CAST(articles AS VARCHAR), ' artigos analisados):', chr(10),
+              chr(10), chr(10), 'Temas identificados nas notícias:', chr(10), '- Aumento de casos: ', CAST(increase AS VARCHAR),
+              ' artigos', chr(10), '- Mortalidade: ', CAST(deaths AS VARCHAR), ' artigos', chr(10), '- Hospitalização: ',
+              CAST(hospitalization AS VARCHAR), ' artigos', chr(10), '- Vacinação: ', CAST(vaccination AS VARCHAR), ' artigos', chr(10),
+              CASE WHEN growth_rate > 10 AND increase > 0 THEN concat(chr(10), chr(10), 'As notícias refletem o aumento de casos observado nas métricas.') ELSE '' END)
+  END AS analysis
+FROM c, g
+""")
+_r = numtxt("rate")
+register("metric_explanations", f"""
+SELECT metric, rate, CASE
+  WHEN metric = 'case_increase_rate' AND rate > 10 THEN concat('A taxa de aumento de ', {_r}, '% é significativa e indica crescimento acelerado nos casos. Recomenda-se intensificar monitoramento.')
+  WHEN metric = 'case_increase_rate' AND rate > 0 THEN concat('A taxa de aumento de ', {_r}, '% indica crescimento moderado. Manutenção de vigilância é recomendada.')
+  WHEN metric = 'case_increase_rate' THEN 'A taxa de aumento é estável ou em declínio, indicando tendência positiva.'
+  WHEN metric = 'mortality_rate' THEN concat('A taxa de mortalidade de ', {_r}, '% reflete a gravidade dos casos. Monitorar recursos de saúde é essencial.')
+  WHEN metric = 'icu_occupancy_rate' AND rate > 80 THEN concat('Ocupação de UTI de ', {_r}, '% está crítica. Ação imediata para aumento de capacidade é necessária.')
+  WHEN metric = 'icu_occupancy_rate' THEN concat('Ocupação de UTI de ', {_r}, '% está dentro dos limites operacionais.')
+  WHEN metric = 'vaccination_rate' AND rate > 70 THEN concat('Taxa de vacinação de ', {_r}, '% é boa e fornece proteção populacional.')
+  WHEN metric = 'vaccination_rate' THEN concat('Taxa de vacinação de ', {_r}, '% indica necessidade de intensificar campanhas.')
+  END AS explanation
+FROM {sub('metrics_bundle')} b
+""")
+register("article_flow", f"""
+WITH kept AS (SELECT * FROM articles WHERE {SEARCH_ANY} AND (published IS NULL OR published >= {AS_OF} - 120)),
+dd AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(title)) ORDER BY article_id) AS rn
+       FROM kept WHERE title IS NOT NULL AND trim(title) <> '') WHERE rn = 1),
+sc AS (SELECT *, {RELEVANCE} AS relevance_score FROM dd),
+top AS (SELECT * FROM sc WHERE relevance_score >= 1 ORDER BY relevance_score DESC, article_id LIMIT 15)
+SELECT {_ACOLS}, relevance_score, {_THEMES_JOINED} AS themes, strftime(published, '%d/%m/%Y') AS published_br FROM top
+""")
+
+# ===================================================================== report
+register("executive_summary", f"""
+WITH w AS (SELECT {_rate_of('case_increase_rate')} AS g, {_rate_of('mortality_rate')} AS m, {_rate_of('icu_occupancy_rate')} AS i
+           FROM {sub('metrics_bundle')} b),
+c AS (SELECT context_score AS s FROM {sub('context_score')} x)
+SELECT g AS case_increase_rate, m AS mortality_rate, i AS icu_occupancy_rate, s AS context_score,
+  concat(concat_ws('. ',
+    CASE WHEN g > 10 THEN concat('Observado aumento significativo de ', {numtxt('g')}, '% nos casos')
+         WHEN g < -10 THEN concat('Observada diminuição de ', {numtxt('abs(g)')}, '% nos casos')
+         ELSE 'Número de casos relativamente estável' END,
+    CASE WHEN m > 15 THEN concat('Taxa de mortalidade alta: ', {numtxt('m')}, '%')
+         WHEN m < 5 THEN concat('Taxa de mortalidade baixa: ', {numtxt('m')}, '%')
+         ELSE concat('Taxa de mortalidade moderada: ', {numtxt('m')}, '%') END,
+    CASE WHEN i > 40 THEN concat('Alta demanda por UTI: ', {numtxt('i')}, '% dos casos')
+         ELSE concat('Demanda por UTI: ', {numtxt('i')}, '% dos casos') END,
+    CASE WHEN s > 7 THEN 'Notícias confirmam tendências observadas nas métricas'
+         WHEN s > 4 THEN 'Notícias parcialmente relacionadas às métricas'
+         ELSE 'Limitada correlação entre notícias e métricas' END), '.') AS executive_summary
+FROM w, c
+""")
+register("vaccination_split", f"""
+SELECT total_cases, vaccinated_cases, unvaccinated_cases, {half_up('vaccinated_cases', 'total_cases')} AS vaccinated_pct,
+  {half_up('unvaccinated_cases', 'total_cases')} AS unvaccinated_pct FROM {sub('vaccination_rate')} v
+""")
+register("format_instant_br", "SELECT event_id, strftime(timezone('America/Sao_Paulo', ts AT TIME ZONE 'UTC'), '%d/%m/%Y às %H:%M:%S') AS ts_br FROM events")
+register("report_figures", f"""
+SELECT (SELECT count(*) FROM {sub('metrics_bundle')} b) AS metrics_count,
+  CAST((SELECT count(*) > 0 FROM {sub('daily_calendar_fill')} d) AS INTEGER) + CAST((SELECT count(*) > 0 FROM {sub('monthly_counts')} m) AS INTEGER) AS charts_generated,
+  (SELECT count(*) FROM {sub('article_flow')} a) AS news_articles_analyzed
+""")
