@@ -25,6 +25,20 @@ def _text() -> Column:
     return TX.article_text("title", "summary")
 
 
+TEXT = "_t"
+
+
+def _with_text(df: DataFrame) -> DataFrame:
+    """Lower-cased text as its own column: keyword expressions then read one
+    column instead of repeating the text expression (which would bloat the
+    generated code past the JVM method limit)."""
+    return df.withColumn(TEXT, _text())
+
+
+def _t() -> Column:
+    return F.col(TEXT)
+
+
 # ---------------------------------------------------------------- X7 / X8 / N6 / N7
 def article_recency(df: DataFrame, as_of: str, days: int = P.NEWS_DATE_RANGE_DAYS) -> DataFrame:
     """Reject only dated articles older than the cutoff."""
@@ -33,7 +47,7 @@ def article_recency(df: DataFrame, as_of: str, days: int = P.NEWS_DATE_RANGE_DAY
 
 
 def term_match_expr(terms: Sequence[str] = P.SEARCH_TERMS) -> Column:
-    return TX.any_of(_text(), sorted({t.lower() for t in terms}))
+    return TX.any_rlike(_text(), {t.lower() for t in terms})
 
 
 def article_term_filter(df: DataFrame, terms: Sequence[str] = P.SEARCH_TERMS) -> DataFrame:
@@ -43,9 +57,9 @@ def article_term_filter(df: DataFrame, terms: Sequence[str] = P.SEARCH_TERMS) ->
 
 def matching_terms(df: DataFrame, terms: Sequence[str] = P.SEARCH_TERMS, limit: int = P.MATCHING_TERMS_SHOWN) -> DataFrame:
     """The first ``limit`` matching terms (in list order, as written)."""
-    text = _text()
+    text = _t()
     arr = F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(text, F.lower(t)))
-    return (df.select("article_id", arr.alias("_m")).where(F.size("_m") > 0)
+    return (_with_text(df).select("article_id", arr.alias("_m")).where(F.size("_m") > 0)
             .select("article_id", F.array_join(F.slice("_m", 1, limit), ", ").alias("matching_terms"),
                     F.size("_m").alias("terms_matched")))
 
@@ -78,12 +92,19 @@ def article_dedupe(df: DataFrame, order: str = "article_id") -> DataFrame:
 
 
 def relevance_expr(keywords: Sequence[str] = P.RELEVANCE_KEYWORDS) -> Column:
-    return TX.count_of(_text(), keywords)
+    """Number of keyword entries present in the ``_t`` text column."""
+    return TX.count_of(_t(), keywords)
 
 
 def article_relevance(df: DataFrame, keywords: Sequence[str] = P.RELEVANCE_KEYWORDS, min_score: int = 1) -> DataFrame:
-    """relevance = number of list entries found (multiset); keep >= min_score."""
-    return df.withColumn("relevance_score", relevance_expr(keywords)).where(F.col("relevance_score") >= min_score)
+    """relevance = number of list entries found (multiset); keep >= min_score.
+
+    ``score >= 1`` is "any keyword present": that test runs first as one
+    regex at the scan, and the score is computed only for kept rows.
+    """
+    kept = df.where(TX.any_rlike(_text(), keywords)) if min_score >= 1 else df
+    scored = _with_text(kept).withColumn("relevance_score", relevance_expr(keywords)).drop(TEXT)
+    return scored.where(F.col("relevance_score") >= min_score) if min_score > 1 else scored
 
 
 def rank_order() -> list[Column]:
@@ -101,26 +122,26 @@ def article_topk(scored: DataFrame, k: int = P.MAX_ARTICLES) -> DataFrame:
 
 
 # ---------------------------------------------------------------- N3 / N4 / O4 / A10
-def themes_expr(themes=P.ARTICLE_THEMES) -> Column:
-    text = _text()
+def themes_expr(themes=P.ARTICLE_THEMES, text: Column | None = None) -> Column:
+    text = _text() if text is None else text
     return F.array_compact(F.array(*[F.when(TX.any_of(text, words), F.lit(label)) for label, words in themes]))
 
 
 def article_themes(df: DataFrame) -> DataFrame:
     """Theme labels of each article (list order)."""
-    return df.select("article_id", F.array_join(themes_expr(), "|").alias("themes"),
-                     F.size(themes_expr()).alias("theme_count"))
+    t = _with_text(df).select("article_id", themes_expr(text=_t()).alias("_th"))
+    return t.select("article_id", F.array_join("_th", "|").alias("themes"), F.size("_th").alias("theme_count"))
 
 
 def theme_breakdown(df: DataFrame) -> DataFrame:
     """A10: articles per identified theme."""
-    return df.select(F.explode(themes_expr()).alias("theme")).groupBy("theme").agg(F.count(F.lit(1)).alias("articles"))
+    return _with_text(df).select(F.explode(themes_expr(text=_t())).alias("theme")).groupBy("theme").agg(F.count(F.lit(1)).alias("articles"))
 
 
 def theme_counts_wide(df: DataFrame, themes=P.WIDE_THEMES) -> DataFrame:
     """Articles per theme with the wide word lists, one scan."""
-    text = _text()
-    stats = df.agg(*[F.count_if(TX.any_of(text, words)).alias(name) for name, words in themes])
+    text = _t()
+    stats = _with_text(df).agg(*[F.count_if(TX.any_of(text, words)).alias(name) for name, words in themes])
     return stats.select(F.explode(F.array(*[
         F.struct(F.lit(name).alias("theme"), F.col(name).alias("articles")) for name, _ in themes])).alias("t")).select("t.*")
 
@@ -131,8 +152,8 @@ def theme_top(df: DataFrame, n: int = P.THEME_TOP_N, themes=P.WIDE_THEMES) -> Da
     ``row_number() <= n`` per theme is planned with a WindowGroupLimit, so
     each task keeps only n rows per theme before the shuffle.
     """
-    text = _text()
-    tagged = df.select("article_id", "title", "link", F.explode(F.array_compact(F.array(*[
+    text = _t()
+    tagged = _with_text(df).select("article_id", "title", "link", F.explode(F.array_compact(F.array(*[
         F.when(TX.any_of(text, words), F.lit(name)) for name, words in themes]))).alias("theme"))
     w = Window.partitionBy("theme").orderBy("article_id")
     return tagged.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n)
@@ -164,12 +185,12 @@ def context_score(df: DataFrame, keywords=P.CONTEXT_KEYWORDS) -> DataFrame:
     Presence of a keyword over all articles is ``max`` of a per-article flag
     (one aggregate row), computed in integer hundredths.
     """
-    text = _text()
+    text = _t()
     flags = []
     for cat, words in keywords.items():
         for i, w in enumerate(words):
             flags.append(F.max(F.contains(text, F.lit(w)).cast("int")).alias(f"{cat}__{i}"))
-    s = df.agg(F.count(F.lit(1)).alias("articles"), *flags)
+    s = _with_text(df).agg(F.count(F.lit(1)).alias("articles"), *flags)
     cols, parts = [], []
     for cat, words in keywords.items():
         m = sum((F.coalesce(F.col(f"{cat}__{i}"), F.lit(0)) for i in range(len(words))), F.lit(0))
@@ -187,8 +208,8 @@ def truncate_summary(df: DataFrame, max_chars: int = P.SUMMARY_MAX_CHARS) -> Dat
 
 
 def heuristic_counts(df: DataFrame, themes=P.HEURISTIC_THEMES) -> DataFrame:
-    text = _text()
-    return df.agg(F.count(F.lit(1)).alias("articles"),
+    text = _t()
+    return _with_text(df).agg(F.count(F.lit(1)).alias("articles"),
                   *[F.count_if(TX.any_of(text, words)).alias(name) for name, words in themes])
 
 
@@ -240,6 +261,6 @@ def article_flow(df: DataFrame, as_of: str, k: int = P.PIPELINE_MAX_ARTICLES) ->
     with the list date as dd/MM/yyyy."""
     kept = article_recency(article_term_filter(df), as_of)
     top = article_topk(article_relevance(article_dedupe(kept)), k)
-    return top.select(*ARTICLE_COLS, "relevance_score",
-                      F.array_join(themes_expr(), "|").alias("themes"),
+    return _with_text(top).select(*ARTICLE_COLS, "relevance_score",
+                      F.array_join(themes_expr(text=_t()), "|").alias("themes"),
                       F.date_format("published", "dd/MM/yyyy").alias("published_br"))
