@@ -15,9 +15,34 @@ from pyspark.sql import functions as F
 from .. import params as P
 
 
+def _ym(date_text: str) -> int:
+    y, m = date_text[:4], date_text[5:7]
+    return int(y) * 100 + int(m)
+
+
+def partition_window(df: DataFrame, start: str | None, end: str | None) -> DataFrame:
+    """Add the year/month partition predicate implied by a date window.
+
+    On a table partitioned by ``ANO``/``MES`` (see ``sources.sinks``) this
+    prunes whole partitions before any file is opened; the exact date
+    predicate still decides row by row.  Other tables are returned as is.
+    """
+    if "ANO" not in df.columns or "MES" not in df.columns or (start is None and end is None):
+        return df
+    ym = F.col("ANO") * 100 + F.col("MES")
+    cond = F.lit(True)
+    if start is not None:
+        cond = cond & (ym >= _ym(start))
+    if end is not None:
+        cond = cond & (ym <= _ym(end))
+    return df.where(cond)
+
+
 def filter_date_range(df: DataFrame, start: str | None = None, end: str | None = None,
                       col: str = P.DATE_COL) -> DataFrame:
     """Closed range; either end optional."""
+    if col == P.DATE_COL:
+        df = partition_window(df, start, end)
     d = F.col(col)
     if start is not None and end is not None:
         return df.where(d.between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))

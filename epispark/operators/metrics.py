@@ -5,9 +5,9 @@ Plan shape: the case table is scanned **once** into a per-day summary
 every rate).  That aggregate runs with map-side partial aggregation, so
 the shuffle carries at most (days x map tasks) rows no matter how many
 cases there are, and a hot day is combined before it is shuffled.
-Reference-date adjustment and the windowed counts of all four rates are
-then evaluated on that small table; the 1-row reference frame is joined
-by a broadcast cross join (its size is exactly one row).
+Reference-date adjustment (a global max over the per-day rows) and the
+windowed counts of all four rates are then evaluated on that small
+table in the same plan, so the case table is read once.
 """
 
 from __future__ import annotations
@@ -81,19 +81,36 @@ def _band_text(rate_units: Column, num: Column, den: Column, zero_text: str,
     return expr.otherwise(F.concat(F.lit(last), txt, F.lit("%" + suffix)))
 
 
-def _with_ref(cases: DataFrame, reference_date: str, now: str | None):
-    daily = daily_summary(cases)
-    ref = reference_frame(daily, reference_date, now)
-    return daily, ref
+def _adjusted_ref(reference_date: str, now: str | None, max_date: Column,
+                  historical_days: int = P.HISTORICAL_DAYS) -> Column:
+    ref = F.to_date(F.lit(reference_date))
+    if now is None:
+        return ref
+    cutoff = F.date_sub(F.to_date(F.lit(now)), historical_days)
+    return F.coalesce(F.when(max_date < cutoff, max_date).otherwise(ref), ref)
 
 
-def _windowed(daily: DataFrame, ref: DataFrame, spec: dict[str, tuple[int, int, str]]) -> DataFrame:
-    """Windowed sums: name -> (days back from, days back to, column)."""
-    r = F.col("ref")
+def _windowed(cases: DataFrame, reference_date: str, now: str | None,
+              spec: dict[str, tuple[int, int, str]]) -> DataFrame:
+    """One scan: per-day summary -> global max/total over the days -> the
+    windowed sums of ``spec`` (name -> (days back from, days back to,
+    column)), all in a 1-row frame with ``ref`` and ``total_records``.
+
+    The global window runs over the per-day rows only (one row per
+    distinct day), so its single partition is bounded by the calendar.
+    """
+    from pyspark.sql import Window
+
+    all_days = Window.partitionBy()
+    daily = daily_summary(cases)
+    dd = (daily.withColumn("_max", F.max("day").over(all_days))
+          .withColumn("_ref", _adjusted_ref(reference_date, now, F.col("_max"))))
+    r = F.col("_ref")
     aggs = [_window_sum(col, F.date_sub(r, a), F.date_sub(r, b)).alias(name) for name, (a, b, col) in spec.items()]
-    joined = daily.crossJoin(F.broadcast(ref.select("ref")))
-    sums = joined.groupBy().agg(*aggs)
-    return F.broadcast(ref).crossJoin(sums)
+    out = dd.agg(F.max("_ref").alias("_ref"), F.sum("cases").alias("_total"), *aggs)
+    return out.select(F.coalesce(F.col("_ref"), F.to_date(F.lit(reference_date))).alias("ref"),
+                      F.coalesce(F.col("_total"), F.lit(0)).cast("bigint").alias("total_records"),
+                      *[F.col(name) for name in spec])
 
 
 # ------------------------------------------------------------------ M1
@@ -101,8 +118,7 @@ def case_increase_rate(cases: DataFrame, reference_date: str, period_days: int =
                        now: str | None = None) -> DataFrame:
     """Current window [ref-p, ref] vs previous [ref-2p, ref-p]; the boundary
     day belongs to both windows."""
-    daily, ref = _with_ref(cases, reference_date, now)
-    w = _windowed(daily, ref, {"current_cases": (period_days, 0, "cases"),
+    w = _windowed(cases, reference_date, now, {"current_cases": (period_days, 0, "cases"),
                                "previous_cases": (2 * period_days, period_days, "cases")})
     c, p = F.col("current_cases"), F.col("previous_cases")
     diff = c - p
@@ -131,8 +147,7 @@ def case_increase_rate(cases: DataFrame, reference_date: str, period_days: int =
 # ------------------------------------------------------------------ M2
 def mortality_rate(cases: DataFrame, reference_date: str, period_days: int = 90,
                    now: str | None = None) -> DataFrame:
-    daily, ref = _with_ref(cases, reference_date, now)
-    w = _windowed(daily, ref, {"total_cases": (period_days, 0, "cases"), "deaths": (period_days, 0, "deaths")})
+    w = _windowed(cases, reference_date, now, {"total_cases": (period_days, 0, "cases"), "deaths": (period_days, 0, "deaths")})
     n, d = F.col("deaths"), F.col("total_cases")
     interp = F.when(d == 0, F.lit("Sem dados para o período analisado")).otherwise(
         _band_text(ratio_units(n, d, 2, 1), n, d, "Nenhum óbito registrado no período",
@@ -153,8 +168,7 @@ def mortality_rate(cases: DataFrame, reference_date: str, period_days: int = 90,
 def icu_rate(cases: DataFrame, reference_date: str, period_days: int = 30,
              now: str | None = None) -> DataFrame:
     """ICU cases over **all** cases of the window (not only hospitalised)."""
-    daily, ref = _with_ref(cases, reference_date, now)
-    w = _windowed(daily, ref, {"total_hospitalized": (period_days, 0, "cases"), "icu_cases": (period_days, 0, "icu")})
+    w = _windowed(cases, reference_date, now, {"total_hospitalized": (period_days, 0, "cases"), "icu_cases": (period_days, 0, "icu")})
     n, d = F.col("icu_cases"), F.col("total_hospitalized")
     interp = F.when(d == 0, F.lit("Sem dados para o período analisado")).otherwise(
         _band_text(ratio_units(n, d, 2, 1), n, d, "Nenhuma internação em UTI registrada",
@@ -173,9 +187,8 @@ def icu_rate(cases: DataFrame, reference_date: str, period_days: int = 30,
 def vaccination_rate(cases: DataFrame, reference_date: str, period_days: int = 90,
                      now: str | None = None) -> DataFrame:
     """Vaccinated = any dose date present."""
-    daily, ref = _with_ref(cases, reference_date, now)
     spec = {"total_cases": (period_days, 0, "cases"), "vaccinated_cases": (period_days, 0, "vaccinated")}
-    w = _windowed(daily, ref, spec)
+    w = _windowed(cases, reference_date, now, spec)
     n, d = F.col("vaccinated_cases"), F.col("total_cases")
     no_cols = not _present(cases, P.RATE_DOSE_COLUMNS)
     empty = (d == 0) | F.lit(no_cols)
@@ -198,10 +211,9 @@ def vaccination_rate(cases: DataFrame, reference_date: str, period_days: int = 9
 def dose_breakdown(cases: DataFrame, reference_date: str, period_days: int = 90,
                    now: str | None = None) -> DataFrame:
     """Per-dose counts in the window, long form; 3 zero rows when empty."""
-    daily, ref = _with_ref(cases, reference_date, now)
     spec = {"total_cases": (period_days, 0, "cases")}
     spec.update({name: (period_days, 0, name) for name, _ in P.DOSE_BREAKDOWN})
-    w = _windowed(daily, ref, spec)
+    w = _windowed(cases, reference_date, now, spec)
     no_cols = not _present(cases, P.RATE_DOSE_COLUMNS)
     empty = (F.col("total_cases") == 0) | F.lit(no_cols)
     stacked = w.select(F.explode(F.array(*[
@@ -223,9 +235,8 @@ def adjust_reference_date(cases: DataFrame, reference_date: str, now: str,
 def metrics_bundle(cases: DataFrame, reference_date: str, windows: P.Windows = P.Windows(),
                    now: str | None = None) -> DataFrame:
     """All four rates from a single scan, long form (one row per metric)."""
-    daily, ref = _with_ref(cases, reference_date, now)
     g, m, i, v = windows.growth, windows.mortality, windows.icu, windows.vaccination
-    w = _windowed(daily, ref, {
+    w = _windowed(cases, reference_date, now, {
         "g_cur": (g, 0, "cases"), "g_prev": (2 * g, g, "cases"),
         "m_total": (m, 0, "cases"), "m_deaths": (m, 0, "deaths"),
         "i_total": (i, 0, "cases"), "i_icu": (i, 0, "icu"),
@@ -325,7 +336,13 @@ def rates_by_group(cases: DataFrame, reference_date: str, by: str = P.STATE_COL,
     death = F.col("TEVE_OBITO") == 1 if "TEVE_OBITO" in cols else F.lit(False)
     icu = F.col("TEVE_UTI") == 1 if "TEVE_UTI" in cols else F.lit(False)
     vac = _vaccinated_expr(cases)
-    agg = (cases.where(d.between(F.date_sub(r, widest), r)).groupBy(by).agg(
+    import datetime as _dt
+
+    from .filters import partition_window
+
+    start = (_dt.date.fromisoformat(reference_date) - _dt.timedelta(days=widest)).isoformat()
+    scoped = partition_window(cases, start, reference_date)
+    agg = (scoped.where(d.between(F.date_sub(r, widest), r)).groupBy(by).agg(
         F.count_if(in_m).alias("cases_mortality_window"),
         F.count_if(in_m & death).alias("deaths"),
         F.count_if(in_i).alias("cases_icu_window"),

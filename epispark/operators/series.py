@@ -23,8 +23,13 @@ def _d(x: str):
 
 def daily_counts(cases: DataFrame, as_of: str, days: int = 30, col: str = P.DATE_COL) -> DataFrame:
     """A1: cases per day in [as_of - days, as_of]."""
+    import datetime as _dt
+
+    from .filters import partition_window
+
+    start = (_dt.date.fromisoformat(as_of) - _dt.timedelta(days=days)).isoformat()
     d = F.col(col)
-    return (cases.where(d.between(F.date_sub(_d(as_of), days), _d(as_of)))
+    return (partition_window(cases, start, as_of).where(d.between(F.date_sub(_d(as_of), days), _d(as_of)))
             .groupBy(d.alias("date")).agg(F.count(F.lit(1)).alias("cases")))
 
 

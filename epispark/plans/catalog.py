@@ -50,7 +50,7 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.process(FX.raw_cases(spark, sf_dir))
+    return FX.cases(spark, sf_dir)
 
 
 def arts(spark: SparkSession, sf_dir: str) -> DataFrame:

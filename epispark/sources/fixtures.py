@@ -14,6 +14,8 @@ nation (25 rows) is always broadcast by the planner.
 from __future__ import annotations
 
 import os
+import threading
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,8 +74,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def raw_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Untyped, CSV-like case table: every column a string."""
+def raw_cases_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Untyped, CSV-like case table computed from the base tables."""
     return spark.sql(
         RAW_CASES_SQL,
         lineitem=table(spark, sf_dir, "lineitem"),
@@ -95,3 +97,48 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
+
+
+# ----------------------------------------------------------------------------
+# Landed tables
+#
+# The case table is landed once per session as Parquet under the shared
+# checkpoint folder (``spark.checkpoint.dir``): the raw strings, and the
+# cleaned + derived table partitioned by ANO/MES.  Every case query then
+# starts from a plain Parquet scan (small generated code, partition and
+# row-group pruning on the date) instead of re-running the four-table
+# join, and the written table cuts the lineage, so a lost executor
+# recomputes from Parquet rather than from the join.
+# ----------------------------------------------------------------------------
+_LOCK = threading.RLock()
+_LANDED: dict[tuple[str, str, str], str] = {}
+
+
+def landed(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame],
+           write: Callable[[DataFrame, str], None] | None = None) -> DataFrame:
+    from ..session import scratch_path
+
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
+    with _LOCK:
+        path = _LANDED.get(key)
+        if path is None:
+            path = scratch_path(spark, name)
+            if write is None:
+                build().write.mode("overwrite").parquet(path)
+            else:
+                write(build(), path)
+            _LANDED[key] = path
+    return spark.read.parquet(path)
+
+
+def raw_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Untyped, CSV-like case table (every column a string), landed once."""
+    return landed(spark, sf_dir, "raw_cases", lambda: raw_cases_query(spark, sf_dir))
+
+
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed, cleaned and derived case table, landed once, partitioned by ANO/MES."""
+    from ..operators.cleaning import process
+    from .sinks import save_processed
+
+    return landed(spark, sf_dir, "cases", lambda: process(raw_cases(spark, sf_dir)), save_processed)

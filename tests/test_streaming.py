@@ -1,0 +1,26 @@
+"""The streaming daily count equals the batch daily count."""
+
+import datetime as dt
+import os
+import tempfile
+
+from pyspark.sql import functions as F
+
+from epispark.streaming.daily import case_stream, daily_counts_stream
+
+
+def test_stream_matches_batch(spark):
+    d = tempfile.mkdtemp(prefix="epispark-stream-")
+    src = os.path.join(d, "in")
+    rows1 = [("2024-03-01", "1"), ("2024-03-01", "2"), ("2024-03-02", "1")]
+    rows2 = [("2024-03-02", "2"), ("2024-03-05", "1"), ("bad", "1")]
+    schema = "DT_NOTIFIC string, UTI string"
+    spark.createDataFrame(rows1, schema).write.mode("append").parquet(src)
+    spark.createDataFrame(rows2, schema).write.mode("append").parquet(src)
+    stream = daily_counts_stream(case_stream(spark, src, spark.createDataFrame([], schema).schema))
+    q = (stream.writeStream.outputMode("complete").format("memory").queryName("daily_stream_test")
+         .option("checkpointLocation", os.path.join(d, "ckpt")).start())
+    q.processAllAvailable()
+    q.stop()
+    got = {(r.date, r.cases) for r in spark.sql("SELECT * FROM daily_stream_test").collect()}
+    assert got == {(dt.date(2024, 3, 1), 2), (dt.date(2024, 3, 2), 2), (dt.date(2024, 3, 5), 1)}
