@@ -2,7 +2,8 @@
 
 Runs each query at ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) on
 ``local[$BENCH_CPUS]`` and prints one JSON line.  Every query is executed
-to completion with the ``noop`` sink (no driver collect), after one
+to completion with the ``noop`` sink (no driver collect), after the
+one-time landing of the case tables (reported as ``ingest``) and one
 untimed warm-up query.
 """
 
@@ -52,8 +53,18 @@ def main() -> None:
         QUERIES[key](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - t0
 
+    from epispark.plans.catalog import fixture_csv
+    from epispark.sources import fixtures as FX
+
+    # One-time landing of the case tables (raw strings, typed + partitioned)
+    # and of the CSV form used by the scan queries; reported on its own.
+    t0 = time.perf_counter()
+    FX.cases(spark, sf_dir)
+    fixture_csv(spark, sf_dir)
+    ingest = time.perf_counter() - t0
     run("date_span")  # warm-up: JVM, codegen, file listing
-    times = {k: round(run(k), 3) for k in keys}
+    times = {"ingest": round(ingest, 3)}
+    times.update({k: round(run(k), 3) for k in keys})
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     try:
         sf_val: float | str = float(sf)

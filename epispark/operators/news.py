@@ -17,6 +17,7 @@ from .. import params as P
 from ..functions import text as TX
 from ..functions.numbers import round_ratio
 from ..functions.ranking import global_rank
+from ..functions.rows import keep_if
 
 ARTICLE_COLS = ["article_id", "title", "summary", "link", "published", "source", "source_type"]
 
@@ -47,21 +48,22 @@ def article_recency(df: DataFrame, as_of: str, days: int = P.NEWS_DATE_RANGE_DAY
 
 
 def term_match_expr(terms: Sequence[str] = P.SEARCH_TERMS) -> Column:
-    return TX.any_rlike(_text(), {t.lower() for t in terms})
+    """Any search term in the ``_t`` text column."""
+    return TX.any_of(_t(), sorted({t.lower() for t in terms}))
 
 
 def article_term_filter(df: DataFrame, terms: Sequence[str] = P.SEARCH_TERMS) -> DataFrame:
     """Keep articles mentioning any search term."""
-    return df.where(term_match_expr(terms))
+    return keep_if(_with_text(df), term_match_expr(terms)).drop(TEXT)
 
 
 def matching_terms(df: DataFrame, terms: Sequence[str] = P.SEARCH_TERMS, limit: int = P.MATCHING_TERMS_SHOWN) -> DataFrame:
     """The first ``limit`` matching terms (in list order, as written)."""
     text = _t()
-    arr = F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(text, F.lower(t)))
-    return (_with_text(df).select("article_id", arr.alias("_m")).where(F.size("_m") > 0)
-            .select("article_id", F.array_join(F.slice("_m", 1, limit), ", ").alias("matching_terms"),
-                    F.size("_m").alias("terms_matched")))
+    arr = F.array_compact(F.array(*[F.when(F.contains(text, F.lit(t.lower())), F.lit(t)) for t in terms]))
+    hits = keep_if(_with_text(df), term_match_expr(terms)).select("article_id", arr.alias("_m"))
+    return hits.select("article_id", F.array_join(F.slice("_m", 1, limit), ", ").alias("matching_terms"),
+                       F.size("_m").alias("terms_matched"))
 
 
 def search_funnel(df: DataFrame, as_of: str, days: int = P.NEWS_DATE_RANGE_DAYS,
@@ -70,7 +72,7 @@ def search_funnel(df: DataFrame, as_of: str, days: int = P.NEWS_DATE_RANGE_DAYS,
     cutoff = F.date_sub(F.to_date(F.lit(as_of)), days)
     match = term_match_expr(terms)
     old = F.col("published").isNotNull() & (F.col("published") < cutoff)
-    s = df.agg(F.count(F.lit(1)).alias("total_entries"),
+    s = _with_text(df).agg(F.count(F.lit(1)).alias("total_entries"),
                F.count_if(~match).alias("rejected_no_terms"),
                F.count_if(match & old).alias("rejected_old_date"),
                F.count_if(match & ~old).alias("accepted"))
@@ -99,12 +101,12 @@ def relevance_expr(keywords: Sequence[str] = P.RELEVANCE_KEYWORDS) -> Column:
 def article_relevance(df: DataFrame, keywords: Sequence[str] = P.RELEVANCE_KEYWORDS, min_score: int = 1) -> DataFrame:
     """relevance = number of list entries found (multiset); keep >= min_score.
 
-    ``score >= 1`` is "any keyword present": that test runs first as one
-    regex at the scan, and the score is computed only for kept rows.
+    The text is lower-cased once into ``_t``; the score is a sum of
+    ``contains`` tests on that column, kept by ``keep_if`` so the
+    predicate stays above the projection that computed it.
     """
-    kept = df.where(TX.any_rlike(_text(), keywords)) if min_score >= 1 else df
-    scored = _with_text(kept).withColumn("relevance_score", relevance_expr(keywords)).drop(TEXT)
-    return scored.where(F.col("relevance_score") >= min_score) if min_score > 1 else scored
+    scored = _with_text(df).withColumn("relevance_score", relevance_expr(keywords))
+    return keep_if(scored, F.col("relevance_score") >= min_score).drop(TEXT)
 
 
 def rank_order() -> list[Column]:

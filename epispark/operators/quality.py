@@ -141,13 +141,13 @@ def q_categorical(df: DataFrame, rules: dict[str, Sequence[str]] = P.CATEGORICAL
     fields = [f for f in _present(df, list(rules)) if f not in skip]
     if not fields:
         return _empty(df.sparkSession, "field string, invalid_count bigint, invalid_values string, severity string, message string")
-    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.upper(F.trim(F.col(f).cast("string"))).alias("value")
-                               ) for f in fields])
-    exploded = df.select(F.explode(pairs).alias("p")).select("p.field", "p.value")
-    valid = F.lit(False)
+    # Only invalid (field, value) pairs leave the scan; valid codes are dropped map-side.
+    pairs = []
     for f in fields:
-        valid = valid | ((F.col("field") == f) & F.col("value").isin([v.upper() for v in rules[f]]))
-    bad = exploded.where(F.col("value").isNotNull() & ~valid)
+        v = F.upper(F.trim(F.col(f).cast("string")))
+        bad_v = v.isNotNull() & ~v.isin([x.upper() for x in rules[f]])
+        pairs.append(F.when(bad_v, F.struct(F.lit(f).alias("field"), v.alias("value"))))
+    bad = df.select(F.explode(F.array_compact(F.array(*pairs))).alias("p")).select("p.field", "p.value")
     per_value = bad.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("field").orderBy("value")
     top = (per_value.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= examples)

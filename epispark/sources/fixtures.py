@@ -85,11 +85,17 @@ def raw_cases_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """News articles with an ``article_id`` order column."""
+def articles_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """News articles with an ``article_id`` order column, from ``documents``."""
     return spark.sql(ARTICLES_SQL, documents=table(spark, sf_dir, "documents"))
 
 
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """News articles, landed once (title + 600-char summary instead of the
+    full document text, which every news query would otherwise re-read)."""
+    return landed(spark, sf_dir, "articles", lambda: articles_query(spark, sf_dir))
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free-text notes (conversation turns) for the redaction operators."""
     return table(spark, sf_dir, "conversations")
