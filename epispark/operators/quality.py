@@ -34,14 +34,33 @@ def _sev(cond: Column, level: str) -> Column:
     return F.when(cond, F.lit(level))
 
 
+# Checks Q1-Q4, Q6 and Q7 are written as "parts": the aggregates they need
+# (name -> Column) and the rows they emit from the 1-row aggregate.  Run
+# alone, a check aggregates its own parts; the report merges every part
+# into one wide aggregate so the table is scanned once for all of them.
+Parts = tuple[dict, list]
+
+
+def _run(df: DataFrame, parts: Parts, empty_schema: str) -> DataFrame:
+    aggs, rows = parts
+    if not rows:
+        return _empty(df.sparkSession, empty_schema)
+    stats = df.agg(*[c.alias(n) for n, c in aggs.items()])
+    return stats.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def _count() -> dict:
+    return {"_n": F.count(F.lit(1))}
+
+
 # ---------------------------------------------------------------- Q1
-def q_required(df: DataFrame, fields: Sequence[str] = P.REQUIRED_FIELDS) -> DataFrame:
+def required_parts(df: DataFrame, fields: Sequence[str] = P.REQUIRED_FIELDS) -> Parts:
     present = _present(df, fields)
-    stats = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(f).isNull()).alias(f) for f in present])
+    aggs = _count() | {"req_" + f: F.count_if(F.col(f).isNull()) for f in present}
     rows = []
     for f in fields:
         if f in present:
-            nulls = F.col(f)
+            nulls = F.col("req_" + f)
             rows.append(F.struct(F.lit(f).alias("field"), F.lit(True).alias("present"), nulls.alias("null_count"),
                                  round_ratio(nulls, F.col("_n")).alias("null_percentage"),
                                  (nulls == 0).alias("complete"),
@@ -55,76 +74,87 @@ def q_required(df: DataFrame, fields: Sequence[str] = P.REQUIRED_FIELDS) -> Data
                                  F.lit(None).cast("double").alias("null_percentage"),
                                  F.lit(False).alias("complete"), F.lit("error").alias("severity"),
                                  F.lit(f"Campo obrigatório '{f}' não encontrado nos dados").alias("message")))
-    return stats.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return aggs, rows
+
+
+def q_required(df: DataFrame, fields: Sequence[str] = P.REQUIRED_FIELDS) -> DataFrame:
+    return _run(df, required_parts(df, fields), "")
 
 
 # ---------------------------------------------------------------- Q2
-def q_null_profile(df: DataFrame, warn_percent: float = P.NULL_WARNING_PERCENT) -> DataFrame:
-    cols = df.columns
-    stats = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c).isNull()).alias("n_" + c) for c in cols])
+def null_profile_parts(df: DataFrame, warn_percent: float = P.NULL_WARNING_PERCENT) -> Parts:
+    aggs = _count() | {"nul_" + c: F.count_if(F.col(c).isNull()) for c in df.columns}
     rows = []
-    for c in cols:
-        n = F.col("n_" + c)
+    for c in df.columns:
+        n = F.col("nul_" + c)
         high = n * 100 > F.col("_n") * warn_percent
         rows.append(F.struct(F.lit(c).alias("field"), n.alias("null_count"),
                              round_ratio(n, F.col("_n")).alias("null_percentage"),
                              _sev(high, "warning").alias("severity"),
                              F.when(high, F.concat(F.lit(f"Campo '{c}' tem alta taxa de nulos: "),
                                                    tenths_text(ratio_units(n, F.col("_n"), 2, 1)), F.lit("%"))).alias("message")))
-    return stats.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return aggs, rows
+
+
+def q_null_profile(df: DataFrame, warn_percent: float = P.NULL_WARNING_PERCENT) -> DataFrame:
+    return _run(df, null_profile_parts(df, warn_percent), "")
 
 
 # ---------------------------------------------------------------- Q3
-def q_types(df: DataFrame, date_fields: Sequence[str] = P.QUALITY_DATE_FIELDS,
-            numeric_fields: Sequence[str] = tuple(P.NUMERIC_RANGES)) -> DataFrame:
+def types_parts(df: DataFrame, date_fields: Sequence[str] = P.QUALITY_DATE_FIELDS,
+                numeric_fields: Sequence[str] = tuple(P.NUMERIC_RANGES)) -> Parts:
     """Whole-column convertibility with each column's own date format."""
-    aggs, rows = [], []
+    aggs, specs = _count(), []
     for f in _present(df, date_fields):
-        dtype = df.schema[f].dataType
-        if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            rows.append((f, "date", F.lit(0).cast("bigint"), "valid_datetime", None))
+        if isinstance(df.schema[f].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            specs.append((f, "date", F.lit(0).cast("bigint"), "valid_datetime", None))
             continue
         parse = br_date(f) if f in P.BR_DATE_COLUMNS else iso_date(f)
-        aggs.append(F.count_if(F.col(f).isNotNull() & parse.isNull()).alias("bad_" + f))
-        rows.append((f, "date", F.col("bad_" + f), "convertible_to_date", "invalid_date_format"))
+        aggs["typ_" + f] = F.count_if(F.col(f).isNotNull() & parse.isNull())
+        specs.append((f, "date", F.col("typ_" + f), "convertible_to_date", "invalid_date_format"))
     for f in _present(df, numeric_fields):
         if isinstance(df.schema[f].dataType, T.NumericType):
-            rows.append((f, "numeric", F.lit(0).cast("bigint"), "valid_numeric", None))
+            specs.append((f, "numeric", F.lit(0).cast("bigint"), "valid_numeric", None))
             continue
-        aggs.append(F.count_if(F.col(f).isNotNull() & F.col(f).try_cast("double").isNull()).alias("bad_" + f))
-        rows.append((f, "numeric", F.col("bad_" + f), "convertible_to_numeric", "invalid_numeric"))
-    if not rows:
-        return _empty(df.sparkSession, "field string, kind string, invalid_count bigint, status string, severity string, message string")
-    stats = df.agg(F.count(F.lit(1)).alias("_n"), *aggs)
-    structs = []
-    for f, kind, bad, ok_status, bad_status in rows:
+        aggs["typ_" + f] = F.count_if(F.col(f).isNotNull() & F.col(f).try_cast("double").isNull())
+        specs.append((f, "numeric", F.col("typ_" + f), "convertible_to_numeric", "invalid_numeric"))
+    rows = []
+    for f, kind, bad, ok_status, bad_status in specs:
         failed = (bad > 0) if bad_status else F.lit(False)
         msg = (f"Campo de data '{f}' não está em formato válido" if kind == "date"
                else f"Campo numérico '{f}' contém valores não numéricos")
-        structs.append(F.struct(F.lit(f).alias("field"), F.lit(kind).alias("kind"), bad.cast("bigint").alias("invalid_count"),
-                                F.when(failed, F.lit(bad_status)).otherwise(F.lit(ok_status)).alias("status"),
-                                _sev(failed, "warning").alias("severity"),
-                                F.when(failed, F.lit(msg)).alias("message")))
-    return stats.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+        rows.append(F.struct(F.lit(f).alias("field"), F.lit(kind).alias("kind"), bad.cast("bigint").alias("invalid_count"),
+                             F.when(failed, F.lit(bad_status)).otherwise(F.lit(ok_status)).alias("status"),
+                             _sev(failed, "warning").alias("severity"),
+                             F.when(failed, F.lit(msg)).alias("message")))
+    return aggs, rows
+
+
+def q_types(df: DataFrame, date_fields: Sequence[str] = P.QUALITY_DATE_FIELDS,
+            numeric_fields: Sequence[str] = tuple(P.NUMERIC_RANGES)) -> DataFrame:
+    return _run(df, types_parts(df, date_fields, numeric_fields),
+                "field string, kind string, invalid_count bigint, status string, severity string, message string")
 
 
 # ---------------------------------------------------------------- Q4
-def q_ranges(df: DataFrame, ranges: dict[str, tuple[float, float]] = P.NUMERIC_RANGES) -> DataFrame:
-    present = _present(df, list(ranges))
-    if not present:
-        return _empty(df.sparkSession, "field string, side string, bound double, violations bigint, severity string, message string")
-    aggs, structs = [], []
-    for f in present:
+def ranges_parts(df: DataFrame, ranges: dict[str, tuple[float, float]] = P.NUMERIC_RANGES) -> Parts:
+    aggs, rows = {}, []
+    for f in _present(df, list(ranges)):
         lo, hi = ranges[f]
         v = F.col(f).try_cast("double")
-        aggs += [F.count_if(v < lo).alias("lo_" + f), F.count_if(v > hi).alias("hi_" + f)]
+        aggs["rlo_" + f], aggs["rhi_" + f] = F.count_if(v < lo), F.count_if(v > hi)
         for side, bound, word in (("min", lo, "abaixo do mínimo"), ("max", hi, "acima do máximo")):
-            n = F.col(("lo_" if side == "min" else "hi_") + f)
-            structs.append(F.struct(F.lit(f).alias("field"), F.lit(side).alias("side"), F.lit(float(bound)).alias("bound"),
-                                    n.alias("violations"), _sev(n > 0, "warning").alias("severity"),
-                                    F.when(n > 0, F.concat(F.lit(f"Campo '{f}': "), n.cast("string"),
-                                                           F.lit(f" valores {word} ({bound})"))).alias("message")))
-    return df.agg(*aggs).select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+            n = F.col(("rlo_" if side == "min" else "rhi_") + f)
+            rows.append(F.struct(F.lit(f).alias("field"), F.lit(side).alias("side"), F.lit(float(bound)).alias("bound"),
+                                 n.alias("violations"), _sev(n > 0, "warning").alias("severity"),
+                                 F.when(n > 0, F.concat(F.lit(f"Campo '{f}': "), n.cast("string"),
+                                                        F.lit(f" valores {word} ({bound})"))).alias("message")))
+    return aggs, rows
+
+
+def q_ranges(df: DataFrame, ranges: dict[str, tuple[float, float]] = P.NUMERIC_RANGES) -> DataFrame:
+    return _run(df, ranges_parts(df, ranges),
+                "field string, side string, bound double, violations bigint, severity string, message string")
 
 
 # ---------------------------------------------------------------- Q5
@@ -169,23 +199,26 @@ def _as_date(df: DataFrame, f: str) -> Column:
     return br_date(f) if f in P.BR_DATE_COLUMNS else iso_date(f)
 
 
-def q_temporal(df: DataFrame, pairs: Sequence[tuple[str, str]] = P.TEMPORAL_PAIRS) -> DataFrame:
+def temporal_parts(df: DataFrame, pairs: Sequence[tuple[str, str]] = P.TEMPORAL_PAIRS) -> Parts:
     present = [(a, b) for a, b in pairs if a in df.columns and b in df.columns]
-    if not present:
-        return _empty(df.sparkSession, "pair string, inconsistent_count bigint, total_comparable bigint, consistency_rate double, severity string, message string")
-    aggs, structs = [], []
+    aggs, rows = {}, []
     for i, (a, b) in enumerate(present):
         ea, lb = _as_date(df, a), _as_date(df, b)
         both = ea.isNotNull() & lb.isNotNull()
-        aggs += [F.count_if(both).alias(f"c{i}"), F.count_if(both & (lb < ea)).alias(f"x{i}")]
-        c, x = F.col(f"c{i}"), F.col(f"x{i}")
-        structs.append(F.struct(
+        aggs[f"tc{i}"], aggs[f"tx{i}"] = F.count_if(both), F.count_if(both & (lb < ea))
+        c, x = F.col(f"tc{i}"), F.col(f"tx{i}")
+        rows.append(F.struct(
             F.lit(f"{a}_vs_{b}").alias("pair"), x.alias("inconsistent_count"), c.alias("total_comparable"),
             F.when(c > 0, round_ratio(c - x, c)).otherwise(F.lit(100.0)).alias("consistency_rate"),
             _sev(x > 0, "error").alias("severity"),
             F.when(x > 0, F.concat(F.lit("Inconsistência temporal: "), x.cast("string"),
                                    F.lit(f" registros onde '{b}' é anterior a '{a}'"))).alias("message")))
-    return df.agg(*aggs).select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+    return aggs, rows
+
+
+def q_temporal(df: DataFrame, pairs: Sequence[tuple[str, str]] = P.TEMPORAL_PAIRS) -> DataFrame:
+    return _run(df, temporal_parts(df, pairs),
+                "pair string, inconsistent_count bigint, total_comparable bigint, consistency_rate double, severity string, message string")
 
 
 # ---------------------------------------------------------------- Q7
@@ -230,17 +263,21 @@ RULES = [
 ]
 
 
-def q_rules(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+def rules_parts(df: DataFrame, names: Sequence[str] | None = None) -> Parts:
     rules = [r for r in RULES if names is None or r[0] in names]
-    aggs = [F.count_if(fn(df)).alias(f"v{i}") for i, (_, _, fn) in enumerate(rules)]
-    structs = []
-    for i, (name, desc, _) in enumerate(rules):
-        v = F.col(f"v{i}")
-        structs.append(F.struct(F.lit(name).alias("rule"), F.lit(desc).alias("description"), v.alias("violations"),
-                                (v == 0).alias("passed"), _sev(v > 0, "warning").alias("severity"),
-                                F.when(v > 0, F.concat(F.lit(f"Regra de negócio violada: {desc} ("), v.cast("string"),
-                                                       F.lit(" casos)"))).alias("message")))
-    return df.agg(*aggs).select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+    aggs, rows = {}, []
+    for name, desc, fn in rules:
+        aggs["rule_" + name] = F.count_if(fn(df))
+        v = F.col("rule_" + name)
+        rows.append(F.struct(F.lit(name).alias("rule"), F.lit(desc).alias("description"), v.alias("violations"),
+                             (v == 0).alias("passed"), _sev(v > 0, "warning").alias("severity"),
+                             F.when(v > 0, F.concat(F.lit(f"Regra de negócio violada: {desc} ("), v.cast("string"),
+                                                    F.lit(" casos)"))).alias("message")))
+    return aggs, rows
+
+
+def q_rules(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    return _run(df, rules_parts(df, names), "")
 
 
 # ---------------------------------------------------------------- Q8
@@ -295,34 +332,70 @@ def q_duplicates(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- Q10 / Q11
-def findings(df: DataFrame) -> DataFrame:
-    """Every finding of Q1-Q9 as ``(check, field, severity, message)``."""
-    parts = [
-        q_required(df).select(F.lit("required").alias("check"), "field", "severity", "message"),
-        q_null_profile(df).select(F.lit("null_profile").alias("check"), "field", "severity", "message"),
-        q_types(df).select(F.lit("types").alias("check"), "field", "severity", "message"),
-        q_ranges(df).select(F.lit("ranges").alias("check"), "field", "severity", "message"),
+def _wide_findings(df: DataFrame):
+    """One aggregate for Q1-Q4, Q6, Q7: returns the 1-row stats frame, the
+    uniform finding structs and the required-field parts."""
+    groups = [("required", required_parts(df), "field"), ("null_profile", null_profile_parts(df), "field"),
+              ("types", types_parts(df), "field"), ("ranges", ranges_parts(df), "field"),
+              ("temporal", temporal_parts(df), "pair"), ("business_rule", rules_parts(df), "rule")]
+    aggs: dict = {}
+    uniform = []
+    for check, (a, rows), key in groups:
+        aggs.update(a)
+        uniform += [F.struct(F.lit(check).alias("check"), r.getField(key).alias("field"),
+                             r.getField("severity").alias("severity"), r.getField("message").alias("message"))
+                    for r in rows]
+    stats = df.agg(*[c.alias(n) for n, c in aggs.items()])
+    return stats, uniform, groups[0][1][1]
+
+
+def _other_findings(df: DataFrame) -> list[DataFrame]:
+    return [
         q_categorical(df).select(F.lit("categorical").alias("check"), "field", "severity", "message"),
-        q_temporal(df).select(F.lit("temporal").alias("check"), F.col("pair").alias("field"), "severity", "message"),
-        q_rules(df).select(F.lit("business_rule").alias("check"), F.col("rule").alias("field"), "severity", "message"),
         q_outliers(df).select(F.lit("outliers").alias("check"), "field", "severity", "message"),
         q_duplicates(df).select(F.lit("duplicates").alias("check"), F.col("kind").alias("field"), "severity", "message"),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+
+
+def findings(df: DataFrame) -> DataFrame:
+    """Every finding of Q1-Q9 as ``(check, field, severity, message)``:
+    one wide aggregate for the scalar checks plus three grouped checks."""
+    stats, uniform, _ = _wide_findings(df)
+    out = stats.select(F.explode(F.array(*uniform)).alias("r")).select("r.*")
+    for part in _other_findings(df):
+        out = out.unionByName(part)
     return out.where(F.col("severity").isNotNull())
 
 
+def _severity_counts(rows: list[Column]) -> tuple[Column, Column]:
+    err = sum((F.when(r.getField("severity") == "error", 1).otherwise(0) for r in rows), F.lit(0))
+    warn = sum((F.when(r.getField("severity") == "warning", 1).otherwise(0) for r in rows), F.lit(0))
+    return err, warn
+
+
 def quality_score(df: DataFrame) -> DataFrame:
     """Q10: 100 - 10*errors - 2*warnings, times the mean completeness of the
-    required fields, minus 20 * key-duplicate rate; clamped to 0..100."""
-    f = findings(df).agg(F.count_if(F.col("severity") == "error").alias("errors"),
-                         F.count_if(F.col("severity") == "warning").alias("warnings"))
-    req = q_required(df).where(F.col("present")).agg(
-        F.count(F.lit(1)).alias("req_n"), F.sum(100.0 - F.col("null_percentage")).alias("req_sum"))
+    required fields, minus 20 * key-duplicate rate; clamped to 0..100.
+
+    The scalar checks, their error/warning counts and the required-field
+    completeness all come from one projection of the wide aggregate.
+    """
+    stats, uniform, req_rows = _wide_findings(df)
+    err, warn = _severity_counts(uniform)
+    present = [r for r in req_rows]
+    comp = [F.when(r.getField("present"), 100.0 - r.getField("null_percentage")) for r in present]
+    req_n = sum((F.when(r.getField("present"), 1).otherwise(0) for r in present), F.lit(0))
+    req_sum = sum((F.coalesce(c, F.lit(0.0)) for c in comp), F.lit(0.0))
+    wide = stats.select(err.alias("e1"), warn.alias("w1"), req_n.alias("req_n"), req_sum.alias("req_sum"))
+    others = _other_findings(df)
+    rest = others[0]
+    for part in others[1:]:
+        rest = rest.unionByName(part)
+    rest = rest.agg(F.count_if(F.col("severity") == "error").alias("e2"), F.count_if(F.col("severity") == "warning").alias("w2"))
     dup = q_duplicates(df).where(F.col("kind") == "key_fields").select("total_records", F.col("duplicates").alias("key_dups"))
-    j = f.crossJoin(req).crossJoin(dup)
+    j = wide.crossJoin(rest).crossJoin(dup).select(
+        (F.col("e1") + F.col("e2")).cast("bigint").alias("errors"), (F.col("w1") + F.col("w2")).cast("bigint").alias("warnings"),
+        "req_n", "req_sum", "total_records", "key_dups")
     base = F.lit(100.0) - F.col("errors") * P.SCORE_PER_ERROR - F.col("warnings") * P.SCORE_PER_WARNING
     with_comp = F.when(F.col("req_n") > 0, base * (F.col("req_sum") / F.col("req_n") / 100.0)).otherwise(base)
     rate = F.when(F.col("total_records") > 0, F.col("key_dups") / F.col("total_records")).otherwise(F.lit(0.0))

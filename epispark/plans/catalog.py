@@ -8,8 +8,6 @@ reference date of the fixture is ``params.FIXTURE_AS_OF``.
 
 from __future__ import annotations
 
-import os
-import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +23,7 @@ from ..operators import profile as A
 from ..operators import quality as Q
 from ..operators import report as R
 from ..operators import series as S
-from ..session import ensure_checkpoint_dir, scratch_path
+from ..session import scratch_path
 from ..sources import articles as SA
 from ..sources import csv as CSV
 from ..sources import fixtures as FX
@@ -62,16 +60,10 @@ def bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fixture_csv(spark: SparkSession, sf_dir: str) -> str:
-    """``raw_cases`` written once as ';'-separated CSV under the shared
-    checkpoint folder (the landed-file form of the case table)."""
-    ensure_checkpoint_dir(spark)
-    tag = f"{zlib.crc32(os.path.abspath(sf_dir).encode()):08x}"
-    path = scratch_path(spark, f"raw_cases_csv_{tag}", unique=False)
-    if not os.path.exists(os.path.join(path, "_SUCCESS")) and not path.startswith(("hdfs:", "s3", "gs:", "abfs")):
-        raw(spark, sf_dir).write.mode("overwrite").option("header", True).option("sep", ";").csv(path)
-    elif path.startswith(("hdfs:", "s3", "gs:", "abfs")):
-        raw(spark, sf_dir).write.mode("ignore").option("header", True).option("sep", ";").csv(path)
-    return path
+    """``raw_cases`` written once per session as ';'-separated CSV under the
+    shared checkpoint folder (the landed-file form of the case table)."""
+    return FX.landed_path(spark, sf_dir, "raw_cases_csv", lambda: raw(spark, sf_dir),
+                          lambda df, path: df.write.mode("overwrite").option("header", True).option("sep", ";").csv(path))
 
 
 def _limits(spark: SparkSession) -> DataFrame:

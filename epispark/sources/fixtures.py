@@ -120,8 +120,10 @@ _LOCK = threading.RLock()
 _LANDED: dict[tuple[str, str, str], str] = {}
 
 
-def landed(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame],
-           write: Callable[[DataFrame, str], None] | None = None) -> DataFrame:
+def landed_path(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame],
+                write: Callable[[DataFrame, str], None] | None = None) -> str:
+    """Write ``build()`` once per session under a fresh path in the shared
+    checkpoint folder and return that path."""
     from ..session import scratch_path
 
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
@@ -134,7 +136,12 @@ def landed(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
             else:
                 write(build(), path)
             _LANDED[key] = path
-    return spark.read.parquet(path)
+    return path
+
+
+def landed(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame],
+           write: Callable[[DataFrame, str], None] | None = None) -> DataFrame:
+    return spark.read.parquet(landed_path(spark, sf_dir, name, build, write))
 
 
 def raw_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
