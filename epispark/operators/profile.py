@@ -154,10 +154,13 @@ def dedupe_cases(df: DataFrame, keys: Sequence[str] = P.DEDUP_KEYS, order: Seque
 def duplicate_counts(df: DataFrame, keys: Sequence[str] = P.DUPLICATE_KEYS) -> DataFrame:
     """Full-row and key duplicates (surplus rows beyond the first)."""
     present = _present(df, keys)
-    full = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n")).agg(
-        F.sum("n").alias("total"), F.count(F.lit(1)).alias("full_groups"))
+    # One scan: distinct full rows (with their multiplicity) feed both the
+    # full-row and the key counts, so the key grouping runs on the already
+    # de-duplicated rows and the first shuffle is shared.
+    rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n"))
+    full = rows.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("full_groups"))
     if present:
-        key = df.groupBy(*present).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("key_groups"))
+        key = rows.groupBy(*present).agg(F.sum("n").alias("n")).agg(F.count(F.lit(1)).alias("key_groups"))
     else:
         key = full.select(F.col("total").alias("key_groups"))
     j = full.crossJoin(key)

@@ -180,8 +180,11 @@ def q_categorical(df: DataFrame, rules: dict[str, Sequence[str]] = P.CATEGORICAL
     bad = df.select(F.explode(F.array_compact(F.array(*pairs))).alias("p")).select("p.field", "p.value")
     per_value = bad.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("field").orderBy("value")
+    # Both branches read the same per-value aggregate (count kept), so its
+    # shuffle is computed once and reused.
     top = (per_value.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= examples)
-           .groupBy("field").agg(F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("invalid_values")))
+           .groupBy("field").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("value", "n"))),
+                                                          lambda x: x["value"]), ", ").alias("invalid_values")))
     counts = per_value.groupBy("field").agg(F.sum("n").cast("bigint").alias("invalid_count"))
     base = df.sparkSession.createDataFrame([(f,) for f in fields], "field string")
     out = (base.join(counts, "field", "left").join(top, "field", "left")
