@@ -735,7 +735,7 @@ def _theme_union(themes, cols: str, src: str = "articles") -> str:
 
 
 register("theme_top3", f"""
-SELECT article_id, title, link, theme, row_number() OVER (PARTITION BY theme ORDER BY article_id) AS position
+SELECT article_id, title, link, theme, CAST(row_number() OVER (PARTITION BY theme ORDER BY article_id) AS INTEGER) AS position
 FROM ({_theme_union(P.WIDE_THEMES, 'article_id, title, link')}) QUALIFY position <= 3
 """)
 register("theme_breakdown", f"SELECT theme, count(*) AS articles FROM ({_theme_union(P.ARTICLE_THEMES, 'article_id')}) GROUP BY theme")
