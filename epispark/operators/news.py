@@ -19,6 +19,8 @@ from ..functions.numbers import round_ratio
 from ..functions.ranking import global_rank
 from ..functions.rows import keep_if
 
+EDGE_SPACE = r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$"
+
 ARTICLE_COLS = ["article_id", "title", "summary", "link", "published", "source", "source_type"]
 
 
@@ -81,13 +83,15 @@ def search_funnel(df: DataFrame, as_of: str, days: int = P.NEWS_DATE_RANGE_DAYS,
 
 # ---------------------------------------------------------------- W4 / N1 / O2 / O3
 def article_dedupe(df: DataFrame, order: str = "article_id") -> DataFrame:
-    """First article per ``lower(trim(title))``; empty or null titles dropped.
+    """First article per lower-cased, whitespace-stripped title; empty or
+    null titles dropped.
 
     ``min(struct(order, ...))`` keeps the first row per key with map-side
     pre-combination, so a title repeated across a third of the corpus is
     reduced per task before the shuffle.
     """
-    key = F.lower(F.trim(F.col("title")))
+    # strip every ASCII whitespace character at both ends (tabs, CR, ...), not only spaces
+    key = F.lower(F.regexp_replace(F.col("title"), EDGE_SPACE, ""))
     cols = [order] + [c for c in df.columns if c != order]
     return (df.where(key.isNotNull() & (key != "")).groupBy(key.alias("_key"))
             .agg(F.min(F.struct(*cols)).alias("_a")).select(*[F.col("_a." + c).alias(c) for c in df.columns]))

@@ -725,8 +725,8 @@ WHERE relevance_score >= 1 ORDER BY relevance_score DESC, article_id LIMIT 10
 """)
 register("article_dedupe", f"""
 SELECT {_ACOLS} FROM (
-  SELECT *, row_number() OVER (PARTITION BY lower(trim(title)) ORDER BY article_id) AS rn
-  FROM articles WHERE title IS NOT NULL AND trim(title) <> '') WHERE rn = 1
+  SELECT *, row_number() OVER (PARTITION BY lower(regexp_replace(title, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')) ORDER BY article_id) AS rn
+  FROM articles WHERE title IS NOT NULL AND regexp_replace(title, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') <> '') WHERE rn = 1
 """)
 
 
@@ -814,8 +814,8 @@ FROM {sub('metrics_bundle')} b
 """)
 register("article_flow", f"""
 WITH kept AS (SELECT * FROM articles WHERE {SEARCH_ANY} AND (published IS NULL OR published >= {AS_OF} - 120)),
-dd AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(title)) ORDER BY article_id) AS rn
-       FROM kept WHERE title IS NOT NULL AND trim(title) <> '') WHERE rn = 1),
+dd AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY lower(regexp_replace(title, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')) ORDER BY article_id) AS rn
+       FROM kept WHERE title IS NOT NULL AND regexp_replace(title, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') <> '') WHERE rn = 1),
 sc AS (SELECT *, {RELEVANCE} AS relevance_score FROM dd),
 top AS (SELECT * FROM sc WHERE relevance_score >= 1 ORDER BY relevance_score DESC, article_id LIMIT 15)
 SELECT {_ACOLS}, relevance_score, {_THEMES_JOINED} AS themes, strftime(published, '%d/%m/%Y') AS published_br FROM top

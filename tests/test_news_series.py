@@ -65,3 +65,9 @@ def test_monthly_fallback_uses_latest_year(spark):
     cases = spark.createDataFrame([(dt.date(2001, 7, 1),), (dt.date(2000, 1, 1),)], "DT_NOTIFIC date")
     m = S.monthly_counts(cases, "2010-01-01", 365).collect()
     assert [(r.year, r.month, r.cases) for r in m] == [(2001, 7, 1)]
+
+
+def test_dedupe_strips_all_edge_whitespace(spark):
+    a = _arts(spark, [(2, "\tCasos\r", "b", "", None, "s", "rss"), (5, "casos", "a", "", None, "s", "rss"),
+                      (7, " \t ", "c", "", None, "s", "rss")])
+    assert [r.article_id for r in N.article_dedupe(a).collect()] == [2]
