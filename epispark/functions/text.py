@@ -30,17 +30,6 @@ def any_of(text: Column, words: Iterable[str]) -> Column:
     return cond
 
 
-def any_rlike(text: Column, words: Iterable[str]) -> Column:
-    """Any word is a substring of ``text``, as one regex of quoted literals.
-
-    Equivalent to an OR of ``contains`` but a single expression, so a
-    filter on it can be pushed to the scan without multiplying the text
-    expression into every branch.
-    """
-    pattern = "|".join("\\Q" + w + "\\E" for w in sorted(set(words)))
-    return text.rlike(pattern)
-
-
 def count_of(text: Column, words: Sequence[str]) -> Column:
     """Number of list entries found in ``text`` (a multiset counts twice)."""
     total = F.lit(0)
@@ -49,12 +38,6 @@ def count_of(text: Column, words: Sequence[str]) -> Column:
     return total
 
 
-def matching(text: Column, words: Sequence[str], limit: int | None = None) -> Column:
-    """Array of list entries found in ``text``, in list order."""
-    arr = F.filter(F.array(*[F.lit(w) for w in words]), lambda t: F.contains(text, t))
-    return F.slice(arr, 1, limit) if limit else arr
-
-
 def redact(text) -> Column:
     """Replace CPF, phone and e-mail patterns."""
     out = _c(text)

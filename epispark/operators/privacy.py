@@ -30,6 +30,11 @@ def is_sensitive_name(name: str, sensitive: Sequence[str] = P.SENSITIVE_COLUMNS_
     return name.upper() in {c.upper() for c in sensitive}
 
 
+def sensitive_columns(df: DataFrame, sensitive: Sequence[str] = P.SENSITIVE_COLUMNS_SETTINGS) -> list[str]:
+    """Columns of ``df`` named in the settings list (case-insensitive)."""
+    return [c for c in df.columns if is_sensitive_name(c, sensitive)]
+
+
 def generalise_location(df: DataFrame) -> DataFrame:
     """Drop the municipality when the state is present."""
     if P.MUNI_COL in df.columns and P.STATE_COL in df.columns:

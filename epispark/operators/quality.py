@@ -23,9 +23,6 @@ from .. import params as P
 from ..functions.numbers import ratio_units, round_ratio, tenths_text
 from .cleaning import _present, br_date, clean_code, iso_date
 
-ISSUE_COLS = ["check", "field", "severity", "message"]
-
-
 def _empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 

@@ -43,14 +43,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
-        spark.sparkContext.setCheckpointDir(current)
+        _set_rdd_checkpoint_dir(spark, current)
         return current
     path = tempfile.mkdtemp(prefix="epispark-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    _set_rdd_checkpoint_dir(spark, path)
     return path
 
 
+def _set_rdd_checkpoint_dir(spark: SparkSession, path: str) -> None:
+    """Also point ``DataFrame.checkpoint()`` at the folder (classic sessions
+    only; a Connect session has no SparkContext)."""
+    try:
+        spark.sparkContext.setCheckpointDir(path)
+    except Exception:  # noqa: BLE001
+        pass
+
+
 def scratch_path(spark: SparkSession, name: str, unique: bool = True) -> str:
     """A path under the shared checkpoint directory for written tables."""
     root = ensure_checkpoint_dir(spark)

@@ -70,3 +70,23 @@ def test_window_filter_prunes_partitions(spark):
     df = QUERIES["filter_date_range"](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(ANO" in plan or "PartitionFilters: [((" in plan
+
+
+def test_load_window_and_fallback_modes(spark):
+    from epispark.sources import loader as L
+
+    raw = spark.createDataFrame([("2001-05-01", "1.0", "30"), ("2001-06-02", "2", "abc"), ("1999-12-31", "9", "5")],
+                                "DT_NOTIFIC string, UTI string, NU_IDADE_N string")
+    w = L.load_window(raw, "2001-01-01", "2001-06-01").collect()
+    assert [(r.UTI, r.NU_IDADE_N) for r in w] == [("1", 30.0)]
+    recent = L.load_with_fallback(raw, "2001-06-01", "2001-06-01").collect()
+    assert {r.mode for r in recent} == {"recent"} and len(recent) == 1
+    hist = L.load_with_fallback(raw, "1990-06-01", "2001-06-01").collect()
+    assert {r.mode for r in hist} == {"historical"} and len(hist) == 1
+
+
+def test_sensitive_name_test_is_case_insensitive(spark):
+    from epispark.operators import privacy as G
+
+    df = spark.createDataFrame([(1, 2, 3)], "nu_notific int, DT_Nasc int, UTI int")
+    assert G.sensitive_columns(df) == ["nu_notific", "DT_Nasc"]
