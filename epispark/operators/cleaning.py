@@ -28,9 +28,18 @@ def _is_type(df: DataFrame, col: str, kind) -> bool:
 
 
 # ---------------------------------------------------------------- P1 dates
+ISO_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}$"
+
+
 def iso_date(col) -> Column:
-    """yyyy-mm-dd text -> date; single-digit month/day accepted; bad -> NULL."""
-    return F.try_to_date(F.col(col) if isinstance(col, str) else col, "yyyy-M-d")
+    """yyyy-mm-dd text -> date; single-digit month/day accepted; bad -> NULL.
+
+    Same accepted inputs as ``try_to_date(c, 'yyyy-M-d')`` (no spaces, no
+    time part, real calendar dates only), but the shape test plus a cast
+    is cheaper than the pattern parser on every row.
+    """
+    c = F.col(col) if isinstance(col, str) else col
+    return F.when(c.rlike(ISO_SHAPE), c.try_cast("date"))
 
 
 def br_date(col) -> Column:

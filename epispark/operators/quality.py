@@ -332,85 +332,74 @@ def q_duplicates(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- Q10 / Q11
-def _wide_findings(df: DataFrame):
-    """One aggregate for Q1-Q4, Q6, Q7: returns the 1-row stats frame, the
-    uniform finding structs and the required-field parts."""
+def _finding_rows(df: DataFrame) -> DataFrame:
+    """Every check of Q1-Q9 as rows ``(check, field, severity, message,
+    completeness, key_dups, total)``; the last three carry what the score
+    needs (required-field completeness, key duplicates, row count).
+
+    Q1-Q4, Q6 and Q7 come from one wide aggregate; Q5, Q8 and Q9 add one
+    grouped plan each.  Findings, score and report all read this frame, so
+    each of these plans appears once (or as a reused exchange).
+    """
     groups = [("required", required_parts(df), "field"), ("null_profile", null_profile_parts(df), "field"),
               ("types", types_parts(df), "field"), ("ranges", ranges_parts(df), "field"),
               ("temporal", temporal_parts(df), "pair"), ("business_rule", rules_parts(df), "rule")]
     aggs: dict = {}
-    uniform = []
-    for check, (a, rows), key in groups:
+    rows = []
+    for check, (a, parts), key in groups:
         aggs.update(a)
-        uniform += [F.struct(F.lit(check).alias("check"), r.getField(key).alias("field"),
-                             r.getField("severity").alias("severity"), r.getField("message").alias("message"))
-                    for r in rows]
-    stats = df.agg(*[c.alias(n) for n, c in aggs.items()])
-    return stats, uniform, groups[0][1][1]
-
-
-def _other_findings(df: DataFrame) -> list[DataFrame]:
-    return [
-        q_categorical(df).select(F.lit("categorical").alias("check"), "field", "severity", "message"),
-        q_outliers(df).select(F.lit("outliers").alias("check"), "field", "severity", "message"),
-        q_duplicates(df).select(F.lit("duplicates").alias("check"), F.col("kind").alias("field"), "severity", "message"),
-    ]
+        for r in parts:
+            comp = (F.when(r.getField("present"), 100.0 - r.getField("null_percentage")) if check == "required"
+                    else F.lit(None).cast("double"))
+            rows.append(F.struct(F.lit(check).alias("check"), r.getField(key).alias("field"),
+                                 r.getField("severity").alias("severity"), r.getField("message").alias("message"),
+                                 comp.alias("completeness"), F.lit(None).cast("bigint").alias("key_dups"),
+                                 F.lit(None).cast("bigint").alias("total")))
+    wide = df.agg(*[c.alias(n) for n, c in aggs.items()]).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    extra = F.lit(None).cast("double").alias("completeness"), F.lit(None).cast("bigint").alias("key_dups"), F.lit(None).cast("bigint").alias("total")
+    cat = q_categorical(df).select(F.lit("categorical").alias("check"), "field", "severity", "message", *extra)
+    out = q_outliers(df).select(F.lit("outliers").alias("check"), "field", "severity", "message", *extra)
+    dup = q_duplicates(df).select(F.lit("duplicates").alias("check"), F.col("kind").alias("field"), "severity", "message",
+                                  F.lit(None).cast("double").alias("completeness"),
+                                  F.when(F.col("kind") == "key_fields", F.col("duplicates")).cast("bigint").alias("key_dups"),
+                                  F.col("total_records").cast("bigint").alias("total"))
+    return wide.unionByName(cat).unionByName(out).unionByName(dup)
 
 
 def findings(df: DataFrame) -> DataFrame:
-    """Every finding of Q1-Q9 as ``(check, field, severity, message)``:
-    one wide aggregate for the scalar checks plus three grouped checks."""
-    stats, uniform, _ = _wide_findings(df)
-    out = stats.select(F.explode(F.array(*uniform)).alias("r")).select("r.*")
-    for part in _other_findings(df):
-        out = out.unionByName(part)
-    return out.where(F.col("severity").isNotNull())
-
-
-def _severity_counts(rows: list[Column]) -> tuple[Column, Column]:
-    err = sum((F.when(r.getField("severity") == "error", 1).otherwise(0) for r in rows), F.lit(0))
-    warn = sum((F.when(r.getField("severity") == "warning", 1).otherwise(0) for r in rows), F.lit(0))
-    return err, warn
+    """Every finding of Q1-Q9 as ``(check, field, severity, message)``."""
+    return _finding_rows(df).where(F.col("severity").isNotNull()).select("check", "field", "severity", "message")
 
 
-def quality_score(df: DataFrame) -> DataFrame:
-    """Q10: 100 - 10*errors - 2*warnings, times the mean completeness of the
-    required fields, minus 20 * key-duplicate rate; clamped to 0..100.
-
-    The scalar checks, their error/warning counts and the required-field
-    completeness all come from one projection of the wide aggregate.
-    """
-    stats, uniform, req_rows = _wide_findings(df)
-    err, warn = _severity_counts(uniform)
-    present = [r for r in req_rows]
-    comp = [F.when(r.getField("present"), 100.0 - r.getField("null_percentage")) for r in present]
-    req_n = sum((F.when(r.getField("present"), 1).otherwise(0) for r in present), F.lit(0))
-    req_sum = sum((F.coalesce(c, F.lit(0.0)) for c in comp), F.lit(0.0))
-    wide = stats.select(err.alias("e1"), warn.alias("w1"), req_n.alias("req_n"), req_sum.alias("req_sum"))
-    others = _other_findings(df)
-    rest = others[0]
-    for part in others[1:]:
-        rest = rest.unionByName(part)
-    rest = rest.agg(F.count_if(F.col("severity") == "error").alias("e2"), F.count_if(F.col("severity") == "warning").alias("w2"))
-    dup = q_duplicates(df).where(F.col("kind") == "key_fields").select("total_records", F.col("duplicates").alias("key_dups"))
-    j = wide.crossJoin(rest).crossJoin(dup).select(
-        (F.col("e1") + F.col("e2")).cast("bigint").alias("errors"), (F.col("w1") + F.col("w2")).cast("bigint").alias("warnings"),
-        "req_n", "req_sum", "total_records", "key_dups")
+def _score(rows: DataFrame) -> DataFrame:
+    s = rows.agg(F.count_if(F.col("severity") == "error").alias("errors"),
+                 F.count_if(F.col("severity") == "warning").alias("warnings"),
+                 F.count(F.col("completeness")).alias("req_n"), F.sum("completeness").alias("req_sum"),
+                 F.max("key_dups").alias("key_dups"), F.max("total").alias("total_records"))
     base = F.lit(100.0) - F.col("errors") * P.SCORE_PER_ERROR - F.col("warnings") * P.SCORE_PER_WARNING
     with_comp = F.when(F.col("req_n") > 0, base * (F.col("req_sum") / F.col("req_n") / 100.0)).otherwise(base)
     rate = F.when(F.col("total_records") > 0, F.col("key_dups") / F.col("total_records")).otherwise(F.lit(0.0))
     raw = with_comp - rate * P.SCORE_DUPLICATE_WEIGHT
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw))
-    return j.select("errors", "warnings", F.col("total_records").cast("bigint").alias("total_records"),
+    return s.select("errors", "warnings", F.col("total_records").cast("bigint").alias("total_records"),
                     F.col("key_dups").alias("key_field_duplicates"),
                     (F.floor(clamped * 100 + 0.5) / 100.0).alias("quality_score"),
                     (F.col("errors") == 0).alias("passed"))
 
 
+def quality_score(df: DataFrame) -> DataFrame:
+    """Q10: 100 - 10*errors - 2*warnings, times the mean completeness of the
+    required fields, minus 20 * key-duplicate rate; clamped to 0..100."""
+    return _score(_finding_rows(df))
+
+
 def quality_report(df: DataFrame) -> DataFrame:
-    """Q11: all findings plus summary rows, one long table."""
-    fnd = findings(df).select("check", "field", "severity", "message", F.lit(None).cast("double").alias("value"))
-    s = quality_score(df)
+    """Q11: all findings plus summary rows, one long table; findings and
+    summary read the same finding rows."""
+    rows = _finding_rows(df)
+    fnd = rows.where(F.col("severity").isNotNull()).select(
+        "check", "field", "severity", "message", F.lit(None).cast("double").alias("value"))
+    s = _score(rows)
     summary = s.select(F.explode(F.array(
         F.struct(F.lit("total_records").alias("field"), F.col("total_records").cast("double").alias("value")),
         F.struct(F.lit("errors").alias("field"), F.col("errors").cast("double").alias("value")),
