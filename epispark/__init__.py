@@ -1,0 +1,3 @@
+"""epispark: respiratory-illness surveillance analytics as lazy Spark DataFrame operators."""
+
+__version__ = "0.1.0"

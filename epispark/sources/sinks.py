@@ -34,3 +34,23 @@ def load_quality_json(spark: SparkSession, path: str) -> DataFrame:
 
 def summary_only(report: DataFrame) -> DataFrame:
     return report.where(F.col("check") == "summary")
+
+
+def append_quality_run(report: DataFrame, path: str, run_id: str, run_at: str) -> None:
+    """Q11 run counters: append one row per validation run (id, time,
+    passed, errors, warnings, score, records) to a history table."""
+    s = (report.where(F.col("check") == "summary")
+         .groupBy().pivot("field", ["passed", "errors", "warnings", "quality_score", "total_records"]).agg(F.first("value")))
+    (s.select(F.lit(run_id).alias("run_id"), F.to_timestamp(F.lit(run_at)).alias("run_at"),
+              (F.col("passed") == 1.0).alias("passed"), F.col("errors").cast("bigint").alias("errors"),
+              F.col("warnings").cast("bigint").alias("warnings"), F.col("quality_score"),
+              F.col("total_records").cast("bigint").alias("total_records"))
+     .write.mode("append").parquet(path))
+
+
+def quality_run_counters(spark: SparkSession, path: str) -> DataFrame:
+    """Totals over the run history: validations, passed, failed, warnings."""
+    h = spark.read.parquet(path)
+    return h.agg(F.count(F.lit(1)).alias("total_validations"), F.count_if(F.col("passed")).alias("passed_validations"),
+                 F.count_if(~F.col("passed")).alias("failed_validations"),
+                 F.coalesce(F.sum("warnings"), F.lit(0)).cast("bigint").alias("warnings_generated"))

@@ -90,3 +90,17 @@ def test_fingerprint_deterministic(spark):
     a = df.select(G.fingerprint_expr(F.col("d"), F.col("n"))).first()[0]
     b = df.select(G.fingerprint_expr(F.col("d"), F.col("n"))).first()[0]
     assert a == b and a.startswith("SRAG-") and len(a) == 21
+
+
+def test_quality_run_history(spark):
+    import tempfile
+
+    from epispark.sources import sinks as SK
+
+    path = tempfile.mkdtemp(prefix="epispark-qhist-") + "/history"
+    rep = Q.quality_report(_problem_rows(spark))
+    SK.append_quality_run(rep, path, "run-1", "2024-03-31 10:00:00")
+    SK.append_quality_run(rep, path, "run-2", "2024-04-01 10:00:00")
+    c = SK.quality_run_counters(spark, path).first()
+    assert (c.total_validations, c.passed_validations, c.failed_validations) == (2, 0, 2)
+    assert c.warnings_generated >= 8
