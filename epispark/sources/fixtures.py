@@ -74,11 +74,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a fact input at least one partition per core.
+
+    A large table stored as one unsplittable row group is read by a single
+    task, and every stage after it inherits that.  When the scan has fewer
+    splits than the session's default parallelism it is redistributed
+    round-robin once; an input that already has enough splits (any table at
+    cluster scale) is returned untouched, with no shuffle.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def raw_cases_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Untyped, CSV-like case table computed from the base tables."""
     return spark.sql(
         RAW_CASES_SQL,
-        lineitem=table(spark, sf_dir, "lineitem"),
+        lineitem=spread(table(spark, sf_dir, "lineitem")),
         orders=table(spark, sf_dir, "orders"),
         customer=table(spark, sf_dir, "customer"),
         nation=table(spark, sf_dir, "nation"),
@@ -87,7 +100,7 @@ def raw_cases_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def articles_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """News articles with an ``article_id`` order column, from ``documents``."""
-    return spark.sql(ARTICLES_SQL, documents=table(spark, sf_dir, "documents"))
+    return spark.sql(ARTICLES_SQL, documents=spread(table(spark, sf_dir, "documents")))
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
