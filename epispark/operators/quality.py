@@ -155,6 +155,25 @@ def q_ranges(df: DataFrame, ranges: dict[str, tuple[float, float]] = P.NUMERIC_R
 
 
 # ---------------------------------------------------------------- Q5
+def _invalid_code(col: str, valid: Sequence[str]) -> Column:
+    v = F.upper(F.trim(F.col(col).cast("string")))
+    return v.isNotNull() & ~v.isin([x.upper() for x in valid])
+
+
+def categorical_parts(df: DataFrame, rules: dict[str, Sequence[str]] = P.CATEGORICAL_RULES,
+                      skip: Sequence[str] = tuple(P.BR_DATE_COLUMNS)) -> Parts:
+    """Invalid-code counts only (the findings need no example values), as
+    columns of the wide aggregate."""
+    aggs, rows = {}, []
+    for f in [f for f in _present(df, list(rules)) if f not in skip]:
+        aggs["cat_" + f] = F.count_if(_invalid_code(f, rules[f]))
+        n = F.col("cat_" + f)
+        rows.append(F.struct(F.lit(f).alias("field"), n.alias("invalid_count"), _sev(n > 0, "warning").alias("severity"),
+                             F.when(n > 0, F.concat(F.lit(f"Campo '{f}': "), n.cast("string"),
+                                                    F.lit(" valores inválidos encontrados"))).alias("message")))
+    return aggs, rows
+
+
 def q_categorical(df: DataFrame, rules: dict[str, Sequence[str]] = P.CATEGORICAL_RULES,
                   skip: Sequence[str] = tuple(P.BR_DATE_COLUMNS), examples: int = P.CATEGORICAL_EXAMPLES) -> DataFrame:
     """Invalid code counts and up to ``examples`` sorted invalid values.
@@ -337,12 +356,13 @@ def _finding_rows(df: DataFrame) -> DataFrame:
     completeness, key_dups, total)``; the last three carry what the score
     needs (required-field completeness, key duplicates, row count).
 
-    Q1-Q4, Q6 and Q7 come from one wide aggregate; Q5, Q8 and Q9 add one
-    grouped plan each.  Findings, score and report all read this frame, so
+    Q1-Q7 come from one wide aggregate (Q5 as invalid-code counts); Q8 and
+    Q9 add one grouped plan each.  Findings, score and report all read this frame, so
     each of these plans appears once (or as a reused exchange).
     """
     groups = [("required", required_parts(df), "field"), ("null_profile", null_profile_parts(df), "field"),
               ("types", types_parts(df), "field"), ("ranges", ranges_parts(df), "field"),
+              ("categorical", categorical_parts(df), "field"),
               ("temporal", temporal_parts(df), "pair"), ("business_rule", rules_parts(df), "rule")]
     aggs: dict = {}
     rows = []
@@ -357,13 +377,12 @@ def _finding_rows(df: DataFrame) -> DataFrame:
                                  F.lit(None).cast("bigint").alias("total")))
     wide = df.agg(*[c.alias(n) for n, c in aggs.items()]).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     extra = F.lit(None).cast("double").alias("completeness"), F.lit(None).cast("bigint").alias("key_dups"), F.lit(None).cast("bigint").alias("total")
-    cat = q_categorical(df).select(F.lit("categorical").alias("check"), "field", "severity", "message", *extra)
     out = q_outliers(df).select(F.lit("outliers").alias("check"), "field", "severity", "message", *extra)
     dup = q_duplicates(df).select(F.lit("duplicates").alias("check"), F.col("kind").alias("field"), "severity", "message",
                                   F.lit(None).cast("double").alias("completeness"),
                                   F.when(F.col("kind") == "key_fields", F.col("duplicates")).cast("bigint").alias("key_dups"),
                                   F.col("total_records").cast("bigint").alias("total"))
-    return wide.unionByName(cat).unionByName(out).unionByName(dup)
+    return wide.unionByName(out).unionByName(dup)
 
 
 def findings(df: DataFrame) -> DataFrame:
