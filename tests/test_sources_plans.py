@@ -90,3 +90,25 @@ def test_sensitive_name_test_is_case_insensitive(spark):
 
     df = spark.createDataFrame([(1, 2, 3)], "nu_notific int, DT_Nasc int, UTI int")
     assert G.sensitive_columns(df) == ["nu_notific", "DT_Nasc"]
+
+
+def test_spread_only_when_too_few_splits(spark):
+    from epispark.sources.fixtures import spread
+
+    target = spark.sparkContext.defaultParallelism
+    few = spark.range(100).coalesce(1)
+    assert spread(few).rdd.getNumPartitions() == target
+    many = spark.range(100).repartition(target + 3)
+    assert spread(many) is many
+
+
+def test_quality_report_scan_budget(spark):
+    from epispark.operators import quality as Q
+    from epispark.sources import fixtures as FX
+
+    df = Q.quality_report(FX.raw_cases(spark, "/root/testdata/sf0.001"))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # one wide aggregate, two passes for outliers, one duplicate grouping (reused exchanges not counted)
+    assert plan.count("FileScan parquet") <= 7
+    assert "BatchEvalPython" not in plan and "CartesianProduct" not in plan
