@@ -51,6 +51,12 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FX.cases(spark, sf_dir)
 
 
+def typed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned, typed columns (P1-P4) of the landed case table, without
+    the derived fields: what the anonymisation step receives."""
+    return cases(spark, sf_dir).select(*raw(spark, sf_dir).columns)
+
+
 def arts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FX.articles(spark, sf_dir)
 
@@ -496,12 +502,12 @@ def q_anonymise_columns(spark, sf_dir):
 
 @query("anonymise_age")
 def q_anonymise_age(spark, sf_dir):
-    return G.anonymise_age(C.clean(raw(spark, sf_dir))).select("NU_NOTIFIC", "NU_IDADE_N", "FAIXA_ETARIA")
+    return G.anonymise_age(typed_cases(spark, sf_dir)).select("NU_NOTIFIC", "NU_IDADE_N", "FAIXA_ETARIA")
 
 
 @query("anonymise_cases")
 def q_anonymise_cases(spark, sf_dir):
-    return G.anonymise_cases(C.clean(raw(spark, sf_dir)))
+    return G.anonymise_cases(typed_cases(spark, sf_dir))
 
 
 @query("redact_text")
