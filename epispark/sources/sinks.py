@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 def save_processed(df: DataFrame, path: str, partition_by=("ANO", "MES"), max_records_per_file: int = 5_000_000) -> None:
     """Overwrite ``path`` with ``df`` partitioned by year and month.
 
-    Rows are sorted by the partition columns (then the date) inside each
-    task, with no extra shuffle: a task writes one file per partition value
-    at a time, a hot month is spread over every task that holds it, and
-    date-sorted row groups give tight min/max statistics for date filters.
+    ``rebalance`` on the partition columns groups each month's rows before
+    the write, so the table gets about one file per month instead of one
+    per (task, month) - the small-files problem of partitioned writes.
+    AQE splits a month larger than the advisory partition size into
+    several tasks, so a hot month never lands in a single task.  Rows are
+    then date-sorted inside each file for tight row-group statistics.
     """
     order = list(partition_by) + (["DT_NOTIFIC"] if "DT_NOTIFIC" in df.columns else [])
-    (df.sortWithinPartitions(*order).write.mode("overwrite")
+    (df.hint("rebalance", *partition_by).sortWithinPartitions(*order).write.mode("overwrite")
      .option("maxRecordsPerFile", max_records_per_file).partitionBy(*partition_by).parquet(path))
 
 
