@@ -83,8 +83,12 @@ def spread(df: DataFrame) -> DataFrame:
     round-robin once; an input that already has enough splits (any table at
     cluster scale) is returned untouched, with no shuffle.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Connect session): leave the scan as is
+        return df
+    return df.repartition(target) if splits < target else df
 
 
 def raw_cases_query(spark: SparkSession, sf_dir: str) -> DataFrame:
