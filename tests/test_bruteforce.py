@@ -32,3 +32,25 @@ def test_bundle_matches_pandas(spark):
     }
     got = {r.metric: r.rate for r in M.metrics_bundle(FX.cases(spark, SMOKE), "2001-06-01", now="2001-06-01").collect()}
     assert got == expect
+
+
+def test_relevance_and_context_match_python(spark):
+    from epispark import params as P
+    from epispark.operators import news as N
+
+    arts = FX.articles(spark, SMOKE)
+    rows = arts.select("article_id", "title", "summary").collect()
+    text = {r.article_id: f"{(r.title or '').lower()} {(r.summary or '').lower()}" for r in rows}
+    score = {k: sum(1 for w in P.RELEVANCE_KEYWORDS if w in t) for k, t in text.items()}
+    expect = {k: v for k, v in score.items() if v >= 1}
+    got = {r.article_id: r.relevance_score for r in N.article_relevance(arts).collect()}
+    assert got == expect
+
+    kept = [text[k] for k in expect]
+    total = 0
+    for words in P.CONTEXT_KEYWORDS.values():
+        mentions = sum(1 for w in words if any(w in t for t in kept))
+        total += min(mentions * 30, 250)
+    total = min(total + min(len(kept) * 15, 200), 1000)
+    ctx = N.context_score(N.article_relevance(arts)).first()
+    assert ctx.context_score == total / 100.0 and ctx.articles == len(kept)
