@@ -54,3 +54,19 @@ def test_relevance_and_context_match_python(spark):
     total = min(total + min(len(kept) * 15, 200), 1000)
     ctx = N.context_score(N.article_relevance(arts)).first()
     assert ctx.context_score == total / 100.0 and ctx.articles == len(kept)
+
+
+def test_quality_counts_match_pandas(spark):
+    from epispark.operators import quality as Q
+
+    raw = FX.raw_cases(spark, SMOKE)
+    pdf = raw.toPandas()
+    nulls = {r.field: r.null_count for r in Q.q_null_profile(raw).collect()}
+    assert nulls == {c: int(pdf[c].isna().sum()) for c in pdf.columns}
+    dup = {r.kind: r.duplicates for r in Q.q_duplicates(raw).collect()}
+    keys = ["DT_NOTIFIC", "SG_UF_NOT", "NU_IDADE_N", "CS_SEXO"]
+    assert dup["complete"] == int(pdf.duplicated().sum())
+    assert dup["key_fields"] == int(pdf.duplicated(subset=keys).sum())
+    ages = __import__("pandas").to_numeric(pdf["NU_IDADE_N"], errors="coerce")
+    rng = {r.side: r.violations for r in Q.q_ranges(raw).collect()}
+    assert rng == {"min": int((ages < 0).sum()), "max": int((ages > 120).sum())}
