@@ -70,3 +70,25 @@ def test_quality_counts_match_pandas(spark):
     ages = __import__("pandas").to_numeric(pdf["NU_IDADE_N"], errors="coerce")
     rng = {r.side: r.violations for r in Q.q_ranges(raw).collect()}
     assert rng == {"min": int((ages < 0).sum()), "max": int((ages > 120).sum())}
+
+
+def test_daily_series_matches_pandas(spark):
+    import pandas as pd
+
+    from epispark.operators import series as S
+
+    cases = FX.cases(spark, SMOKE)
+    pdf = cases.select("DT_NOTIFIC").toPandas()
+    start, end = dt.date(2001, 5, 2), dt.date(2001, 6, 1)
+    window = pdf[(pdf.DT_NOTIFIC >= start) & (pdf.DT_NOTIFIC <= end)]
+    daily = window.groupby("DT_NOTIFIC").size().rename("n").reset_index()
+    full = pd.DataFrame({"DT_NOTIFIC": [d.date() for d in pd.date_range(start, end, freq="D")]})
+    full = full.merge(daily, on="DT_NOTIFIC", how="left").fillna({"n": 0})
+    full["ma"] = full["n"].rolling(7).mean()
+    got = S.moving_average(S.daily_calendar_fill(cases, "2001-06-01", 30)).orderBy("date").collect()
+    assert [r.cases for r in got] == [int(x) for x in full["n"]]
+    for r, e in zip(got, full["ma"]):
+        assert (r.moving_average_7d is None and pd.isna(e)) or abs(r.moving_average_7d - e) < 1e-9
+    summ = S.series_summary(S.daily_calendar_fill(cases, "2001-06-01", 30)).first()
+    assert summ.peak_cases == int(full["n"].max())
+    assert summ.peak_date == full.loc[full["n"].idxmax(), "DT_NOTIFIC"]
