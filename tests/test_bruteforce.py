@@ -92,3 +92,26 @@ def test_daily_series_matches_pandas(spark):
     summ = S.series_summary(S.daily_calendar_fill(cases, "2001-06-01", 30)).first()
     assert summ.peak_cases == int(full["n"].max())
     assert summ.peak_date == full.loc[full["n"].idxmax(), "DT_NOTIFIC"]
+
+
+def test_article_dedupe_and_topk_match_python(spark):
+    from epispark import params as P
+    from epispark.operators import news as N
+
+    arts = FX.articles(spark, SMOKE)
+    rows = sorted(arts.select("article_id", "title", "summary").collect(), key=lambda r: r.article_id)
+    seen, kept = set(), []
+    for r in rows:  # keep-first on the stripped, lower-cased title, in article order
+        key = (r.title or "").strip(" \t\n\x0b\f\r").lower()
+        if key and key not in seen:
+            seen.add(key)
+            kept.append(r.article_id)
+    assert sorted(r.article_id for r in N.article_dedupe(arts).collect()) == kept
+
+    def score(r):
+        t = f"{(r.title or '').lower()} {(r.summary or '').lower()}"
+        return sum(1 for w in P.RELEVANCE_KEYWORDS if w in t)
+
+    ranked = sorted([r for r in rows if score(r) >= 1], key=lambda r: -score(r))  # stable: ties keep input order
+    top = [r.article_id for r in N.article_topk(N.article_relevance(arts), 10).collect()]
+    assert top == [r.article_id for r in ranked[:10]]
