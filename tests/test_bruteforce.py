@@ -115,3 +115,22 @@ def test_article_dedupe_and_topk_match_python(spark):
     ranked = sorted([r for r in rows if score(r) >= 1], key=lambda r: -score(r))  # stable: ties keep input order
     top = [r.article_id for r in N.article_topk(N.article_relevance(arts), 10).collect()]
     assert top == [r.article_id for r in ranked[:10]]
+
+
+def test_redaction_matches_python_re(spark):
+    import re
+
+    from epispark import params as P
+    from epispark.functions import text as TX
+    from epispark.operators import privacy as G
+
+    arts = FX.articles(spark, SMOKE)
+    rows = arts.select("article_id", "summary", TX.redact("summary").alias("red")).collect()
+    for r in rows:
+        t = re.sub(P.CPF_PATTERN, P.CPF_REPLACEMENT, r.summary)
+        t = re.sub(P.PHONE_PATTERN, P.PHONE_REPLACEMENT, t)
+        t = re.sub(P.EMAIL_PATTERN, P.EMAIL_REPLACEMENT, t)
+        assert r.red == t, r.article_id
+    hits = {r.column: r for r in G.pii_scan(arts).collect()}["summary"]
+    assert hits.cpf_hits == sum(1 for r in rows if re.search(P.CPF_PATTERN, r.summary))
+    assert hits.email_hits == sum(1 for r in rows if re.search(P.EMAIL_PATTERN, r.summary))
