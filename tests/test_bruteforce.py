@@ -134,3 +134,25 @@ def test_redaction_matches_python_re(spark):
     hits = {r.column: r for r in G.pii_scan(arts).collect()}["summary"]
     assert hits.cpf_hits == sum(1 for r in rows if re.search(P.CPF_PATTERN, r.summary))
     assert hits.email_hits == sum(1 for r in rows if re.search(P.EMAIL_PATTERN, r.summary))
+
+
+def test_vaccination_cascade_matches_sequential_overwrite(spark):
+    from epispark import params as P
+
+    cols = ["DOSE_1_COV", "DOSE_2_COV", "DOSE_REF", "DOSE_2REF", "DOSE_ADIC"]
+    pdf = FX.cases(spark, SMOKE).select("NU_NOTIFIC", *cols, "STATUS_VACINAL_COVID").toPandas()
+    s = pdf[cols].notna()
+    status = [P.VAX_UNKNOWN] * len(pdf)
+    for i in range(len(pdf)):  # later rules overwrite earlier ones
+        r = s.iloc[i]
+        if not r.any():
+            status[i] = P.VAX_NONE
+        if r.DOSE_1_COV and not r.DOSE_2_COV:
+            status[i] = P.VAX_ONE
+        if r.DOSE_2_COV and not (r.DOSE_REF or r.DOSE_2REF or r.DOSE_ADIC):
+            status[i] = P.VAX_TWO
+        if r.DOSE_REF and not (r.DOSE_2REF or r.DOSE_ADIC):
+            status[i] = P.VAX_BOOSTER
+        if r.DOSE_2REF or r.DOSE_ADIC:
+            status[i] = P.VAX_EXTRA
+    assert list(pdf["STATUS_VACINAL_COVID"]) == status
