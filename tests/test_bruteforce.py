@@ -156,3 +156,19 @@ def test_vaccination_cascade_matches_sequential_overwrite(spark):
         if r.DOSE_2REF or r.DOSE_ADIC:
             status[i] = P.VAX_EXTRA
     assert list(pdf["STATUS_VACINAL_COVID"]) == status
+
+
+def test_age_summary_matches_pandas(spark):
+    import math
+
+    from epispark.operators import profile as A
+
+    cases = FX.cases(spark, SMOKE)
+    ages = cases.select("NU_IDADE_N").toPandas()["NU_IDADE_N"].dropna()
+    s = A.age_summary(cases).first()
+    assert s.n == len(ages) and s.min == int(ages.min()) and s.max == int(ages.max())
+    assert s.mean == math.floor(ages.sum() * 10 / len(ages) + 0.5) / 10
+    assert s.median == math.floor(ages.median() * 10 + 0.5) / 10
+    r = A.age_ranges(cases).first()
+    assert (r.age_0_17, r.age_18_59, r.age_60_plus) == (int((ages < 18).sum()), int(((ages >= 18) & (ages < 60)).sum()),
+                                                         int((ages >= 60).sum()))
