@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from epispark.llm.common import table
+from epispark.llm.html_extract import extract
 from epispark.llm.language_id import language_id
 from epispark.llm.secret_scan import secret_scan
 from epispark.llm.simhash_dedup import simhash_groups
@@ -26,12 +27,16 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base"), 256).alias("base_sha256"), "spans", "n_markov")
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_source_mix, op4_language_id, op6_secret_scan, op10_simhash_dedup)
+    f.__name__: f for f in (op2_source_mix, op4_language_id, op6_secret_scan, op8_html_extract, op10_simhash_dedup)
 }
 
 ORACLE: dict[str, str] = {}
