@@ -28,6 +28,7 @@ DEEPEST = 400  # elements nested deeper become siblings; their text stays
 
 # A comment, a tag (end mark, name, attributes), or another declaration.
 _TOKEN = re.compile(r"""<(?:!--(?:-?>|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+)>|[!?/][^>]*>)""", re.DOTALL)
+_PLAIN_TOKEN = re.compile(r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[!?/][^>]*>)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _TELLING = re.compile(r"class|id|role|hidden", re.IGNORECASE)
 _RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.IGNORECASE) for t in ("script", "style", "textarea", "title", "noscript", "iframe")}
@@ -60,11 +61,23 @@ class _Page:
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
         self.parts: list[str] = []
         self.linked = 0
-        at = 0
-        while token := _TOKEN.search(html, at):
-            if token.start() > at:
-                self.data(html[at:token.start()])
-            at = token.end()
+        at = read = 0  # text before ``read`` has been handed on
+        tokens = _TOKEN
+        while (at := html.find("<", at)) >= 0:
+            token = tokens.match(html, at)
+            if token is None:
+                # A tag whose quotes never close: from here on quotes are not
+                # minded, so a broken page is still read in one pass.
+                if html.find(">", at) < 0:
+                    break
+                if tokens is _TOKEN and html[at + 1:at + 2].isalpha():
+                    tokens = _PLAIN_TOKEN
+                else:
+                    at += 1
+                continue
+            if at > read:
+                self.data(html[read:at])
+            at = read = token.end()
             if token[2] is None:
                 continue
             tag = token[2].lower()
@@ -74,9 +87,9 @@ class _Page:
             self.start(tag, token[3])
             if tag in _RAW:
                 closing = _RAW[tag].search(html, at)
-                at = closing.end() if closing else len(html)
+                at = read = closing.end() if closing else len(html)
                 self.end(tag)
-        self.data(html[at:])
+        self.data(html[read:])
         self.flush()
 
     def flush(self):
