@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from epispark.session import scratch_path
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
