@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from epispark.llm.common import table
 from epispark.llm.html_extract import extract
 from epispark.llm.language_id import language_id
+from epispark.llm.nearest import nearest
 from epispark.llm.secret_scan import secret_scan
 from epispark.llm.simhash_dedup import simhash_groups
 from epispark.llm.source_mix import mix_sources
@@ -22,6 +23,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base"), 256).alias("base_sha256"), "spans", "n_markov")
@@ -36,7 +41,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_source_mix, op4_language_id, op6_secret_scan, op8_html_extract, op10_simhash_dedup)
+    f.__name__: f for f in (op2_source_mix, op4_language_id, op5_nearest, op6_secret_scan, op8_html_extract, op10_simhash_dedup)
 }
 
 ORACLE: dict[str, str] = {}
