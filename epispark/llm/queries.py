@@ -13,6 +13,12 @@ from epispark.llm.nearest import nearest
 from epispark.llm.secret_scan import secret_scan
 from epispark.llm.simhash_dedup import simhash_groups
 from epispark.llm.source_mix import mix_sources
+from epispark.llm.substring_dedup import substring_dedup
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"), window=50).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +47,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_source_mix, op4_language_id, op5_nearest, op6_secret_scan, op8_html_extract, op10_simhash_dedup)
+    f.__name__: f for f in (op1_substring_dedup, op2_source_mix, op4_language_id, op5_nearest, op6_secret_scan, op8_html_extract, op10_simhash_dedup)
 }
 
 ORACLE: dict[str, str] = {}
