@@ -14,6 +14,7 @@ from epispark.llm.secret_scan import secret_scan
 from epispark.llm.simhash_dedup import simhash_groups
 from epispark.llm.source_mix import mix_sources
 from epispark.llm.substring_dedup import substring_dedup
+from epispark.llm.suffix_dedup import suffix_dedup
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,12 +43,17 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"), size=50).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_source_mix, op4_language_id, op5_nearest, op6_secret_scan, op8_html_extract, op10_simhash_dedup)
+    f.__name__: f for f in (op1_substring_dedup, op2_source_mix, op4_language_id, op5_nearest, op6_secret_scan, op8_html_extract, op9_suffix_dedup, op10_simhash_dedup)
 }
 
 ORACLE: dict[str, str] = {}
