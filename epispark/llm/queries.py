@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from epispark.llm.common import table
+from epispark.llm.decontaminate import decontaminate
 from epispark.llm.html_extract import extract
 from epispark.llm.language_id import language_id
 from epispark.llm.nearest import nearest
@@ -39,6 +40,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base"), 256).alias("base_sha256"), "spans", "n_markov")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.col("items"), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"), "spans")
+
+
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
@@ -53,7 +60,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_source_mix, op4_language_id, op5_nearest, op6_secret_scan, op8_html_extract, op9_suffix_dedup, op10_simhash_dedup)
+    f.__name__: f for f in (op1_substring_dedup, op2_source_mix, op4_language_id, op5_nearest, op6_secret_scan, op7_decontaminate, op8_html_extract, op9_suffix_dedup, op10_simhash_dedup)
 }
 
 ORACLE: dict[str, str] = {}
