@@ -10,6 +10,7 @@ from epispark.llm.common import table
 from epispark.llm.decontaminate import decontaminate
 from epispark.llm.html_extract import extract
 from epispark.llm.language_id import language_id
+from epispark.llm.line_dedup import line_dedup
 from epispark.llm.nearest import nearest
 from epispark.llm.secret_scan import secret_scan
 from epispark.llm.simhash_dedup import simhash_groups
@@ -27,6 +28,11 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"), max_edits=2, min_chars=30).withColumn(
+        "kept_sha256", F.sha2(F.col("kept"), 256)).drop("kept")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -60,7 +66,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_source_mix, op4_language_id, op5_nearest, op6_secret_scan, op7_decontaminate, op8_html_extract, op9_suffix_dedup, op10_simhash_dedup)
+    f.__name__: f for f in (op1_substring_dedup, op2_source_mix, op3_line_dedup, op4_language_id, op5_nearest, op6_secret_scan, op7_decontaminate, op8_html_extract, op9_suffix_dedup, op10_simhash_dedup)
 }
 
 ORACLE: dict[str, str] = {}
