@@ -19,41 +19,35 @@ from epispark.llm.common import landed
 PARITY = "etaoinshrdlucmfwygpbvk"
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment ``i`` (from 0) of a line: even
-    parts, the longer ones last."""
-    short = F.floor(length / parts).cast("int")
-    longer = length - short * parts  # how many segments are one longer
-    before = F.greatest(F.lit(i) - (F.lit(parts) - longer), F.lit(0))
-    own = short + F.when(F.lit(i) >= F.lit(parts) - longer, 1).otherwise(0)
-    return short * i + before + 1, own
+def index_plan(edits: int) -> list[tuple[int, int, int]]:
+    """(less, segment, shift) of a line's own segments."""
+    return [(0, i, 0) for i in range(edits + 1)]
 
 
-def _key(i: int, length: Column, line: Column, start: Column, size: Column) -> Column:
-    return F.xxhash64(F.lit(i), length, F.substr(line, start, size))
+def probe_plan(edits: int) -> list[tuple[int, int, int]]:
+    """(less, segment, shift): where a line may hold a segment of a line that
+    is shorter by ``less``.  If the first ``i`` segments hold at most ``i``
+    edits and the later ones the rest, the shift is bounded from both ends;
+    only starts within both bounds are probed."""
+    return [(less, i, shift) for less in range(edits + 1) for i in range(edits + 1)
+            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
 
 
-def index_keys(line: Column, length: Column, edits: int) -> Column:
-    """A line's own segments."""
+def with_keys(lines: DataFrame, plan: list[tuple[int, int, int]], edits: int, names: tuple[str, str]) -> DataFrame:
+    """A row per line and planned substring: the line's ``_h`` and ``_len``
+    under ``names``, and ``key``, a hash of segment number, length and
+    substring.  A line of n bytes has even segments, the longer ones last."""
     parts = edits + 1
-    return F.array(*[_key(i, length, line, *_segment(length, i, parts)) for i in range(parts)])
-
-
-def probe_keys(line: Column, length: Column, edits: int) -> Column:
-    """Substrings of a line at which a line of equal or lesser length can
-    have its segment.  If the first ``i`` segments hold at most ``i`` edits
-    and the later ones the rest, the shift is bounded from both ends; only
-    starts within both bounds are probed."""
-    parts, keys = edits + 1, []
-    for less in range(edits + 1):
-        other = length - less
-        for i in range(parts):
-            start, size = _segment(other, i, parts)
-            low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
-            for shift in range(low, high + 1):
-                at = start + shift
-                keys.append(F.when((at >= 1) & (at + size - 1 <= length), _key(i, other, line, at, size)))
-    return F.array_compact(F.array(*keys))
+    spots = F.array(*[F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for less, i, shift in plan])
+    spread = lines.select("_h", "_len", F.col("_line").cast("binary").alias("_b"), F.explode(spots).alias("_p")).select(
+        "_h", "_len", "_b", F.col("_p.i").alias("_i"), F.col("_p.shift").alias("_s"), (F.col("_len") - F.col("_p.less")).alias("_other"))
+    short = F.expr(f"cast(_other div {parts} as int)")
+    spread = spread.select("*", short.alias("_short"), (F.col("_i") - (parts - F.col("_other") % parts)).alias("_over"))
+    spread = spread.select("*", (F.col("_short") * F.col("_i") + F.greatest(F.col("_over"), F.lit(0)) + 1 + F.col("_s")).alias("_at"),
+                           (F.col("_short") + F.when(F.col("_over") >= 0, 1).otherwise(0)).alias("_size"))
+    inside = (F.col("_at") >= 1) & (F.col("_at") + F.col("_size") - 1 <= F.col("_len"))
+    return spread.where(inside).select(F.col("_h").alias(names[0]), F.col("_len").alias(names[1]),
+                                       F.xxhash64("_i", "_other", F.substr("_b", F.col("_at"), F.col("_size"))).alias("key"))
 
 
 def parity(line: Column) -> Column:
@@ -61,33 +55,33 @@ def parity(line: Column) -> Column:
     changes at most two bits."""
     bits = F.lit(0)
     for i, letter in enumerate(PARITY):
-        odd = (F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))).bitwiseAND(F.lit(1))
+        odd = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))).bitwiseAND(F.lit(1))
         bits = bits.bitwiseOR(F.shiftleft(odd, i))
     return bits
 
 
 def within_edits(a: Column, b: Column, edits: int) -> Column:
-    """Whether the edit distance of two strings is at most ``edits``.
+    """Whether the edit distance of two byte strings is at most ``edits``.
 
     A bit-parallel automaton in a band: bit ``s`` of state ``d`` says that,
-    after j characters of b, the first j + s - edits characters of a match
-    with at most d edits.  Consuming a character keeps a bit on a match or a
-    substitution, moves it down on an insertion, and up on a deletion; the
-    band is 2 * edits + 1 bits wide, however long the strings are.
+    after j bytes of b, the first j + s - edits bytes of a match with at most
+    d edits.  Consuming a byte keeps a bit on a match or a substitution, moves
+    it down on an insertion, and up on a deletion; the band is 2 * edits + 1
+    bits wide, however long the strings are.
     """
     width = 2 * edits + 1
     mask = (1 << width) - 1
-    left, right = F.split(a, ""), F.split(b, "")
     start, state = [], 1 << edits
     for _ in range(edits + 1):
         start.append(F.lit(state))
         state |= (state << 1) & mask
 
     def step(held: Column, j: Column) -> Column:
-        char = F.get(right, j)
+        byte = F.substr(b, j + 1, F.lit(1))
         match = F.lit(0)
         for s in range(width):
-            same = F.coalesce(F.get(left, j + (s - edits)) == char, F.lit(False)) & (j + (s - edits) >= 0)
+            at = j + (s - edits + 1)
+            same = (at >= 1) & (F.substr(a, at, F.lit(1)) == byte)
             match = match.bitwiseOR(F.when(same, 1 << s).otherwise(0))
         made = []
         for d in range(edits + 1):
@@ -107,14 +101,14 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 2,
-               min_chars: int = 30, keep: tuple[str, ...] = ()) -> DataFrame:
+               min_bytes: int = 30, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: ``id_col``, ``n_lines``, ``n_removed``,
     ``n_links`` (pairs of its distinct lines with other lines within the
     distance), ``class_id`` (least id holding a line equal or linked to one of
     its own), ``kept`` (the text without the removed lines) and the columns
     ``keep``.
 
-    Lines are what ``\\n`` separates.  A line of at least ``min_chars``
+    Lines are what ``\\n`` separates.  A line of at least ``min_bytes``
     characters goes if, in order of (id, line number), an equal line or one
     at an edit distance of at most ``max_edits`` occurs earlier, removed or
     not.  Shorter lines always stay.  Equality is by 64-bit hash and length.
@@ -123,8 +117,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays.  Null ids come last in the order.  Rows that are repeated whole are
     judged as one and all returned; an empty table gives no rows.
     """
-    if not 0 <= max_edits <= 3 or min_chars <= max_edits:
-        raise ValueError("max_edits must be 0 to 3 and less than min_chars")
+    if not 0 <= max_edits <= 3 or min_bytes <= max_edits:
+        raise ValueError("max_edits must be 0 to 3 and less than min_bytes")
     kept_cols = [F.col(c) for c in keep]
     last = F.lit((1 << 63) - 1)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"),
@@ -132,8 +126,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col), *kept_cols).alias("_g"))
     lines = F.split("_t", "\n")
     found = (rows.select(F.coalesce("_id", last).alias("_o"), "_k", "_g", F.posexplode(lines).alias("_n", "_line"))
-             .where(F.length("_line") >= min_chars)
-             .select("_o", "_k", "_g", "_n", F.xxhash64("_line").alias("_h"), F.length("_line").alias("_len")))
+             .where(F.octet_length("_line") >= min_bytes)
+             .select("_o", "_k", "_g", "_n", F.xxhash64("_line").alias("_h"), F.octet_length("_line").alias("_len")))
     # One row per distinct line: where it occurs first, and how often.
     distinct = landed(found.groupBy("_h", "_len").agg(F.min(F.struct("_o", "_n", "_k", "_g")).alias("f"), F.count("*").alias("_times"))
                       .select("_h", "_len", "_times", "f.*"), "lines")
@@ -151,13 +145,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     every = texts(distinct)
     if max_edits:
-        marked = every.select("_h", "_len", parity(F.col("_line")).alias("_bits"), "_line", "_id", "_n")
-        index = marked.select(F.col("_h").alias("a"), F.col("_len").alias("a_len"), F.col("_bits").alias("a_bits"),
-                              F.explode(index_keys(F.col("_line"), F.col("_len"), max_edits)).alias("key"))
-        probes = marked.select(F.col("_h").alias("b"), F.col("_len").alias("b_len"), F.col("_bits").alias("b_bits"),
-                               F.explode(probe_keys(F.col("_line"), F.col("_len"), max_edits)).alias("key"))
-        close = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= 2 * max_edits
-        pairs = (index.join(probes, "key").where(((F.col("a_len") < F.col("b_len")) | (F.col("a") < F.col("b"))) & close)
+        index = with_keys(every, index_plan(max_edits), max_edits, ("a", "a_len"))
+        probes = with_keys(every, probe_plan(max_edits), max_edits, ("b", "b_len"))
+        pairs = (index.join(probes, "key").where((F.col("a_len") < F.col("b_len")) | (F.col("a") < F.col("b")))
                  .select("a", "a_len", "b", "b_len").distinct())
         pairs = landed(pairs, "line-pairs")
         ends = pairs.select(F.col("a").alias("_h"), F.col("a_len").alias("_len")).unionByName(
@@ -165,8 +155,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         some = texts(distinct.join(ends, ["_h", "_len"], "left_semi")).select("_h", "_len", "_line")
         a = some.select(F.col("_h").alias("a"), F.col("_len").alias("a_len"), F.col("_line").alias("a_line"))
         b = some.select(F.col("_h").alias("b"), F.col("_len").alias("b_len"), F.col("_line").alias("b_line"))
-        linked = landed(pairs.join(a, ["a", "a_len"]).join(b, ["b", "b_len"])
-                        .where(within_edits(F.col("a_line"), F.col("b_line"), max_edits)).select("a", "a_len", "b", "b_len"), "line-links")
+        near = F.bit_count(parity(F.col("a_line")).bitwiseXOR(parity(F.col("b_line")))) <= 2 * max_edits
+        same = within_edits(F.col("a_line").cast("binary"), F.col("b_line").cast("binary"), max_edits)
+        linked = landed(pairs.join(a, ["a", "a_len"]).join(b, ["b", "b_len"]).where(F.when(near, same).otherwise(F.lit(False)))
+                        .select("a", "a_len", "b", "b_len"), "line-links")
         both = linked.select(F.col("a").alias("_h"), F.col("a_len").alias("_len"), F.col("b").alias("h2"), F.col("b_len").alias("len2")).unionByName(
             linked.select(F.col("b").alias("_h"), F.col("b_len").alias("_len"), F.col("a").alias("h2"), F.col("a_len").alias("len2")))
         firsts = distinct.select(F.col("_h").alias("h2"), F.col("_len").alias("len2"), F.struct("_o", "_n").alias("f2"))
