@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql import types as T
 
-from epispark.llm.common import text_slices
+from epispark.llm.common import landed, text_slices
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 MOST_GRAM = 5
+MOST_LANGUAGES = 500
 
 
 def letter_words(text: str) -> list[str]:
@@ -27,46 +28,49 @@ def word_grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies per language of words and of 1- to 5-character grams."""
+    """Log frequencies per language of words and of 1- to 5-character grams.
 
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
+    ``words`` and ``grams`` are lists of keys with a matrix of their counts,
+    one column per language."""
+
+    def __init__(self, languages: list[str], words: tuple[list[str], np.ndarray], grams: tuple[list[str], np.ndarray]):
         self.languages = languages
-        self.tables = [_logs(words, len(languages)), _logs(grams, len(languages))]
+        self.words, self.word_logs = _table(*words)
+        self.grams, self.gram_logs = _table(*grams)
         self.unseen: dict[str, np.ndarray] = {}
 
-    def word(self, word: str) -> np.ndarray:
-        """Scores of one word: its own if it is known, else the mean over its
-        known grams of the longest length that has any, else none."""
-        if (known := self.tables[0].get(word)) is not None:
-            return known
-        if (known := self.unseen.get(word)) is not None:
-            return known
-        found = np.zeros(len(self.languages))
+    def _backed_off(self, word: str) -> np.ndarray:
+        """Scores of an unseen word: the mean over its known grams of the
+        longest length that has any, else none."""
         for n in range(MOST_GRAM, 0, -1):
-            if rows := [g for x in word_grams(word, n) if (g := self.tables[1].get(x)) is not None]:
-                found = np.mean(rows, axis=0)
-                break
-        if len(self.unseen) > 200_000:
-            self.unseen.clear()
-        self.unseen[word] = found
-        return found
+            if rows := [g for x in word_grams(word, n) if (g := self.grams.get(x)) is not None]:
+                return self.gram_logs[rows].mean(axis=0)
+        return np.zeros(len(self.languages))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = Counter(letter_words(text or ""))
         if not any(c.isalpha() for w in words for c in w) or not self.languages:
             return "und", 0.0
-        total = np.array(list(words.values()), dtype=float) @ np.array([self.word(w) for w in words])
+        rows, times, total = [], [], np.zeros(len(self.languages))
+        for word, n in words.items():
+            if (row := self.words.get(word)) is not None:
+                rows.append(row)
+                times.append(n)
+                continue
+            if (scores := self.unseen.get(word)) is None:
+                if len(self.unseen) > 50_000:
+                    self.unseen.clear()
+                scores = self.unseen[word] = self._backed_off(word)
+            total = total + n * scores
+        total += np.array(times, dtype=float) @ self.word_logs[rows]
         best = int(np.argmax(total))
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def _logs(counts: dict[str, np.ndarray], n: int) -> dict[str, np.ndarray]:
-    """Add-half smoothed log relative frequencies, one row per key."""
-    if not counts:
-        return {}
-    keys = sorted(counts)
-    m = np.array([counts[k] for k in keys], dtype=float) + 0.5
-    return dict(zip(keys, np.log(m / m.sum(axis=0))))
+def _table(keys: list[str], counts: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
+    """Places of the keys, and add-half smoothed log relative frequencies."""
+    smoothed = counts + 0.5
+    return {k: i for i, k in enumerate(keys)}, np.log(smoothed / smoothed.sum(axis=0)) if len(keys) else smoothed
 
 
 def _learnable(docs: DataFrame, id_col: str, lang_col: str) -> DataFrame:
@@ -74,17 +78,18 @@ def _learnable(docs: DataFrame, id_col: str, lang_col: str) -> DataFrame:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          per_language: int = 2500, most_words: int = 100_000, most_grams: int = 200_000) -> Model:
+          per_language: int = 2500, most_words: int = 40_000, most_grams: int = 60_000) -> Model:
     """A model from at most ``per_language`` documents of each language (the
     least hashes of id and text), with at most ``most_words`` words and
-    ``most_grams`` grams, the most frequent ones.  Documents whose crc32 of
+    ``most_grams`` grams, the most frequent ones, in at most
+    ``MOST_LANGUAGES`` languages.  Documents whose crc32 of
     the id modulo 4 is 2, null languages and null ids are never read.
     """
     marked = _learnable(docs, id_col, lang_col).select(
         F.col(lang_col).alias("_l"), F.col(text_col).alias("_t"), F.xxhash64(id_col, text_col).alias("_h"))
     low = (marked.select("_l", "_h").withColumn("_r", F.row_number().over(W.partitionBy("_l").orderBy("_h")))
            .where(F.col("_r") <= per_language).groupBy("_l").agg(F.max("_h").alias("_most")))
-    sample = marked.join(F.broadcast(low.limit(1000)), "_l").where("_h <= _most").select("_l", "_t")
+    sample = marked.join(F.broadcast(low.limit(MOST_LANGUAGES)), "_l").where("_h <= _most").select("_l", "_t")
 
     def count(batches):
         for batch in batches:
@@ -102,12 +107,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                                               "g": pa.array([r[2] for r in rows], pa.string()), "n": pa.array([r[3] for r in rows], pa.int64())})
 
     counts = sample.mapInArrow(count, "_l string, kind int, g string, n long").groupBy("kind", "g", "_l").agg(F.sum("n").alias("n"))
-    by_gram = counts.groupBy("kind", "g").agg(F.map_from_entries(F.collect_list(F.struct("_l", "n"))).alias("by"), F.sum("n").alias("all"))
-    kept = [by_gram.where(F.col("kind") == kind).orderBy(F.desc("all"), "g").limit(most).collect()
-            for kind, most in ((0, most_words), (1, most_grams))]
-    languages = sorted({lang for rows in kept for r in rows for lang in r["by"]})
-    tables = [{r["g"]: np.array([r["by"].get(lang, 0) for lang in languages]) for r in rows} for rows in kept]
-    return Model(languages, *tables)
+    counts = landed(counts, "grams")
+    languages = sorted(r[0] for r in counts.select("_l").distinct().limit(MOST_LANGUAGES).collect())
+    if not languages:
+        return Model([], ([], np.zeros((0, 0))), ([], np.zeros((0, 0))))
+    by_gram = counts.groupBy("kind", "g").agg(
+        F.sum("n").alias("all"), *[F.sum(F.when(F.col("_l") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(languages)])
+
+    def most_frequent(kind: int, most: int) -> tuple[list[str], np.ndarray]:
+        top = by_gram.where(F.col("kind") == kind).orderBy(F.desc("all"), "g").limit(most).drop("kind", "all").toArrow()
+        return top.column("g").to_pylist(), np.stack([top.column(f"n{i}").to_numpy() for i in range(len(languages))], axis=1).astype(float)
+
+    return Model(languages, most_frequent(0, most_words), most_frequent(1, most_grams))
 
 
 def identify(docs: DataFrame, model: Model, id_cols: list[str], text_col: str = "text") -> DataFrame:
