@@ -50,13 +50,15 @@ def _pairs(value: str) -> np.ndarray:
 
 
 def learn(counts: dict[str, np.ndarray]) -> np.ndarray:
-    """Log-likelihood ratio, random over ordinary, of each character pair
-    (add-one smoothing: without samples a model is uniform)."""
+    """Log-likelihood ratio, random over ordinary, of each character pair.
+    Pairs are smoothed towards the single characters' shares, and those
+    towards uniform, which is what a model without samples is."""
     n = len(ALPHABET)
     logs = []
     for kind in ("random", "ordinary"):
-        m = counts[kind].reshape(n + 1, n) + 1.0
-        logs.append(np.log(m / m.sum(axis=1, keepdims=True)))
+        m = counts[kind].reshape(n + 1, n)
+        single = (m.sum(axis=0) + 0.5) / (m.sum() + 0.5 * n)
+        logs.append(np.log((m + 4 * single) / (m.sum(axis=1, keepdims=True) + 4)))
     return (logs[0] - logs[1]).ravel()
 
 
