@@ -17,6 +17,17 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+# A plain or exponent number; a cast alone would also take suffixes ("12d").
+NUMBER_SHAPE = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def to_number(col) -> Column:
+    """Numeric text as a double, anything else NULL; other types are cast."""
+    c = F.col(col) if isinstance(col, str) else col
+    text = c.cast("string")
+    return F.when(text.rlike(NUMBER_SHAPE), text.try_cast("double"))
+
+
 def round_ratio(num, den, scale: int = 2, digits: int = 2, zero=0.0) -> Column:
     """``num/den * 10**scale`` rounded half away from zero; ``zero`` when den is 0."""
     num, den = _c(num), _c(den)

@@ -1,11 +1,12 @@
 """Global ranking without a single-partition window.
 
 ``global_rank`` numbers rows 1..N in a total order.  Rows are range
-partitioned on the order (a fixed partition count, so AQE leaves it
-alone), sorted inside each partition, and numbered with the partition's
-row position plus the sum of the sizes of all earlier partitions.  The
-offset table has one row per partition and is broadcast, so the work is
-spread over every partition and no task ever sees more than its range.
+partitioned on the order, sorted inside each partition, and written with their
+partition and position to the shared folder; partition sizes and ranks are
+then read from that one table.  (Range bounds come from a sample: positions
+and sizes of two separate shuffles need not agree, those of one written table
+do.)  The offset table has one row per partition, so no task ever sees more
+than its range.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 
 def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank",
                 partitions: int | None = None) -> DataFrame:
@@ -23,9 +26,11 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank",
     ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33)))
-    sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_size"))
-    offsets = sizes.select("_pid", (F.sum("_size").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-                           .alias("_offset"))
-    return (ranged.join(F.broadcast(offsets), "_pid")
+    path = scratch_path(spark, "ranked")
+    ranged.write.parquet(path)
+    written = spark.read.schema(ranged.schema).parquet(path)
+    sizes = written.groupBy("_pid").agg(F.count(F.lit(1)).alias("_size"))
+    offsets = sizes.select("_pid", F.sum("_size").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)).alias("_offset"))
+    return (written.join(F.broadcast(offsets), "_pid")
             .withColumn(name, (F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_pos") + 1).cast("bigint"))
             .drop("_pid", "_pos", "_offset"))

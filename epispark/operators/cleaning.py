@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import params as P
+from ..functions.numbers import to_number
 
 
 def _present(df: DataFrame, cols: Sequence[str]) -> list[str]:
@@ -74,7 +75,7 @@ def clean_codes(df: DataFrame, whitelists: dict[str, Sequence[str]] = P.CODE_WHI
 
 # ---------------------------------------------------------------- P3 / P4
 def clean_age_expr(col: str = P.AGE_COL, lo: float = P.AGE_MIN, hi: float = P.AGE_MAX) -> Column:
-    a = F.col(col).try_cast("double")
+    a = to_number(col)
     return F.when(a.between(lo, hi), a)
 
 
@@ -83,7 +84,7 @@ def clean_age(df: DataFrame, col: str = P.AGE_COL) -> DataFrame:
 
 
 def clean_symptoms(df: DataFrame, cols: Sequence[str] = P.SYMPTOM_COLUMNS) -> DataFrame:
-    out = {c: F.col(c).try_cast("double") for c in _present(df, cols)}
+    out = {c: to_number(c) for c in _present(df, cols)}
     return df.withColumns(out) if out else df
 
 

@@ -152,15 +152,20 @@ def theme_counts_wide(df: DataFrame, themes=P.WIDE_THEMES) -> DataFrame:
         F.struct(F.lit(name).alias("theme"), F.col(name).alias("articles")) for name, _ in themes])).alias("t")).select("t.*")
 
 
+def theme_members(df: DataFrame, themes=P.WIDE_THEMES) -> DataFrame:
+    """Every article of every wide theme, one scan."""
+    text = _t()
+    return _with_text(df).select("article_id", "title", "link", F.explode(F.array_compact(F.array(*[
+        F.when(TX.any_of(text, words), F.lit(name)) for name, words in themes]))).alias("theme"))
+
+
 def theme_top(df: DataFrame, n: int = P.THEME_TOP_N, themes=P.WIDE_THEMES) -> DataFrame:
     """The first ``n`` articles (input order) of every wide theme.
 
     ``row_number() <= n`` per theme is planned with a WindowGroupLimit, so
     each task keeps only n rows per theme before the shuffle.
     """
-    text = _t()
-    tagged = _with_text(df).select("article_id", "title", "link", F.explode(F.array_compact(F.array(*[
-        F.when(TX.any_of(text, words), F.lit(name)) for name, words in themes]))).alias("theme"))
+    tagged = theme_members(df, themes)
     w = Window.partitionBy("theme").orderBy("article_id")
     return tagged.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n)
 

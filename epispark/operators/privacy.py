@@ -76,12 +76,18 @@ def _redact_value(col: Column, dtype: T.DataType, markers: Sequence[str]) -> Col
         return F.when(col.isNull(), F.lit(None)).otherwise(F.struct(*fields))
     if isinstance(dtype, T.ArrayType):
         return F.transform(col, lambda x: _redact_value(x, dtype.elementType, markers))
+    if isinstance(dtype, T.MapType):
+        named = isinstance(dtype.keyType, T.StringType)
+        fixed = F.lit(P.REDACTED_FIELD_TEXT if isinstance(dtype.valueType, T.StringType) else None).cast(dtype.valueType)
+        return F.transform_values(col, lambda k, v: F.when(TX.any_of(F.lower(k), markers), fixed).otherwise(
+            _redact_value(v, dtype.valueType, markers)) if named else _redact_value(v, dtype.valueType, markers))
     return col
 
 
 def redact_frame(df: DataFrame, markers: Sequence[str] = P.PERSONAL_FIELD_MARKERS) -> DataFrame:
-    """A column or struct field whose lower-cased name contains a marker
-    becomes a fixed text; every other string (at any depth) is redacted."""
+    """A column, struct field or map entry whose lower-cased name contains
+    a marker becomes a fixed text (a map entry of another type becomes null);
+    every other string, at any depth, is redacted."""
     cols = []
     for f in df.schema.fields:
         if _marked(f.name, markers):
@@ -111,15 +117,38 @@ def fingerprint_expr(*parts: Column) -> Column:
     return F.concat(F.lit(P.FINGERPRINT_PREFIX), F.substring(F.sha2(body, 256), 1, 16))
 
 
+def _strings(col: Column, dtype: T.DataType) -> Column | None:
+    """All strings of a value at any depth, as one array; None if it can hold none."""
+    if isinstance(dtype, T.StringType):
+        return F.array(col)
+    if isinstance(dtype, T.StructType):
+        parts = [s for f in dtype.fields if (s := _strings(col.getField(f.name), f.dataType)) is not None]
+    elif isinstance(dtype, T.ArrayType):
+        if _strings(F.lit(None), dtype.elementType) is None:
+            return None
+        parts = [F.flatten(F.transform(col, lambda x: _strings(x, dtype.elementType)))]
+    elif isinstance(dtype, T.MapType):
+        parts = [s for s in (_strings(F.map_keys(col), T.ArrayType(dtype.keyType)), _strings(F.map_values(col), T.ArrayType(dtype.valueType))) if s is not None]
+    else:
+        return None
+    return F.concat(*[F.coalesce(p, F.array().cast("array<string>")) for p in parts]) if parts else None
+
+
+def _any_match(strings: Column, pattern: str) -> Column:
+    return F.exists(strings, lambda x: x.rlike(pattern))
+
+
 def pii_scan(df: DataFrame) -> DataFrame:
-    """Per string column, rows still matching CPF / phone / e-mail patterns."""
-    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    aggs = []
-    for c in strings:
-        aggs += [F.count_if(F.col(c).rlike(P.CPF_PATTERN)).alias(f"{c}__cpf"),
-                 F.count_if(F.col(c).rlike(P.PHONE_PATTERN)).alias(f"{c}__phone"),
-                 F.count_if(F.col(c).rlike(P.EMAIL_PATTERN)).alias(f"{c}__email")]
-    stats = df.agg(*aggs)
-    rows = [F.struct(F.lit(c).alias("column"), F.col(f"{c}__cpf").alias("cpf_hits"),
-                     F.col(f"{c}__phone").alias("phone_hits"), F.col(f"{c}__email").alias("email_hits")) for c in strings]
-    return stats.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    """Per column that holds strings at any depth (struct fields, array
+    elements, map keys and values), the rows that still match the CPF, phone
+    and e-mail patterns of the leak check."""
+    aggs, rows = [], []
+    for f in df.schema.fields:
+        held = _strings(F.col(f.name), f.dataType)
+        if held is None:
+            continue
+        for kind, pattern in (("cpf", P.CPF_PATTERN), ("phone", P.PHONE_PATTERN), ("email", P.EMAIL_SCAN_PATTERN)):
+            hit = F.col(f.name).rlike(pattern) if isinstance(f.dataType, T.StringType) else _any_match(held, pattern)
+            aggs.append(F.count_if(hit).alias(f"{f.name}__{kind}"))
+        rows.append(F.struct(F.lit(f.name).alias("column"), *[F.col(f"`{f.name}__{k}`").alias(f"{k}_hits") for k in ("cpf", "phone", "email")]))
+    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")

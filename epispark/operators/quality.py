@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import params as P
-from ..functions.numbers import ratio_units, round_ratio, tenths_text
+from ..functions.numbers import ratio_units, round_ratio, tenths_text, to_number
 from .cleaning import _present, br_date, clean_code, iso_date
 
 def _empty(spark: SparkSession, schema: str) -> DataFrame:
@@ -113,7 +113,7 @@ def types_parts(df: DataFrame, date_fields: Sequence[str] = P.QUALITY_DATE_FIELD
         if isinstance(df.schema[f].dataType, T.NumericType):
             specs.append((f, "numeric", F.lit(0).cast("bigint"), "valid_numeric", None))
             continue
-        aggs["typ_" + f] = F.count_if(F.col(f).isNotNull() & F.col(f).try_cast("double").isNull())
+        aggs["typ_" + f] = F.count_if(F.col(f).isNotNull() & to_number(f).isNull())
         specs.append((f, "numeric", F.col("typ_" + f), "convertible_to_numeric", "invalid_numeric"))
     rows = []
     for f, kind, bad, ok_status, bad_status in specs:
@@ -138,7 +138,7 @@ def ranges_parts(df: DataFrame, ranges: dict[str, tuple[float, float]] = P.NUMER
     aggs, rows = {}, []
     for f in _present(df, list(ranges)):
         lo, hi = ranges[f]
-        v = F.col(f).try_cast("double")
+        v = to_number(f)
         aggs["rlo_" + f], aggs["rhi_" + f] = F.count_if(v < lo), F.count_if(v > hi)
         for side, bound, word in (("min", lo, "abaixo do mínimo"), ("max", hi, "acima do máximo")):
             n = F.col(("rlo_" if side == "min" else "rhi_") + f)
@@ -259,7 +259,7 @@ def rule_death_symptoms_expr(df: DataFrame) -> Column:
         return F.lit(False)
     any_symptom = F.lit(False)
     for s in syms:
-        any_symptom = any_symptom | F.coalesce(F.col(s).try_cast("double") == 1, F.lit(False))
+        any_symptom = any_symptom | F.coalesce(to_number(s) == 1, F.lit(False))
     return F.coalesce(_code(df, P.OUTCOME_COL, ["1", "2", "3", "9"]) == "2", F.lit(False)) & ~any_symptom
 
 
@@ -309,7 +309,7 @@ def q_outliers(df: DataFrame, field: str = P.AGE_COL, method: str = "iqr", facto
     switches to ``percentile_approx`` for columns with very many distinct
     values.  The bounds are a 1-row frame broadcast to the scan.
     """
-    v = F.col(field).try_cast("double")
+    v = to_number(field)
     nums = df.select(v.alias("v")).where(F.col("v").isNotNull())
     probs = [0.25, 0.75] if method == "iqr" else list(bounds)
     q = F.percentile("v", probs) if exact else F.percentile_approx("v", probs, 100000)

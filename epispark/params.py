@@ -157,6 +157,9 @@ PERSONAL_FIELD_MARKERS = ["cpf", "rg", "nome", "endereco", "telefone", "email",
 REDACTED_FIELD_TEXT = "[informação removida por privacidade]"
 CPF_PATTERN = r"\d{3}\.\d{3}\.\d{3}-\d{2}"
 PHONE_PATTERN = r"\(\d{2}\)\s?\d{4,5}-?\d{4}"
+API_SOURCE_DEFAULT = "News API"
+# The leak check's own e-mail pattern (no word boundaries), not the redactor's.
+EMAIL_SCAN_PATTERN = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 EMAIL_PATTERN = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 CPF_REPLACEMENT = "[CPF removido]"
 PHONE_REPLACEMENT = "[telefone removido]"

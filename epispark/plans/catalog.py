@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import params as P
+from ..functions.numbers import to_number
 from ..operators import cleaning as C
 from ..operators import filters as X
 from ..operators import metrics as M
@@ -69,7 +70,7 @@ def fixture_csv(spark: SparkSession, sf_dir: str) -> str:
     """``raw_cases`` written once per session as ';'-separated CSV under the
     shared checkpoint folder (the landed-file form of the case table)."""
     return FX.landed_path(spark, sf_dir, "raw_cases_csv", lambda: raw(spark, sf_dir),
-                          lambda df, path: df.write.mode("overwrite").option("header", True).option("sep", ";").csv(path))
+                          lambda df, path: df.write.mode("overwrite").option("header", True).option("sep", ";").option("escape", '"').csv(path))
 
 
 def _limits(spark: SparkSession) -> DataFrame:
@@ -103,17 +104,23 @@ def q_load_with_fallback(spark, sf_dir):
     return L.load_with_fallback(raw(spark, sf_dir), "1994-06-01", AS_OF)
 
 
+def api_shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The API articles as raw API records."""
+    a = arts(spark, sf_dir).where(F.col("source_type") == "news_api")
+    return a.select("article_id", "title", F.col("link").alias("url"), F.col("summary").alias("description"),
+                    F.col("published").alias("publishedAt"), F.struct(F.col("source").alias("name")).alias("source"))
+
+
 @query("articles_union")
 def q_articles_union(spark, sf_dir):
     a = arts(spark, sf_dir)
     return SA.articles_union(SA.feed_entries(a.where(F.col("source_type") == "rss")),
-                             SA.api_records(a.where(F.col("source_type") == "news_api")))
+                             SA.api_records(api_shaped(spark, sf_dir)))
 
 
 @query("articles_fallback")
 def q_articles_fallback(spark, sf_dir):
-    a = arts(spark, sf_dir)
-    return SA.with_fallback(SA.api_records(a.where(F.col("source_type") == "news_api")), spark, AS_OF)
+    return SA.with_fallback(SA.api_records(api_shaped(spark, sf_dir)), spark, AS_OF)
 
 
 @query("sink_parquet_roundtrip")
@@ -240,7 +247,7 @@ def q_filter_plausible_date(spark, sf_dir):
 
 @query("filter_plausible_age")
 def q_filter_plausible_age(spark, sf_dir):
-    typed = raw(spark, sf_dir).select("NU_NOTIFIC", F.col("NU_IDADE_N").try_cast("double").alias("NU_IDADE_N"))
+    typed = raw(spark, sf_dir).select("NU_NOTIFIC", to_number("NU_IDADE_N").alias("NU_IDADE_N"))
     return X.filter_plausible_age(typed)
 
 
@@ -362,7 +369,7 @@ def q_article_dedupe(spark, sf_dir):
 
 @query("article_rank")
 def q_article_rank(spark, sf_dir):
-    return N.article_rank(N.article_relevance(arts(spark, sf_dir)).select("article_id", "relevance_score"))
+    return N.article_rank(N.article_relevance(arts(spark, sf_dir))).select("article_id", "title", "summary", "relevance_score", "rank")
 
 
 @query("article_topk")
@@ -370,6 +377,11 @@ def q_article_topk(spark, sf_dir):
     return N.article_topk(N.article_relevance(arts(spark, sf_dir)), 10).select("article_id", "title", "relevance_score")
 
 
+@query("theme_members")
+def q_theme_members(spark, sf_dir):
+    return N.theme_members(arts(spark, sf_dir))
+
+
 @query("theme_top3")
 def q_theme_top3(spark, sf_dir):
     return N.theme_top(arts(spark, sf_dir))
@@ -522,12 +534,14 @@ def q_redact_frame(spark, sf_dir):
     a = arts(spark, sf_dir)
     nested = a.select("article_id", F.col("title").alias("nome_paciente"),
                       F.struct("title", "summary", F.col("link").alias("email_contato")).alias("detalhes"),
-                      F.array("summary", "link").alias("trechos"))
+                      F.array("summary", "link").alias("trechos"),
+                      F.create_map(F.lit("CPF_titular"), "title", F.lit("obs"), "summary").alias("mapa"))
     r = G.redact_frame(nested)
     return r.select("article_id", "nome_paciente", F.col("detalhes.title").alias("detalhes_title"),
                     F.col("detalhes.summary").alias("detalhes_summary"),
                     F.col("detalhes.email_contato").alias("detalhes_email_contato"),
-                    F.array_join("trechos", " | ").alias("trechos"))
+                    F.array_join("trechos", " | ").alias("trechos"),
+                    F.col("mapa")["CPF_titular"].alias("mapa_cpf"), F.col("mapa")["obs"].alias("mapa_obs"))
 
 
 @query("article_appropriate")
@@ -552,7 +566,9 @@ def q_report_fingerprint(spark, sf_dir):
 
 @query("pii_scan")
 def q_pii_scan(spark, sf_dir):
-    return G.pii_scan(arts(spark, sf_dir))
+    a = arts(spark, sf_dir)
+    return G.pii_scan(a.withColumn("mapa", F.create_map(F.lit("obs"), F.array("title", "summary")))
+                      .withColumn("detalhes", F.struct("link", F.struct("summary").alias("texto"))))
 
 
 # ------------------------------------------------------------------ X7, X8, N1-N11

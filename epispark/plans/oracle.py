@@ -675,7 +675,8 @@ _FIXED = q(P.REDACTED_FIELD_TEXT)
 register("redact_frame", f"""
 SELECT article_id, {_FIXED} AS nome_paciente, {redact_sql('title')} AS detalhes_title,
   {redact_sql('summary')} AS detalhes_summary, {_FIXED} AS detalhes_email_contato,
-  concat_ws(' | ', {redact_sql('summary')}, {redact_sql('link')}) AS trechos
+  concat_ws(' | ', {redact_sql('summary')}, {redact_sql('link')}) AS trechos,
+  {_FIXED} AS mapa_cpf, {redact_sql('summary')} AS mapa_obs
 FROM articles
 """)
 _TXT2 = "concat(lower(coalesce(title, '')), ' ', lower(coalesce(summary, '')))"
@@ -708,16 +709,17 @@ FROM {sub('metrics_bundle')} b
 register("pii_scan", "\nUNION ALL\n".join(f"""
 SELECT {q(c)} AS "column", count(*) FILTER (WHERE regexp_matches({c}, {CPF})) AS cpf_hits,
   count(*) FILTER (WHERE regexp_matches({c}, {PHONE})) AS phone_hits,
-  count(*) FILTER (WHERE regexp_matches({c}, {EMAIL})) AS email_hits FROM articles"""
-    for c in ["title", "summary", "link", "source", "source_type"]))
+  count(*) FILTER (WHERE regexp_matches({c}, {q(P.EMAIL_SCAN_PATTERN)})) AS email_hits FROM (
+    SELECT *, concat_ws(chr(10), title, summary) AS mapa, concat_ws(chr(10), link, summary) AS detalhes FROM articles)"""
+    for c in ["title", "summary", "link", "source", "source_type", "mapa", "detalhes"]))
 
 # ===================================================================== news
 register("article_recency", f"SELECT article_id, published FROM articles WHERE published IS NULL OR published >= {AS_OF} - 120")
 register("article_term_filter", f"SELECT article_id, title FROM articles WHERE {SEARCH_ANY}")
 register("article_relevance", f"SELECT article_id, relevance_score FROM (SELECT article_id, {RELEVANCE} AS relevance_score FROM articles) WHERE relevance_score >= 1")
 register("article_rank", f"""
-SELECT article_id, relevance_score, row_number() OVER (ORDER BY relevance_score DESC, article_id) AS rank
-FROM (SELECT article_id, {RELEVANCE} AS relevance_score FROM articles) WHERE relevance_score >= 1
+SELECT article_id, title, summary, relevance_score, row_number() OVER (ORDER BY relevance_score DESC, article_id) AS rank
+FROM (SELECT *, {RELEVANCE} AS relevance_score FROM articles) WHERE relevance_score >= 1
 """)
 register("article_topk", f"""
 SELECT article_id, title, relevance_score FROM (SELECT article_id, title, {RELEVANCE} AS relevance_score FROM articles)
@@ -739,6 +741,7 @@ SELECT article_id, title, link, theme, CAST(row_number() OVER (PARTITION BY them
 FROM ({_theme_union(P.WIDE_THEMES, 'article_id, title, link')}) QUALIFY position <= 3
 """)
 register("theme_breakdown", f"SELECT theme, count(*) AS articles FROM ({_theme_union(P.ARTICLE_THEMES, 'article_id')}) GROUP BY theme")
+register("theme_members", _theme_union(P.WIDE_THEMES, "article_id, title, link"))
 register("theme_counts_wide", " UNION ALL ".join(
     f"SELECT {q(name)} AS theme, count(*) FILTER (WHERE {any_in(TXT, words)}) AS articles FROM articles" for name, words in P.WIDE_THEMES))
 _THEMES_JOINED = "concat_ws('|', " + ", ".join(f"CASE WHEN {any_in(TXT, w)} THEN {q(n)} END" for n, w in P.ARTICLE_THEMES) + ")"

@@ -38,13 +38,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint directory of the session.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when it is unset (tests, local runs) a fresh local folder is
-    created and registered.
+    as is.  Only when it is unset on a local master (tests, local runs) a
+    fresh local folder is created and registered; elsewhere that folder would
+    be another one on every machine, so an unset value is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         _set_rdd_checkpoint_dir(spark, current)
         return current
+    if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="epispark-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     _set_rdd_checkpoint_dir(spark, path)

@@ -16,13 +16,21 @@ COMMON = ["article_id", "title", "summary", "link", "published", "source", "sour
 
 
 def feed_entries(df: DataFrame) -> DataFrame:
-    """Feed entries -> common schema."""
-    return df.select(*COMMON)
+    """Feed entries (``title``, ``link``, ``summary``, ``published`` and the
+    feed they came from as ``source``) -> common schema; missing texts are
+    empty."""
+    return df.select("article_id", *[F.coalesce(c, F.lit("")).alias(c) if c in ("link", "summary") else F.col(c) for c in COMMON[1:6]],
+                     F.lit("rss").alias("source_type"))
 
 
 def api_records(df: DataFrame) -> DataFrame:
-    """API records -> common schema; records without a title are skipped."""
-    return df.where(F.col("title").isNotNull() & (F.col("title") != "")).select(*COMMON)
+    """API records (``title``, ``url``, ``description``, ``publishedAt`` and a
+    nested ``source.name``) -> common schema; records without a title are
+    skipped, a source without a name is ``News API``."""
+    return df.where(F.col("title").isNotNull() & (F.col("title") != "")).select(
+        "article_id", "title", F.coalesce("description", F.lit("")).alias("summary"), F.coalesce("url", F.lit("")).alias("link"),
+        F.col("publishedAt").alias("published"), F.coalesce(F.col("source.name"), F.lit(P.API_SOURCE_DEFAULT)).alias("source"),
+        F.lit("news_api").alias("source_type"))
 
 
 def articles_union(*sources: DataFrame) -> DataFrame:

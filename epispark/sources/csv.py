@@ -1,23 +1,22 @@
 """Delimited case files.
 
 The header decides the delimiter and the projected columns; this is the
-only driver-side read (one line).  Rows are then scanned in parallel as
-strings, with malformed rows kept in ``_corrupt_record`` so that only
-rows with *too many* fields are dropped (short rows are kept, padded
-with NULLs).
+only driver-side read (one line).  Rows are then read in parallel as lines:
+a line with *more* fields than the header is dropped by counting its
+separators outside quotes, before and independently of any projection, and
+the rest is parsed as strings (short rows are padded with NULLs).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import params as P
 
-CORRUPT = "_corrupt_record"
+_QUOTED = '"(?:[^"]|"")*"'
 
 
 def delimiter_frame(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
@@ -37,10 +36,21 @@ def detect_delimiter(spark: SparkSession, path: str, default: str = ";", encodin
     return rows[0]["delimiter"] if rows else default
 
 
+def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    raw = spark.read.text(path)
+    return raw if encoding.upper() in ("UTF-8", "UTF8") else raw.select(F.decode(F.col("value").cast("binary"), encoding).alias("value"))
+
+
 def header_columns(spark: SparkSession, path: str, sep: str, encoding: str = "UTF-8") -> list[str]:
     return spark.read.option("header", True).option("sep", sep).option("encoding", encoding).csv(path).columns
 
 
+def separators(line: Column, sep: str) -> Column:
+    """Number of separators outside quoted fields."""
+    bare = F.when(F.contains(line, F.lit('"')), F.regexp_replace(line, _QUOTED, "")).otherwise(line)
+    return F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit("")))
+
+
 def project_header(columns: Sequence[str], wanted: Sequence[str] = P.ESSENTIAL_COLUMNS) -> list[str]:
     """Wanted columns that exist (in wanted order); none found -> all."""
     keep = [c for c in wanted if c in set(columns)]
@@ -49,16 +59,27 @@ def project_header(columns: Sequence[str], wanted: Sequence[str] = P.ESSENTIAL_C
 
 def scan_csv(spark: SparkSession, path: str, sep: str | None = None, columns: Sequence[str] | None = None,
              encoding: str = "UTF-8", project: Sequence[str] | None = None) -> DataFrame:
-    """S3: all-string PERMISSIVE scan; drops rows with more fields than the header.
+    """S3: all-string scan; drops rows with more fields than the header, also
+    where the surplus field is empty.  Which rows stay does not depend on the
+    columns that are read afterwards.
 
-    ``project`` (e.g. the essential list) keeps only those columns that
-    exist; CSV column pruning then parses only what is selected.
+    A line equal to the header line is a header (of any file of the folder);
+    empty lines are skipped; a doubled quote inside quotes is a quote.
+    ``project`` (e.g. the essential list) keeps only those columns that exist.
     """
     sep = sep or detect_delimiter(spark, path, encoding=encoding)
     header = list(columns or header_columns(spark, path, sep, encoding))
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header] + [T.StructField(CORRUPT, T.StringType())])
-    df = (spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", encoding)
-          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path))
-    too_long = F.col(CORRUPT).isNotNull() & (F.regexp_count(F.col(CORRUPT), F.lit(sep if sep != "|" else "\\|")) > len(header) - 1)
+    lines = _lines(spark, path, encoding)
+    first = lines.where(F.col("value") != "").take(1)
+    kept = lines.where((F.col("value") != "") & (separators(F.col("value"), sep) < len(header)))
+    if first:
+        top = first[0]["value"]
+        kept = kept.where(F.col("value") != top) if _is_header(top, sep, header) else kept
+    schema = ", ".join("`" + c.replace("`", "``") + "` string" for c in header)
+    row = F.from_csv("value", F.lit(schema), {"sep": sep, "mode": "PERMISSIVE", "quote": '"', "escape": '"'})
     keep = project_header(header, project) if project is not None else header
-    return df.where(~too_long | F.col(CORRUPT).isNull()).select(*keep)
+    return kept.select(row.alias("r")).select(*[F.col("r").getField(c).alias(c) for c in keep])
+
+
+def _is_header(line: str, sep: str, header: Sequence[str]) -> bool:
+    return [f.strip().strip('"') for f in line.lstrip("\ufeff").split(sep)] == [h.strip() for h in header]

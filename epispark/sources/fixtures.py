@@ -26,7 +26,7 @@ SELECT
   n.n_name AS SG_UF_NOT,
   cast(100000 + o.o_custkey AS string) AS CO_MUN_NOT,
   CASE WHEN l.l_partkey % 50 = 0 THEN 'I' WHEN l.l_partkey % 50 = 1 THEN 'X' WHEN l.l_partkey % 2 = 0 THEN 'F' ELSE 'M' END AS CS_SEXO,
-  CASE WHEN l.l_partkey % 20 = 0 THEN NULL WHEN l.l_partkey % 97 = 0 THEN 'abc' ELSE cast((l.l_suppkey * 7 + l.l_linenumber * 13 + l.l_orderkey) % 131 - 5 AS string) END AS NU_IDADE_N,
+  CASE WHEN l.l_partkey % 20 = 0 THEN NULL WHEN l.l_partkey % 97 = 0 THEN 'abc' WHEN l.l_partkey % 101 = 0 THEN '12d' ELSE cast((l.l_suppkey * 7 + l.l_linenumber * 13 + l.l_orderkey) % 131 - 5 AS string) END AS NU_IDADE_N,
   CASE WHEN (l.l_orderkey + l.l_linenumber) % 41 = 0 THEN '5' WHEN (l.l_orderkey + l.l_linenumber) % 37 = 0 THEN '9' WHEN (l.l_orderkey + l.l_linenumber) % 8 = 0 THEN '1.0' WHEN (l.l_orderkey + l.l_linenumber) % 4 = 0 THEN '1' ELSE '2' END AS UTI,
   CASE WHEN l.l_partkey % 3 = 0 THEN '1' ELSE '2' END AS HOSPITAL,
   CASE WHEN l.l_returnflag = 'R' THEN '1' WHEN l.l_returnflag = 'A' AND l.l_quantity < 15 THEN '2.0' WHEN l.l_returnflag = 'A' THEN '1.0' WHEN l.l_quantity < 5 THEN '3' WHEN l.l_quantity > 48 THEN '8' WHEN l.l_quantity > 40 THEN NULL ELSE '9' END AS EVOLUCAO,
@@ -52,8 +52,8 @@ JOIN {nation} n ON c.c_nationkey = n.n_nationkey
 
 ARTICLES_SQL = """
 SELECT doc_id AS article_id,
-  CASE WHEN doc_id % 53 = 0 THEN NULL ELSE substr(split_part(text, chr(10), 1), 1, 120) END AS title,
-  concat(substr(text, 1, 600),
+  CASE WHEN doc_id % 53 = 0 THEN NULL ELSE split_part(text, chr(10), 1) END AS title,
+  concat(text,
          CASE WHEN doc_id % 10 = 0 THEN ' CPF 123.456.789-00' ELSE '' END,
          CASE WHEN doc_id % 10 = 1 THEN ' (11) 99999-9999' ELSE '' END,
          CASE WHEN doc_id % 10 = 2 THEN ' paciente@example.com' ELSE '' END,
@@ -74,28 +74,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a fact input at least one partition per core.
-
-    A large table stored as one unsplittable row group is read by a single
-    task, and every stage after it inherits that.  When the scan has fewer
-    splits than the session's default parallelism it is redistributed
-    round-robin once; an input that already has enough splits (any table at
-    cluster scale) is returned untouched, with no shuffle.
-    """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Connect session): leave the scan as is
-        return df
-    return df.repartition(target) if splits < target else df
-
-
 def raw_cases_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Untyped, CSV-like case table computed from the base tables."""
     return spark.sql(
         RAW_CASES_SQL,
-        lineitem=spread(table(spark, sf_dir, "lineitem")),
+        lineitem=table(spark, sf_dir, "lineitem"),
         orders=table(spark, sf_dir, "orders"),
         customer=table(spark, sf_dir, "customer"),
         nation=table(spark, sf_dir, "nation"),
@@ -104,20 +87,15 @@ def raw_cases_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def articles_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """News articles with an ``article_id`` order column, from ``documents``."""
-    return spark.sql(ARTICLES_SQL, documents=spread(table(spark, sf_dir, "documents")))
+    return spark.sql(ARTICLES_SQL, documents=table(spark, sf_dir, "documents"))
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """News articles, landed once (title + 600-char summary instead of the
-    full document text, which every news query would otherwise re-read)."""
+    """News articles, landed once: title (the first line), whole text, and
+    the derived columns."""
     return landed(spark, sf_dir, "articles", lambda: articles_query(spark, sf_dir))
 
 
-def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Free-text notes (conversation turns) for the redaction operators."""
-    return table(spark, sf_dir, "conversations")
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
 
@@ -149,7 +127,9 @@ def landed_path(spark: SparkSession, sf_dir: str, name: str, build: Callable[[],
         if path is None:
             path = scratch_path(spark, name)
             if write is None:
-                build().write.mode("overwrite").parquet(path)
+                # An input of one unsplittable row group is read by one task;
+                # rebalancing lets every later stage read even files.
+                build().hint("rebalance").write.mode("overwrite").parquet(path)
             else:
                 write(build(), path)
             _LANDED[key] = path

@@ -26,17 +26,18 @@ def load_with_fallback(raw: DataFrame, report_date: str, today: str, days: int =
     """Last ``days`` days ending at the report date (clamped to today);
     when that window is empty, everything from ``historical_start`` to today.
 
-    One small aggregate decides the mode; its 1-row result is broadcast
-    into the single filter over the cleaned rows.
+    One small aggregate decides the mode; its values enter the filter as
+    scalar subqueries, so the bounds reach the scan.
     """
     end = F.least(F.to_date(F.lit(report_date)), F.to_date(F.lit(today)))
     start = F.date_sub(end, days)
     parsed = C.parse_dates(raw)
     d = F.col(P.DATE_COL)
-    probe = parsed.agg(F.count_if(d.between(start, end)).alias("_recent"))
-    mode = F.when(F.col("_recent") > 0, F.lit("recent")).otherwise(F.lit("historical"))
-    lo = F.when(F.col("_recent") > 0, start).otherwise(F.to_date(F.lit(historical_start)))
-    hi = F.when(F.col("_recent") > 0, end).otherwise(F.to_date(F.lit(today)))
-    picked = (parsed.crossJoin(F.broadcast(probe.select(mode.alias("mode"), lo.alias("_lo"), hi.alias("_hi"))))
-              .where(d.isNotNull() & d.between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi"))
+    recent = F.col("_recent") > 0
+    probe = parsed.agg(F.count_if(d.between(start, end)).alias("_recent")).select(
+        F.when(recent, F.lit("recent")).otherwise(F.lit("historical")).alias("mode"),
+        F.when(recent, start).otherwise(F.to_date(F.lit(historical_start))).alias("lo"),
+        F.when(recent, end).otherwise(F.to_date(F.lit(today))).alias("hi"))
+    picked = (parsed.where(d.isNotNull() & (d >= probe.select("lo").scalar()) & (d <= probe.select("hi").scalar()))
+              .withColumn("mode", probe.select("mode").scalar()))
     return C.clean_symptoms(C.clean_age(C.clean_codes(picked)))

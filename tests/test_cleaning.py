@@ -77,3 +77,10 @@ def test_decode_and_age_from_birth(spark):
     df = spark.createDataFrame([("M", "1", dt.date(2000, 6, 2))], "CS_SEXO string, UTI string, DT_NASC date")
     out = C.decode_codes(df).select("CS_SEXO_DESC", "UTI_DESC", C.age_from_birth_expr("DT_NASC", "2010-06-01").alias("age")).first()
     assert tuple(out) == ("Masculino", "Sim", 10)  # 3651 days // 365
+
+
+def test_numeric_text_takes_no_suffix(spark):
+    from epispark.functions.numbers import to_number
+
+    rows = spark.createDataFrame([(x,) for x in ("12", " 3.5 ", "12d", "12f", "1e2", ".5", "-4", "", "abc", "0x1", None)], "v string")
+    assert [r[0] for r in rows.select(to_number("v")).collect()] == [12.0, 3.5, None, None, 100.0, 0.5, -4.0, None, None, None, None]

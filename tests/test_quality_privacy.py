@@ -104,3 +104,16 @@ def test_quality_run_history(spark):
     c = SK.quality_run_counters(spark, path).first()
     assert (c.total_validations, c.passed_validations, c.failed_validations) == (2, 0, 2)
     assert c.warnings_generated >= 8
+
+
+def test_redaction_and_leak_check_reach_maps_and_nested_values(spark):
+    df = spark.sql("""select 1 as id, map('CPF_x', '111.222.333-44', 'obs', 'mail a@b.com') as m, map('telefone', 5, 'n', 6) as n,
+                      array(named_struct('nota', '(11) 99999-9999', 'k', map('a', array('c@d.org')))) as deep""")
+    before = {r.column: (r.cpf_hits, r.phone_hits, r.email_hits) for r in G.pii_scan(df).collect()}
+    assert before == {"m": (1, 0, 1), "n": (0, 0, 0), "deep": (0, 1, 1)}
+    out = G.redact_frame(df)
+    r = out.first()
+    assert r.m["CPF_x"] == P.REDACTED_FIELD_TEXT and "a@b.com" not in r.m["obs"]
+    assert r.n == {"telefone": None, "n": 6}
+    assert "99999" not in r.deep[0].nota and "c@d.org" not in r.deep[0].k["a"][0]
+    assert {(r.cpf_hits, r.phone_hits, r.email_hits) for r in G.pii_scan(out).collect()} == {(0, 0, 0)}

@@ -60,3 +60,14 @@ def test_global_rank_many_partitions_with_ties(spark):
     got = sorted(ranked, key=lambda r: r["rank"])
     assert [(r.id, r.score) for r in got] == expect
     assert [r["rank"] for r in got] == list(range(1, 501))
+
+
+def test_global_rank_of_a_wide_frame_without_exchange_reuse(spark):
+    wide = spark.range(300_000).select(F.col("id"), (F.hash("id") % 7).alias("score"), F.concat(F.lit("title "), F.col("id").cast("string")).alias("title"),
+                                       F.repeat(F.lit("summary "), 5).alias("summary"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        r = global_rank(wide, [F.desc("score"), F.asc("id")], partitions=16).agg(F.countDistinct("rank").alias("n"), F.min("rank").alias("lo"), F.max("rank").alias("hi")).first()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert (r.n, r.lo, r.hi) == (300_000, 1, 300_000)

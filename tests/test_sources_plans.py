@@ -28,6 +28,29 @@ def test_short_rows_kept_long_rows_dropped(spark):
     assert rows[1].EXTRA is None
 
 
+def test_scan_rows_do_not_depend_on_the_projection(spark):
+    p = _write('A;B;C\n1;2;3\n4;5;6;7\n8;"x;y;z"\n9;;\n10;a;b;\n\n11\n"12";"say ""hi; you""";c\n')
+    want = ["1", "8", "9", "11", "12"]
+    whole = CSV.scan_csv(spark, p)
+    assert [r.A for r in whole.collect()] == want
+    assert [r.A for r in whole.select("A").collect()] == want
+    assert [r.A for r in CSV.scan_csv(spark, p, project=["A"]).collect()] == want
+    assert whole.count() == len(want) and whole.select("C").count() == len(want)
+    rows = {r.A: r for r in whole.collect()}
+    assert rows["8"].B == "x;y;z" and rows["8"].C is None and rows["12"].B == 'say "hi; you"'
+
+
+def test_api_and_feed_records_are_mapped(spark):
+    api = spark.createDataFrame([(1, "t", "u", "d", "p", ("n",)), (2, "t2", None, None, None, (None,)), (3, "", "u", "d", "p", ("n",))],
+                                "article_id long, title string, url string, description string, publishedAt string, source struct<name string>")
+    rows = SA.api_records(api).collect()
+    assert [(r.article_id, r.link, r.summary, r.published, r.source, r.source_type) for r in rows] == [
+        (1, "u", "d", "p", "n", "news_api"), (2, "", "", None, "News API", "news_api")]
+    feed = spark.createDataFrame([(4, "t", None, "l", "p", "feed")], "article_id long, title string, summary string, link string, published string, source string")
+    r = SA.feed_entries(feed).first()
+    assert (r.summary, r.link, r.source_type) == ("", "l", "rss")
+
+
 def test_projection_and_latin1(spark):
     p = _write("DT_NOTIFIC;NM_PACIENT;UTI\n2024-01-01;José;1\n", encoding="latin-1")
     df = CSV.scan_csv(spark, p, encoding="ISO-8859-1", project=["DT_NOTIFIC", "UTI", "SG_UF_NOT"])
@@ -37,7 +60,7 @@ def test_projection_and_latin1(spark):
 
 
 def test_static_fallback_when_api_empty(spark):
-    empty = spark.createDataFrame([], "article_id long, title string, summary string, link string, published date, source string, source_type string")
+    empty = spark.createDataFrame([], "article_id long, title string, description string, url string, publishedAt date, source struct<name string>")
     out = SA.with_fallback(SA.api_records(empty), spark, "2024-03-31")
     rows = out.collect()
     assert len(rows) == 7 and {r.source_type for r in rows} == {"fallback"}
@@ -92,16 +115,6 @@ def test_sensitive_name_test_is_case_insensitive(spark):
     assert G.sensitive_columns(df) == ["nu_notific", "DT_Nasc"]
 
 
-def test_spread_only_when_too_few_splits(spark):
-    from epispark.sources.fixtures import spread
-
-    target = spark.sparkContext.defaultParallelism
-    few = spark.range(100).coalesce(1)
-    assert spread(few).rdd.getNumPartitions() == target
-    many = spark.range(100).repartition(target + 3)
-    assert spread(many) is many
-
-
 def test_quality_report_scan_budget(spark):
     from epispark.operators import quality as Q
     from epispark.sources import fixtures as FX
