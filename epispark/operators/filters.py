@@ -74,8 +74,11 @@ def drop_all_null(df: DataFrame, cols: Sequence[str] = (P.DATE_COL, P.STATE_COL)
 def filter_plausible_date(df: DataFrame, as_of: str, min_date: str = P.PLAUSIBLE_MIN_DATE,
                           col: str = P.DATE_COL) -> DataFrame:
     """Keep null dates and dates in [min_date, as_of]."""
-    d = F.col(col)
-    return df.where(d.isNull() | d.between(F.to_date(F.lit(min_date)), F.to_date(F.lit(as_of))))
+    d, lo, hi = F.col(col), F.to_date(F.lit(min_date)), F.to_date(F.lit(as_of))
+    if col == P.DATE_COL and {"ANO", "MES"} <= set(df.columns):
+        ym = F.col("ANO") * 100 + F.col("MES")
+        df = df.where(ym.isNull() | ym.between(F.lit(int(min_date[:4]) * 100 + int(min_date[5:7])), F.lit(int(as_of[:4]) * 100 + int(as_of[5:7]))))
+    return df.where(d.isNull() | d.between(lo, hi))
 
 
 def filter_plausible_age(df: DataFrame, col: str = P.AGE_COL, lo: float = P.AGE_MIN, hi: float = P.AGE_MAX) -> DataFrame:

@@ -90,27 +90,40 @@ def _adjusted_ref(reference_date: str, now: str | None, max_date: Column,
     return F.coalesce(F.when(max_date < cutoff, max_date).otherwise(ref), ref)
 
 
+def newest_date(cases: DataFrame, col: str = P.DATE_COL) -> DataFrame:
+    """The newest date as a 1-row frame ``_max``.  On a table partitioned by
+    year and month the newest month comes from the partitions, and only that
+    month's rows are read."""
+    if {"ANO", "MES"} <= set(cases.columns):
+        ym = F.col("ANO") * 100 + F.col("MES")
+        cases = cases.where(ym == cases.agg(F.max(ym)).scalar())
+    return cases.agg(F.max(col).alias("_max"))
+
+
+def months_between(df: DataFrame, lo: Column, hi: Column) -> DataFrame:
+    """Rows whose partition can hold dates of [lo, hi]; all rows of a frame
+    without partition columns."""
+    if not {"ANO", "MES"} <= set(df.columns):
+        return df
+    ym = F.col("ANO") * 100 + F.col("MES")
+    return df.where((ym >= F.year(lo) * 100 + F.month(lo)) & (ym <= F.year(hi) * 100 + F.month(hi)))
+
+
 def _windowed(cases: DataFrame, reference_date: str, now: str | None,
               spec: dict[str, tuple[int, int, str]]) -> DataFrame:
-    """One scan: per-day summary -> global max/total over the days -> the
-    windowed sums of ``spec`` (name -> (days back from, days back to,
-    column)), all in a 1-row frame with ``ref`` and ``total_records``.
+    """The windowed sums of ``spec`` (name -> (days back from, days back to,
+    column)) in a 1-row frame with ``ref`` and ``total_records``.
 
-    The global window runs over the per-day rows only (one row per
-    distinct day), so its single partition is bounded by the calendar.
+    The newest date and the row count enter as scalar subqueries, so the one
+    scan that reads columns is cut to the months of the longest window.
     """
-    from pyspark.sql import Window
-
-    all_days = Window.partitionBy()
-    daily = daily_summary(cases)
-    dd = (daily.withColumn("_max", F.max("day").over(all_days))
-          .withColumn("_ref", _adjusted_ref(reference_date, now, F.col("_max"))))
-    r = F.col("_ref")
-    aggs = [_window_sum(col, F.date_sub(r, a), F.date_sub(r, b)).alias(name) for name, (a, b, col) in spec.items()]
-    out = dd.agg(F.max("_ref").alias("_ref"), F.sum("cases").alias("_total"), *aggs)
-    return out.select(F.coalesce(F.col("_ref"), F.to_date(F.lit(reference_date))).alias("ref"),
-                      F.coalesce(F.col("_total"), F.lit(0)).cast("bigint").alias("total_records"),
-                      *[F.col(name) for name in spec])
+    ref = newest_date(cases).select(_adjusted_ref(reference_date, now, F.col("_max")).alias("ref")).scalar()
+    counted = cases.where("ANO is not null") if "ANO" in cases.columns else cases.where(F.col(P.DATE_COL).isNotNull())
+    total = counted.agg(F.count(F.lit(1))).scalar()
+    start = F.date_sub(ref, max(back for back, _, _ in spec.values()))
+    window = months_between(cases, start, ref).where(F.col(P.DATE_COL).between(start, ref))
+    aggs = [_window_sum(col, F.date_sub(ref, a), F.date_sub(ref, b)).alias(name) for name, (a, b, col) in spec.items()]
+    return daily_summary(window).agg(*aggs).select(ref.alias("ref"), total.cast("bigint").alias("total_records"), *spec)
 
 
 # ------------------------------------------------------------------ M1

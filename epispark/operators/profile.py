@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params as P
@@ -126,8 +126,8 @@ def data_summary(df: DataFrame, top_k: int = 5) -> DataFrame:
 
     counts = _exploded_counts(df, [("top_states", P.STATE_COL), ("evolution", P.OUTCOME_COL),
                                    ("vaccination_status", "STATUS_VACINAL_COVID")]).where(F.col("item").isNotNull())
-    top = (counts.where(F.col("section") == "top_states").orderBy(F.desc("count"), "item").limit(top_k))
-    dist = counts.where(F.col("section") != "top_states").unionByName(top)
+    place = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("count"), "item"))
+    dist = counts.withColumn("_p", place).where((F.col("section") != "top_states") | (F.col("_p") <= top_k))
     dist = dist.select("section", "item", F.col("count").cast("double").alias("value"),
                        F.lit(None).cast("string").alias("text_value"))
     return scalars.unionByName(dist)
@@ -154,21 +154,23 @@ def dedupe_cases(df: DataFrame, keys: Sequence[str] = P.DEDUP_KEYS, order: Seque
 def duplicate_counts(df: DataFrame, keys: Sequence[str] = P.DUPLICATE_KEYS) -> DataFrame:
     """Full-row and key duplicates (surplus rows beyond the first)."""
     present = _present(df, keys)
-    # One scan: distinct full rows (with their multiplicity) feed both the
-    # full-row and the key counts, so the key grouping runs on the already
-    # de-duplicated rows and the first shuffle is shared.
-    rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n"))
-    full = rows.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("full_groups"))
-    if present:
-        key = rows.groupBy(*present).agg(F.sum("n").alias("n")).agg(F.count(F.lit(1)).alias("key_groups"))
-    else:
-        key = full.select(F.col("total").alias("key_groups"))
-    j = full.crossJoin(key)
+
+    def row_hash(columns: Sequence[str], names: tuple[str, str]) -> list[Column]:
+        # Two independent 64-bit hashes; a hash passes over nulls, so they are marked.
+        marked = [c for n in columns for c in (F.col(n), F.col(n).isNull())] or [F.lit(0)]
+        return [F.xxhash64(F.lit(seed), *marked).alias(name) for seed, name in enumerate(names)]
+
+    # One scan; only hashes are shuffled.  Distinct full rows feed the key groups.
+    hashed = df.select(*row_hash(df.columns, ("_r0", "_r1")), *row_hash(present or df.columns[:0], ("_k0", "_k1")))
+    rows = hashed.groupBy("_k0", "_k1", "_r0", "_r1").agg(F.count(F.lit(1)).alias("n"))
+    groups = rows.groupBy("_k0", "_k1").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("full"))
+    j = groups.agg(F.sum("n").alias("total"), F.sum("full").alias("full_groups"), F.count(F.lit(1)).alias("key_groups"))
     total = F.coalesce(F.col("total"), F.lit(0)).cast("bigint")
+    full, key = F.coalesce("full_groups", F.lit(0)), (F.col("key_groups") if present else total)
     return j.select(
         total.alias("total_records"),
-        (total - F.col("full_groups")).cast("bigint").alias("complete_duplicates"),
-        (total - F.col("key_groups")).cast("bigint").alias("key_field_duplicates"),
+        (total - full).cast("bigint").alias("complete_duplicates"),
+        (total - key).cast("bigint").alias("key_field_duplicates"),
         F.lit(",".join(present)).alias("key_fields_used"),
-        F.col("key_groups").cast("bigint").alias("unique_records"),
+        key.cast("bigint").alias("unique_records"),
     )

@@ -310,20 +310,22 @@ def q_outliers(df: DataFrame, field: str = P.AGE_COL, method: str = "iqr", facto
     values.  The bounds are a 1-row frame broadcast to the scan.
     """
     v = to_number(field)
-    nums = df.select(v.alias("v")).where(F.col("v").isNotNull())
+    # One scan: the counts of the distinct values give bounds, flags and samples.
+    values = df.select(v.alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
     probs = [0.25, 0.75] if method == "iqr" else list(bounds)
-    q = F.percentile("v", probs) if exact else F.percentile_approx("v", probs, 100000)
-    stats = nums.agg(F.count(F.lit(1)).alias("n"), q.alias("q"))
+    q = F.percentile("v", probs, F.col("c")) if exact else F.percentile_approx("v", probs, 100000)
+    stats = values.agg(F.sum("c").alias("n"), q.alias("q"))
     if method == "iqr":
         iqr = F.col("q")[1] - F.col("q")[0]
         stats = stats.select("n", (F.col("q")[0] - iqr * factor).alias("lower_bound"), (F.col("q")[1] + iqr * factor).alias("upper_bound"))
     else:
         stats = stats.select("n", F.col("q")[0].alias("lower_bound"), F.col("q")[1].alias("upper_bound"))
-    flagged = nums.crossJoin(F.broadcast(stats)).where((F.col("v") < F.col("lower_bound")) | (F.col("v") > F.col("upper_bound")))
-    count = flagged.agg(F.count(F.lit(1)).alias("outlier_count"))
-    sample = (flagged.select("v").orderBy("v").limit(samples)
-              .agg(F.array_join(F.transform(F.array_sort(F.collect_list("v")), lambda x: x.cast("string")), ",").alias("sample_outliers")))
-    j = stats.crossJoin(count).crossJoin(sample)
+    flagged = values.join(F.broadcast(stats), (F.col("v") < F.col("lower_bound")) | (F.col("v") > F.col("upper_bound"))).select("v", "c")
+    count = flagged.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("outlier_count"))
+    sample = (flagged.orderBy("v").limit(samples)
+              .agg(F.array_sort(F.flatten(F.collect_list(F.array_repeat("v", F.least("c", F.lit(samples)).cast("int"))))).alias("s"))
+              .select(F.array_join(F.transform(F.slice("s", 1, samples), lambda x: x.cast("string")), ",").alias("sample_outliers")))
+    j = stats.crossJoin(count).crossJoin(sample)  # one row each
     n, o = F.col("n"), F.col("outlier_count")
     high = o * 100 > n * warn_percent
     return j.where(n > 0).select(
@@ -351,56 +353,67 @@ def q_duplicates(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- Q10 / Q11
-def _finding_rows(df: DataFrame) -> DataFrame:
-    """Every check of Q1-Q9 as rows ``(check, field, severity, message,
-    completeness, key_dups, total)``; the last three carry what the score
-    needs (required-field completeness, key duplicates, row count).
-
-    Q1-Q7 come from one wide aggregate (Q5 as invalid-code counts); Q8 and
-    Q9 add one grouped plan each.  Findings, score and report all read this frame, so
-    each of these plans appears once (or as a reused exchange).
+_FINDING = "struct<check:string,field:string,severity:string,message:string,completeness:double,key_dups:bigint,total:bigint>"
+
+
+def _finding_row(df: DataFrame) -> DataFrame:
+    """Every check of Q1-Q9 as one row with an array ``rows`` of ``(check,
+    field, severity, message, completeness, key_dups, total)``; the last three
+    carry what the score needs (required-field completeness, key duplicates,
+    row count).
+
+    Q1-Q7 come from one wide aggregate (Q5 as invalid-code counts), Q8 from
+    the counts of distinct values, Q9 from row hashes: three scans, however
+    many of findings, score and report are read from the row.
     """
     groups = [("required", required_parts(df), "field"), ("null_profile", null_profile_parts(df), "field"),
               ("types", types_parts(df), "field"), ("ranges", ranges_parts(df), "field"),
               ("categorical", categorical_parts(df), "field"),
               ("temporal", temporal_parts(df), "pair"), ("business_rule", rules_parts(df), "rule")]
+    none = F.lit(None)
+
+    def finding(check: str, field: Column, severity: Column, message: Column, completeness=none, key_dups=none, total=none) -> Column:
+        return F.struct(F.lit(check).alias("check"), field.alias("field"), severity.alias("severity"), message.alias("message"),
+                        completeness.cast("double").alias("completeness"), key_dups.cast("bigint").alias("key_dups"),
+                        total.cast("bigint").alias("total")).cast(_FINDING)
+
     aggs: dict = {}
     rows = []
     for check, (a, parts), key in groups:
         aggs.update(a)
         for r in parts:
-            comp = (F.when(r.getField("present"), 100.0 - r.getField("null_percentage")) if check == "required"
-                    else F.lit(None).cast("double"))
-            rows.append(F.struct(F.lit(check).alias("check"), r.getField(key).alias("field"),
-                                 r.getField("severity").alias("severity"), r.getField("message").alias("message"),
-                                 comp.alias("completeness"), F.lit(None).cast("bigint").alias("key_dups"),
-                                 F.lit(None).cast("bigint").alias("total")))
-    wide = df.agg(*[c.alias(n) for n, c in aggs.items()]).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    extra = F.lit(None).cast("double").alias("completeness"), F.lit(None).cast("bigint").alias("key_dups"), F.lit(None).cast("bigint").alias("total")
-    out = q_outliers(df).select(F.lit("outliers").alias("check"), "field", "severity", "message", *extra)
-    dup = q_duplicates(df).select(F.lit("duplicates").alias("check"), F.col("kind").alias("field"), "severity", "message",
-                                  F.lit(None).cast("double").alias("completeness"),
-                                  F.when(F.col("kind") == "key_fields", F.col("duplicates")).cast("bigint").alias("key_dups"),
-                                  F.col("total_records").cast("bigint").alias("total"))
-    return wide.unionByName(out).unionByName(dup)
+            comp = F.when(r.getField("present"), 100.0 - r.getField("null_percentage")) if check == "required" else none
+            rows.append(finding(check, r.getField(key), r.getField("severity"), r.getField("message"), comp))
+    wide = df.agg(*[c.alias(n) for n, c in aggs.items()]).select(F.array(*rows).alias("w"))
+    out = q_outliers(df).agg(F.collect_list(finding("outliers", F.col("field"), F.col("severity"), F.col("message"))).alias("o"))
+    dup = q_duplicates(df).agg(F.collect_list(finding(
+        "duplicates", F.col("kind"), F.col("severity"), F.col("message"), none,
+        F.when(F.col("kind") == "key_fields", F.col("duplicates")), F.col("total_records"))).alias("d"))
+    return wide.crossJoin(out).crossJoin(dup).select(F.concat("w", "o", "d").alias("rows"))  # one row each
 
 
 def findings(df: DataFrame) -> DataFrame:
     """Every finding of Q1-Q9 as ``(check, field, severity, message)``."""
-    return _finding_rows(df).where(F.col("severity").isNotNull()).select("check", "field", "severity", "message")
+    return (_finding_row(df).select(F.explode("rows").alias("r")).where("r.severity is not null")
+            .select("r.check", "r.field", "r.severity", "r.message"))
+
 
+def _score(one: DataFrame) -> DataFrame:
+    """The score's columns beside ``rows``."""
+    def number(keep) -> Column:
+        return F.size(F.filter("rows", keep)).cast("bigint")
 
-def _score(rows: DataFrame) -> DataFrame:
-    s = rows.agg(F.count_if(F.col("severity") == "error").alias("errors"),
-                 F.count_if(F.col("severity") == "warning").alias("warnings"),
-                 F.count(F.col("completeness")).alias("req_n"), F.sum("completeness").alias("req_sum"),
-                 F.max("key_dups").alias("key_dups"), F.max("total").alias("total_records"))
+    req = F.filter(F.transform("rows", lambda r: r["completeness"]), lambda c: c.isNotNull())
+    s = one.select("rows", number(lambda r: r["severity"] == "error").alias("errors"), number(lambda r: r["severity"] == "warning").alias("warnings"),
+                   F.size(req).alias("req_n"), F.aggregate(req, F.lit(0.0), lambda t, c: t + c).alias("req_sum"),
+                   F.array_max(F.transform("rows", lambda r: r["key_dups"])).alias("key_dups"),
+                   F.array_max(F.transform("rows", lambda r: r["total"])).alias("total_records"))
     base = F.lit(100.0) - F.col("errors") * P.SCORE_PER_ERROR - F.col("warnings") * P.SCORE_PER_WARNING
     with_comp = F.when(F.col("req_n") > 0, base * (F.col("req_sum") / F.col("req_n") / 100.0)).otherwise(base)
     rate = F.when(F.col("total_records") > 0, F.col("key_dups") / F.col("total_records")).otherwise(F.lit(0.0))
     raw = with_comp - rate * P.SCORE_DUPLICATE_WEIGHT
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw))
-    return s.select("errors", "warnings", F.col("total_records").cast("bigint").alias("total_records"),
+    return s.select("rows", "errors", "warnings", F.col("total_records").cast("bigint").alias("total_records"),
                     F.col("key_dups").alias("key_field_duplicates"),
                     (F.floor(clamped * 100 + 0.5) / 100.0).alias("quality_score"),
                     (F.col("errors") == 0).alias("passed"))
@@ -409,22 +422,16 @@ def _score(rows: DataFrame) -> DataFrame:
 def quality_score(df: DataFrame) -> DataFrame:
     """Q10: 100 - 10*errors - 2*warnings, times the mean completeness of the
     required fields, minus 20 * key-duplicate rate; clamped to 0..100."""
-    return _score(_finding_rows(df))
+    return _score(_finding_row(df)).drop("rows")
 
 
 def quality_report(df: DataFrame) -> DataFrame:
-    """Q11: all findings plus summary rows, one long table; findings and
-    summary read the same finding rows."""
-    rows = _finding_rows(df)
-    fnd = rows.where(F.col("severity").isNotNull()).select(
-        "check", "field", "severity", "message", F.lit(None).cast("double").alias("value"))
-    s = _score(rows)
-    summary = s.select(F.explode(F.array(
-        F.struct(F.lit("total_records").alias("field"), F.col("total_records").cast("double").alias("value")),
-        F.struct(F.lit("errors").alias("field"), F.col("errors").cast("double").alias("value")),
-        F.struct(F.lit("warnings").alias("field"), F.col("warnings").cast("double").alias("value")),
-        F.struct(F.lit("quality_score").alias("field"), F.col("quality_score").alias("value")),
-        F.struct(F.lit("passed").alias("field"), F.col("passed").cast("double").alias("value")),
-    )).alias("r")).select(F.lit("summary").alias("check"), "r.field", F.lit(None).cast("string").alias("severity"),
-                          F.lit(None).cast("string").alias("message"), "r.value")
-    return fnd.unionByName(summary)
+    """Q11: all findings plus summary rows, one long table, exploded from the
+    one finding row."""
+    summary = F.array(*[F.struct(F.lit("summary").alias("check"), F.lit(name).alias("field"), F.lit(None).cast("string").alias("severity"),
+                                 F.lit(None).cast("string").alias("message"), F.col(name).cast("double").alias("value"))
+                        for name in ("total_records", "errors", "warnings", "quality_score", "passed")])
+    found = F.transform(F.filter("rows", lambda r: r["severity"].isNotNull()), lambda r: F.struct(
+        r["check"].alias("check"), r["field"].alias("field"), r["severity"].alias("severity"), r["message"].alias("message"),
+        F.lit(None).cast("double").alias("value")))
+    return _score(_finding_row(df)).select(F.explode(F.concat(found, summary)).alias("r")).select("r.*")

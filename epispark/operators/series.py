@@ -65,17 +65,17 @@ def monthly_counts(cases: DataFrame, as_of: str, days: int = 365, col: str = P.D
     """A2: cases per month in [as_of - days, as_of]; when that window is
     empty, every case from ``max(date) - days`` on (no upper bound).
 
-    One scan: a per-day count (bounded by the number of days) carries
-    both the window test and ``max(date)``.
+    Whether the window holds a case, and the newest date, enter as scalar
+    subqueries; every scan is cut to the months it needs.
     """
-    d = F.col(col)
-    daily = cases.where(d.isNotNull()).groupBy(d.alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    lo, hi = F.date_sub(_d(as_of), days), _d(as_of)
-    stats = daily.agg(F.sum(F.when(F.col("day").between(lo, hi), F.col("n"))).alias("recent"),
-                      F.max("day").alias("max_day"))
-    picked = daily.crossJoin(F.broadcast(stats)).where(
-        F.when(F.coalesce(F.col("recent"), F.lit(0)) > 0, F.col("day").between(lo, hi))
-        .otherwise(F.col("day") >= F.date_sub(F.col("max_day"), days)))
+    from .metrics import months_between, newest_date
+
+    d, lo, hi = F.col(col), F.date_sub(_d(as_of), days), _d(as_of)
+    recent = months_between(cases, lo, hi).where(d.between(lo, hi)).agg((F.count(F.lit(1)) > 0).alias("v")).scalar()
+    newest = newest_date(cases, col).scalar()
+    start, end = F.when(recent, lo).otherwise(F.date_sub(newest, days)), F.when(recent, hi).otherwise(newest)
+    picked = (months_between(cases, start, end).where(d.between(start, end))
+              .groupBy(d.alias("day")).agg(F.count(F.lit(1)).alias("n")))
     return (picked.groupBy(F.year("day").alias("year"), F.month("day").alias("month"))
             .agg(F.sum("n").cast("bigint").alias("cases"))
             .withColumn("month_start", F.make_date("year", "month", F.lit(1)))

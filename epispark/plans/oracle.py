@@ -854,3 +854,8 @@ SELECT (SELECT count(*) FROM {sub('metrics_bundle')} b) AS metrics_count,
   CAST((SELECT count(*) > 0 FROM {sub('daily_calendar_fill')} d) AS INTEGER) + CAST((SELECT count(*) > 0 FROM {sub('monthly_counts')} m) AS INTEGER) AS charts_generated,
   (SELECT count(*) FROM {sub('article_flow')} a) AS news_articles_analyzed
 """)
+
+# The file sinks read back what they wrote: the header of the landed CSV, and
+# the rows of the report.
+register("src_delimiter", "SELECT ';' AS delimiter, CAST((SELECT count(*) - 1 FROM (DESCRIBE SELECT * FROM raw_cases)) AS INTEGER) AS semicolons, CAST(0 AS INTEGER) AS commas")
+ORACLE["sink_quality_json"] = ORACLE["quality_report"]

@@ -34,10 +34,6 @@ def load_quality_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("check string, field string, severity string, message string, value double").json(path)
 
 
-def summary_only(report: DataFrame) -> DataFrame:
-    return report.where(F.col("check") == "summary")
-
-
 def append_quality_run(report: DataFrame, path: str, run_id: str, run_at: str) -> None:
     """Q11 run counters: append one row per validation run (id, time,
     passed, errors, warnings, score, records) to a history table."""
