@@ -4,8 +4,10 @@ functions only.
 A line goes where an equal line, or one within ``max_edits`` edits, occurs
 earlier.  Distinct lines are cut into ``max_edits + 1`` segments; two lines
 within the distance share a segment exactly, at a place that the lengths
-bound, so a segment index by length is probed with few substrings.  Survivors
-of a letter-parity test are verified with a banded bit-parallel automaton.
+bound, so a segment index by length is probed with few substrings.  A first
+pass only marks the lines that share a segment with another line; among those
+a join pairs lines that also pass a letter-parity test, and a banded
+bit-parallel automaton verifies the pairs.
 
 Texts shuffle once, keyed by row; everything else is hashes and positions.
 """
@@ -19,37 +21,40 @@ from epispark.llm.common import landed
 PARITY = "etaoinshrdlucmfwygpbvk"
 
 
-def index_plan(edits: int) -> list[tuple[int, int, int]]:
-    """(less, segment, shift) of a line's own segments."""
-    return [(0, i, 0) for i in range(edits + 1)]
-
-
 def probe_plan(edits: int) -> list[tuple[int, int, int]]:
     """(less, segment, shift): where a line may hold a segment of a line that
     is shorter by ``less``.  If the first ``i`` segments hold at most ``i``
     edits and the later ones the rest, the shift is bounded from both ends;
-    only starts within both bounds are probed."""
+    only starts within both bounds are probed.  With less and shift 0 the
+    substring is the line's own segment, its entry in the index."""
     return [(less, i, shift) for less in range(edits + 1) for i in range(edits + 1)
             for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
 
 
-def with_keys(lines: DataFrame, plan: list[tuple[int, int, int]], edits: int, names: tuple[str, str]) -> DataFrame:
-    """A row per line and planned substring: the line's ``_h`` and ``_len``
-    under ``names``, and ``key``, a hash of segment number, length and
-    substring.  A line of n bytes has even segments, the longer ones last."""
+def with_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """A row per line and planned substring: the line's columns but the text,
+    ``own`` (whether it is the line's own segment) and ``key``, a hash of
+    segment number, length and substring.  A line of n bytes has even
+    segments, the longer ones last."""
     parts = edits + 1
-    spots = F.array(*[F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for less, i, shift in plan])
-    spread = lines.select("_h", "_len", F.col("_line").cast("binary").alias("_b"), F.explode(spots).alias("_p")).select(
-        "_h", "_len", "_b", F.col("_p.i").alias("_i"), F.col("_p.shift").alias("_s"), (F.col("_len") - F.col("_p.less")).alias("_other"))
-    short = F.expr(f"cast(_other div {parts} as int)")
-    spread = spread.select("*", short.alias("_short"), (F.col("_i") - (parts - F.col("_other") % parts)).alias("_over"))
+    kept = [c for c in lines.columns if c != "_line"]
+    spots = F.array(*[F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for less, i, shift in probe_plan(edits)])
+    spread = lines.select(*kept, F.col("_line").cast("binary").alias("_b"), F.explode(spots).alias("_p")).select(
+        *kept, "_b", F.col("_p.i").alias("_i"), F.col("_p.shift").alias("_s"), (F.col("_len") - F.col("_p.less")).alias("_other"))
+    spread = spread.select("*", F.expr(f"cast(_other div {parts} as int)").alias("_short"), (F.col("_i") - (parts - F.col("_other") % parts)).alias("_over"))
     spread = spread.select("*", (F.col("_short") * F.col("_i") + F.greatest(F.col("_over"), F.lit(0)) + 1 + F.col("_s")).alias("_at"),
                            (F.col("_short") + F.when(F.col("_over") >= 0, 1).otherwise(0)).alias("_size"))
     inside = (F.col("_at") >= 1) & (F.col("_at") + F.col("_size") - 1 <= F.col("_len"))
-    return spread.where(inside).select(F.col("_h").alias(names[0]), F.col("_len").alias(names[1]),
+    return spread.where(inside).select(*kept, ((F.col("_s") == 0) & (F.col("_other") == F.col("_len"))).alias("own"),
                                        F.xxhash64("_i", "_other", F.substr("_b", F.col("_at"), F.col("_size"))).alias("key"))
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value evaluated once: a lambda in ``use`` would
+    evaluate the expression again for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def parity(line: Column) -> Column:
     """One bit per letter: whether it occurs an odd number of times.  An edit
     changes at most two bits."""
@@ -121,13 +126,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError("max_edits must be 0 to 3 and less than min_bytes")
     kept_cols = [F.col(c) for c in keep]
     last = F.lit((1 << 63) - 1)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"),
-                       F.xxhash64(F.col(id_col), F.col(text_col), *kept_cols).alias("_k"),
-                       F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col), *kept_cols).alias("_g"))
+    every = [F.col(id_col), F.col(text_col), *kept_cols]
+    marks = [c.isNull() for c in every]  # a hash passes over nulls
+    row_key = [F.xxhash64(*every, *marks).alias("_k"), F.xxhash64(F.lit(1), *every, *marks).alias("_g")]
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), *row_key)
     lines = F.split("_t", "\n")
     found = (rows.select(F.coalesce("_id", last).alias("_o"), "_k", "_g", F.posexplode(lines).alias("_n", "_line"))
              .where(F.octet_length("_line") >= min_bytes)
              .select("_o", "_k", "_g", "_n", F.xxhash64("_line").alias("_h"), F.octet_length("_line").alias("_len")))
+    found = landed(found, "line-places")
     # One row per distinct line: where it occurs first, and how often.
     distinct = landed(found.groupBy("_h", "_len").agg(F.min(F.struct("_o", "_n", "_k", "_g")).alias("f"), F.count("*").alias("_times"))
                       .select("_h", "_len", "_times", "f.*"), "lines")
@@ -137,27 +144,29 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         places = (wanted.groupBy("_k", "_g").agg(F.collect_list(F.struct("_n", "_h", "_len")).alias("_p"))
                   .withColumnRenamed("_k", "_pk").withColumnRenamed("_g", "_pg"))
         held = rows.join(places.hint("shuffle_hash"), (F.col("_k") == F.col("_pk")) & (F.col("_g") == F.col("_pg")), "left")
-        own = F.transform("_p", lambda p: F.struct(p["_h"].alias("_h"), p["_len"].alias("_len"), p["_n"].alias("_n"),
-                                                   F.get(lines, p["_n"]).alias("_line"), F.col("_id").alias("_id")))
+        own = _bound(F.struct(lines.alias("l"), F.col("_p").alias("p"), F.col("_id").alias("id")), lambda r: F.transform(r["p"], lambda p: F.struct(
+            p["_h"].alias("_h"), p["_len"].alias("_len"), F.get(r["l"], p["_n"]).alias("_line"), r["id"].alias("_id"))))
         # Of rows that are repeated whole, one; they share a partition already.
         single = held.where("_p is not null").withColumn("_r", F.row_number().over(W.partitionBy("_k", "_g").orderBy("_k"))).where("_r = 1")
         return single.select(F.explode(own).alias("l")).select("l.*")
 
-    every = texts(distinct)
     if max_edits:
-        index = with_keys(every, index_plan(max_edits), max_edits, ("a", "a_len"))
-        probes = with_keys(every, probe_plan(max_edits), max_edits, ("b", "b_len"))
-        pairs = (index.join(probes, "key").where((F.col("a_len") < F.col("b_len")) | (F.col("a") < F.col("b")))
+        # Lines that share a segment with another line; no pair is made yet.
+        keys = with_keys(texts(distinct).select("_h", "_len", "_line"), max_edits)
+        same = W.partitionBy("key")
+        other = lambda h: (F.min(h).over(same) != F.col("_h")) | (F.max(h).over(same) != F.col("_h"))
+        shared = (keys.select("key", "_h", "own", F.when(F.col("own"), F.col("_h")).alias("_x"))
+                  .withColumn("_live", F.when(F.col("own"), other("_h")).otherwise(other("_x"))).where("_live").select("_h").distinct())
+        near_lines = landed(texts(distinct.join(shared, "_h", "left_semi")).select("_h", "_len", "_line", parity(F.col("_line")).alias("_bits")), "near-lines")
+        keys = with_keys(near_lines, max_edits)
+        index = keys.where("own").select("key", F.col("_h").alias("a"), F.col("_len").alias("a_len"), F.col("_bits").alias("a_bits"))
+        probes = keys.select("key", F.col("_h").alias("b"), F.col("_len").alias("b_len"), F.col("_bits").alias("b_bits"))
+        close = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= 2 * max_edits
+        pairs = (index.join(probes, "key").where(((F.col("a_len") < F.col("b_len")) | (F.col("a") < F.col("b"))) & close)
                  .select("a", "a_len", "b", "b_len").distinct())
-        pairs = landed(pairs, "line-pairs")
-        ends = pairs.select(F.col("a").alias("_h"), F.col("a_len").alias("_len")).unionByName(
-            pairs.select(F.col("b").alias("_h"), F.col("b_len").alias("_len"))).distinct()
-        some = texts(distinct.join(ends, ["_h", "_len"], "left_semi")).select("_h", "_len", "_line")
-        a = some.select(F.col("_h").alias("a"), F.col("_len").alias("a_len"), F.col("_line").alias("a_line"))
-        b = some.select(F.col("_h").alias("b"), F.col("_len").alias("b_len"), F.col("_line").alias("b_line"))
-        near = F.bit_count(parity(F.col("a_line")).bitwiseXOR(parity(F.col("b_line")))) <= 2 * max_edits
-        same = within_edits(F.col("a_line").cast("binary"), F.col("b_line").cast("binary"), max_edits)
-        linked = landed(pairs.join(a, ["a", "a_len"]).join(b, ["b", "b_len"]).where(F.when(near, same).otherwise(F.lit(False)))
+        a = near_lines.select(F.col("_h").alias("a"), F.col("_len").alias("a_len"), F.col("_line").cast("binary").alias("a_line"))
+        b = near_lines.select(F.col("_h").alias("b"), F.col("_len").alias("b_len"), F.col("_line").cast("binary").alias("b_line"))
+        linked = landed(pairs.join(a, ["a", "a_len"]).join(b, ["b", "b_len"]).where(within_edits(F.col("a_line"), F.col("b_line"), max_edits))
                         .select("a", "a_len", "b", "b_len"), "line-links")
         both = linked.select(F.col("a").alias("_h"), F.col("a_len").alias("_len"), F.col("b").alias("h2"), F.col("b_len").alias("len2")).unionByName(
             linked.select(F.col("b").alias("_h"), F.col("b_len").alias("_len"), F.col("a").alias("h2"), F.col("a_len").alias("len2")))
@@ -174,16 +183,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select(F.col("_k").alias("_pk"), F.col("_g").alias("_pg"), "_gone", "_class",
                 F.aggregate("_l", F.lit(0).cast("long"), lambda s, x: s + x["_links"]).alias("n_links")))
     out = rows.join(per_row.hint("shuffle_hash"), (F.col("_k") == F.col("_pk")) & (F.col("_g") == F.col("_pg")), "left")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     some_gone = F.size("_gone") > 0  # null where nothing was found
-    kept = F.when(some_gone, F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")).otherwise(F.col("_t"))
-    out = out.select(F.col("_id").alias(id_col), F.when(F.col("_t").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+    kept = _bound(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda i: F.get(x, i)), "\n"))
+    n_lines = F.octet_length("_t") - F.octet_length(F.replace("_t", F.lit("\n"), F.lit(""))) + 1
+    out = out.select(F.col("_id").alias(id_col), F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"),
                      F.coalesce(F.when(some_gone, F.size("_gone")), F.lit(0)).cast("long").alias("n_removed"),
                      F.coalesce("n_links", F.lit(0)).alias("n_links"),
-                     F.least("_id", F.when(F.col("_class") < last, F.col("_class"))).alias("class_id"), kept.alias("kept"),
+                     F.least("_id", F.when(F.col("_class") < last, F.col("_class"))).alias("class_id"),
+                     F.when(some_gone, kept).otherwise(F.col("_t")).alias("kept"),
                      *([F.col("_k"), F.col("_g")] if keep else []))
     if not keep:
         return out
-    others = docs.select(F.xxhash64(F.col(id_col), F.col(text_col), *kept_cols).alias("_k"),
-                         F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col), *kept_cols).alias("_g"), *kept_cols).distinct()
+    others = docs.select(*row_key, *kept_cols).distinct()
     return out.join(others, ["_k", "_g"]).drop("_k", "_g")
