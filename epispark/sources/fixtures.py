@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 RAW_CASES_SQL = """
 SELECT
   cast(l.l_orderkey * 10 + l.l_linenumber AS string) AS NU_NOTIFIC,
-  cast(cast(o.o_orderdate AS date) AS string) AS DT_NOTIFIC,
-  n.n_name AS SG_UF_NOT,
+  CASE WHEN l.l_orderkey % 397 = 0 THEN NULL WHEN l.l_orderkey % 401 = 0 THEN '2001-13-45' ELSE cast(cast(o.o_orderdate AS date) AS string) END AS DT_NOTIFIC,
+  CASE WHEN l.l_orderkey % 397 = 0 AND l.l_linenumber % 2 = 0 OR l.l_partkey % 307 = 0 THEN NULL ELSE n.n_name END AS SG_UF_NOT,
   cast(100000 + o.o_custkey AS string) AS CO_MUN_NOT,
   CASE WHEN l.l_partkey % 50 = 0 THEN 'I' WHEN l.l_partkey % 50 = 1 THEN 'X' WHEN l.l_partkey % 2 = 0 THEN 'F' ELSE 'M' END AS CS_SEXO,
   CASE WHEN l.l_partkey % 20 = 0 THEN NULL WHEN l.l_partkey % 97 = 0 THEN 'abc' WHEN l.l_partkey % 101 = 0 THEN '12d' ELSE cast((l.l_suppkey * 7 + l.l_linenumber * 13 + l.l_orderkey) % 131 - 5 AS string) END AS NU_IDADE_N,
