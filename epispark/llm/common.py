@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from epispark.session import scratch_path
 
 SLICE_BYTES = 1 << 18
+# Arrow batches between Spark and Python: rows and bytes at most.
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,3 +41,18 @@ def text_slices(batches, column: str, most: int = SLICE_BYTES) -> Iterator[pa.Re
                 start, held = i, 0
             held += int(size)
         yield batch.slice(start)
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with small batches, so that a Python worker holds a few
+    megabytes of text at a time (a longer text alone); the session keeps
+    smaller limits of its own."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def small_batches(spark: SparkSession) -> None:
+    for name, most in BATCH_LIMITS.items():
+        now = int(str(spark.conf.get(name)).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))

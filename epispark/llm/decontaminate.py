@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from epispark.llm.common import text_slices
+from epispark.llm.common import map_batches, text_slices
 from epispark.llm.shards import found_in, runs
 from epispark.llm.words import spans, text_bytes, word_codes
 
@@ -228,7 +228,7 @@ def _scan(source: DataFrame, schema: str, phrases: Phrases, shard_bytes: int) ->
                 [*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(hit, pa.string()), pa.array(names, pa.string())],
                 names=[*batch.schema.names[:-1], "n_words", "spans", "items"])
 
-    return source.mapInArrow(run, f"{schema}, n_words long, spans string, items string")
+    return map_batches(source, run, f"{schema}, n_words long, spans string, items string")
 
 
 def _merge(column: str) -> str:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from epispark.llm.common import text_slices
+from epispark.llm.common import map_batches, text_slices
 
 # Element names of HTML and words that mark page furniture.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -249,4 +249,4 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_c
 
     source = pages.select(*keep, F.col(html_col).alias("_h"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)

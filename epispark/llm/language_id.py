@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql import types as T
 
-from epispark.llm.common import landed, text_slices
+from epispark.llm.common import landed, map_batches, text_slices
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 MOST_GRAM = 5
@@ -106,7 +106,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             yield pa.RecordBatch.from_pydict({"_l": pa.array([r[0] for r in rows], pa.string()), "kind": pa.array([r[1] for r in rows], pa.int32()),
                                               "g": pa.array([r[2] for r in rows], pa.string()), "n": pa.array([r[3] for r in rows], pa.int64())})
 
-    counts = sample.mapInArrow(count, "_l string, kind int, g string, n long").groupBy("kind", "g", "_l").agg(F.sum("n").alias("n"))
+    counts = map_batches(sample, count, "_l string, kind int, g string, n long").groupBy("kind", "g", "_l").agg(F.sum("n").alias("n"))
     counts = landed(counts, "grams")
     languages = sorted(r[0] for r in counts.select("_l").distinct().limit(MOST_LANGUAGES).collect())
     if not languages:
@@ -129,16 +129,17 @@ def identify(docs: DataFrame, model: Model, id_cols: list[str], text_col: str =
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the model's two limits
 
+    source = docs.select(*id_cols, *([] if text_col in id_cols else [text_col]))
+
     def run(batches):
-        for batch in text_slices(batches, "_t"):
-            made = [shared.value.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+        for batch in text_slices(batches, text_col):
+            made = [shared.value.predict(t) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())],
+                [*batch.columns[:len(id_cols)], pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())],
                 names=[*id_cols, "lang_pred", "score"])
 
-    source = docs.select(*id_cols, F.col(text_col).alias("_t"))
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return source.mapInArrow(run, schema)
+    schema = T.StructType([*source.schema.fields[:len(id_cols)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return map_batches(source, run, schema)
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **limits) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql import types as T
 
-from epispark.llm.common import landed
+from epispark.llm.common import landed, map_batches
 
 _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
@@ -127,7 +127,7 @@ def _search(index: DataFrame, queries: list, model: Codes, radius: int, k: int)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())],
                                              names=["_row", "_near", "score"])
 
-    return index.mapInArrow(run, "_row long, _near long, score double")
+    return map_batches(index, run, "_row long, _near long, score double")
 
 
 def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10,
@@ -165,7 +165,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
                                                  names=["_id", "_code", "_v", "_q"])
 
     schema = T.StructType([rows.schema[0], T.StructField("_code", T.BinaryType()), rows.schema[1], rows.schema[2]])
-    index = landed(rows.mapInArrow(encode, schema), "codes")
+    index = landed(map_batches(rows, encode, schema), "codes")
     asked = index.where("_q").select("_id", "_v")
     parts = max(1, -(-asked.count() // block))
     asked = landed(asked.withColumn("_row", F.monotonically_increasing_id())

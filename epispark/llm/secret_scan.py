@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from epispark.llm.common import text_slices
+from epispark.llm.common import map_batches, text_slices
 
 # The patterns of the contract, with the least length of group 2
 # (assign) or of the match.  Letters of assign match in either case, ASCII only.
@@ -93,7 +93,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", docum
             yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(at), pa.string()), "pair": pa.array(at, pa.int64()), "n": pa.array(c[at], pa.int64())})
 
     sample = marked.where(F.col("_h") <= F.lit(most)).select("_t").limit(documents)
-    rows = sample.mapInArrow(count, "kind string, pair long, n long").groupBy("kind", "pair").agg(F.sum("n").alias("n"))
+    rows = map_batches(sample, count, "kind string, pair long, n long").groupBy("kind", "pair").agg(F.sum("n").alias("n"))
     for kind, pair, n in rows.collect():  # at most two rows per character pair
         counts[kind][pair] = n
     return learn(counts)
@@ -145,4 +145,4 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source = docs.select(id_col, F.col(text_col).alias("_t"))
     schema = T.StructType([source.schema[0], *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS],
                            T.StructField("base", T.StringType()), T.StructField("spans", T.StringType())])
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)

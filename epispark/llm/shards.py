@@ -16,7 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from epispark.llm.common import text_slices
+from epispark.llm.common import map_batches, text_slices
 
 NO_FIRST = np.iinfo(np.int64).max  # no document holds it
 
@@ -39,7 +39,7 @@ def sharded(docs: DataFrame, id_col: str, text_col: str, shards: int) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([packer.compress(t) for t in texts], pa.binary())],
                                              names=["_shard", "_id", "_z"])
 
-    return source.mapInArrow(squeeze, "_shard long, _id long, _z binary")
+    return map_batches(source, squeeze, "_shard long, _id long, _z binary")
 
 
 def texts_of(shard: pa.Table) -> tuple[pa.Array, list[bytes]]:

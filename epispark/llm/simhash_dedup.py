@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from epispark.llm.common import landed, text_slices
+from epispark.llm.common import landed, map_batches, text_slices
 from epispark.llm.components import components
 from epispark.llm.words import space_words, text_bytes
 
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     source = docs.select(F.col(id_col), F.col(text_col).alias("_t"))
     schema = T.StructType([source.schema[0], T.StructField("_fp", T.LongType())])
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
 
 
 _HALF = 0xFFFFFFFF
