@@ -12,6 +12,7 @@ from epispark.llm.html_extract import extract
 from epispark.llm.language_id import language_id
 from epispark.llm.line_dedup import line_dedup
 from epispark.llm.nearest import nearest
+from epispark.llm.oracle import ORACLE
 from epispark.llm.secret_scan import secret_scan
 from epispark.llm.simhash_dedup import simhash_groups
 from epispark.llm.source_mix import mix_sources
@@ -49,7 +50,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.col("items"), 256).alias("items_sha256"),
-                        (F.col("n_hit") > 0).alias("contaminated"), "spans")
+                        (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +66,8 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
 
+__all__ = ["ORACLE", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_substring_dedup, op2_source_mix, op3_line_dedup, op4_language_id, op5_nearest, op6_secret_scan, op7_decontaminate, op8_html_extract, op9_suffix_dedup, op10_simhash_dedup)
-}
-
-ORACLE: dict[str, str] = {}
+}
\ No newline at end of file
