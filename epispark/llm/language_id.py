@@ -37,32 +37,38 @@ class Model:
         self.languages = languages
         self.words, self.word_logs = _table(*words)
         self.grams, self.gram_logs = _table(*grams)
-        self.unseen: dict[str, np.ndarray] = {}
+        self.unseen: dict[str, list[int]] = {}
 
-    def _backed_off(self, word: str) -> np.ndarray:
-        """Scores of an unseen word: the mean over its known grams of the
-        longest length that has any, else none."""
+    def _known_grams(self, word: str) -> list[int]:
+        """Rows of an unseen word's known grams, of the longest length that
+        has any."""
+        edged, get = f"<{word}>", self.grams.get
         for n in range(MOST_GRAM, 0, -1):
-            if rows := [g for x in word_grams(word, n) if (g := self.grams.get(x)) is not None]:
-                return self.gram_logs[rows].mean(axis=0)
-        return np.zeros(len(self.languages))
+            if rows := [g for i in range(len(edged) - n + 1) if (g := get(edged[i:i + n])) is not None]:
+                return rows
+        return []
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        """The best language and its share of the likelihood.  A known word
+        adds its logs, an unseen one the mean logs of its known grams."""
         words = Counter(letter_words(text or ""))
         if not any(c.isalpha() for w in words for c in w) or not self.languages:
             return "und", 0.0
-        rows, times, total = [], [], np.zeros(len(self.languages))
+        rows, times, gram_rows, gram_times = [], [], [], []
+        get, unseen = self.words.get, self.unseen
         for word, n in words.items():
-            if (row := self.words.get(word)) is not None:
+            if (row := get(word)) is not None:
                 rows.append(row)
                 times.append(n)
                 continue
-            if (scores := self.unseen.get(word)) is None:
-                if len(self.unseen) > 50_000:
-                    self.unseen.clear()
-                scores = self.unseen[word] = self._backed_off(word)
-            total = total + n * scores
-        total += np.array(times, dtype=float) @ self.word_logs[rows]
+            if (grams := unseen.get(word)) is None:
+                if len(unseen) > 100_000:
+                    unseen.clear()
+                grams = unseen[word] = self._known_grams(word)
+            if grams:
+                gram_rows += grams
+                gram_times += [n / len(grams)] * len(grams)
+        total = np.array(times, dtype=float) @ self.word_logs[rows] + np.array(gram_times, dtype=float) @ self.gram_logs[gram_rows]
         best = int(np.argmax(total))
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
