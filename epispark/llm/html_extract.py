@@ -24,6 +24,9 @@ MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadc
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 ROOTS = frozenset({"html", "body", "article", "main"})
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CELLS = frozenset("li dt dd td th caption".split())
+WHOLE = frozenset("ul ol menu dl table".split())
+KEPT = WHOLE | {"pre", "blockquote", "figcaption"}
 DEEPEST = 400  # elements nested deeper become siblings; their text stays
 
 # A comment, a tag (end mark, name, attributes), or another declaration.
@@ -167,26 +170,35 @@ def _scaled(values: list[float]) -> list[float]:
     return [v / most for v in values] if most > 0 else values
 
 
-def path_scores(paths: list[str], texts: list[str], linked: list[int], share: float = 0.2) -> tuple[dict[str, float], float]:
+def path_scores(paths: list[str], units: list[int], texts: list[str], linked: list[int], share: float = 0.2) -> tuple[dict[str, float], float]:
     """Fused score of every tag path, and the threshold of content paths.
 
     Per path: text length outside links and punctuation, each over the number
-    of its nodes.  Both ratios are smoothed over the paths in order of first
-    appearance, averaged with the path's own, scaled to 1 and fused by their
-    geometric mean; the threshold is ``share`` of the highest fused score.
+    of its nodes (``units``).  Both ratios are smoothed over the nodes in page
+    order, averaged with the path's own, scaled to 1 and fused by their
+    geometric mean, times the share of the path's text outside links; the
+    threshold is ``share`` of the highest fused score.
     """
     sums: dict[str, list[int]] = {}
-    for path, text, n in zip(paths, texts, linked):
-        own = sums.setdefault(path, [0, 0, 0])
-        own[0] += 1
+    order: dict[int, str] = {}
+    for path, unit, text, n in zip(paths, units, texts, linked):
+        own = sums.setdefault(path, [0, 0, 0, 0])
+        own[0] += unit not in order
+        order.setdefault(unit, path)
         own[1] += max(len(text) - n, 0)
         own[2] += sum(map(text.count, PUNCTUATION))
+        own[3] += len(text)
+    if not sums:
+        return {}, 0.0
     ratios = []
     for k in (1, 2):
-        own = [s[k] / s[0] for s in sums.values()]
-        ratios.append([(x + y) / 2 for x, y in zip(_scaled(own), _scaled(_smooth(own)))])
+        own = {path: s[k] / s[0] for path, s in sums.items()}
+        near = dict.fromkeys(sums, 0.0)
+        for path, v in zip(order.values(), _smooth([own[p] for p in order.values()])):
+            near[path] += v / sums[path][0]
+        ratios.append([(x + y) / 2 for x, y in zip(_scaled([*own.values()]), _scaled([*near.values()]))])
     fused = [(length * (marks + 0.05) / 1.05) ** 0.5 for length, marks in zip(*ratios)]
-    return dict(zip(sums, fused)), share * max(fused)
+    return {path: f * (s[1] / s[3]) for (path, s), f in zip(sums.items(), fused)}, share * max(fused)
 
 
 def main_text(html: str | None) -> str:
@@ -203,10 +215,17 @@ def main_text(html: str | None) -> str:
         above[node] = (*above[parent], node)
         names[node] = f"{names[parent]}>{tag}"
     line = above.__getitem__
-    texts, linked = [b[1] for b in blocks], [b[2] for b in blocks]
-    paths = [names[b[0]] for b in blocks]
-    scores, threshold = path_scores(paths, texts, linked)
-    weight = [scores[p] * len(t) if scores[p] >= threshold else 0.0 for p, t in zip(paths, texts)]
+    # A block of a list or table counts for the whole list or table.
+    units = [next((n for n in reversed(line(b[0])) if page.nodes[n][1] in WHOLE), b[0]) if page.nodes[b[0]][1] in CELLS else b[0] for b in blocks]
+    paths = [names[u] for u in units]
+    tested = [i for i, b in enumerate(blocks) if page.nodes[b[0]][1] not in HEADINGS]
+    scores, threshold = path_scores([paths[i] for i in tested], [units[i] for i in tested],
+                                    [blocks[i][1] for i in tested], [blocks[i][2] for i in tested])
+    for path in scores:  # lists, tables and the like in an article
+        above_it = path.split(">")
+        if above_it[-1] in KEPT and ("article" in above_it or "main" in above_it):
+            scores[path] *= 1.5
+    weight = [scores[p] * len(b[1]) if scores.get(p, -1.0) >= threshold else 0.0 for p, b in zip(paths, blocks)]
     total = sum(weight)
     inside: dict[int, float] = {}
     for block, w in zip(blocks, weight):
@@ -215,18 +234,28 @@ def main_text(html: str | None) -> str:
     # The content root: the best article or main; otherwise the deepest
     # element that holds most of the selected paths' weight.
     marked = [n for n in inside if page.nodes[n][1] in ("article", "main")]
-    if marked and max(inside[n] for n in marked) >= 0.3 * total:
-        best = max(marked, key=lambda n: (inside[n], -n))
-        return " ".join(b[1] for b in blocks if best in line(b[0]))
     root = 0
-    for node in sorted(inside):
-        if page.nodes[node][0] == root and inside[node] >= 0.7 * total and page.nodes[node][1] not in ("p", "li", "td", "tr", "pre", "blockquote"):
-            root = node
-    kept = []
-    for block, path in zip(blocks, paths):
-        if root in line(block[0]) and (scores[path] >= threshold or page.nodes[block[0]][1] in HEADINGS or block[2] * 2 < len(block[1])):
+    if marked and max(inside[n] for n in marked) >= 0.3 * total:
+        root = max(marked, key=lambda n: (inside[n], -n))
+    else:
+        for node in sorted(inside):
+            if page.nodes[node][0] == root and inside[node] >= 0.7 * total and page.nodes[node][1] not in ("p", "li", "td", "tr", "pre", "blockquote"):
+                root = node
+    # Within it the path scores choose; a heading goes with what it heads,
+    # and stays if that is nothing.
+    kept, any_block, any_kept = [], False, False
+    for block, path in zip(reversed(blocks), reversed(paths)):
+        if root not in line(block[0]):
+            continue
+        if page.nodes[block[0]][1] in HEADINGS:
+            chosen = any_kept or not any_block
+            any_block = any_kept = False
+        else:
+            chosen = scores[path] >= threshold
+            any_block, any_kept = True, any_kept or chosen
+        if chosen:
             kept.append(block[1])
-    return " ".join(kept)
+    return " ".join(reversed(kept))
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:
@@ -234,7 +263,9 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_c
 
     Blocks of menus, page headers, footers, sidebars, notices, adverts,
     forms, comments and hidden elements are left out by their element, role
-    or class; tag-path scores then choose the content.  Character references
+    or class; smoothed, fused and thresholded tag-path scores then choose the
+    blocks, within the best article or main element of pages that have one.
+    A heading stays unless all that it heads goes.  Character references
     are decoded, white space within a block is one space, and blocks are
     joined in page order by one space.  A null or empty page gives an empty
     text; broken markup is closed as browsers do; whole pages are read.

@@ -300,6 +300,16 @@ def test_main_text(spark):
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_path_scores_choose_within_an_article():
+    prose = "<p>It is long, and it goes on, as text does; more of it follows here, too.</p>" * 3
+    links = "<h3>More</h3><ul>" + "<li><a href=x>Another story of the day</a></li>" * 4 + "</ul>"
+    table = "<h2>Figures</h2><table><tr><th>Year</th><th>Cases</th></tr><tr><td>2020</td><td>17 in all</td></tr></table>"
+    for around in ("<article>{}</article>", "<div>{}</div>"):
+        text = main_text(around.format(f"<h1>Title</h1>{prose}{table}{prose}{links}"))
+        assert "Another story" not in text and "More" not in text
+        assert text.startswith("Title It is long,") and "Figures Year Cases 2020 17 in all It is" in text and text.count("too.") == 6
+
+
 def test_deep_and_broken_markup_is_linear():
     assert main_text("<div>" * 20000 + "deep, text.") == "deep, text."
     assert main_text("<a href='" * 20000 + ">z") == "z"
