@@ -27,6 +27,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CELLS = frozenset("li dt dd td th caption".split())
 WHOLE = frozenset("ul ol menu dl table".split())
 KEPT = WHOLE | {"pre", "blockquote", "figcaption"}
+SITE = frozenset({"site", "global", "top"})
 DEEPEST = 400  # elements nested deeper become siblings; their text stays
 
 # A comment, a tag (end mark, name, attributes), or another declaration.
@@ -40,25 +41,33 @@ PUNCTUATION = ".,;:!?…。，！？؟"
 _P_SCOPE = frozenset({"td", "th", "li", "div", "article", "section", "body"})
 
 
-def _marked(attributes: str) -> bool:
-    """Whether class, id or role names page furniture, or the element hides."""
+def _marked(attributes: str, inside: bool) -> int:
+    """What class, id and role say of an element: 3 it is hidden or has the
+    role of page furniture, 2 a whole name is a furniture word, 1 a name's
+    last piece is, 0 nothing.  A header ``inside`` an article is its own."""
     if not _TELLING.search(attributes):
-        return False
+        return 0
     given = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)}
     if "hidden" in given or given.get("aria-hidden") == "true" or given.get("role") in ROLES:
-        return True
-    names = f"{given.get('class', '')} {given.get('id', '')}".split()
-    return any(not MARKS.isdisjoint(_MARK.findall(n)) for n in names if not n.startswith(("has-", "with-", "no-", "is-")))
+        return 3
+    names = [_MARK.findall(n) for n in f"{given.get('class', '')} {given.get('id', '')}".split() if not n.startswith(("has-", "with-", "no-", "is-"))]
+    if inside:
+        names = [n for n in names if n[-1:] != ["header"]]
+    if any(len(n) == 1 and n[0] in MARKS for n in names):
+        return 2
+    # ``entry-header`` is a part of the article, ``site-header`` is not.
+    return int(any(n and n[-1] in MARKS and (n[-1] != "header" or n[0] in SITE) for n in names))
 
 
 class _Page:
     """Tree of block elements and the text blocks in it, in page order.
 
-    A node is (parent, tag, dropped); inline elements make no node, so an
-    unclosed one cannot lengthen a path."""
+    A node is (parent, tag, dropped, what ``_marked`` says short of dropping
+    it); inline elements make no node, so an unclosed one cannot lengthen a
+    path."""
 
     def __init__(self, html: str):
-        self.nodes: list[tuple[int, str, bool]] = [(-1, "", False)]
+        self.nodes: list[tuple[int, str, bool, int]] = [(-1, "", False, 0)]
         self.open, self.tags = [0], [""]
         self.links = 0  # open links
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
@@ -121,7 +130,8 @@ class _Page:
             elif tag == "hr":
                 self.flush()
             return
-        marked = bool(attributes) and _marked(attributes)
+        inside = "article" in self.tags or "main" in self.tags
+        marked = _marked(attributes, inside) if attributes else 0
         if tag in INLINE and not marked:
             self.links += tag == "a"
             return
@@ -133,10 +143,12 @@ class _Page:
             self._close(*SIBLINGS[tag])
         dropped = self.nodes[self.open[-1]][2] or tag in HIDDEN
         if not dropped and (tag not in ROOTS or tag == "article"):
-            dropped = marked or tag in FURNITURE and not (tag == "header" and ("article" in self.tags or "main" in self.tags))
+            dropped = marked == 3 or tag in FURNITURE and not (tag == "header" and inside)
         if len(self.open) > DEEPEST:
             self._pop(DEEPEST)
-        self.nodes.append((self.open[-1], tag, dropped))
+        if tag in ROOTS or inside and tag in HEADINGS:
+            marked = 0
+        self.nodes.append((self.open[-1], tag, dropped, marked % 3))
         self.open.append(len(self.nodes) - 1)
         self.tags.append(tag)
 
@@ -201,6 +213,28 @@ def path_scores(paths: list[str], units: list[int], texts: list[str], linked: li
     return {path: f * (s[1] / s[3]) for (path, s), f in zip(sums.items(), fused)}, share * max(fused)
 
 
+def _furniture(page: _Page, above: dict[int, tuple[int, ...]]) -> set[int]:
+    """Nodes inside an element that its class or id names as furniture: by a
+    whole name, or by the last piece of one if it holds under half of the
+    page's text.  The longest article and main elements and what holds them
+    are none, nor are headings in articles."""
+    if not any(n[3] for n in page.nodes):
+        return set()
+    size = [0] * len(page.nodes)
+    for node, text, _ in page.blocks:
+        for n in above[node]:
+            size[n] += len(text)
+    content: set[int] = set()
+    for tag in ("article", "main"):
+        if own := [n for n, node in enumerate(page.nodes) if node[1] == tag and size[n]]:
+            content.update(above[max(own, key=lambda n: (size[n], -n))])
+    away: set[int] = set()
+    for n, (parent, tag, _, marked) in enumerate(page.nodes):  # parents come first
+        if n not in content and (parent in away or marked == 2 or marked and size[n] * 2 < size[0]):
+            away.add(n)
+    return away
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks of one page joined by a space; see ``extract``."""
     if not html:
@@ -211,21 +245,22 @@ def main_text(html: str | None) -> str:
         return ""
     above: dict[int, tuple[int, ...]] = {-1: ()}  # a node's ancestors from the root, itself included
     names: dict[int, str] = {-1: ""}
-    for node, (parent, tag, _) in enumerate(page.nodes):  # parents come first
+    for node, (parent, tag, *_) in enumerate(page.nodes):  # parents come first
         above[node] = (*above[parent], node)
         names[node] = f"{names[parent]}>{tag}"
     line = above.__getitem__
     # A block of a list or table counts for the whole list or table.
     units = [next((n for n in reversed(line(b[0])) if page.nodes[n][1] in WHOLE), b[0]) if page.nodes[b[0]][1] in CELLS else b[0] for b in blocks]
     paths = [names[u] for u in units]
-    tested = [i for i, b in enumerate(blocks) if page.nodes[b[0]][1] not in HEADINGS]
+    away = _furniture(page, above)
+    tested = [i for i, b in enumerate(blocks) if page.nodes[b[0]][1] not in HEADINGS and b[0] not in away]
     scores, threshold = path_scores([paths[i] for i in tested], [units[i] for i in tested],
                                     [blocks[i][1] for i in tested], [blocks[i][2] for i in tested])
     for path in scores:  # lists, tables and the like in an article
         above_it = path.split(">")
         if above_it[-1] in KEPT and ("article" in above_it or "main" in above_it):
             scores[path] *= 1.5
-    weight = [scores[p] * len(b[1]) if scores.get(p, -1.0) >= threshold else 0.0 for p, b in zip(paths, blocks)]
+    weight = [scores[p] * len(b[1]) if b[0] not in away and scores.get(p, -1.0) >= threshold else 0.0 for p, b in zip(paths, blocks)]
     total = sum(weight)
     inside: dict[int, float] = {}
     for block, w in zip(blocks, weight):
@@ -249,9 +284,11 @@ def main_text(html: str | None) -> str:
             continue
         if page.nodes[block[0]][1] in HEADINGS:
             chosen = any_kept or not any_block
+            if block[0] in away:
+                chosen = any_kept and any(page.nodes[n][1] in ("article", "main") for n in line(block[0]))
             any_block = any_kept = False
         else:
-            chosen = scores[path] >= threshold
+            chosen = block[0] not in away and scores[path] >= threshold
             any_block, any_kept = True, any_kept or chosen
         if chosen:
             kept.append(block[1])
@@ -263,7 +300,8 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_c
 
     Blocks of menus, page headers, footers, sidebars, notices, adverts,
     forms, comments and hidden elements are left out by their element, role
-    or class; smoothed, fused and thresholded tag-path scores then choose the
+    or class (a whole name, or the last piece of one on a small part of the
+    page; never the article, what holds it or its headings); smoothed, fused and thresholded tag-path scores then choose the
     blocks, within the best article or main element of pages that have one.
     A heading stays unless all that it heads goes.  Character references
     are decoded, white space within a block is one space, and blocks are

@@ -310,6 +310,30 @@ def test_path_scores_choose_within_an_article():
         assert text.startswith("Title It is long,") and "Figures Year Cases 2020 17 in all It is" in text and text.count("too.") == 6
 
 
+PROSE = "<p>It is long, and it goes on, as text does; more of it follows here, too.</p>" * 2
+WANT = "It is long, and it goes on, as text does; more of it follows here, too. " * 2
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<article><header class='entry-header'><h1>Title</h1></header>{PROSE}</article>", f"Title {WANT}"),
+    (f"<article><div class='article-header'><h1>Title</h1></div>{PROSE}</article>", f"Title {WANT}"),
+    (f"<article><div class='header'><h1>Title</h1><p>In short, it goes on.</p></div>{PROSE}</article>", f"Title In short, it goes on. {WANT}"),
+    (f"<div class='sidebar'><h3>Links</h3><p>One, or two.</p></div><h1>Title</h1>{PROSE}", f"Title {WANT}"),
+    (f"<article><h1 class='banner'>Title</h1>{PROSE}</article>", f"Title {WANT}"),
+    (f"<article>{PROSE}<p class='share-price'>The price, at noon, was 7.</p></article>", f"{WANT}The price, at noon, was 7."),
+    (f"<article>{PROSE}<section class='related-work'>{PROSE}</section></article>", WANT * 2),
+    (f"<div class='menu-open page'><article>{PROSE}</article></div>", WANT),
+    (f"<div class='widget'><main><div id='social'><article>{PROSE}</article></div></main></div>", WANT),
+    (f"<article class='post category-social'>{PROSE}</article>", WANT),
+    (f"<div class='post category-social'>{PROSE}</div>", WANT),
+    (f"<main><article>{PROSE}</article><section class='comments'><article><p>I agree, fully, with it.</p></article></section></main>", WANT),
+    (f"<article>{PROSE}<h2>Comments</h2><div class='user-comments'><p>I agree, fully, with it.</p></div></article>", WANT),
+    (f"<div class='site-header'>A site, as others are.</div><div>{PROSE}</div>", WANT),
+])
+def test_class_names_drop_no_article_text(page, want):
+    assert main_text(page) == want.strip()
+
+
 def test_deep_and_broken_markup_is_linear():
     assert main_text("<div>" * 20000 + "deep, text.") == "deep, text."
     assert main_text("<a href='" * 20000 + ">z") == "z"
