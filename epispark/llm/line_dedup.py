@@ -106,24 +106,27 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 2,
-               min_bytes: int = 30, keep: tuple[str, ...] = ()) -> DataFrame:
+               min_bytes: int = 30, keep: tuple[str, ...] = (), edit_bytes: int | None = None) -> DataFrame:
     """One row per input row: ``id_col``, ``n_lines``, ``n_removed``,
     ``n_links`` (pairs of its distinct lines with other lines within the
     distance), ``class_id`` (least id holding a line equal or linked to one of
     its own), ``kept`` (the text without the removed lines) and the columns
     ``keep``.
 
-    Lines are what ``\\n`` separates.  A line of at least ``min_bytes``
-    characters goes if, in order of (id, line number), an equal line or one
-    at an edit distance of at most ``max_edits`` occurs earlier, removed or
-    not.  Shorter lines always stay.  Equality is by 64-bit hash and length.
+    Lines are what ``\\n`` separates.  A line of at least ``min_bytes`` bytes
+    goes if, in order of (id, line number), an equal line or one at an edit
+    distance of at most ``max_edits`` occurs earlier, removed or not.  Only
+    lines of at least ``edit_bytes`` (``min_bytes`` unless given) are linked
+    by edits; below it lines of white space stay, as do all lines shorter
+    than ``min_bytes``.  Equality is by 64-bit hash and length.
 
     A null text has no lines and stays null; an empty text has one, which
     stays.  Null ids come last in the order.  Rows that are repeated whole are
     judged as one and all returned; an empty table gives no rows.
     """
-    if not 0 <= max_edits <= 3 or min_bytes <= max_edits:
-        raise ValueError("max_edits must be 0 to 3 and less than min_bytes")
+    edit_bytes = min_bytes if edit_bytes is None else edit_bytes
+    if not 0 <= max_edits <= 3 or edit_bytes <= max_edits or edit_bytes < min_bytes:
+        raise ValueError("max_edits must be 0 to 3 and less than edit_bytes, and min_bytes at most edit_bytes")
     kept_cols = [F.col(c) for c in keep]
     last = F.lit((1 << 63) - 1)
     every = [F.col(id_col), F.col(text_col), *kept_cols]
@@ -132,7 +135,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), *row_key)
     lines = F.split("_t", "\n")
     found = (rows.select(F.coalesce("_id", last).alias("_o"), "_k", "_g", F.posexplode(lines).alias("_n", "_line"))
-             .where(F.octet_length("_line") >= min_bytes)
+             .where((F.octet_length("_line") >= edit_bytes) | (F.octet_length("_line") >= min_bytes) & F.col("_line").rlike(r"\S"))
              .select("_o", "_k", "_g", "_n", F.xxhash64("_line").alias("_h"), F.octet_length("_line").alias("_len")))
     found = landed(found, "line-places")
     # One row per distinct line: where it occurs first, and how often.
@@ -152,12 +155,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     if max_edits:
         # Lines that share a segment with another line; no pair is made yet.
-        keys = with_keys(texts(distinct).select("_h", "_len", "_line"), max_edits)
+        keys = with_keys(texts(distinct.where(F.col("_len") >= edit_bytes)).select("_h", "_len", "_line"), max_edits)
         same = W.partitionBy("key")
         other = lambda h: (F.min(h).over(same) != F.col("_h")) | (F.max(h).over(same) != F.col("_h"))
         shared = (keys.select("key", "_h", "own", F.when(F.col("own"), F.col("_h")).alias("_x"))
                   .withColumn("_live", F.when(F.col("own"), other("_h")).otherwise(other("_x"))).where("_live").select("_h").distinct())
-        near_lines = landed(texts(distinct.join(shared, "_h", "left_semi")).select("_h", "_len", "_line", parity(F.col("_line")).alias("_bits")), "near-lines")
+        near_lines = landed(texts(distinct.where(F.col("_len") >= edit_bytes).join(shared, "_h", "left_semi")).select("_h", "_len", "_line", parity(F.col("_line")).alias("_bits")), "near-lines")
         keys = with_keys(near_lines, max_edits)
         index = keys.where("own").select("key", F.col("_h").alias("a"), F.col("_len").alias("a_len"), F.col("_bits").alias("a_bits"))
         probes = keys.select("key", F.col("_h").alias("b"), F.col("_len").alias("b_len"), F.col("_bits").alias("b_bits"))

@@ -30,7 +30,7 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents"), max_edits=2, min_bytes=30).withColumn(
+    return line_dedup(table(spark, sf_dir, "documents"), max_edits=2, min_bytes=1, edit_bytes=30).withColumn(
         "kept_sha256", F.sha2(F.col("kept"), 256)).drop("kept")
 
 

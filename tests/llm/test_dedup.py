@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tempfile
 
 import numpy as np
 import pytest
@@ -196,6 +197,20 @@ def test_line_dedup(spark, edits):
     assert {(r.a, r._shard) for r in got} == {(2, 1)}
 
 
+def test_equal_short_lines_go_too(spark):
+    import corpus_pipeline as cp
+
+    long = "a line of more than thirty bytes, number "
+    rows = [(1, f"All rights reserved.\n\nOf.\n{long}1"), (2, f"Of.\n\n \nOff.\n{long}2\nAll rights reserved."), (3, "x\nx\n \n")]
+    got = {r.doc_id: (r.n_removed, r.kept) for r in line_dedup(table(spark, rows), max_edits=2, min_bytes=1, edit_bytes=30).collect()}
+    want = {1: (0, rows[0][1]), 2: (3, "\n \nOff."), 3: (1, "x\n \n")}
+    assert got == want
+    docs = spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id: r.text for r in cp.line_stage(spark, docs, SMOKE).collect()} == {i: t for i, (_, t) in want.items()}
+    docs.select("doc_id", "text").write.mode("overwrite").parquet(f"{(folder := tempfile.mkdtemp())}/documents.parquet")
+    assert {r.doc_id: r.n_removed for r in QUERIES["op3_line_dedup"](spark, folder).collect()} == {i: n for i, (n, _) in want.items()}
+
+
 def test_edit_automaton_on_long_strings(spark):
     rnd = random.Random(3)
     rows = []
