@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -38,6 +39,9 @@ class Model:
         self.words, self.word_logs = _table(*words)
         self.grams, self.gram_logs = _table(*grams)
         self.unseen: dict[str, list[int]] = {}
+        self.counts = grams[1]
+        self.letters = self.counts[[i for g, i in self.grams.items() if len(g) == 1]].sum(axis=0)
+        self.fits: list[dict[str, tuple[float, int]]] = [{} for _ in languages]
 
     def _known_grams(self, word: str) -> list[int]:
         """Rows of an unseen word's known grams, of the longest length that
@@ -73,6 +77,33 @@ class Model:
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
+    def _times(self, gram: str, language: int) -> float:
+        row = self.grams.get(gram)
+        return 0.0 if row is None else self.counts[row, language]
+
+    def fit(self, text: str | None, lang: str) -> float:
+        """Mean log-likelihood of a character of the text's words after the
+        two before it, in one language, backing off to one and none; it does
+        not depend on the text's length."""
+        own, language = self.fits[self.languages.index(lang)], self.languages.index(lang)
+        total, n = 0.0, 0
+        for word, times in Counter(letter_words(text or "")).items():
+            if (found := own.get(word)) is None:
+                if len(own) > 100_000:
+                    own.clear()
+                edged, logs = f"<{word}>", 0.0
+                for i in range(len(edged) - 2):
+                    a, b, c = edged[i:i + 3]
+                    p = (self._times(c, language) + 0.5) / (self.letters[language] + 100)
+                    p = (self._times(b + c, language) + 10 * p) / (self._times(b, language) + 10)
+                    p = (self._times(a + b + c, language) + 5 * p) / (self._times(a + b, language) + 5)
+                    logs += math.log(p)
+                found = own[word] = logs, len(edged) - 2
+            total += times * found[0]
+            n += times * found[1]
+        return total / n if n else -math.inf
+
+
 def _table(keys: list[str], counts: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
     """Places of the keys, and add-half smoothed log relative frequencies."""
     smoothed = counts + 0.5
@@ -83,6 +114,15 @@ def _learnable(docs: DataFrame, id_col: str, lang_col: str) -> DataFrame:
     return docs.where(F.col(lang_col).isNotNull() & (F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) != 2))
 
 
+def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
+    """Language and text of the learnable documents with the least hashes."""
+    marked = _learnable(docs, id_col, lang_col).select(
+        F.col(lang_col).alias("_l"), F.col(text_col).alias("_t"), F.xxhash64(id_col, text_col).alias("_h"))
+    low = (marked.select("_l", "_h").withColumn("_r", F.row_number().over(W.partitionBy("_l").orderBy("_h")))
+           .where(F.col("_r") <= per_language).groupBy("_l").agg(F.max("_h").alias("_most")))
+    return marked.join(F.broadcast(low.limit(MOST_LANGUAGES)), "_l").where("_h <= _most").select("_l", "_t")
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           per_language: int = 2500, most_words: int = 40_000, most_grams: int = 60_000) -> Model:
     """A model from at most ``per_language`` documents of each language (the
@@ -91,11 +131,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     ``MOST_LANGUAGES`` languages.  Documents whose crc32 of
     the id modulo 4 is 2, null languages and null ids are never read.
     """
-    marked = _learnable(docs, id_col, lang_col).select(
-        F.col(lang_col).alias("_l"), F.col(text_col).alias("_t"), F.xxhash64(id_col, text_col).alias("_h"))
-    low = (marked.select("_l", "_h").withColumn("_r", F.row_number().over(W.partitionBy("_l").orderBy("_h")))
-           .where(F.col("_r") <= per_language).groupBy("_l").agg(F.max("_h").alias("_most")))
-    sample = marked.join(F.broadcast(low.limit(MOST_LANGUAGES)), "_l").where("_h <= _most").select("_l", "_t")
+    sample = _sample(docs, id_col, text_col, lang_col, per_language)
 
     def count(batches):
         for batch in batches:
@@ -127,8 +163,28 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Model(languages, most_frequent(0, most_words), most_frequent(1, most_grams))
 
 
-def identify(docs: DataFrame, model: Model, id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """``id_cols`` with ``lang_pred`` and ``score`` of every whole text.
+def least_fits(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+               per_language: int = 1000, margin: float = 1.5) -> dict[str, float]:
+    """Per language the least ``fit`` of its texts, from at most
+    ``per_language`` labelled documents (of those that ``train`` reads): four
+    times as far under their median as the lowest twentieth, and at least
+    ``margin``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            rows = [(lang, shared.value.fit(text, lang)) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                    if lang in shared.value.languages]
+            yield pa.RecordBatch.from_pydict({"_l": pa.array([r[0] for r in rows], pa.string()), "fit": pa.array([r[1] for r in rows], pa.float64())})
+
+    fits = map_batches(_sample(docs, id_col, text_col, lang_col, per_language), run, "_l string, fit double").where(F.col("fit") > -math.inf)
+    found = fits.groupBy("_l").agg(F.percentile("fit", F.array(F.lit(0.05), F.lit(0.5))).alias("q")).collect()
+    return {r["_l"]: r.q[1] - max(margin, 4 * (r.q[1] - r.q[0])) for r in found}
+
+
+def identify(docs: DataFrame, model: Model, id_cols: list[str], text_col: str = "text", with_fit: bool = False) -> DataFrame:
+    """``id_cols`` with ``lang_pred`` and ``score`` of every whole text, and
+    its ``fit`` in that language if asked for.
 
     A null text, a text without a letter, or an empty model gives ``und`` and
     0; the score is the predicted language's share of the likelihood.
@@ -140,11 +196,15 @@ def identify(docs: DataFrame, model: Model, id_cols: list[str], text_col: str =
     def run(batches):
         for batch in text_slices(batches, text_col):
             made = [shared.value.predict(t) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:len(id_cols)], pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())],
-                names=[*id_cols, "lang_pred", "score"])
-
-    schema = T.StructType([*source.schema.fields[:len(id_cols)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+            columns = [pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())]
+            if with_fit:
+                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+                columns.append(pa.array([None if m[0] == "und" else shared.value.fit(t, m[0]) for m, t in zip(made, texts)], pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(id_cols)], *columns], names=[*id_cols, *names])
+
+    names = ["lang_pred", "score", *(["fit"] if with_fit else [])]
+    schema = T.StructType([*source.schema.fields[:len(id_cols)], T.StructField("lang_pred", T.StringType()),
+                           *[T.StructField(n, T.DoubleType()) for n in names[1:]]])
     return map_batches(source, run, schema)
 
 

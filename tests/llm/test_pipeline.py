@@ -1,5 +1,8 @@
 """The pipeline's stages against brute force, each on its own input."""
 
+import random
+import string
+
 import corpus_pipeline as cp
 from epispark.llm.queries import QUERIES
 
@@ -22,6 +25,24 @@ def test_language_stage_rejects_texts_without_letters(spark):
     assert out[0].asDict().keys() == set(cp.COLUMNS)
 
 
+def test_language_stage_rejects_gibberish_and_other_languages_of_any_length(spark):
+    given = [tuple(r[c] for c in cp.COLUMNS) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    rnd = random.Random(5)
+    noise = [" ".join("".join(rnd.choice(string.ascii_lowercase) for _ in range(rnd.randint(2, 9))) for _ in range(n)) for n in (20, 50, 200, 2000)]
+    noise += ["Wczoraj wieczorem poszliśmy do kina na nowy film, który bardzo się nam spodobał.",
+              "Eilen illalla menimme elokuviin katsomaan uutta elokuvaa, josta pidimme kovasti."]
+    rows = given + [(-1 - i, t, None, "s", len(t)) for i, t in enumerate(noise)]
+    out = {r.doc_id for r in cp.language_stage(spark, spark.createDataFrame(rows, SCHEMA), SMOKE).collect()}
+    assert not [i for i in out if i < 0]
+    with_letters = [r[0] for r in given if r[1] and any(c.isalpha() for c in r[1])]
+    assert len(out) >= 0.995 * len(with_letters)
+
+
+def test_language_stage_rejects_texts_without_letters_unlabelled(spark):
+    rows = [(1, "some words", None, "s", 10), (2, "12 34", None, "s", 5), (3, None, None, "s", None), (4, "é", None, "s", 1)]
+    assert {r.doc_id for r in cp.language_stage(spark, spark.createDataFrame(rows, SCHEMA), SMOKE).collect()} == {1, 4}
+
+
 def test_line_stage_removes_later_lines(spark):
     rows, df = docs(spark)
     out = {r.doc_id: r for r in cp.line_stage(spark, df, SMOKE).collect()}
