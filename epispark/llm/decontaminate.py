@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from epispark.llm.common import map_batches, text_slices
 from epispark.llm.shards import found_in, runs
-from epispark.llm.words import spans, text_bytes, word_codes
+from epispark.llm.words import rolling, spans, text_bytes, word_codes
 
 SAMPLE = 8  # every eighth suffix position is kept
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -37,29 +37,47 @@ def lowered_words(column: pa.Array):
 
 
 class Phrases:
-    """The distinct windows of a block of benchmark items."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int = 10):
-        codes, rows, counts = lowered_words(pa.array([t for _, t in items], pa.string()))
+    """The distinct windows of a block of benchmark items (columns ``name``,
+    which may be null, and ``t``): places in one array of symbols, not texts.
+    Windows are told apart by 64-bit hashes of their words' hashes."""
+
+    def __init__(self, items: pa.Table, window: int = 10):
+        parts = [(*lowered_words(piece.column(1)), piece.column(0).to_pylist()) for piece in text_slices(items.to_batches(), "t")]
+        codes = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
+        counts = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, np.int64)
+        names = [n for p in parts for n in p[3]]
+        del parts
         self.window = window
         self.words = np.unique(codes)
-        symbols = np.searchsorted(self.words, codes) + 1
+        self.symbols = (found_in(codes, self.words) + 1).astype(np.int32)
         begin = np.cumsum(counts) - counts
-        phrases: dict[tuple, set] = {}
-        for (name, _), at, n in zip(items, begin.tolist(), counts.tolist()):
-            own = symbols[at:at + n].tolist()
-            for i in range(max(n - window, 0) + 1 if n else 0):
-                phrases.setdefault(tuple(own[i:i + window]), set()).add(name)
-        ordered = sorted(phrases)
-        self.lengths = np.array([len(p) for p in ordered], dtype=np.int64)
-        self.symbols = np.zeros((len(ordered), window), dtype=np.int64)  # aligned at the end
-        for i, p in enumerate(ordered):
-            self.symbols[i, window - len(p):] = p
-        self.names = sorted({n for s in phrases.values() for n in s})
+        # An item's windows start at each of its words but the last ones.
+        many = np.where(counts > 0, np.maximum(counts - window, 0) + 1, 0)
+        start = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many - begin, many)
+        length = np.repeat(np.minimum(counts, window), many)
+        key = np.zeros(len(start), np.uint64)
+        full = length == window
+        if full.any():
+            key[full] = rolling(codes, window)[start[full]]
+        for n in np.unique(length[~full]).tolist():
+            key[length == n] = rolling(codes, n)[start[length == n]] ^ np.uint64(n)
+        _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        self.starts, self.lengths = start[first], length[first].astype(np.int32)
+        # The named items of every phrase, each once.
+        self.names = sorted({n for n in names if n is not None})
         place = {n: i for i, n in enumerate(self.names)}
-        held = [sorted(place[n] for n in phrases[p]) for p in ordered]
-        self.first_item = np.cumsum([0, *map(len, held)])
-        self.items = np.array([i for h in held for i in h], dtype=np.int64)
+        item = np.repeat(np.array([place.get(n, -1) if n is not None else -1 for n in names], np.int64), many)
+        pair = np.unique(which[item >= 0] * np.int64(max(len(self.names), 1)) + item[item >= 0])
+        phrase, self.items = pair // max(len(self.names), 1), pair % max(len(self.names), 1)
+        self.first_item = np.searchsorted(phrase, np.arange(len(self.starts) + 1))
+
+    def within(self, present: np.ndarray) -> np.ndarray:
+        """Phrases all of whose symbols are present."""
+        which = np.arange(len(self.starts))
+        for step in range(1, self.window + 1):
+            at = np.maximum(self.starts[which] + self.lengths[which] - step, self.starts[which])
+            which = which[present[self.symbols[at]]]
+        return which
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
@@ -142,14 +160,13 @@ class FMIndex:
 
     def search(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Phrases that occur, with their ranges of rows (backward search)."""
-        which = np.arange(len(phrases.lengths))
+        present = np.zeros(len(phrases.words) + 1, dtype=bool)
+        present[self.transform] = True
+        which = phrases.within(present)
         low, high = np.zeros(len(which), dtype=np.int64), np.full(len(which), self.n, dtype=np.int64)
-        known = len(self.less) - 1
         done = [(which[:0], low[:0], high[:0])]
         for step in range(1, phrases.window + 1):
-            symbol = phrases.symbols[which, phrases.window - step]
-            live = symbol < known
-            which, low, high, symbol = which[live], low[live], high[live], symbol[live]
+            symbol = phrases.symbols[phrases.starts[which] + phrases.lengths[which] - step]
             low, high = self.less[symbol] + self.rank(symbol, low), self.less[symbol] + self.rank(symbol, high)
             live = high > low
             which, low, high = which[live], low[live], high[live]
@@ -168,10 +185,10 @@ class FMIndex:
         return self.positions[self.kept_before[row]] + steps
 
 
-def shard_hits(column: pa.Array, phrases: Phrases) -> tuple[np.ndarray, list[str], list[str]]:
+def shard_hits(column: pa.Array, phrases: Phrases) -> tuple[np.ndarray, list[str], list[list[str]]]:
     """Per text of a shard: number of words, hit spans, names of the items."""
     codes, rows, counts = lowered_words(column)
-    spans_of, names_of = [""] * len(counts), [""] * len(counts)
+    spans_of, names_of = [""] * len(counts), [[] for _ in range(len(counts))]
     if not len(codes) or not len(phrases.lengths):
         return counts, spans_of, names_of
     symbol = found_in(codes, phrases.words) + 1
@@ -201,13 +218,13 @@ def shard_hits(column: pa.Array, phrases: Phrases) -> tuple[np.ndarray, list[str
     row, which = pair // len(phrases.lengths), pair % len(phrases.lengths)
     n = np.diff(phrases.first_item)[which]
     item = phrases.items[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(phrases.first_item[which], n)]
-    pair = np.unique(np.repeat(row, n) * np.int64(len(phrases.names)) + item)
+    pair = np.unique(np.repeat(row, n) * np.int64(max(len(phrases.names), 1)) + item)
     begin = np.cumsum(counts) - counts
     for r in np.unique(row).tolist():
         s, e = runs(hit[begin[r]:begin[r] + counts[r]])
         spans_of[r] = ",".join(f"{a}:{b}" for a, b in zip(s, e))
         own = pair[np.searchsorted(pair, r * len(phrases.names)):np.searchsorted(pair, (r + 1) * len(phrases.names))]
-        names_of[r] = ",".join(phrases.names[i % len(phrases.names)] for i in own.tolist())
+        names_of[r] = [phrases.names[i % len(phrases.names)] for i in own.tolist()]
     return counts, spans_of, names_of
 
 
@@ -225,25 +242,21 @@ def _scan(source: DataFrame, schema: str, phrases: Phrases, shard_bytes: int) ->
         for batch in text_slices(batches, "_t", shard_bytes):
             counts, hit, names = shard_hits(batch.column(batch.num_columns - 1), shared.value)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(hit, pa.string()), pa.array(names, pa.string())],
+                [*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(hit, pa.string()), pa.array(names, pa.list_(pa.string()))],
                 names=[*batch.schema.names[:-1], "n_words", "spans", "items"])
 
-    return map_batches(source, run, f"{schema}, n_words long, spans string, items string")
-
-
-def _merge(column: str) -> str:
-    return f"array_join(array_sort(array_distinct(filter(flatten(collect_list(split({column}, ','))), x -> x != ''))), ',')"
+    return map_batches(source, run, f"{schema}, n_words long, spans string, items array<string>")
 
 
 def _span_words() -> str:
     """All hit word numbers of the spans, sorted and distinct."""
-    return ("array_sort(array_distinct(flatten(transform(filter(flatten(collect_list(split(spans, ','))), x -> x != ''), "
+    return ("array_sort(array_distinct(flatten(transform(filter(flatten(collect_set(split(spans, ','))), x -> x != ''), "
             "x -> sequence(cast(split_part(x, ':', 1) as long), cast(split_part(x, ':', 2) as long) - 1)))))")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", window: int = 10,
-                  shard_bytes: int = 4 << 20, block_bytes: int = 32 << 20) -> DataFrame:
+                  shard_bytes: int = 4 << 20, block_bytes: int = 16 << 20) -> DataFrame:
     """One row per input row: ``id_col``, ``n_words``, ``n_hit``, ``spans``
     (hit words ``start:end``, merged, comma-joined), ``items`` (item ids with
     occurring windows, sorted as strings, comma-joined), ``n_items``.
@@ -251,22 +264,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A phrase is ``window`` consecutive words of an item, or a shorter item as
     a whole; a document word is hit if it lies in any occurrence.  Words are
     compared by 64-bit hashes.  Null texts have no words, items without words
-    or with a null id no phrases; an empty benchmark hits nothing.  Repeated
-    rows give repeated rows, an empty table none.
-
-    The benchmark is read in blocks of about ``block_bytes``; only one block
-    is on the driver and broadcast at a time, and the documents are passed
-    over once per block.
+    no phrases; an empty benchmark hits nothing.  Items with a null id hit
+    words like any other, but are not counted or named; every other id, the
+    empty string too, counts once however many commas it holds.  Repeated rows
+    give repeated rows, an empty table none.
+
+    The benchmark is read in blocks of about ``block_bytes`` (an item is never
+    split); only one block is on the driver and broadcast at a time, as arrays
+    of numbers, and the documents are passed over once per block.
     """
-    items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(
-        F.col(item_col).cast("string").alias("name"), F.col(item_text_col).alias("t"))
+    items = benchmark.where(F.col(item_text_col).isNotNull()).select(
+        F.col(item_col).cast("string").alias("name"), F.col(item_text_col).alias("t")).distinct()
     total = items.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def phrases(block: int) -> Phrases:
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("name", "t"), F.lit(blocks)) == block)
-        return Phrases([tuple(r) for r in own.collect()], window)
+        return Phrases(own.toArrow(), window)
 
     if blocks == 1:
         found = _scan(docs.select(id_col, F.col(text_col).alias("_t")), f"`{id_col}` {kind}", phrases(0), shard_bytes)
@@ -278,7 +293,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             passes = own if passes is None else passes.unionByName(own)
         merged = passes.groupBy(id_col, "_h").agg(
             F.expr(f"cast(count(*) / {blocks} as int)").alias("_rows"), F.first("n_words").alias("n_words"),
-            F.expr(_merge("items")).alias("items"), F.expr(_span_words()).alias("_w"))
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.expr(_span_words()).alias("_w"))
         starts = F.filter("_w", lambda x, i: (i == 0) | (F.get("_w", i - 1) != x - 1))
         ends = F.filter("_w", lambda x, i: (i == F.size("_w") - 1) | (F.get("_w", i + 1) != x + 1))
         found = (merged.withColumn("spans", F.array_join(F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")),
@@ -286,5 +301,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                  .withColumn("_row", F.explode(F.sequence(F.lit(1), "_rows"))).select(id_col, "n_words", "spans", "items"))
     widths = F.transform(F.filter(F.split("spans", ","), lambda x: x != ""),
                          lambda x: F.split_part(x, F.lit(":"), F.lit(2)).cast("long") - F.split_part(x, F.lit(":"), F.lit(1)).cast("long"))
-    return found.select(id_col, "n_words", F.aggregate(widths, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_hit"), "spans", "items",
-                        F.when(F.col("items") == "", F.lit(0)).otherwise(F.size(F.split("items", ","))).cast("long").alias("n_items"))
+    return found.select(id_col, "n_words", F.aggregate(widths, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_hit"), "spans",
+                        F.array_join("items", ",").alias("items"), F.size("items").cast("long").alias("n_items"))
