@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +16,6 @@ from epispark.llm.common import landed, map_batches, text_slices
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 MOST_GRAM = 5
-MOST_LANGUAGES = 500
 
 
 def letter_words(text: str) -> list[str]:
@@ -31,16 +31,26 @@ def word_grams(word: str, n: int) -> list[str]:
 class Model:
     """Log frequencies per language of words and of 1- to 5-character grams.
 
-    ``words`` and ``grams`` are lists of keys with a matrix of their counts,
-    one column per language."""
+    ``words`` and ``grams`` are ``(keys, key numbers, language numbers,
+    counts)`` of the counts that are not 0.  A log frequency is add-half
+    smoothed over the keys of its kind; held are its excesses over that of a
+    count of 0, so the size follows the counts and not keys times languages.
+    """
 
-    def __init__(self, languages: list[str], words: tuple[list[str], np.ndarray], grams: tuple[list[str], np.ndarray]):
+    def __init__(self, languages: list[str], words: tuple, grams: tuple):
         self.languages = languages
-        self.words, self.word_logs = _table(*words)
-        self.grams, self.gram_logs = _table(*grams)
+        self.words = {k: i for i, k in enumerate(words[0])}
+        self.grams = {k: i + len(words[0]) for i, k in enumerate(grams[0])}
+        row = np.concatenate([words[1], grams[1] + len(words[0])])
+        order = np.argsort(row, kind="stable")
+        self.first = np.searchsorted(row[order], np.arange(len(words[0]) + len(grams[0]) + 1))
+        self.language = np.concatenate([words[2], grams[2]])[order]
+        self.counts = np.concatenate([words[3], grams[3]])[order].astype(float)
+        self.excess = np.log(self.counts + 0.5) - math.log(0.5)
+        self.base = [math.log(0.5) - np.log(np.bincount(k[2], weights=k[3], minlength=len(languages)) + 0.5 * len(k[0]))
+                     if len(k[0]) else np.zeros(len(languages)) for k in (words, grams)]
         self.unseen: dict[str, list[int]] = {}
-        self.counts = grams[1]
-        self.letters = self.counts[[i for g, i in self.grams.items() if len(g) == 1]].sum(axis=0)
+        self.near: list[dict[str, float] | None] = [None] * len(languages)
         self.fits: list[dict[str, tuple[float, int]]] = [{} for _ in languages]
 
     def _known_grams(self, word: str) -> list[int]:
@@ -58,34 +68,48 @@ class Model:
         words = Counter(letter_words(text or ""))
         if not any(c.isalpha() for w in words for c in w) or not self.languages:
             return "und", 0.0
-        rows, times, gram_rows, gram_times = [], [], [], []
+        rows, times, known, backed = [], [], 0, 0
         get, unseen = self.words.get, self.unseen
         for word, n in words.items():
             if (row := get(word)) is not None:
                 rows.append(row)
                 times.append(n)
+                known += n
                 continue
             if (grams := unseen.get(word)) is None:
                 if len(unseen) > 100_000:
                     unseen.clear()
                 grams = unseen[word] = self._known_grams(word)
             if grams:
-                gram_rows += grams
-                gram_times += [n / len(grams)] * len(grams)
-        total = np.array(times, dtype=float) @ self.word_logs[rows] + np.array(gram_times, dtype=float) @ self.gram_logs[gram_rows]
+                rows += grams
+                times += [n / len(grams)] * len(grams)
+                backed += n
+        row = np.array(rows, dtype=np.int64)
+        many = self.first[row + 1] - self.first[row]
+        at = np.repeat(self.first[row] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        total = known * self.base[0] + backed * self.base[1] + np.bincount(
+            self.language[at], weights=np.repeat(times, many) * self.excess[at], minlength=len(self.languages))
         best = int(np.argmax(total))
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
-
-    def _times(self, gram: str, language: int) -> float:
-        row = self.grams.get(gram)
-        return 0.0 if row is None else self.counts[row, language]
+    def _own(self, language: int) -> dict[str, float]:
+        """The language's counts of grams of up to three characters."""
+        if (own := self.near[language]) is None:
+            own = self.near[language] = {}
+            for gram, i in self.grams.items():
+                if len(gram) <= 3:
+                    held = self.language[self.first[i]:self.first[i + 1]]
+                    if len(at := np.flatnonzero(held == language)):
+                        own[gram] = float(self.counts[self.first[i] + at[0]])
+            own[""] = sum(n for gram, n in own.items() if len(gram) == 1)
+        return own
 
     def fit(self, text: str | None, lang: str) -> float:
         """Mean log-likelihood of a character of the text's words after the
         two before it, in one language, backing off to one and none; it does
         not depend on the text's length."""
-        own, language = self.fits[self.languages.index(lang)], self.languages.index(lang)
+        language = self.languages.index(lang)
+        own, times_of = self.fits[language], self._own(language).get
         total, n = 0.0, 0
         for word, times in Counter(letter_words(text or "")).items():
             if (found := own.get(word)) is None:
@@ -94,9 +118,9 @@ class Model:
                 edged, logs = f"<{word}>", 0.0
                 for i in range(len(edged) - 2):
                     a, b, c = edged[i:i + 3]
-                    p = (self._times(c, language) + 0.5) / (self.letters[language] + 100)
-                    p = (self._times(b + c, language) + 10 * p) / (self._times(b, language) + 10)
-                    p = (self._times(a + b + c, language) + 5 * p) / (self._times(a + b, language) + 5)
+                    p = (times_of(c, 0.0) + 0.5) / (times_of("") + 100)
+                    p = (times_of(b + c, 0.0) + 10 * p) / (times_of(b, 0.0) + 10)
+                    p = (times_of(a + b + c, 0.0) + 5 * p) / (times_of(a + b, 0.0) + 5)
                     logs += math.log(p)
                 found = own[word] = logs, len(edged) - 2
             total += times * found[0]
@@ -104,32 +128,34 @@ class Model:
         return total / n if n else -math.inf
 
 
-def _table(keys: list[str], counts: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
-    """Places of the keys, and add-half smoothed log relative frequencies."""
-    smoothed = counts + 0.5
-    return {k: i for i, k in enumerate(keys)}, np.log(smoothed / smoothed.sum(axis=0)) if len(keys) else smoothed
-
-
 def _learnable(docs: DataFrame, id_col: str, lang_col: str) -> DataFrame:
     return docs.where(F.col(lang_col).isNotNull() & (F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) != 2))
 
 
 def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
-    """Language and text of the learnable documents with the least hashes."""
+    """Language and text of the ``per_language`` learnable documents with the
+    least hashes of each language; rows repeated whole count once.
+
+    The hashes are even, so a cut by a language's own row count leaves little
+    more than that many, and only those are ranked."""
     marked = _learnable(docs, id_col, lang_col).select(
         F.col(lang_col).alias("_l"), F.col(text_col).alias("_t"), F.xxhash64(id_col, text_col).alias("_h"))
-    low = (marked.select("_l", "_h").withColumn("_r", F.row_number().over(W.partitionBy("_l").orderBy("_h")))
+    share = F.least(F.lit(1.0), F.lit(1.5 * per_language + 100) / F.count("*"))
+    cuts = marked.groupBy("_l").agg(F.when(share < 1, (share * 2.0 ** 64 - 2.0 ** 63).cast("long")).otherwise((1 << 63) - 1).alias("_cut"))
+    low = (marked.join(cuts, "_l").where("_h <= _cut").groupBy("_l", "_h").agg(F.lit(1))
+           .withColumn("_r", F.row_number().over(W.partitionBy("_l").orderBy("_h")))
            .where(F.col("_r") <= per_language).groupBy("_l").agg(F.max("_h").alias("_most")))
-    return marked.join(F.broadcast(low.limit(MOST_LANGUAGES)), "_l").where("_h <= _most").select("_l", "_t")
+    return marked.join(low, "_l").where("_h <= _most").dropDuplicates(["_l", "_h"]).select("_l", "_t")
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           per_language: int = 2500, most_words: int = 40_000, most_grams: int = 60_000) -> Model:
     """A model from at most ``per_language`` documents of each language (the
-    least hashes of id and text), with at most ``most_words`` words and
-    ``most_grams`` grams, the most frequent ones, in at most
-    ``MOST_LANGUAGES`` languages.  Documents whose crc32 of
-    the id modulo 4 is 2, null languages and null ids are never read.
+    least hashes of id and text).  Every language is learned, and each brings
+    an equal share of ``most_words`` words and ``most_grams`` grams, its own
+    most frequent ones (one at least), so that a small language keeps its
+    words beside a large one.  Documents whose crc32 of the id modulo 4 is 2,
+    null languages and null ids are never read.
     """
     sample = _sample(docs, id_col, text_col, lang_col, per_language)
 
@@ -150,17 +176,21 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     counts = map_batches(sample, count, "_l string, kind int, g string, n long").groupBy("kind", "g", "_l").agg(F.sum("n").alias("n"))
     counts = landed(counts, "grams")
-    languages = sorted(r[0] for r in counts.select("_l").distinct().limit(MOST_LANGUAGES).collect())
-    if not languages:
-        return Model([], ([], np.zeros((0, 0))), ([], np.zeros((0, 0))))
-    by_gram = counts.groupBy("kind", "g").agg(
-        F.sum("n").alias("all"), *[F.sum(F.when(F.col("_l") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(languages)])
-
-    def most_frequent(kind: int, most: int) -> tuple[list[str], np.ndarray]:
-        top = by_gram.where(F.col("kind") == kind).orderBy(F.desc("all"), "g").limit(most).drop("kind", "all").toArrow()
-        return top.column("g").to_pylist(), np.stack([top.column(f"n{i}").to_numpy() for i in range(len(languages))], axis=1).astype(float)
-
-    return Model(languages, most_frequent(0, most_words), most_frequent(1, most_grams))
+    languages = sorted(r[0] for r in counts.select("_l").distinct().collect())
+    share = F.when(F.col("kind") == 0, -(-most_words // max(len(languages), 1))).otherwise(-(-most_grams // max(len(languages), 1)))
+    own = counts.withColumn("_r", F.row_number().over(W.partitionBy("_l", "kind").orderBy(F.desc("n"), "g")))
+    chosen = own.where(F.col("_r") <= F.greatest(F.lit(most_words), F.lit(most_grams))).where(F.col("_r") <= share).select("kind", "g").distinct()
+    table = counts.join(chosen, ["kind", "g"], "left_semi").toArrow()  # bounded by the two limits and the languages that share a key
+    place = {lang: i for i, lang in enumerate(languages)}
+
+    def of_kind(kind: int) -> tuple:
+        rows = table.filter(pc.equal(table.column("kind"), kind))
+        keys = sorted(pc.unique(rows.column("g")).to_pylist())
+        number = {g: i for i, g in enumerate(keys)}
+        return (keys, np.array([number[g] for g in rows.column("g").to_pylist()], dtype=np.int64),
+                np.array([place[x] for x in rows.column("_l").to_pylist()], dtype=np.int64), rows.column("n").to_numpy())
+
+    return Model(languages, of_kind(0), of_kind(1))
 
 
 def least_fits(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

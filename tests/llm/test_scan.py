@@ -1,6 +1,7 @@
 """Operators 2, 4, 5, 6, 7 and 8 against brute force or held-out accuracy."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from epispark.llm.decontaminate import FMIndex, decontaminate, suffix_order
 from epispark.llm.html_extract import extract, main_text
-from epispark.llm.language_id import language_id
+from epispark.llm.language_id import language_id, train
 from epispark.llm.nearest import nearest
 from epispark.llm.queries import QUERIES
 from epispark.llm.secret_scan import KINDS, learn, scan_text, secret_scan
@@ -109,6 +110,56 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in language_id(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_scores_by_the_formula(spark):
+    """Predictions and scores recomputed from plain counts, with more
+    languages than a share of the limits and one text of every kind."""
+    rnd = random.Random(3)
+    langs = [f"l{i}" for i in range(9)]
+    vocab = {lang: ["".join(rnd.choice("abcdeféghij"[i % 4:i % 4 + 6]) for _ in range(rnd.randint(1, 7))) for _ in range(40)] for i, lang in enumerate(langs)}
+    rows = [(i, " ".join(rnd.choice(vocab[langs[i % 9]]) for _ in range(rnd.randint(1, 30))), langs[i % 9] if i % 11 else None) for i in range(150)]
+    rows += [(200 + i, "".join(rnd.choice("abcdxyz ") for _ in range(40)), None) for i in range(20)] + [(300, " ".join(vocab["l3"] * 2000), None)]
+    got = {r.doc_id: r for r in language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_words=90, most_grams=180).collect()}
+    learned = [(t, lang) for i, t, lang in rows if lang and zlib.crc32(str(i).encode()) % 4 != 2]
+    words, grams = {lang: {} for lang in langs}, {lang: {} for lang in langs}
+    for t, lang in learned:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            words[lang][w] = words[lang].get(w, 0) + 1
+            for n in range(1, 6):
+                for k in range(len(w) + 3 - n):
+                    g = f"<{w}>"[k:k + n]
+                    grams[lang][g] = grams[lang].get(g, 0) + 1
+
+    def logs(counts, share):
+        keys = {k for c in counts.values() for k in sorted(c, key=lambda k: (-c[k], k))[:share]}
+        total = {lang: sum(counts[lang].get(k, 0) + 0.5 for k in keys) for lang in langs}
+        return {k: [math.log((counts[lang].get(k, 0) + 0.5) / total[lang]) for lang in langs] for k in keys}
+
+    word_logs, gram_logs = logs(words, 10), logs(grams, 20)
+    for i, t, _ in rows:
+        total = np.zeros(9)
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            if w in word_logs:
+                total += word_logs[w]
+                continue
+            for n in range(5, 0, -1):
+                found = [gram_logs[g] for k in range(len(w) + 3 - n) if (g := f"<{w}>"[k:k + n]) in gram_logs]
+                if found:
+                    total += np.mean(found, axis=0)
+                    break
+        best = int(np.argmax(total))
+        assert got[i].score == pytest.approx(1 / np.exp(total - total[best]).sum(), rel=1e-6)
+        assert got[i].lang_pred == langs[best] or np.sort(total)[-2] > total[best] - 1e-9
+
+
+def test_every_language_is_learned(spark):
+    """600 languages, one of them large, keep their own words."""
+    rows = [(i * 1000 + k, f"{a}{b}{c}q", f"{a}{b}{c}") for k in range(6) for i, (a, b, c) in enumerate((a, b, c) for a in "bcdfghjklm" for b in "aeiouyzxwv" for c in "npqrst")]
+    rows += [(10 ** 6 + i, "the big language has many words here", "big") for i in range(300)]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_words=1200, most_grams=600 * 30)
+    assert len(model.languages) == 601
+    assert all(model.predict(f"{lang}q")[0] == lang for lang in model.languages if lang != "big")
+
+
 # --- 5: neighbours ---------------------------------------------------------
 
 def brute_nearest(rows, k):
@@ -226,14 +277,15 @@ def hits(docs, items, size):
     phrases = {}
     for name, t in items:
         w = cut(t)
-        for k in range(max(len(w) - size + 1, 1) if w and name is not None else 0):
-            phrases.setdefault(tuple(w[k:k + size]), set()).add(str(name))
+        for k in range(max(len(w) - size + 1, 1) if w else 0):
+            phrases.setdefault(tuple(w[k:k + size]), set()).update([] if name is None else [str(name)])
     out = []
     for i, t in docs:
         w, hit, names = cut(t), np.zeros(len(cut(t)), bool), set()
         for n in {len(p) for p in phrases}:
             for k in range(len(w) - n + 1):
-                if found := phrases.get(tuple(w[k:k + n])):
+                found = phrases.get(tuple(w[k:k + n]))
+                if found is not None:
                     hit[k:k + n] = True
                     names |= found
         out.append((i, len(w), int(hit.sum()), len(names), ",".join(sorted(names))))
@@ -254,6 +306,26 @@ def test_decontaminate(spark, shard_bytes, block_bytes):
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r["items"]) for r in got), key=key) == sorted(hits(docs, items, 5), key=key)
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 8])
+def test_decontaminate_item_ids_of_any_form(spark, block_bytes):
+    """Null ids hit without a name; commas and the empty string are one id."""
+    items = [("x", "aa bb"), (None, "cc dd"), ("a,b", "ee ff"), ("", "gg hh"), ("x", "aa bb"), (None, None), ("y", "")]
+    docs = [(1, "aa bb cc dd"), (2, "ee ff"), (3, "gg hh"), (4, "cc dd"), (5, "gg hh ee ff"), (6, "aa cc")]
+    got = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"),
+                        window=10, block_bytes=block_bytes).collect()
+    assert {r.doc_id: (r.n_hit, r.n_items, r["items"]) for r in got} == {
+        1: (4, 1, "x"), 2: (2, 1, "a,b"), 3: (2, 1, ""), 4: (2, 0, ""), 5: (4, 2, ",a,b"), 6: (0, 0, "")}
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r["items"]) for r in got) == sorted(hits(docs, items, 10))
+
+
+def test_decontaminate_very_long_text(spark):
+    rnd = random.Random(4)
+    words = [f"w{rnd.randint(0, 3000)}" for _ in range(200_000)]
+    docs, items = [(1, " ".join(words))], [(7, " ".join(words[150_000:150_030])), (8, "absent " * 12)]
+    got = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [(r.n_words, r.n_hit, r["items"]) for r in got] == [(200_000, 30, "7")]
+
+
 def test_fm_index_locates_every_occurrence():
     rnd = np.random.default_rng(2)
     symbols = np.r_[rnd.integers(0, 4, 600), 0]
