@@ -197,6 +197,73 @@ def test_line_dedup(spark, edits):
     assert {(r.a, r._shard) for r in got} == {(2, 1)}
 
 
+def brute_lines(rows, edits, least):
+    """(id, removed, links) of every row, by comparing every two lines."""
+    first, long = {}, sorted({x for _, t in rows for x in t.encode().split(b"\n") if len(x) >= least})
+    for i, t in rows:
+        for n, x in enumerate(t.encode().split(b"\n")):
+            first[x] = min(first.get(x, (i, n)), (i, n))
+    near = {x: [y for y in long if x != y and abs(len(x) - len(y)) <= edits and distance(x, y) <= edits] for x in long}
+    out = []
+    for i, t in rows:
+        lines = t.encode().split(b"\n")
+        own = [x for x in lines if len(x) >= least]
+        gone = [n for n, x in enumerate(lines) if len(x) >= least and min([first[x], *(first[y] for y in near[x])]) < (i, n)]
+        out.append((i, len(gone), sum(len(near[x]) for x in set(own))))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("edits,hot", [(2, 2), (1, 3), (3, 5)])
+def test_line_families(spark, edits, hot):
+    """Lines of templates with short and long fields at any place, more than
+    one field, and lines unlike any other that share a segment with them."""
+    rnd = random.Random(edits)
+    letters = "abcdefgh é"
+    lines = []
+    for _ in range(4):
+        head, tail = ("".join(rnd.choice(letters) for _ in range(rnd.randint(0, 40))) for _ in range(2))
+        for _ in range(22):
+            field = str(rnd.randint(0, 10 ** rnd.randint(1, 5)))
+            lines.append(f"{head}{field}{tail}" if rnd.random() < 0.8 else f"{head}{field}{tail}{rnd.randint(0, 99)}")
+        for _ in range(8):  # the head, then a rest of its own
+            lines.append(head + "".join(rnd.choice(letters) for _ in range(len(tail) + 3)))
+    core = "".join(rnd.choice(letters) for _ in range(60))
+    for _ in range(30):  # one long field changed in a few places
+        line = list(core)
+        for _ in range(rnd.randint(0, 4)):
+            k = rnd.randrange(len(line))
+            line[k:k + rnd.randint(0, 1)] = rnd.choice(["", "x", "yz"])
+        lines.append("the same start of all of these lines " + "".join(line))
+    lines += ["ab" * 20 + "c" * k + "ab" * 20 for k in range(12)]
+    rnd.shuffle(lines)
+    rows = [(i, "\n".join(lines[4 * i:4 * i + 4])) for i in range(-(-len(lines) // 4))]
+    got = line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), max_edits=edits, min_bytes=8, hot=hot).collect()
+    want = brute_lines(rows, edits, 8)
+    assert sorted((r.doc_id, r.n_removed, r.n_links) for r in got) == want
+    assert sum(r[2] for r in want) > 100
+
+
+def test_within_edits_of_long_strings(spark):
+    """Pairs of a few to tens of thousands of bytes against plain distance or
+    edits made by hand."""
+    rnd = random.Random(4)
+    made = []
+    for n in (0, 1, 2, 3, 5, 9, 30):
+        for _ in range(40):
+            a = "".join(rnd.choice("ab") for _ in range(n))
+            b = list(a)
+            for _ in range(rnd.randint(0, 5)):
+                k = rnd.randint(0, len(b))
+                b[k:k + rnd.randint(0, 1)] = rnd.choice(["", "a", "b"])
+            made.append((a, "".join(b)))
+    rows = [(a, b, distance(a, b)) for a, b in made]
+    long = "".join(rnd.choice("abcdef ") for _ in range(40_000))
+    rows += [(long, long, 0), (long, long[:7] + "#" + long[8:30_000] + long[30_001:], 2), (long, "#" + long[:20_000] + "##" + long[20_000:], 3), (long, long[3:] + "###", 6)]
+    df = spark.createDataFrame(rows, "a string, b string, d int").select("d", *[F.col(c).cast("binary") for c in "ab"])
+    for edits in (1, 2, 3):
+        assert [r for r in df.select("a", "b", "d", within_edits(F.col("a"), F.col("b"), edits).alias("near")).collect() if r.near != (r.d <= edits)] == []
+
+
 def test_equal_short_lines_go_too(spark):
     import corpus_pipeline as cp
 
