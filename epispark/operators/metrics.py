@@ -109,14 +109,23 @@ def months_between(df: DataFrame, lo: Column, hi: Column) -> DataFrame:
     return df.where((ym >= F.year(lo) * 100 + F.month(lo)) & (ym <= F.year(hi) * 100 + F.month(hi)))
 
 
+def _no_doses(cases: DataFrame) -> bool:
+    """Whether vaccination is not recorded: no dose column in the cases, or no
+    ``vaccinated`` in their daily rollup."""
+    return not _present(cases, P.RATE_DOSE_COLUMNS) and "vaccinated" not in cases.columns
+
+
 def _windowed(cases: DataFrame, reference_date: str, now: str | None,
               spec: dict[str, tuple[int, int, str]]) -> DataFrame:
     """The windowed sums of ``spec`` (name -> (days back from, days back to,
     column)) in a 1-row frame with ``ref`` and ``total_records``.
 
-    The newest date and the row count enter as scalar subqueries, so the one
+    ``cases`` is the case table or its daily rollup.  Of the case table, the
+    newest date and the row count enter as scalar subqueries, so the one
     scan that reads columns is cut to the months of the longest window.
     """
+    if {"day", "cases"} <= set(cases.columns):
+        return _windowed_rollup(cases, reference_date, now, spec)
     ref = newest_date(cases).select(_adjusted_ref(reference_date, now, F.col("_max")).alias("ref")).scalar()
     counted = cases.where("ANO is not null") if "ANO" in cases.columns else cases.where(F.col(P.DATE_COL).isNotNull())
     total = counted.agg(F.count(F.lit(1))).scalar()
@@ -126,6 +135,25 @@ def _windowed(cases: DataFrame, reference_date: str, now: str | None,
     return daily_summary(window).agg(*aggs).select(ref.alias("ref"), total.cast("bigint").alias("total_records"), *spec)
 
 
+def _windowed_rollup(daily: DataFrame, reference_date: str, now: str | None,
+                     spec: dict[str, tuple[int, int, str]]) -> DataFrame:
+    """``_windowed`` over the daily rollup: one scan and one exchange.  Its
+    days, one entry each and so bounded by the calendar, are gathered in one
+    row together with the newest of them, from which the windows follow."""
+    used = [c for c in dict.fromkeys(col for _, _, col in spec.values()) if c in daily.columns]
+    rows = daily.agg(F.max("day").alias("_max"), F.coalesce(F.sum("cases"), F.lit(0)).cast("bigint").alias("total_records"),
+                     F.collect_list(F.struct("day", *used)).alias("_days"))
+    rows = rows.select(_adjusted_ref(reference_date, now, F.col("_max")).alias("ref"), "total_records", "_days")
+
+    def windowed(a: int, b: int, col: str) -> Column:
+        if col not in used:
+            return F.lit(0).cast("bigint")
+        inside = lambda d: d["day"].between(F.date_sub("ref", a), F.date_sub("ref", b))
+        return F.aggregate("_days", F.lit(0).cast("bigint"), lambda s, d: s + F.when(inside(d), d[col]).otherwise(0))
+
+    return rows.select("ref", "total_records", *[windowed(*window).alias(name) for name, window in spec.items()])
+
+
 # ------------------------------------------------------------------ M1
 def case_increase_rate(cases: DataFrame, reference_date: str, period_days: int = 30,
                        now: str | None = None) -> DataFrame:
@@ -203,7 +231,7 @@ def vaccination_rate(cases: DataFrame, reference_date: str, period_days: int = 9
     spec = {"total_cases": (period_days, 0, "cases"), "vaccinated_cases": (period_days, 0, "vaccinated")}
     w = _windowed(cases, reference_date, now, spec)
     n, d = F.col("vaccinated_cases"), F.col("total_cases")
-    no_cols = not _present(cases, P.RATE_DOSE_COLUMNS)
+    no_cols = _no_doses(cases)
     empty = (d == 0) | F.lit(no_cols)
     interp = F.when(empty, F.lit("Dados de vacinação não disponíveis para o período")).otherwise(
         _band_text(ratio_units(n, d, 2, 1), n, d, "Nenhum caso vacinado identificado no período",
@@ -227,7 +255,7 @@ def dose_breakdown(cases: DataFrame, reference_date: str, period_days: int = 90,
     spec = {"total_cases": (period_days, 0, "cases")}
     spec.update({name: (period_days, 0, name) for name, _ in P.DOSE_BREAKDOWN})
     w = _windowed(cases, reference_date, now, spec)
-    no_cols = not _present(cases, P.RATE_DOSE_COLUMNS)
+    no_cols = _no_doses(cases)
     empty = (F.col("total_cases") == 0) | F.lit(no_cols)
     stacked = w.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("position"), F.lit(name).alias("dose"), F.col(name).alias("cases"))
@@ -239,7 +267,8 @@ def dose_breakdown(cases: DataFrame, reference_date: str, period_days: int = 90,
 # ------------------------------------------------------------------ M7
 def adjust_reference_date(cases: DataFrame, reference_date: str, now: str,
                           historical_days: int = P.HISTORICAL_DAYS) -> DataFrame:
-    ref = reference_frame(daily_summary(cases), reference_date, now, historical_days)
+    daily = cases if {"day", "cases"} <= set(cases.columns) else daily_summary(cases)
+    ref = reference_frame(daily, reference_date, now, historical_days)
     return ref.select("max_date", "requested_date", F.col("ref").alias("reference_date"),
                       (F.col("ref") != F.col("requested_date")).alias("adjusted"))
 
@@ -255,7 +284,7 @@ def metrics_bundle(cases: DataFrame, reference_date: str, windows: P.Windows = P
         "i_total": (i, 0, "cases"), "i_icu": (i, 0, "icu"),
         "v_total": (v, 0, "cases"), "v_vacc": (v, 0, "vaccinated"),
     })
-    no_vax = not _present(cases, P.RATE_DOSE_COLUMNS)
+    no_vax = _no_doses(cases)
     gc, gp = F.col("g_cur"), F.col("g_prev")
     rows = [
         ("case_increase_rate", g, gc - gp, gp,

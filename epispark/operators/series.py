@@ -22,9 +22,13 @@ def _d(x: str):
 
 
 def daily_counts(cases: DataFrame, as_of: str, days: int = 30, col: str = P.DATE_COL) -> DataFrame:
-    """A1: cases per day in [as_of - days, as_of]."""
+    """A1: cases per day in [as_of - days, as_of], from the case table or its
+    daily rollup."""
     import datetime as _dt
 
+    if {"day", "cases"} <= set(cases.columns):
+        return cases.where(F.col("day").between(F.date_sub(_d(as_of), days), _d(as_of))).select(F.col("day").alias("date"), "cases")
+
     from .filters import partition_window
 
     start = (_dt.date.fromisoformat(as_of) - _dt.timedelta(days=days)).isoformat()
@@ -65,17 +69,33 @@ def monthly_counts(cases: DataFrame, as_of: str, days: int = 365, col: str = P.D
     """A2: cases per month in [as_of - days, as_of]; when that window is
     empty, every case from ``max(date) - days`` on (no upper bound).
 
-    Whether the window holds a case, and the newest date, enter as scalar
-    subqueries; every scan is cut to the months it needs.
+    From the daily rollup, the days of both windows (one entry each) meet in
+    one row that chooses.  From the case table, whether the window holds a
+    case, and the newest date, enter as scalar subqueries; every scan is cut
+    to the months it needs.
     """
     from .metrics import months_between, newest_date
 
+    if {"day", "cases"} <= set(cases.columns):
+        return _by_month(_chosen_days(cases, as_of, days))
     d, lo, hi = F.col(col), F.date_sub(_d(as_of), days), _d(as_of)
     recent = months_between(cases, lo, hi).where(d.between(lo, hi)).agg((F.count(F.lit(1)) > 0).alias("v")).scalar()
     newest = newest_date(cases, col).scalar()
     start, end = F.when(recent, lo).otherwise(F.date_sub(newest, days)), F.when(recent, hi).otherwise(newest)
     picked = (months_between(cases, start, end).where(d.between(start, end))
               .groupBy(d.alias("day")).agg(F.count(F.lit(1)).alias("n")))
+    return _by_month(picked)
+
+
+def _chosen_days(daily: DataFrame, as_of: str, days: int) -> DataFrame:
+    lo, hi = F.date_sub(_d(as_of), days), _d(as_of)
+    row = daily.agg(F.max("day").alias("newest"), F.collect_list(F.struct("day", F.col("cases").alias("n"))).alias("all"))
+    recent = row.select("newest", "all", F.filter("all", lambda x: x["day"].between(lo, hi)).alias("some"))
+    chosen = F.when(F.size("some") > 0, F.col("some")).otherwise(F.filter("all", lambda x: x["day"] >= F.date_sub("newest", days)))
+    return recent.select(F.inline(chosen))
+
+
+def _by_month(picked: DataFrame) -> DataFrame:
     return (picked.groupBy(F.year("day").alias("year"), F.month("day").alias("month"))
             .agg(F.sum("n").cast("bigint").alias("cases"))
             .withColumn("month_start", F.make_date("year", "month", F.lit(1)))

@@ -62,8 +62,12 @@ def arts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FX.articles(spark, sf_dir)
 
 
+def rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FX.rollup(spark, sf_dir)
+
+
 def bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.metrics_bundle(cases(spark, sf_dir), AS_OF, now=AS_OF)
+    return M.metrics_bundle(rollup(spark, sf_dir), AS_OF, now=AS_OF)
 
 
 def fixture_csv(spark: SparkSession, sf_dir: str) -> str:
@@ -254,7 +258,7 @@ def q_filter_plausible_age(spark, sf_dir):
 # ------------------------------------------------------------------ J1-J2, A1-A13, W1-W4, O2-O4
 @query("daily_calendar_fill")
 def q_daily_calendar_fill(spark, sf_dir):
-    return S.daily_calendar_fill(cases(spark, sf_dir), AS_OF, 30)
+    return S.daily_calendar_fill(rollup(spark, sf_dir), AS_OF, 30)
 
 
 @query("metric_limits")
@@ -264,17 +268,17 @@ def q_metric_limits(spark, sf_dir):
 
 @query("daily_counts")
 def q_daily_counts(spark, sf_dir):
-    return S.daily_counts(cases(spark, sf_dir), AS_OF, 30)
+    return S.daily_counts(rollup(spark, sf_dir), AS_OF, 30)
 
 
 @query("monthly_counts")
 def q_monthly_counts(spark, sf_dir):
-    return S.monthly_counts(cases(spark, sf_dir), AS_OF, 365)
+    return S.monthly_counts(rollup(spark, sf_dir), AS_OF, 365)
 
 
 @query("monthly_counts_fallback")
 def q_monthly_counts_fallback(spark, sf_dir):
-    return S.monthly_counts(cases(spark, sf_dir), "2005-06-01", 365)
+    return S.monthly_counts(rollup(spark, sf_dir), "2005-06-01", 365)
 
 
 @query("value_counts_outcome")
@@ -319,12 +323,12 @@ def q_severity_indicators(spark, sf_dir):
 
 @query("daily_series_summary")
 def q_daily_series_summary(spark, sf_dir):
-    return S.series_summary(S.daily_calendar_fill(cases(spark, sf_dir), AS_OF, 30), "date")
+    return S.series_summary(S.daily_calendar_fill(rollup(spark, sf_dir), AS_OF, 30), "date")
 
 
 @query("monthly_series_summary")
 def q_monthly_series_summary(spark, sf_dir):
-    return S.series_summary(S.monthly_counts(cases(spark, sf_dir), AS_OF, 365), "month_start")
+    return S.series_summary(S.monthly_counts(rollup(spark, sf_dir), AS_OF, 365), "month_start")
 
 
 @query("theme_breakdown")
@@ -349,7 +353,7 @@ def q_article_origin_counts(spark, sf_dir):
 
 @query("moving_average_7d")
 def q_moving_average_7d(spark, sf_dir):
-    return S.moving_average(S.daily_calendar_fill(cases(spark, sf_dir), AS_OF, 30))
+    return S.moving_average(S.daily_calendar_fill(rollup(spark, sf_dir), AS_OF, 30))
 
 
 @query("dedupe_cases")
@@ -390,27 +394,27 @@ def q_theme_top3(spark, sf_dir):
 # ------------------------------------------------------------------ M1-M10
 @query("case_increase_rate")
 def q_case_increase_rate(spark, sf_dir):
-    return M.case_increase_rate(cases(spark, sf_dir), AS_OF, 30, now=AS_OF)
+    return M.case_increase_rate(rollup(spark, sf_dir), AS_OF, 30, now=AS_OF)
 
 
 @query("mortality_rate")
 def q_mortality_rate(spark, sf_dir):
-    return M.mortality_rate(cases(spark, sf_dir), AS_OF, 90, now=AS_OF)
+    return M.mortality_rate(rollup(spark, sf_dir), AS_OF, 90, now=AS_OF)
 
 
 @query("icu_rate")
 def q_icu_rate(spark, sf_dir):
-    return M.icu_rate(cases(spark, sf_dir), AS_OF, 30, now=AS_OF)
+    return M.icu_rate(rollup(spark, sf_dir), AS_OF, 30, now=AS_OF)
 
 
 @query("vaccination_rate")
 def q_vaccination_rate(spark, sf_dir):
-    return M.vaccination_rate(cases(spark, sf_dir), AS_OF, 90, now=AS_OF)
+    return M.vaccination_rate(rollup(spark, sf_dir), AS_OF, 90, now=AS_OF)
 
 
 @query("dose_breakdown")
 def q_dose_breakdown(spark, sf_dir):
-    return M.dose_breakdown(cases(spark, sf_dir), AS_OF, 90, now=AS_OF)
+    return M.dose_breakdown(rollup(spark, sf_dir), AS_OF, 90, now=AS_OF)
 
 
 @query("metric_alerts")
@@ -422,7 +426,7 @@ def q_metric_alerts(spark, sf_dir):
 
 @query("adjust_reference_date")
 def q_adjust_reference_date(spark, sf_dir):
-    return M.adjust_reference_date(cases(spark, sf_dir), AS_OF, now="2005-01-01")
+    return M.adjust_reference_date(rollup(spark, sf_dir), AS_OF, now="2005-01-01")
 
 
 @query("metrics_bundle")
@@ -619,7 +623,7 @@ def q_truncate_summary(spark, sf_dir):
 
 @query("heuristic_analysis")
 def q_heuristic_analysis(spark, sf_dir):
-    growth = M.case_increase_rate(cases(spark, sf_dir), AS_OF, 30, now=AS_OF).select(F.col("rate").alias("growth_rate"))
+    growth = M.case_increase_rate(rollup(spark, sf_dir), AS_OF, 30, now=AS_OF).select(F.col("rate").alias("growth_rate"))
     return N.heuristic_analysis(N.article_relevance(arts(spark, sf_dir)), growth)
 
 
@@ -642,7 +646,7 @@ def q_executive_summary(spark, sf_dir):
 
 @query("vaccination_split")
 def q_vaccination_split(spark, sf_dir):
-    return R.vaccination_split(M.vaccination_rate(cases(spark, sf_dir), AS_OF, 90, now=AS_OF))
+    return R.vaccination_split(M.vaccination_rate(rollup(spark, sf_dir), AS_OF, 90, now=AS_OF))
 
 
 @query("format_instant_br")

@@ -152,3 +152,10 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sinks import save_processed
 
     return landed(spark, sf_dir, "cases", lambda: process(raw_cases(spark, sf_dir)), save_processed)
+
+
+def rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily rollup of the case table, landed once beside it."""
+    from ..operators.rollup import daily_rollup, load_rollup, save_rollup
+
+    return load_rollup(spark, landed_path(spark, sf_dir, "rollup", lambda: daily_rollup(cases(spark, sf_dir)), save_rollup))

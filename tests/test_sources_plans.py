@@ -132,9 +132,58 @@ def test_quality_report_scan_budget(spark):
 
 
 def test_rates_and_series_read_the_window_only(spark):
+    """Over the case table; the registered queries read the rollup instead."""
+    from epispark.operators import metrics as M, series as S
     from epispark.plans.catalog import QUERIES
+    from epispark.sources import fixtures as FX
 
-    for key in ("case_increase_rate", "mortality_rate", "icu_rate", "vaccination_rate", "dose_breakdown", "metrics_bundle", "monthly_counts", "filter_plausible_date"):
-        plan = QUERIES[key](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    cases, day = FX.cases(spark, "/root/testdata/sf0.001"), "2001-06-01"
+    frames = {f.__name__: f(cases, day, now=day) for f in (M.case_increase_rate, M.mortality_rate, M.icu_rate, M.vaccination_rate, M.dose_breakdown, M.metrics_bundle)}
+    frames |= {"monthly_counts": S.monthly_counts(cases, day, 365), "filter_plausible_date": QUERIES["filter_plausible_date"](spark, "/root/testdata/sf0.001")}
+    for key, frame in frames.items():
+        plan = frame._jdf.queryExecution().executedPlan().toString()
         scans = [line for line in plan.split("\n") if "FileScan parquet" in line and "DT_NOTIFIC" in line.split("ReadSchema")[-1]]
         assert scans and all("PartitionFilters: []" not in line for line in scans), key
+
+
+def test_registered_rates_read_the_rollup_once(spark):
+    from epispark.plans.catalog import QUERIES
+
+    for key in ("case_increase_rate", "mortality_rate", "icu_rate", "vaccination_rate", "dose_breakdown", "metrics_bundle", "monthly_counts", "daily_counts"):
+        plan = QUERIES[key](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1 and "ubquery" not in plan and "NestedLoop" not in plan and "/rollup-" in plan, key
+
+
+def test_rollup_gives_the_rates_of_the_cases(spark):
+    from epispark.operators import metrics as M, rollup as RU, series as S
+    from epispark.sources import fixtures as FX
+
+    cases = FX.cases(spark, "/root/testdata/sf0.001")
+    for df in (cases, cases.drop("DOSE_1_COV", "DOSE_2_COV", "DOSE_REF", "DOSE_2REF", "DOSE_ADIC"), cases.limit(0)):
+        daily = RU.daily_rollup(df)
+        for day, now in (("2001-06-01", "2001-06-01"), ("2001-06-01", "2009-01-01"), ("1990-01-01", None)):
+            for rate in (M.case_increase_rate, M.mortality_rate, M.icu_rate, M.vaccination_rate, M.dose_breakdown, M.metrics_bundle):
+                assert sorted(map(str, rate(daily, day, now=now).collect())) == sorted(map(str, rate(df, day, now=now).collect())), rate.__name__
+            assert S.monthly_counts(daily, day).collect() == S.monthly_counts(df, day).collect()
+            assert sorted(S.daily_counts(daily, day).collect()) == sorted(S.daily_counts(df, day).collect())
+        assert M.adjust_reference_date(daily, "2001-06-01", "2009-01-01").collect() == M.adjust_reference_date(df, "2001-06-01", "2009-01-01").collect()
+
+
+def test_rollup_refreshes_single_years(spark, tmp_path):
+    import glob
+
+    from epispark.operators import rollup as RU
+    from pyspark.sql import functions as F
+
+    def cases(rows):
+        return spark.createDataFrame(rows, "DT_NOTIFIC string, TEVE_OBITO int, TEVE_UTI int, DOSE_1_COV string").withColumn("DT_NOTIFIC", F.to_date("DT_NOTIFIC"))
+
+    old = [("1999-05-01", 1, 0, None), ("2000-02-02", 0, 1, "x"), ("2001-03-03", 0, 0, None), (None, 1, 1, None)]
+    path = str(tmp_path / "rollup")
+    RU.save_rollup(RU.daily_rollup(cases(old)), path)
+    before = set(glob.glob(path + "/ANO=1999/*.parquet"))
+    new = [old[0], old[0], ("2000-02-02", 0, 1, "x"), ("2000-02-02", 1, 1, None)]  # 1999 changed too, but is not refreshed
+    RU.refresh_rollup(cases(new), path, [2000, 2001])
+    rows = {str(r.day): (r.cases, r.deaths, r.icu, r.vaccinated) for r in RU.load_rollup(spark, path).collect()}
+    assert rows == {"1999-05-01": (1, 1, 0, 0), "2000-02-02": (2, 1, 2, 1)}  # 2001 lost its only case
+    assert set(glob.glob(path + "/ANO=1999/*.parquet")) == before
