@@ -42,8 +42,8 @@ def probe_plan(edits: int) -> list[tuple[int, int, int]]:
 
 def with_keys(lines: DataFrame, edits: int) -> DataFrame:
     """A row per line and planned substring: the line's columns but the text,
-    ``own`` (whether it is the line's own segment), the substring's place
-    ``_at`` and ``_size``, and ``key``, a hash of segment number, length and
+    ``own`` (whether it is the line's own segment), the line's ``_bytes``, the
+    substring's place ``_at`` and ``_size``, and ``key``, a hash of segment number, length and
     substring (and of the group ``_of``, if there is that column).  A line of
     n bytes has even segments, the longer ones last."""
     parts = edits + 1
@@ -57,7 +57,7 @@ def with_keys(lines: DataFrame, edits: int) -> DataFrame:
     spread = spread.select("*", (F.col("_short") * F.col("_i") + F.greatest(F.col("_over"), F.lit(0)) + 1 + F.col("_s")).alias("_at"),
                            (F.col("_short") + F.when(F.col("_over") >= 0, 1).otherwise(0)).alias("_size"))
     inside = (F.col("_at") >= 1) & (F.col("_at") + F.col("_size") - 1 <= F.col("_bytes"))
-    return spread.where(inside).select(*kept, ((F.col("_s") == 0) & (F.col("_other") == F.col("_bytes"))).alias("own"), "_at", "_size",
+    return spread.where(inside).select(*kept, ((F.col("_s") == 0) & (F.col("_other") == F.col("_bytes"))).alias("own"), "_bytes", "_at", "_size",
                                        F.xxhash64(*within, "_i", "_other", F.substr("_b", F.col("_at"), F.col("_size"))).alias("key"))
 
 
@@ -174,11 +174,12 @@ def candidate_pairs(lines: DataFrame, edits: int, hot: int) -> DataFrame:
     """Pairs ``a, a_len, b, b_len`` of unlike lines (``_h, _len, _bits,
     _line``) that may be within ``edits``: all that are, and few others."""
     lines = lines.withColumn("_of", F.lit(0).cast("long")).withColumn("_line", F.col("_line").cast("binary"))
-    side = lambda df, s: df.select("key", F.struct("_len", "_h").alias(s), F.col("_bits").alias(f"_{s}"))
+    side = lambda df, s: df.select("key", F.struct("_len", "_h").alias(s), F.col("_bits").alias(f"_{s}"), F.col("_bytes").alias(f"_n{s}"))
     found = []
 
     def meet(index: DataFrame, probes: DataFrame) -> None:
-        unlike = F.col("x") < F.col("y") if index is probes else F.col("x") != F.col("y")
+        # Texts of one length meet in both orders, others only as they probe.
+        unlike = F.when((F.col("_nx") == F.col("_ny")) | F.lit(index is probes), F.col("x") < F.col("y")).otherwise(F.col("x") != F.col("y"))
         close = F.bit_count(F.col("_x").bitwiseXOR(F.col("_y"))) <= 2 * edits
         found.append(side(index, "x").join(side(probes, "y"), "key").where(unlike & close)
                      .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
@@ -199,7 +200,7 @@ def candidate_pairs(lines: DataFrame, edits: int, hot: int) -> DataFrame:
         cores = landed(_cores(landed(members, "line-family")), "line-cores")
         size = F.octet_length("_line")
         short = cores.where(size <= CORE_BYTES).select("_of", "_h", "_len", "_bits", F.explode(deletions(F.col("_line"), edits)).alias("_left"))
-        short = short.select(F.xxhash64("_of", "_left").alias("key"), "_h", "_len", "_bits")
+        short = short.select(F.xxhash64("_of", "_left").alias("key"), "_h", "_len", "_bits", F.lit(0).alias("_bytes"))
         meet(short, short)
         lines = cores.where(size > CORE_BYTES - edits)
     pairs = found[0]
@@ -209,7 +210,7 @@ def candidate_pairs(lines: DataFrame, edits: int, hot: int) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 2,
-               min_bytes: int = 30, keep: tuple[str, ...] = (), edit_bytes: int | None = None, hot: int = 64) -> DataFrame:
+               min_bytes: int = 30, keep: tuple[str, ...] = (), edit_bytes: int | None = None, hot: int = 512) -> DataFrame:
     """One row per input row: ``id_col``, ``n_lines``, ``n_removed``,
     ``n_links`` (pairs of its distinct lines with other lines within the
     distance), ``class_id`` (least id holding a line equal or linked to one of
