@@ -137,15 +137,16 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang
     least hashes of each language; rows repeated whole count once.
 
     The hashes are even, so a cut by a language's own row count leaves little
-    more than that many, and only those are ranked."""
+    more than that many, and only those are ranked.  Both broadcasts hold one
+    row per language, and the model holds every language too."""
     marked = _learnable(docs, id_col, lang_col).select(
         F.col(lang_col).alias("_l"), F.col(text_col).alias("_t"), F.xxhash64(id_col, text_col).alias("_h"))
     share = F.least(F.lit(1.0), F.lit(1.5 * per_language + 100) / F.count("*"))
     cuts = marked.groupBy("_l").agg(F.when(share < 1, (share * 2.0 ** 64 - 2.0 ** 63).cast("long")).otherwise((1 << 63) - 1).alias("_cut"))
-    low = (marked.join(cuts, "_l").where("_h <= _cut").groupBy("_l", "_h").agg(F.lit(1))
+    low = (marked.join(F.broadcast(cuts), "_l").where("_h <= _cut").groupBy("_l", "_h").agg(F.lit(1))
            .withColumn("_r", F.row_number().over(W.partitionBy("_l").orderBy("_h")))
            .where(F.col("_r") <= per_language).groupBy("_l").agg(F.max("_h").alias("_most")))
-    return marked.join(low, "_l").where("_h <= _most").dropDuplicates(["_l", "_h"]).select("_l", "_t")
+    return marked.join(F.broadcast(low), "_l").where("_h <= _most").dropDuplicates(["_l", "_h"]).select("_l", "_t")
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
