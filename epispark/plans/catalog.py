@@ -70,13 +70,23 @@ def bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.metrics_bundle(rollup(spark, sf_dir), AS_OF, now=AS_OF)
 
 
+NOTE_FIELD = "OBS;NOTA"  # quoted in the header, as it holds the separator
+
+
 def fixture_csv(spark: SparkSession, sf_dir: str) -> str:
     """``raw_cases`` written once per session as ';'-separated CSV under the
-    shared checkpoint folder (the landed-file form of the case table)."""
-    return FX.landed_path(spark, sf_dir, "raw_cases_csv", lambda: raw(spark, sf_dir),
+    shared checkpoint folder (the landed-file form of the case table), with a
+    note field: some notes hold line breaks, separators and quotes."""
+    n = F.col("NU_NOTIFIC").cast("bigint")
+    note = (F.when(n % 997 == 0, F.lit('linha 1\n\nlinha "2"; fim')).when(n % 991 == 0, F.lit("a;b")).when(n % 983 == 0, F.lit('dito ""isto""')))
+    return FX.landed_path(spark, sf_dir, "raw_cases_csv", lambda: raw(spark, sf_dir).withColumn(NOTE_FIELD, note),
                           lambda df, path: df.write.mode("overwrite").option("header", True).option("sep", ";").option("escape", '"').csv(path))
 
 
+def landed_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CSV.scan_csv(spark, fixture_csv(spark, sf_dir)).withColumnRenamed(NOTE_FIELD, "OBS_NOTA")
+
+
 def _limits(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(P.METRIC_LIMITS, "metric string, min_value double, max_value double, warning_threshold double")
 
@@ -94,13 +104,12 @@ def q_src_project(spark, sf_dir):
 
 @query("src_csv_scan")
 def q_src_csv_scan(spark, sf_dir):
-    return CSV.scan_csv(spark, fixture_csv(spark, sf_dir))
+    return landed_csv(spark, sf_dir)
 
 
 @query("load_window")
 def q_load_window(spark, sf_dir):
-    src = CSV.scan_csv(spark, fixture_csv(spark, sf_dir))
-    return L.load_window(src, "2000-06-01", AS_OF)
+    return L.load_window(landed_csv(spark, sf_dir), "2000-06-01", AS_OF)
 
 
 @query("load_with_fallback")

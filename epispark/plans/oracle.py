@@ -315,8 +315,10 @@ ESSENTIAL_PRESENT = ["DT_NOTIFIC", "SG_UF_NOT", "CO_MUN_NOT", "CS_SEXO", "NU_IDA
                      "HOSPITAL", "DOSE_1_COV", "DOSE_2_COV", "DOSE_REF", "FEBRE", "TOSSE", "DISPNEIA", "DESC_RESP",
                      "DIARREIA", "VOMITO"]
 register("src_project", f"SELECT {', '.join(ESSENTIAL_PRESENT)} FROM raw_cases")
-register("src_csv_scan", "SELECT * FROM raw_cases")
-register("load_window", "SELECT * FROM typed WHERE DT_NOTIFIC BETWEEN DATE '2000-06-01' AND DATE '2001-06-01'")
+_NOTE = """CASE WHEN CAST(NU_NOTIFIC AS BIGINT) % 997 = 0 THEN 'linha 1' || chr(10) || chr(10) || 'linha "2"; fim'
+  WHEN CAST(NU_NOTIFIC AS BIGINT) % 991 = 0 THEN 'a;b' WHEN CAST(NU_NOTIFIC AS BIGINT) % 983 = 0 THEN 'dito ""isto""' END AS OBS_NOTA"""
+register("src_csv_scan", f"SELECT *, {_NOTE} FROM raw_cases")
+register("load_window", f"SELECT *, {_NOTE} FROM typed WHERE DT_NOTIFIC BETWEEN DATE '2000-06-01' AND DATE '2001-06-01'")
 register("load_with_fallback", """
 WITH probe AS (SELECT count(*) FILTER (WHERE DT_NOTIFIC BETWEEN DATE '1994-06-01' - 365 AND DATE '1994-06-01') AS n FROM typed)
 SELECT t.*, CASE WHEN n > 0 THEN 'recent' ELSE 'historical' END AS mode
@@ -857,5 +859,5 @@ SELECT (SELECT count(*) FROM {sub('metrics_bundle')} b) AS metrics_count,
 
 # The file sinks read back what they wrote: the header of the landed CSV, and
 # the rows of the report.
-register("src_delimiter", "SELECT ';' AS delimiter, CAST((SELECT count(*) - 1 FROM (DESCRIBE SELECT * FROM raw_cases)) AS INTEGER) AS semicolons, CAST(0 AS INTEGER) AS commas")
+register("src_delimiter", "SELECT ';' AS delimiter, CAST((SELECT count(*) + 1 FROM (DESCRIBE SELECT * FROM raw_cases)) AS INTEGER) AS semicolons, CAST(0 AS INTEGER) AS commas")
 ORACLE["sink_quality_json"] = ORACLE["quality_report"]

@@ -187,3 +187,63 @@ def test_rollup_refreshes_single_years(spark, tmp_path):
     rows = {str(r.day): (r.cases, r.deaths, r.icu, r.vaccinated) for r in RU.load_rollup(spark, path).collect()}
     assert rows == {"1999-05-01": (1, 1, 0, 0), "2000-02-02": (2, 1, 2, 1)}  # 2001 lost its only case
     assert set(glob.glob(path + "/ANO=1999/*.parquet")) == before
+
+
+# ------------------------------------------------------- records of CSV files
+def _python_records(text: str, sep: str) -> list[list[str]]:
+    """Rows of one file by the standard library's reader."""
+    import csv
+    import io
+
+    return [row for row in csv.reader(io.StringIO(text, newline=""), delimiter=sep) if row]
+
+
+def test_quoted_line_break_and_quoted_header_separator(spark):
+    p = _write('x;y\n"a\nb";2\n3;4\n')
+    df = CSV.scan_csv(spark, p)
+    assert sorted(map(tuple, df.collect())) == [("3", "4"), ("a\nb", "2")]
+    assert df.count() == 2 and sorted(r.y for r in CSV.scan_csv(spark, p, project=["y"]).collect()) == ["2", "4"]
+    q = _write('"x;y";z\n1;2\n')
+    assert CSV.header_columns(spark, q, ";") == ["x;y", "z"]
+    assert [tuple(r) for r in CSV.scan_csv(spark, q, sep=";").collect()] == [("1", "2")]
+    h = _write('"a\nb";c\n\n1;"2\n\n3"\n')
+    assert CSV.header_columns(spark, h, ";") == ["a\nb", "c"]
+    assert [tuple(r) for r in CSV.scan_csv(spark, h, sep=";").collect()] == [("1", "2\n\n3")]
+
+
+def test_quote_inside_a_field_and_open_quote_at_the_end(spark):
+    p = _write('x;y\n12" pipe;a\n"p ""q"" r";"s;t"\nu "v;w" z\n5;"open\n6;7\n8;9\n')
+    got = sorted(map(tuple, CSV.scan_csv(spark, p).collect()))
+    assert ('12" pipe', "a") in got and ('p "q" r', "s;t") in got and ('u "v', 'w" z') in got
+    assert ("6", "7") in got and ("8", "9") in got and len(got) == 6
+
+
+def test_records_across_many_splits(spark, tmp_path):
+    """Random files cut into splits of a few bytes against the standard
+    library's reader, with fields that cover several splits."""
+    import random
+
+    rnd = random.Random(3)
+    field = lambda: rnd.choice([str(rnd.randint(0, 99)), "", "plain", '"q"', '"a;b"', '"l1\nl2"', '"say ""hi"";\n\n end"', '"' + "long line\n" * rnd.randint(1, 40) + '"', 'in"ch'])
+    want = []
+    for f in range(4):
+        rows = [";".join(field() for _ in range(rnd.choice([2, 2, 2, 1, 3]))) for _ in range(rnd.randint(30, 120))]
+        text = "a;b\n" + "".join(r + "\n" for r in rows)
+        (tmp_path / f"part{f}.csv").write_text(text, encoding="utf-8")
+        want += [(r + [""])[:2] for r in _python_records(text, ";")[1:] if len(r) <= 2]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("64", "700", old):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0" if size != old else "4194304")
+            got = [[x or "" for x in r] for r in CSV.scan_csv(spark, str(tmp_path), sep=";", columns=["a", "b"]).collect()]
+            assert sorted(got) == sorted(want), size
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.set("spark.sql.files.openCostInBytes", "4194304")
+
+
+def test_very_long_quoted_field(spark):
+    p = _write('x;y\n"' + 'a "" b;\n' * 40_000 + '";2\n' + '"' + "z" * 300_000 + '";3\n')
+    got = sorted(CSV.scan_csv(spark, p).collect(), key=lambda r: r.y)
+    assert got[0].x == 'a " b;\n' * 40_000 and got[1].x == "z" * 300_000
