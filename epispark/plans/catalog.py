@@ -124,11 +124,33 @@ def api_shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("published").alias("publishedAt"), F.struct(F.col("source").alias("name")).alias("source"))
 
 
+def landed_json(spark: SparkSession, sf_dir: str, source_type: str) -> str:
+    """Articles of one source type as they are landed: feed entries a line
+    each, API responses of several articles a line; every 97th id also leaves
+    a line that broke off."""
+    a = arts(spark, sf_dir).where(F.col("source_type") == source_type)
+    broken = a.where(F.col("article_id") % 97 == 0).select(F.concat(F.lit('{"title": "broken off'), F.col("article_id")).alias("value"))
+    if source_type == "rss":
+        lines = a.select(F.to_json(F.struct("article_id", "title", "link", "summary", F.date_format("published", "d MMM yyyy 10:00:00 'GMT'").alias("published"), "source")).alias("value"))
+    else:
+        record = F.struct(*[F.when(F.col("publishedAt").isNotNull(), F.concat(F.col("publishedAt").cast("string"), F.lit("T10:00:00Z"))).alias(c) if c == "publishedAt" else F.col(c) for c in SA.API_COLUMNS])
+        lines = (api_shaped(spark, sf_dir).groupBy(F.expr("article_id div 15")).agg(F.collect_list(record).alias("articles"))
+                 .select(F.to_json(F.struct(F.lit("ok").alias("status"), "articles")).alias("value")))
+    return FX.landed_path(spark, sf_dir, f"articles_{source_type}_json", lambda: lines.unionByName(broken), lambda df, path: df.write.mode("overwrite").text(path))
+
+
 @query("articles_union")
 def q_articles_union(spark, sf_dir):
-    a = arts(spark, sf_dir)
-    return SA.articles_union(SA.feed_entries(a.where(F.col("source_type") == "rss")),
-                             SA.api_records(api_shaped(spark, sf_dir)))
+    feed, _ = SA.read_feed(spark, landed_json(spark, sf_dir, "rss"))
+    api, _ = SA.read_api(spark, landed_json(spark, sf_dir, "news_api"))
+    return SA.articles_union(feed, api)
+
+
+@query("articles_bad_lines")
+def q_articles_bad_lines(spark, sf_dir):
+    _, feed = SA.read_feed(spark, landed_json(spark, sf_dir, "rss"))
+    _, api = SA.read_api(spark, landed_json(spark, sf_dir, "news_api"))
+    return SA.bad_lines(("rss", feed), ("news_api", api))
 
 
 @query("articles_fallback")
@@ -143,6 +165,23 @@ def q_sink_parquet_roundtrip(spark, sf_dir):
     return SK.load_processed(spark, path)
 
 
+@query("sink_replace_months")
+def q_sink_replace_months(spark, sf_dir):
+    """The table without its year-2000 deaths, then the months of that year
+    written again whole; the other months' files are not touched."""
+    path, all_cases = scratch_path(spark, "cases_months"), cases(spark, sf_dir)
+    SK.save_processed(all_cases.where("ANO is null or ANO <> 2000 or TEVE_OBITO = 0"), path)
+    SK.replace_months(all_cases.where("ANO = 2000"), path)
+    return SK.load_processed(spark, path)
+
+
+@query("sink_quality_document")
+def q_sink_quality_document(spark, sf_dir):
+    path = scratch_path(spark, "quality_document")
+    SK.save_quality_document(SK.quality_document(Q.quality_report(raw(spark, sf_dir)), f"{AS_OF}T00:00:00Z"), path)
+    return SK.document_rows(SK.load_quality_document(spark, path))
+
+
 @query("sink_quality_json")
 def q_sink_quality_json(spark, sf_dir):
     path = scratch_path(spark, "quality_json")

@@ -337,7 +337,12 @@ register("articles_fallback", f"""
 SELECT {_ACOLS}, CAST(NULL AS INTEGER) AS relevance_score
 FROM articles WHERE source_type = 'news_api' AND title IS NOT NULL AND title <> ''
 """)
+register("articles_bad_lines", """
+SELECT t.source_type, count(article_id) AS bad_lines FROM (VALUES ('rss'), ('news_api')) AS t(source_type)
+LEFT JOIN articles ON articles.source_type = t.source_type AND article_id % 97 = 0 GROUP BY 1
+""")
 register("sink_parquet_roundtrip", "SELECT * FROM cases")
+register("sink_replace_months", "SELECT * FROM cases")
 
 # ===================================================================== cleaning
 register("parse_dates", "SELECT NU_NOTIFIC, DT_NOTIFIC, DT_EVOLUCA, DOSE_1_COV, DOSE_2_COV, DOSE_REF, DOSE_2REF, DOSE_ADIC FROM typed")
@@ -861,3 +866,28 @@ SELECT (SELECT count(*) FROM {sub('metrics_bundle')} b) AS metrics_count,
 # the rows of the report.
 register("src_delimiter", "SELECT ';' AS delimiter, CAST((SELECT count(*) + 1 FROM (DESCRIBE SELECT * FROM raw_cases)) AS INTEGER) AS semicolons, CAST(0 AS INTEGER) AS commas")
 ORACLE["sink_quality_json"] = ORACLE["quality_report"]
+
+# The rules of the report document, restated as text.
+_RULES = """
+('required_fields', 'DT_NOTIFIC', ''), ('required_fields', 'NU_NOTIFIC', ''),
+('date_fields', 'DT_NOTIFIC', ''), ('date_fields', 'DT_EVOLUCA', ''), ('date_fields', 'DT_INTERNA', ''), ('date_fields', 'DT_SIN_PRI', ''),
+('date_fields', 'DT_NASC', ''), ('date_fields', 'DT_COLETA', ''), ('date_fields', 'DT_PCR', ''), ('date_fields', 'DT_DIGITA', ''),
+('numeric_ranges', 'NU_IDADE_N', '0..120'),
+('categorical_values', 'CS_SEXO', 'M|F|I|'), ('categorical_values', 'EVOLUCAO', '1|2|3|9|'), ('categorical_values', 'UTI', '1|2|9|'),
+('categorical_values', 'SUPORT_VEN', '1|2|9|'), ('categorical_values', 'VACINA_COV', '1|2|9|'), ('categorical_values', 'DOSE_1_COV', '1|2|9|'),
+('categorical_values', 'DOSE_2_COV', '1|2|9|'), ('categorical_values', 'DOSE_REF', '1|2|9|'), ('categorical_values', 'HOSPITAL', '1|2|9|'),
+('temporal_consistency', 'DT_NOTIFIC', 'DT_EVOLUCA'), ('temporal_consistency', 'DT_SIN_PRI', 'DT_NOTIFIC'), ('temporal_consistency', 'DT_INTERNA', 'DT_NOTIFIC'),
+('business_rules', 'uti_requires_internment', 'UTI=1 requer internação hospitalar'), ('business_rules', 'death_without_symptoms', 'Óbito sem sintomas registrados'),
+('business_rules', 'vaccination_consistency', 'Consistência nas doses de vacina'),
+('outlier_detection', 'NU_IDADE_N', 'iqr 1.5'),
+('duplicate_keys', 'DT_NOTIFIC', ''), ('duplicate_keys', 'SG_UF_NOT', ''), ('duplicate_keys', 'NU_IDADE_N', ''), ('duplicate_keys', 'CS_SEXO', ''),
+('thresholds', 'null_warning_percent', '50.0'), ('thresholds', 'outlier_warning_percent', '5.0'), ('thresholds', 'score_per_error', '10.0'),
+('thresholds', 'score_per_warning', '2.0'), ('thresholds', 'score_duplicate_weight', '20.0')
+"""
+register("sink_quality_document", f"""
+SELECT 'metadata' AS section, 'generated_at' AS name, CAST(NULL AS VARCHAR) AS key, CAST(NULL AS DOUBLE) AS value, '2001-06-01T00:00:00Z' AS text
+UNION ALL SELECT 'metadata', 'records', NULL, value, NULL FROM {sub('quality_report')} r1 WHERE "check" = 'summary' AND field = 'total_records'
+UNION ALL SELECT 'summary', field, NULL, value, NULL FROM {sub('quality_report')} r2 WHERE "check" = 'summary' AND field <> 'total_records'
+UNION ALL SELECT 'rules', rule, field, NULL, value FROM (VALUES {_RULES}) AS t(rule, field, value)
+UNION ALL SELECT 'details', "check", concat_ws('/', severity, field), NULL, message FROM {sub('quality_report')} r3 WHERE "check" <> 'summary'
+""")
