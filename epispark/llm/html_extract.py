@@ -14,7 +14,7 @@ from epispark.llm.common import map_batches, text_slices
 # Element names of HTML and words that mark page furniture.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-HIDDEN = frozenset("head title script style noscript template svg math iframe object canvas audio video button select option textarea datalist dialog".split())
+HIDDEN = frozenset("head title script style noscript template svg math iframe object canvas audio video select option textarea datalist dialog".split())
 FURNITURE = frozenset("nav header footer aside form menu fieldset".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -28,6 +28,7 @@ CELLS = frozenset("li dt dd td th caption".split())
 WHOLE = frozenset("ul ol menu dl table".split())
 KEPT = WHOLE | {"pre", "blockquote", "figcaption"}
 SITE = frozenset({"site", "global", "top"})
+RUNNING = frozenset("p li dd dt td th blockquote figcaption caption".split()) | HEADINGS
 DEEPEST = 400  # elements nested deeper become siblings; their text stays
 
 # A comment, a tag (end mark, name, attributes), or another declaration.
@@ -132,7 +133,8 @@ class _Page:
             return
         inside = "article" in self.tags or "main" in self.tags
         marked = _marked(attributes, inside) if attributes else 0
-        if tag in INLINE and not marked:
+        # A button in running text is a part of it, elsewhere it is a control.
+        if (tag in INLINE or tag == "button" and self.tags[-1] in RUNNING) and not marked:
             self.links += tag == "a"
             return
         self.flush()
@@ -141,7 +143,7 @@ class _Page:
             self._close(("p",), _P_SCOPE)
         if tag in SIBLINGS:
             self._close(*SIBLINGS[tag])
-        dropped = self.nodes[self.open[-1]][2] or tag in HIDDEN
+        dropped = self.nodes[self.open[-1]][2] or tag in HIDDEN or tag == "button"
         if not dropped and (tag not in ROOTS or tag == "article"):
             dropped = marked == 3 or tag in FURNITURE and not (tag == "header" and inside)
         if len(self.open) > DEEPEST:
@@ -266,18 +268,29 @@ def main_text(html: str | None) -> str:
     for block, w in zip(blocks, weight):
         for node in line(block[0]):
             inside[node] = inside.get(node, 0.0) + w
-    # The content root: the best article or main; otherwise the deepest
-    # element that holds most of the selected paths' weight.
-    marked = [n for n in inside if page.nodes[n][1] in ("article", "main")]
-    root = 0
-    if marked and max(inside[n] for n in marked) >= 0.3 * total:
-        root = max(marked, key=lambda n: (inside[n], -n))
+    # The content root: the page's one article (or main), or the best of
+    # several; otherwise the deepest element that holds most of the selected
+    # paths' weight.
+    marked = [n for n in inside if page.nodes[n][1] in ("article", "main") and n not in away]
+    articles = [n for n in marked if page.nodes[n][1] == "article"]
+    root, own = 0, False
+    if len(articles or marked) == 1:
+        root, own = (articles or marked)[0], True
+    elif marked and max(inside[n] for n in marked) >= 0.3 * total:
+        root, own = max(marked, key=lambda n: (inside[n], -n)), True
     else:
         for node in sorted(inside):
             if page.nodes[node][0] == root and inside[node] >= 0.7 * total and page.nodes[node][1] not in ("p", "li", "td", "tr", "pre", "blockquote"):
                 root = node
-    # Within it the path scores choose; a heading goes with what it heads,
-    # and stays if that is nothing.
+    # Within it the path scores choose; of an article, only paths that are
+    # mostly links go for a low score, others are its text however short they
+    # are.  A heading goes with what it heads, and stays if that is nothing.
+    linked: dict[str, list[int]] = {}
+    for i in tested:
+        sums = linked.setdefault(paths[i], [0, 0])
+        sums[0] += blocks[i][2]
+        sums[1] += len(blocks[i][1])
+    prose = {path for path, (links, all_) in linked.items() if 2 * links < all_} if own else set()
     kept, any_block, any_kept = [], False, False
     for block, path in zip(reversed(blocks), reversed(paths)):
         if root not in line(block[0]):
@@ -288,7 +301,7 @@ def main_text(html: str | None) -> str:
                 chosen = any_kept and any(page.nodes[n][1] in ("article", "main") for n in line(block[0]))
             any_block = any_kept = False
         else:
-            chosen = block[0] not in away and scores[path] >= threshold
+            chosen = block[0] not in away and (scores[path] >= threshold or path in prose)
             any_block, any_kept = True, any_kept or chosen
         if chosen:
             kept.append(block[1])
@@ -301,9 +314,11 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_c
     Blocks of menus, page headers, footers, sidebars, notices, adverts,
     forms, comments and hidden elements are left out by their element, role
     or class (a whole name, or the last piece of one on a small part of the
-    page; never the article, what holds it or its headings); smoothed, fused and thresholded tag-path scores then choose the
-    blocks, within the best article or main element of pages that have one.
-    A heading stays unless all that it heads goes.  Character references
+    page; never the article, what holds it or its headings); smoothed, fused
+    and thresholded tag-path scores then choose the blocks, within the one or
+    the best article or main element of pages that have one.  There a low score
+    only drops paths that are mostly links.  A heading stays unless all that it
+    heads goes.  Character references
     are decoded, white space within a block is one space, and blocks are
     joined in page order by one space.  A null or empty page gives an empty
     text; broken markup is closed as browsers do; whole pages are read.
