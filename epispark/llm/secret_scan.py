@@ -101,19 +101,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", docum
 
 def scan_text(text: str, ratios: np.ndarray, least: float = 0.5) -> list[tuple[int, int, int]]:
     """(start, place of the kind, end): the fixed patterns' spans, and strings
-    of 16 or more characters outside them, with a letter and a digit, whose
-    mean log-likelihood ratio per character is at least ``least``."""
-    base = base_spans(text)
-    spans = [(s, k, e) for s, k, e, _ in base]
+    of 16 or more characters, or what the spans leave of them if that is as
+    long, whose mean log-likelihood ratio per character is at least ``least``."""
+    spans = [(s, k, e) for s, k, e, _ in base_spans(text)]
     if b"x" * 16 in text.encode("utf-8", "surrogatepass").translate(_STRING_RUN):
+        found = []
         for m in STRING.finditer(text):
-            s = m[0]
-            if not (any(map(str.isdigit, s)) and any(map(str.isalpha, s))):
-                continue
-            if any(m.start() < e and b < m.end() for b, _, e in spans):
-                continue
-            if ratios[_pairs(s)].mean() >= least:
-                spans.append((m.start(), 3, m.end()))
+            at, end = m.span()
+            for s, _, e in [x for x in spans if x[0] < end and at < x[2]] + [(end, 3, end)]:
+                if s - at >= 16 and ratios[_pairs(text[at:s])].mean() >= least:
+                    found.append((at, 3, s))
+                at = max(at, e)
+        spans += found
     return sorted(spans)
 
 

@@ -258,6 +258,50 @@ def test_markov_ratio_tells_random_from_names():
     assert scan_text("use x9Kq2LmZt7Bv4Rw8Yp3N now", learned) == [(4, 3, 24)]
 
 
+def test_markov_spans_against_plain_models(spark):
+    """Spans recomputed from counts and ratios kept in plain dicts; strings
+    without a digit or a letter, and beside fixed patterns, are judged too."""
+    rnd = random.Random(6)
+    anything = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n, a=anything: "".join(rnd.choice(a) for _ in range(n))
+    name = lambda: "_".join(rnd.choice(["get", "user", "name", "count", "total", "value", "list"]) for _ in range(4))
+    texts = [f"{name()} token = {key(24)} {name()} {key(20)} end {key(30, anything[:52])} {key(18, '0123456789')}" for _ in range(40)]
+    texts += [f"password={key(12)} {key(40)}/{name()}", f"{key(20)}=secret:{key(9)}", None, "", "a" * 15, key(16) + "é" + key(15), " ".join(name() for _ in range(30_000)) + " " + key(32)]
+    rows = list(enumerate(texts))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+    run = f"[{re.escape(letters)}]"
+    pairs, singles = [{}, {}], [dict.fromkeys(letters, 0.5), dict.fromkeys(letters, 0.5)]
+    for t in texts:
+        base = [tuple(map(int, x.split(":")[1:])) for x in base_by_hand(t or "").split(",") if x]
+        values = set(re.findall(r"(?:token|password|secret)[\"']? *[:=] *[\"']?([A-Za-z0-9+/_.=-]{8,})", t or "", re.I)) | set(re.findall("AKIA[A-Z0-9]{12,}|[0-9a-f]{32,}", t or ""))
+        names = [m[0] for m in re.finditer(run + "{6,}", t or "") if not any(m.start() < e and s < m.end() for s, e in base)]
+        for k, strings in enumerate((values, names)):
+            for x in strings:
+                for a, b in zip("^" + x, x):
+                    pairs[k][a, b] = pairs[k].get((a, b), 0) + 1
+                    singles[k][b] += 1
+
+    def log(k, a, b):
+        single = singles[k][b] / sum(singles[k].values())
+        return math.log((pairs[k].get((a, b), 0) + 4 * single) / (sum(n for (x, _), n in pairs[k].items() if x == a) + 4))
+
+    memo = {(a, b): log(0, a, b) - log(1, a, b) for a in "^" + letters for b in letters}
+    got = {r.doc_id: r.spans for r in secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    markov = 0
+    for i, t in rows:
+        base = [(int(x.split(":")[1]), KINDS.index(x.split(":")[0]), int(x.split(":")[2])) for x in base_by_hand(t or "").split(",") if x]
+        want = list(base)
+        covered = {p for s, _, e in base for p in range(s, e)}
+        for m in re.finditer(run + "{16,}", t or ""):
+            for part in re.finditer("1+", "".join("0" if p in covered else "1" for p in range(*m.span()))):
+                s, e = m.start() + part.start(), m.start() + part.end()
+                if e - s >= 16 and np.mean([memo[a, b] for a, b in zip("^" + t[s:e], t[s:e])]) >= 0.5:
+                    want.append((s, 3, e))
+        markov += len(want) - len(base)
+        assert got[i] == ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(want)), i
+    assert markov > 10
+
+
 def test_registered_secrets(spark):
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{SMOKE}/documents.parquet").collect()}
     for r in QUERIES["op6_secret_scan"](spark, SMOKE).collect():
@@ -406,6 +450,24 @@ def test_class_names_drop_no_article_text(page, want):
     assert main_text(page) == want.strip()
 
 
+NOTICE = "<div><p>We keep some data, as all sites do; read on, and agree, or leave now, please. It is long, too.</p></div>"
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<article>{PROSE}<div class=x>tail</div></article>", f"{WANT}tail"),
+    (f"<article><h1>Title</h1><p>first short line</p><p>then another</p></article>{NOTICE * 3}", "Title first short line then another"),
+    (f"<article>{PROSE}<p>Press <button>Go</button> now.</p><button>Like</button></article>", f"{WANT}Press Go now."),
+    (f"<article>{PROSE}<p>See <a href=x>this</a> for more</p><ul><li><a href=y>Other story</a></li></ul></article>", f"{WANT}See this for more"),
+    (f"<main><article>{PROSE}<figure><figcaption>A view</figcaption></figure><p>End</p></article></main>", f"{WANT}A view End"),
+])
+def test_article_text_stays_however_short(page, want):
+    assert main_text(page) == want.strip()
+
+
+def test_very_long_page():
+    assert main_text("<article>" + PROSE * 20_000 + "</article>") == (WANT * 20_000).strip()
+
+
 def test_deep_and_broken_markup_is_linear():
     assert main_text("<div>" * 20000 + "deep, text.") == "deep, text."
     assert main_text("<a href='" * 20000 + ">z") == "z"
