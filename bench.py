@@ -56,11 +56,12 @@ def main() -> None:
     from epispark.plans.catalog import fixture_csv
     from epispark.sources import fixtures as FX
 
-    # One-time landing of the case tables (raw strings, typed + partitioned, daily rollup)
+    # One-time landing of the case tables (raw strings, typed + partitioned, daily rollup, quality state)
     # and of the CSV form used by the scan queries; reported on its own.
     t0 = time.perf_counter()
     FX.cases(spark, sf_dir)
     FX.rollup(spark, sf_dir)
+    FX.quality_state(spark, sf_dir)
     fixture_csv(spark, sf_dir)
     ingest = time.perf_counter() - t0
     run("date_span")  # warm-up: JVM, codegen, file listing

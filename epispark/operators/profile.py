@@ -151,18 +151,26 @@ def dedupe_cases(df: DataFrame, keys: Sequence[str] = P.DEDUP_KEYS, order: Seque
     return out.select(*keys, *[F.col("_first." + c).alias(c) for c in order + rest]).select(*df.columns)
 
 
-def duplicate_counts(df: DataFrame, keys: Sequence[str] = P.DUPLICATE_KEYS) -> DataFrame:
-    """Full-row and key duplicates (surplus rows beyond the first)."""
-    present = _present(df, keys)
-
-    def row_hash(columns: Sequence[str], names: tuple[str, str]) -> list[Column]:
-        # Two independent 64-bit hashes; a hash passes over nulls, so they are marked.
+def row_hashes(df: DataFrame, keys: Sequence[str] = P.DUPLICATE_KEYS) -> list[Column]:
+    """Two independent 64-bit hashes of the whole row and of its keys."""
+    def hashed(columns: Sequence[str], names: tuple[str, str]) -> list[Column]:
+        # A hash passes over nulls, so they are marked.
         marked = [c for n in columns for c in (F.col(n), F.col(n).isNull())] or [F.lit(0)]
         return [F.xxhash64(F.lit(seed), *marked).alias(name) for seed, name in enumerate(names)]
 
+    return [*hashed(df.columns, ("_r0", "_r1")), *hashed(_present(df, keys), ("_k0", "_k1"))]
+
+
+def duplicate_counts(df: DataFrame, keys: Sequence[str] = P.DUPLICATE_KEYS, counted: DataFrame | None = None) -> DataFrame:
+    """Full-row and key duplicates (surplus rows beyond the first).
+
+    ``counted`` are row hashes with their counts ``n`` that were made from the
+    rows of ``df`` before; then only its columns are looked at."""
+    present = _present(df, keys)
+    hashes = ["_k0", "_k1", "_r0", "_r1"]
     # One scan; only hashes are shuffled.  Distinct full rows feed the key groups.
-    hashed = df.select(*row_hash(df.columns, ("_r0", "_r1")), *row_hash(present or df.columns[:0], ("_k0", "_k1")))
-    rows = hashed.groupBy("_k0", "_k1", "_r0", "_r1").agg(F.count(F.lit(1)).alias("n"))
+    rows = (df.select(*row_hashes(df, keys)).groupBy(*hashes).agg(F.count(F.lit(1)).alias("n")) if counted is None
+            else counted.groupBy(*hashes).agg(F.sum("n").alias("n")))
     groups = rows.groupBy("_k0", "_k1").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("full"))
     j = groups.agg(F.sum("n").alias("total"), F.sum("full").alias("full_groups"), F.count(F.lit(1)).alias("key_groups"))
     total = F.coalesce(F.col("total"), F.lit(0)).cast("bigint")

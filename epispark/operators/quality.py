@@ -302,16 +302,18 @@ def q_rules(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
 # ---------------------------------------------------------------- Q8
 def q_outliers(df: DataFrame, field: str = P.AGE_COL, method: str = "iqr", factor: float = P.IQR_FACTOR,
                bounds: tuple[float, float] = P.PERCENTILE_BOUNDS, samples: int = P.OUTLIER_SAMPLES,
-               warn_percent: float = P.OUTLIER_WARNING_PERCENT, exact: bool = True) -> DataFrame:
+               warn_percent: float = P.OUTLIER_WARNING_PERCENT, exact: bool = True, counted: DataFrame | None = None) -> DataFrame:
     """IQR or percentile-bound outliers of a numeric (or numeric-text) column.
 
     Quantiles are exact (linear interpolation) by default; ``exact=False``
     switches to ``percentile_approx`` for columns with very many distinct
-    values.  The bounds are a 1-row frame broadcast to the scan.
+    values.  The bounds are a 1-row frame broadcast to the scan.  ``counted``
+    are the column's values ``v`` with counts ``c`` made from ``df`` before.
     """
     v = to_number(field)
     # One scan: the counts of the distinct values give bounds, flags and samples.
-    values = df.select(v.alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    values = (df.select(v.alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("c")) if counted is None
+              else counted.groupBy("v").agg(F.sum("c").alias("c")))
     probs = [0.25, 0.75] if method == "iqr" else list(bounds)
     q = F.percentile("v", probs, F.col("c")) if exact else F.percentile_approx("v", probs, 100000)
     stats = values.agg(F.sum("c").alias("n"), q.alias("q"))
@@ -338,10 +340,10 @@ def q_outliers(df: DataFrame, field: str = P.AGE_COL, method: str = "iqr", facto
 
 
 # ---------------------------------------------------------------- Q9
-def q_duplicates(df: DataFrame) -> DataFrame:
+def q_duplicates(df: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     from .profile import duplicate_counts
 
-    d = duplicate_counts(df)
+    d = duplicate_counts(df, counted=counted)
     c, k = F.col("complete_duplicates"), F.col("key_field_duplicates")
     rows = [
         F.struct(F.lit("complete").alias("kind"), c.alias("duplicates"), _sev(c > 0, "warning").alias("severity"),
@@ -356,7 +358,22 @@ def q_duplicates(df: DataFrame) -> DataFrame:
 _FINDING = "struct<check:string,field:string,severity:string,message:string,completeness:double,key_dups:bigint,total:bigint>"
 
 
-def _finding_row(df: DataFrame) -> DataFrame:
+def _groups(df: DataFrame) -> list[tuple[str, Parts, str]]:
+    return [("required", required_parts(df), "field"), ("null_profile", null_profile_parts(df), "field"),
+            ("types", types_parts(df), "field"), ("ranges", ranges_parts(df), "field"),
+            ("categorical", categorical_parts(df), "field"),
+            ("temporal", temporal_parts(df), "pair"), ("business_rule", rules_parts(df), "rule")]
+
+
+def wide_parts(df: DataFrame) -> Parts:
+    """The parts of Q1-Q7 together: all their counts, and all their rows."""
+    aggs: dict = {}
+    for _, (own, _), _ in _groups(df):
+        aggs.update(own)
+    return aggs, [r for _, (_, rows), _ in _groups(df) for r in rows]
+
+
+def _finding_row(df: DataFrame, state=None) -> DataFrame:
     """Every check of Q1-Q9 as one row with an array ``rows`` of ``(check,
     field, severity, message, completeness, key_dups, total)``; the last three
     carry what the score needs (required-field completeness, key duplicates,
@@ -364,12 +381,10 @@ def _finding_row(df: DataFrame) -> DataFrame:
 
     Q1-Q7 come from one wide aggregate (Q5 as invalid-code counts), Q8 from
     the counts of distinct values, Q9 from row hashes: three scans, however
-    many of findings, score and report are read from the row.
+    many of findings, score and report are read from the row.  With a
+    ``quality_state.QualityState`` the scans are of its three tables, and of
+    ``df`` only the columns are looked at.
     """
-    groups = [("required", required_parts(df), "field"), ("null_profile", null_profile_parts(df), "field"),
-              ("types", types_parts(df), "field"), ("ranges", ranges_parts(df), "field"),
-              ("categorical", categorical_parts(df), "field"),
-              ("temporal", temporal_parts(df), "pair"), ("business_rule", rules_parts(df), "rule")]
     none = F.lit(None)
 
     def finding(check: str, field: Column, severity: Column, message: Column, completeness=none, key_dups=none, total=none) -> Column:
@@ -379,22 +394,24 @@ def _finding_row(df: DataFrame) -> DataFrame:
 
     aggs: dict = {}
     rows = []
-    for check, (a, parts), key in groups:
+    for check, (a, parts), key in _groups(df):
         aggs.update(a)
         for r in parts:
             comp = F.when(r.getField("present"), 100.0 - r.getField("null_percentage")) if check == "required" else none
             rows.append(finding(check, r.getField(key), r.getField("severity"), r.getField("message"), comp))
-    wide = df.agg(*[c.alias(n) for n, c in aggs.items()]).select(F.array(*rows).alias("w"))
-    out = q_outliers(df).agg(F.collect_list(finding("outliers", F.col("field"), F.col("severity"), F.col("message"))).alias("o"))
-    dup = q_duplicates(df).agg(F.collect_list(finding(
+    counts = (df.agg(*[c.alias(n) for n, c in aggs.items()]) if state is None
+              else state.counters.agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in aggs]))
+    wide = counts.select(F.array(*rows).alias("w"))
+    out = q_outliers(df, counted=state and state.values).agg(F.collect_list(finding("outliers", F.col("field"), F.col("severity"), F.col("message"))).alias("o"))
+    dup = q_duplicates(df, state and state.rows).agg(F.collect_list(finding(
         "duplicates", F.col("kind"), F.col("severity"), F.col("message"), none,
         F.when(F.col("kind") == "key_fields", F.col("duplicates")), F.col("total_records"))).alias("d"))
     return wide.crossJoin(out).crossJoin(dup).select(F.concat("w", "o", "d").alias("rows"))  # one row each
 
 
-def findings(df: DataFrame) -> DataFrame:
+def findings(df: DataFrame, state=None) -> DataFrame:
     """Every finding of Q1-Q9 as ``(check, field, severity, message)``."""
-    return (_finding_row(df).select(F.explode("rows").alias("r")).where("r.severity is not null")
+    return (_finding_row(df, state).select(F.explode("rows").alias("r")).where("r.severity is not null")
             .select("r.check", "r.field", "r.severity", "r.message"))
 
 
@@ -419,13 +436,13 @@ def _score(one: DataFrame) -> DataFrame:
                     (F.col("errors") == 0).alias("passed"))
 
 
-def quality_score(df: DataFrame) -> DataFrame:
+def quality_score(df: DataFrame, state=None) -> DataFrame:
     """Q10: 100 - 10*errors - 2*warnings, times the mean completeness of the
     required fields, minus 20 * key-duplicate rate; clamped to 0..100."""
-    return _score(_finding_row(df)).drop("rows")
+    return _score(_finding_row(df, state)).drop("rows")
 
 
-def quality_report(df: DataFrame) -> DataFrame:
+def quality_report(df: DataFrame, state=None) -> DataFrame:
     """Q11: all findings plus summary rows, one long table, exploded from the
     one finding row."""
     summary = F.array(*[F.struct(F.lit("summary").alias("check"), F.lit(name).alias("field"), F.lit(None).cast("string").alias("severity"),
@@ -434,4 +451,4 @@ def quality_report(df: DataFrame) -> DataFrame:
     found = F.transform(F.filter("rows", lambda r: r["severity"].isNotNull()), lambda r: F.struct(
         r["check"].alias("check"), r["field"].alias("field"), r["severity"].alias("severity"), r["message"].alias("message"),
         F.lit(None).cast("double").alias("value")))
-    return _score(_finding_row(df)).select(F.explode(F.concat(found, summary)).alias("r")).select("r.*")
+    return _score(_finding_row(df, state)).select(F.explode(F.concat(found, summary)).alias("r")).select("r.*")

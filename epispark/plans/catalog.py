@@ -178,14 +178,14 @@ def q_sink_replace_months(spark, sf_dir):
 @query("sink_quality_document")
 def q_sink_quality_document(spark, sf_dir):
     path = scratch_path(spark, "quality_document")
-    SK.save_quality_document(SK.quality_document(Q.quality_report(raw(spark, sf_dir)), f"{AS_OF}T00:00:00Z"), path)
+    SK.save_quality_document(SK.quality_document(Q.quality_report(raw(spark, sf_dir), FX.quality_state(spark, sf_dir)), f"{AS_OF}T00:00:00Z"), path)
     return SK.document_rows(SK.load_quality_document(spark, path))
 
 
 @query("sink_quality_json")
 def q_sink_quality_json(spark, sf_dir):
     path = scratch_path(spark, "quality_json")
-    SK.save_quality_json(Q.quality_report(raw(spark, sf_dir)), path)
+    SK.save_quality_json(Q.quality_report(raw(spark, sf_dir), FX.quality_state(spark, sf_dir)), path)
     return SK.load_quality_json(spark, path)
 
 
@@ -550,12 +550,12 @@ def q_q_outliers_percentile(spark, sf_dir):
 
 @query("quality_score")
 def q_quality_score(spark, sf_dir):
-    return Q.quality_score(raw(spark, sf_dir))
+    return Q.quality_score(raw(spark, sf_dir), FX.quality_state(spark, sf_dir))
 
 
 @query("quality_report")
 def q_quality_report(spark, sf_dir):
-    return Q.quality_report(raw(spark, sf_dir))
+    return Q.quality_report(raw(spark, sf_dir), FX.quality_state(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ G1-G10

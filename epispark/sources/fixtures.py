@@ -159,3 +159,10 @@ def rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.rollup import daily_rollup, load_rollup, save_rollup
 
     return load_rollup(spark, landed_path(spark, sf_dir, "rollup", lambda: daily_rollup(cases(spark, sf_dir)), save_rollup))
+
+
+def quality_state(spark: SparkSession, sf_dir: str):
+    """Quality state of the raw cases by year, landed once."""
+    from ..operators import quality_state as QS
+
+    return QS.load_state(spark, landed_path(spark, sf_dir, "quality_state", lambda: QS.quality_state(raw_cases(spark, sf_dir)), QS.save_state))

@@ -117,3 +117,34 @@ def test_redaction_and_leak_check_reach_maps_and_nested_values(spark):
     assert r.n == {"telefone": None, "n": 6}
     assert "99999" not in r.deep[0].nota and "c@d.org" not in r.deep[0].k["a"][0]
     assert {(r.cpf_hits, r.phone_hits, r.email_hits) for r in G.pii_scan(out).collect()} == {(0, 0, 0)}
+
+
+def test_quality_state_gives_the_report_of_the_rows(spark, tmp_path):
+    from epispark.operators import quality_state as QS
+    from epispark.sources import fixtures as FX
+
+    for df in (_problem_rows(spark), FX.raw_cases(spark, "/root/testdata/sf0.001"), _problem_rows(spark).limit(0)):
+        state = QS.quality_state(df)
+        for f in (Q.quality_report, Q.quality_score, Q.findings):
+            assert sorted(map(str, f(df, state).collect())) == sorted(map(str, f(df).collect()))
+
+
+def test_quality_state_refreshes_single_batches(spark, tmp_path):
+    import glob
+
+    from epispark.operators import quality_state as QS
+    from epispark.sources import fixtures as FX
+    from pyspark.sql import functions as F
+
+    df, path = FX.raw_cases(spark, "/root/testdata/sf0.001").coalesce(2), str(tmp_path / "state")
+    changed = df.withColumn("UTI", F.when(F.col("DT_NOTIFIC").startswith("1997"), F.lit("7")).otherwise(F.col("UTI")))
+    QS.save_state(QS.quality_state(df), path)
+    files = lambda: {f for f in glob.glob(path + "/*/*/*.parquet") if "_batch=1997" not in f}
+    before = files()
+    QS.refresh_state(changed, path, ["1997"])
+    assert files() == before
+    state = QS.load_state(spark, path)
+    report = Q.quality_report(changed, state)
+    assert sorted(map(str, report.collect())) == sorted(map(str, Q.quality_report(changed).collect()))
+    plan = report._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") <= 4 and "raw_cases" not in plan
