@@ -264,6 +264,16 @@ def q_age_from_birth(spark, sf_dir):
                                        C.age_from_birth_expr("DT_NOTIFIC", AS_OF).alias("IDADE_CALCULADA"))
 
 
+@query("decode_vaccination")
+def q_decode_vaccination(spark, sf_dir):
+    return C.decode_codes(C.clean_codes(FX.detailed_cases(spark, sf_dir))).select("NU_NOTIFIC", "VACINA_COV", "VACINA_COV_DESC")
+
+
+@query("age_from_birth_date")
+def q_age_from_birth_date(spark, sf_dir):
+    return C.parse_dates(FX.detailed_cases(spark, sf_dir)).select("NU_NOTIFIC", "DT_NASC", C.age_from_birth_expr("DT_NASC", AS_OF).alias("IDADE_CALCULADA"))
+
+
 @query("age_band_anonymised")
 def q_age_band_anonymised(spark, sf_dir):
     anon = cases(spark, sf_dir).withColumn("NU_IDADE_N", C.anonymised_age_expr())
@@ -523,6 +533,12 @@ def q_q_temporal(spark, sf_dir):
     return Q.q_temporal(raw(spark, sf_dir))
 
 
+@query("q_temporal_pairs")
+def q_q_temporal_pairs(spark, sf_dir):
+    """All three date pairs of the temporal check."""
+    return Q.q_temporal(FX.detailed_cases(spark, sf_dir))
+
+
 @query("q_rule_icu")
 def q_q_rule_icu(spark, sf_dir):
     return Q.q_rules(raw(spark, sf_dir), ["uti_requires_internment"])

@@ -8,7 +8,7 @@ Spark cleaning code (``try_strptime`` / ``TRY_CAST`` / ``CASE``).
 
 from __future__ import annotations
 
-from ..sources.fixtures import ARTICLES_SQL, RAW_CASES_SQL
+from ..sources.fixtures import ARTICLES_SQL, DETAILED_CASES_SQL, RAW_CASES_SQL
 
 AS_OF = "DATE '2001-06-01'"
 
@@ -891,3 +891,22 @@ UNION ALL SELECT 'summary', field, NULL, value, NULL FROM {sub('quality_report')
 UNION ALL SELECT 'rules', rule, field, NULL, value FROM (VALUES {_RULES}) AS t(rule, field, value)
 UNION ALL SELECT 'details', "check", concat_ws('/', severity, field), NULL, message FROM {sub('quality_report')} r3 WHERE "check" <> 'summary'
 """)
+
+_DETAILED = "(" + DETAILED_CASES_SQL.format(raw_cases="raw_cases") + ") AS detailed"
+register("decode_vaccination", f"""
+SELECT NU_NOTIFIC, v AS VACINA_COV, CASE v WHEN '1' THEN 'Sim' WHEN '2' THEN 'Não' WHEN '9' THEN 'Ignorado' END AS VACINA_COV_DESC
+FROM (SELECT NU_NOTIFIC, CASE WHEN replace(VACINA_COV, '.0', '') IN ('1', '2', '9') THEN replace(VACINA_COV, '.0', '') END AS v FROM {_DETAILED}) AS t
+""")
+register("age_from_birth_date", f"""
+SELECT NU_NOTIFIC, b AS DT_NASC, CAST(floor(datediff('day', b, {AS_OF}) / 365) AS BIGINT) AS IDADE_CALCULADA
+FROM (SELECT NU_NOTIFIC, CAST(try_strptime(DT_NASC, '%Y-%m-%d') AS DATE) AS b FROM {_DETAILED}) AS t
+""")
+register("q_temporal_pairs", " UNION ALL ".join(f"""
+(WITH d AS (SELECT try_strptime({first}, '%Y-%m-%d') AS a, try_strptime({second}, '%Y-%m-%d') AS b FROM {_DETAILED}),
+s AS (SELECT count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL AND b < a) AS x,
+             count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS c FROM d)
+SELECT '{first}_vs_{second}' AS pair, x AS inconsistent_count, c AS total_comparable,
+  CASE WHEN c > 0 THEN {half_up('c - x', 'c')} ELSE CAST(100.0 AS DOUBLE) END AS consistency_rate,
+  CASE WHEN x > 0 THEN 'error' END AS severity,
+  CASE WHEN x > 0 THEN concat('Inconsistência temporal: ', CAST(x AS VARCHAR), ' registros onde ''{second}'' é anterior a ''{first}''') END AS message
+FROM s)""" for first, second in (("DT_NOTIFIC", "DT_EVOLUCA"), ("DT_SIN_PRI", "DT_NOTIFIC"), ("DT_INTERNA", "DT_NOTIFIC"))))

@@ -50,6 +50,17 @@ JOIN {customer} c ON o.o_custkey = c.c_custkey
 JOIN {nation} n ON c.c_nationkey = n.n_nationkey
 """
 
+# Further columns of the source: symptom, admission and birth dates (some
+# absent, some out of order) and the vaccination code (some invalid).
+DETAILED_CASES_SQL = """
+SELECT r.*,
+  CASE WHEN n % 11 = 0 THEN NULL WHEN n % 17 = 0 THEN cast(cast(d + INTERVAL '2' DAY AS date) AS string) ELSE cast(cast(d - INTERVAL '5' DAY AS date) AS string) END AS DT_SIN_PRI,
+  CASE WHEN n % 7 = 0 THEN NULL WHEN n % 19 = 0 THEN cast(cast(d + INTERVAL '1' DAY AS date) AS string) WHEN n % 23 = 0 THEN '31/12/99' ELSE cast(d AS string) END AS DT_INTERNA,
+  CASE WHEN n % 5 = 0 THEN NULL WHEN n % 3 = 0 THEN cast(cast(d - INTERVAL '20000' DAY AS date) AS string) WHEN n % 3 = 1 THEN cast(cast(d - INTERVAL '364' DAY AS date) AS string) ELSE cast(cast(d - INTERVAL '7300' DAY AS date) AS string) END AS DT_NASC,
+  CASE WHEN n % 5 = 0 THEN '1.0' WHEN n % 5 = 1 THEN '2' WHEN n % 5 = 2 THEN '9' WHEN n % 5 = 3 THEN '7' END AS VACINA_COV
+FROM (SELECT *, cast(NU_NOTIFIC AS bigint) AS n, try_cast(DT_NOTIFIC AS date) AS d FROM {raw_cases}) r
+"""
+
 ARTICLES_SQL = """
 SELECT doc_id AS article_id,
   CASE WHEN doc_id % 53 = 0 THEN NULL ELSE split_part(text, chr(10), 1) END AS title,
@@ -146,6 +157,11 @@ def raw_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landed(spark, sf_dir, "raw_cases", lambda: raw_cases_query(spark, sf_dir))
 
 
+def detailed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``raw_cases`` with the columns of ``DETAILED_CASES_SQL``."""
+    return spark.sql(DETAILED_CASES_SQL, raw_cases=raw_cases(spark, sf_dir)).drop("n", "d")
+
+
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed, cleaned and derived case table, landed once, partitioned by ANO/MES."""
     from ..operators.cleaning import process
