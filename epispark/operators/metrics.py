@@ -185,6 +185,23 @@ def case_increase_rate(cases: DataFrame, reference_date: str, period_days: int =
     )
 
 
+def case_increase_presets(cases: DataFrame, reference_date: str, presets: dict[str, int] = P.PERIOD_PRESETS,
+                          now: str | None = None) -> DataFrame:
+    """M1 for every preset period, a row each, from one scan: ``preset``,
+    ``period_days``, both counts and the rate as ``case_increase_rate`` has it."""
+    spec = {f"{side}_{name}": window for name, days in presets.items()
+            for side, window in (("current", (days, 0, "cases")), ("previous", (2 * days, days, "cases")))}
+    w = _windowed(cases, reference_date, now, spec)
+
+    def row(name: str, days: int) -> Column:
+        c, p = F.col(f"current_{name}"), F.col(f"previous_{name}")
+        rate = F.when(p == 0, F.when(c == 0, F.lit(0.0)).otherwise(F.lit(100.0))).otherwise(round_ratio(c - p, p, 2, 2))
+        return F.struct(F.lit(name).alias("preset"), F.lit(days).alias("period_days"), F.col("ref").alias("reference_date"), c.alias("current_cases"), p.alias("previous_cases"),
+                        (c - p).alias("absolute_change"), F.when(F.col("total_records") == 0, F.lit(0.0)).otherwise(rate).alias("rate"))
+
+    return w.select(F.inline(F.array(*[row(name, days) for name, days in presets.items()])))
+
+
 # ------------------------------------------------------------------ M2
 def mortality_rate(cases: DataFrame, reference_date: str, period_days: int = 90,
                    now: str | None = None) -> DataFrame:

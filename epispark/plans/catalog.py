@@ -455,6 +455,11 @@ def q_case_increase_rate(spark, sf_dir):
     return M.case_increase_rate(rollup(spark, sf_dir), AS_OF, 30, now=AS_OF)
 
 
+@query("case_increase_presets")
+def q_case_increase_presets(spark, sf_dir):
+    return M.case_increase_presets(rollup(spark, sf_dir), AS_OF, now=AS_OF)
+
+
 @query("mortality_rate")
 def q_mortality_rate(spark, sf_dir):
     return M.mortality_rate(rollup(spark, sf_dir), AS_OF, 90, now=AS_OF)

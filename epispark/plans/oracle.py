@@ -197,6 +197,17 @@ SELECT 'case_increase_rate' AS metric, r AS reference_date, r - 30 AS current_st
 FROM w
 """)
 
+register("case_increase_presets", f"""
+WITH {REF_CTE},
+w AS (""" + " UNION ALL ".join(f"""
+  SELECT '{name}' AS preset, {days} AS period_days, r, total_records, count(*) FILTER (WHERE {in_win(days)}) AS c,
+    count(*) FILTER (WHERE {in_win(2 * days, days)}) AS p FROM cases, ref GROUP BY r, total_records""" for name, days in (("weekly", 7), ("monthly", 30), ("quarterly", 90))) + f""")
+SELECT preset, period_days, r AS reference_date, c AS current_cases, p AS previous_cases, c - p AS absolute_change,
+  CASE WHEN total_records = 0 THEN CAST(0.0 AS DOUBLE) WHEN p = 0 THEN CASE WHEN c = 0 THEN CAST(0.0 AS DOUBLE) ELSE CAST(100.0 AS DOUBLE) END
+       ELSE {signed_half_up('c - p', 'p')} END AS rate
+FROM w
+""")
+
 
 def _rate_metric(key: str, metric: str, days: int, num_name: str, den_name: str, cond: str, extra_cols: str,
                  empty: str, zero: str, bands, last: str, suffix: str = "") -> None:

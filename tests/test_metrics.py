@@ -84,3 +84,15 @@ def test_metric_limits_messages(spark):
     assert out["mortality_rate"].warning == "mortality_rate: valor alto, requer atenção (45.0%)"
     assert out["icu_occupancy_rate"].warning == "icu_occupancy_rate: valor abaixo do mínimo (-5.0 < 0.0)"
     assert out["vaccination_rate"].warning is None
+
+
+def test_presets_are_the_rates_of_their_periods(spark):
+    from epispark import params as P
+    from epispark.sources import fixtures as FX
+
+    for cases in (FX.cases(spark, "/root/testdata/sf0.001"), FX.rollup(spark, "/root/testdata/sf0.001"), FX.rollup(spark, "/root/testdata/sf0.001").limit(0)):
+        got = {r.preset: r for r in M.case_increase_presets(cases, "2001-06-01", now="2001-06-01").collect()}
+        assert list(got) == list(P.PERIOD_PRESETS)
+        for name, days in P.PERIOD_PRESETS.items():
+            want = M.case_increase_rate(cases, "2001-06-01", days, now="2001-06-01").first()
+            assert (got[name].period_days, got[name].current_cases, got[name].previous_cases, got[name].rate) == (days, want.current_cases, want.previous_cases, want.rate)
