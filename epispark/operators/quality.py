@@ -302,12 +302,14 @@ def q_rules(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
 # ---------------------------------------------------------------- Q8
 def q_outliers(df: DataFrame, field: str = P.AGE_COL, method: str = "iqr", factor: float = P.IQR_FACTOR,
                bounds: tuple[float, float] = P.PERCENTILE_BOUNDS, samples: int = P.OUTLIER_SAMPLES,
-               warn_percent: float = P.OUTLIER_WARNING_PERCENT, exact: bool = True, counted: DataFrame | None = None) -> DataFrame:
+               warn_percent: float = P.OUTLIER_WARNING_PERCENT, exact: bool = True, counted: DataFrame | None = None,
+               many_values: bool = False) -> DataFrame:
     """IQR or percentile-bound outliers of a numeric (or numeric-text) column.
 
-    Quantiles are exact (linear interpolation) by default; ``exact=False``
-    switches to ``percentile_approx`` for columns with very many distinct
-    values.  The bounds are a 1-row frame broadcast to the scan.  ``counted``
+    Quantiles are exact (linear interpolation) by default, from one map of the
+    distinct values; with ``many_values`` from order statistics over range
+    partitions, for columns whose values do not fit one task (this writes them
+    to the shared folder).  ``exact=False`` takes ``percentile_approx``.  The bounds are a 1-row frame broadcast to the scan.  ``counted``
     are the column's values ``v`` with counts ``c`` made from ``df`` before.
     """
     v = to_number(field)
@@ -315,8 +317,13 @@ def q_outliers(df: DataFrame, field: str = P.AGE_COL, method: str = "iqr", facto
     values = (df.select(v.alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("c")) if counted is None
               else counted.groupBy("v").agg(F.sum("c").alias("c")))
     probs = [0.25, 0.75] if method == "iqr" else list(bounds)
-    q = F.percentile("v", probs, F.col("c")) if exact else F.percentile_approx("v", probs, 100000)
-    stats = values.agg(F.sum("c").alias("n"), q.alias("q"))
+    if exact and many_values:
+        from ..functions.quantiles import exact_quantiles
+
+        stats = exact_quantiles(values, probs)
+    else:
+        q = F.percentile("v", probs, F.col("c")) if exact else F.percentile_approx("v", probs, 100000)
+        stats = values.agg(F.sum("c").alias("n"), q.alias("q"))
     if method == "iqr":
         iqr = F.col("q")[1] - F.col("q")[0]
         stats = stats.select("n", (F.col("q")[0] - iqr * factor).alias("lower_bound"), (F.col("q")[1] + iqr * factor).alias("upper_bound"))

@@ -569,6 +569,12 @@ def q_q_outliers_percentile(spark, sf_dir):
     return Q.q_outliers(raw(spark, sf_dir), method="percentile")
 
 
+@query("q_outliers_many_values")
+def q_q_outliers_many_values(spark, sf_dir):
+    """A code column of as many values as there are places."""
+    return Q.q_outliers(raw(spark, sf_dir), field="CO_MUN_NOT", method="percentile", many_values=True)
+
+
 @query("quality_score")
 def q_quality_score(spark, sf_dir):
     return Q.quality_score(raw(spark, sf_dir), FX.quality_state(spark, sf_dir))

@@ -626,6 +626,7 @@ FROM b, oc, sm WHERE n > 0
 
 register("q_outliers_iqr", _outliers("iqr", "0.25", "0.75"))
 register("q_outliers_percentile", _outliers("percentile", "0.01", "0.99"))
+register("q_outliers_many_values", _outliers("percentile", "0.01", "0.99").replace(_AGE, "TRY_CAST(CO_MUN_NOT AS DOUBLE)").replace("NU_IDADE_N", "CO_MUN_NOT"))
 
 register("q_duplicates_raw", _dups("raw_cases"))
 _QDUP = f"""

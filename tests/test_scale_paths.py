@@ -71,3 +71,33 @@ def test_global_rank_of_a_wide_frame_without_exchange_reuse(spark):
     finally:
         spark.conf.unset("spark.sql.exchange.reuse")
     assert (r.n, r.lo, r.hi) == (300_000, 1, 300_000)
+
+
+def test_exact_quantiles_by_ranges(spark):
+    import random
+
+    import numpy as np
+
+    from epispark.functions.quantiles import exact_quantiles
+
+    rnd = random.Random(4)
+    for n, kinds in ((0, 1), (1, 1), (2, 2), (5000, 40), (5000, 10 ** 6)):
+        values = [rnd.gauss(0, 1) * 10 ** rnd.randint(-3, 6) if kinds > 100 else float(rnd.randrange(kinds)) for _ in range(n)]
+        counted = spark.createDataFrame([(v,) for v in values], "v double").groupBy("v").agg(F.count("*").alias("c"))
+        probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+        got = exact_quantiles(counted, probs, partitions=7).collect()
+        assert len(got) == 1
+        if n:
+            assert got[0].n == n and np.allclose(got[0].q, np.quantile(values, probs), rtol=1e-12, atol=1e-9)
+            assert got[0].q == counted.agg(F.percentile("v", probs, F.col("c"))).first()[0]
+        else:
+            assert got[0].n is None and got[0].q is None
+
+
+def test_outliers_of_many_values_equal_those_of_the_map(spark):
+    from epispark.operators import quality as Q
+
+    df = spark.createDataFrame([(str(i * 7 % 1001 - 20 if i % 50 else i * 1000),) for i in range(2000)] + [(None,), ("x",)], "NU_IDADE_N string")
+    for method in ("iqr", "percentile"):
+        assert Q.q_outliers(df, method=method, many_values=True).collect() == Q.q_outliers(df, method=method).collect()
+    assert Q.q_outliers(df.limit(0), many_values=True).collect() == Q.q_outliers(df.limit(0)).collect() == []
