@@ -52,6 +52,8 @@ def map_batches(df: DataFrame, run, schema) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch limits to ``BATCH_LIMITS``.  They stay
+    lowered: plans are lazy, so the limits must hold when they run."""
     for name, most in BATCH_LIMITS.items():
         now = int(str(spark.conf.get(name)).rstrip("b"))
         if now <= 0 or now > most:

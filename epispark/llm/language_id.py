@@ -150,7 +150,7 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          per_language: int = 2500, most_words: int = 40_000, most_grams: int = 60_000) -> Model:
+          per_language: int = 2500, most_words: int = 80_000, most_grams: int = 240_000) -> Model:
     """A model from at most ``per_language`` documents of each language (the
     least hashes of id and text).  Every language is learned, and each brings
     an equal share of ``most_words`` words and ``most_grams`` grams, its own
