@@ -16,6 +16,7 @@ from epispark.llm.common import landed, map_batches, text_slices
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 MOST_GRAM = 5
+MOST_HELD = 200_000  # distinct words or grams that a task counts before it passes them on
 
 
 def letter_words(text: str) -> list[str]:
@@ -132,50 +133,61 @@ def _learnable(docs: DataFrame, id_col: str, lang_col: str) -> DataFrame:
     return docs.where(F.col(lang_col).isNotNull() & (F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) != 2))
 
 
-def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
-    """Language and text of the ``per_language`` learnable documents with the
-    least hashes of each language; rows repeated whole count once.
-
-    The hashes are even, so a cut by a language's own row count leaves little
-    more than that many, and only those are ranked.  Both broadcasts hold one
-    row per language, and the model holds every language too."""
+def _labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """Language and text of every learnable document; rows repeated whole
+    count once.  Only hashes are shuffled, and the texts of repeated rows."""
     marked = _learnable(docs, id_col, lang_col).select(
         F.col(lang_col).alias("_l"), F.col(text_col).alias("_t"), F.xxhash64(id_col, text_col).alias("_h"))
-    share = F.least(F.lit(1.0), F.lit(1.5 * per_language + 100) / F.count("*"))
-    cuts = marked.groupBy("_l").agg(F.when(share < 1, (share * 2.0 ** 64 - 2.0 ** 63).cast("long")).otherwise((1 << 63) - 1).alias("_cut"))
-    low = (marked.join(F.broadcast(cuts), "_l").where("_h <= _cut").groupBy("_l", "_h").agg(F.lit(1))
-           .withColumn("_r", F.row_number().over(W.partitionBy("_l").orderBy("_h")))
-           .where(F.col("_r") <= per_language).groupBy("_l").agg(F.max("_h").alias("_most")))
-    return marked.join(F.broadcast(low), "_l").where("_h <= _most").dropDuplicates(["_l", "_h"]).select("_l", "_t")
+    repeated = landed(marked.groupBy("_l", "_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_l", "_h"), "repeated")
+    if repeated.isEmpty():
+        return marked.select("_l", "_t")
+    once = marked.join(repeated, ["_l", "_h"], "left_semi").dropDuplicates(["_l", "_h"])
+    return marked.join(repeated, ["_l", "_h"], "left_anti").unionByName(once).select("_l", "_t")
+
+
+def _summed(df: DataFrame, found) -> DataFrame:
+    """``_l, g, n``: the sums of what ``found`` counts, per row of ``df`` a
+    language, a Counter to add to and the row's other columns."""
+    def run(batches):
+        held: dict[str, Counter] = {}
+
+        def rows():
+            flat = [(lang, g, n) for lang, c in held.items() for g, n in c.items()]
+            held.clear()
+            return pa.RecordBatch.from_pydict({"_l": pa.array([r[0] for r in flat], pa.string()), "g": pa.array([r[1] for r in flat], pa.string()),
+                                               "n": pa.array([r[2] for r in flat], pa.int64())})
+
+        for batch in batches:
+            for lang, *row in zip(*[c.to_pylist() for c in batch.columns]):
+                found(held.setdefault(lang, Counter()), *row)
+            if sum(map(len, held.values())) > MOST_HELD:
+                yield rows()
+        yield rows()
+
+    return map_batches(df, run, "_l string, g string, n long").groupBy("_l", "g").agg(F.sum("n").alias("n"))
+
+
+def _add_words(counts: Counter, text: str | None) -> None:
+    counts.update(letter_words(text or ""))
+
+
+def _add_grams(counts: Counter, word: str, n: int) -> None:
+    for size in range(1, MOST_GRAM + 1):
+        for g in word_grams(word, size):
+            counts[g] += n
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          per_language: int = 2500, most_words: int = 80_000, most_grams: int = 240_000) -> Model:
-    """A model from at most ``per_language`` documents of each language (the
-    least hashes of id and text).  Every language is learned, and each brings
+          most_words: int = 80_000, most_grams: int = 240_000) -> Model:
+    """A model from all learnable documents: their words are counted, then the
+    grams of the distinct words.  Every language is learned, and each brings
     an equal share of ``most_words`` words and ``most_grams`` grams, its own
     most frequent ones (one at least), so that a small language keeps its
     words beside a large one.  Documents whose crc32 of the id modulo 4 is 2,
     null languages and null ids are never read.
     """
-    sample = _sample(docs, id_col, text_col, lang_col, per_language)
-
-    def count(batches):
-        for batch in batches:
-            found: dict[tuple, Counter] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = Counter(letter_words(text or ""))
-                found.setdefault((lang, 0), Counter()).update(own)
-                grams = found.setdefault((lang, 1), Counter())
-                for word, n in own.items():
-                    for size in range(1, MOST_GRAM + 1):
-                        for g in word_grams(word, size):
-                            grams[g] += n
-            rows = [(lang, kind, g, n) for (lang, kind), c in found.items() for g, n in c.items()]
-            yield pa.RecordBatch.from_pydict({"_l": pa.array([r[0] for r in rows], pa.string()), "kind": pa.array([r[1] for r in rows], pa.int32()),
-                                              "g": pa.array([r[2] for r in rows], pa.string()), "n": pa.array([r[3] for r in rows], pa.int64())})
-
-    counts = map_batches(sample, count, "_l string, kind int, g string, n long").groupBy("kind", "g", "_l").agg(F.sum("n").alias("n"))
+    words = landed(_summed(_labelled(docs, id_col, text_col, lang_col), _add_words), "words")
+    counts = words.select(F.lit(0).alias("kind"), "g", "_l", "n").unionByName(_summed(words, _add_grams).select(F.lit(1).alias("kind"), "g", "_l", "n"))
     counts = landed(counts, "grams")
     languages = sorted(r[0] for r in counts.select("_l").distinct().collect())
     share = F.when(F.col("kind") == 0, -(-most_words // max(len(languages), 1))).otherwise(-(-most_grams // max(len(languages), 1)))
@@ -195,11 +207,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def least_fits(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-               per_language: int = 1000, margin: float = 1.5) -> dict[str, float]:
-    """Per language the least ``fit`` of its texts, from at most
-    ``per_language`` labelled documents (of those that ``train`` reads): four
-    times as far under their median as the lowest twentieth, and at least
-    ``margin``."""
+               margin: float = 1.5) -> dict[str, float]:
+    """Per language the least ``fit`` of its texts, from all documents that
+    ``train`` reads: four times as far under their median as the lowest
+    twentieth, and at least ``margin``.  The fits are counted to four decimals,
+    so that the quantiles of any number of documents need a small table."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -208,8 +220,9 @@ def least_fits(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
                     if lang in shared.value.languages]
             yield pa.RecordBatch.from_pydict({"_l": pa.array([r[0] for r in rows], pa.string()), "fit": pa.array([r[1] for r in rows], pa.float64())})
 
-    fits = map_batches(_sample(docs, id_col, text_col, lang_col, per_language), run, "_l string, fit double").where(F.col("fit") > -math.inf)
-    found = fits.groupBy("_l").agg(F.percentile("fit", F.array(F.lit(0.05), F.lit(0.5))).alias("q")).collect()
+    fits = map_batches(_labelled(docs, id_col, text_col, lang_col), run, "_l string, fit double").where(F.col("fit") > -math.inf)
+    counted = fits.groupBy("_l", F.round("fit", 4).alias("fit")).agg(F.count("*").alias("n"))
+    found = counted.groupBy("_l").agg(F.percentile("fit", F.array(F.lit(0.05), F.lit(0.5)), F.col("n")).alias("q")).collect()
     return {r["_l"]: r.q[1] - max(margin, 4 * (r.q[1] - r.q[0])) for r in found}
 
 

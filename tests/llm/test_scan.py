@@ -481,3 +481,19 @@ def test_registered_pages_hold_the_article(spark):
         inner = re.search("<article>(.*)</article>", html[r.page_id], re.S)[1]
         inner = re.sub("</?b>", "", re.sub("</?(?:p|h1|br)>", " ", inner))
         assert r.text == " ".join(unescape(inner).split()) and r.n_chars == len(r.text)
+
+
+def test_language_learns_from_every_labelled_document(spark):
+    """More documents of a language than any sample held; rows repeated whole
+    count once, and the fits are of all texts."""
+    from epispark.llm.language_id import least_fits
+
+    rows = [(i, "comum " + ("zzqx" if i % 10 == 0 else "palavra"), "pt") for i in range(4000)]
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    docs = spark.createDataFrame(rows + rows[:50], "doc_id long, text string, lang string")
+    model = train(docs)
+    held = {w: model.counts[model.first[i]] for w, i in model.words.items()}
+    assert held == {"comum": len(learned), "palavra": sum(r[0] % 10 != 0 for r in learned), "zzqx": sum(r[0] % 10 == 0 for r in learned)}
+    fits = np.array([model.fit(r[1], "pt") for r in learned])
+    low, mid = np.quantile(fits, [0.05, 0.5])
+    assert abs(least_fits(docs, model)["pt"] - (mid - max(1.5, 4 * (mid - low)))) < 1e-3
