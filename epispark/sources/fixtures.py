@@ -5,10 +5,10 @@ news article per document) are defined by SQL text that runs unchanged
 in Spark and in the DuckDB oracle.  Spark receives the base tables as
 DataFrame arguments of ``spark.sql`` so no session-wide view is created.
 
-At scale ``raw_cases`` is a lineitem-orders shuffle join (both sides
-grow with the data) followed by two dimension joins; customer is joined
-by sort-merge or broadcast as AQE decides from its runtime size and
-nation (25 rows) is always broadcast by the planner.
+``raw_cases`` is one shuffle of the narrow columns of lineitem and of
+orders (both grow with the data); the orders meet their customers first, by
+sort-merge or broadcast as AQE decides from the runtime size, and nation
+(25 rows) is always broadcast by the planner.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RAW_CASES_SQL = """
 SELECT
@@ -86,14 +87,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_cases_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Untyped, CSV-like case table computed from the base tables."""
-    return spark.sql(
-        RAW_CASES_SQL,
-        lineitem=table(spark, sf_dir, "lineitem"),
-        orders=table(spark, sf_dir, "orders"),
-        customer=table(spark, sf_dir, "customer"),
-        nation=table(spark, sf_dir, "nation"),
-    )
+    """Untyped, CSV-like case table computed from the base tables.
+
+    The columns of ``RAW_CASES_SQL`` over its joins in another order: orders
+    with their customers and nations, and these with lineitem last, always by
+    a shuffle of both (``merge``).  So only narrow rows are shuffled, the wide
+    rows of strings are made where they are written, and the shuffle deals
+    them evenly whatever files the tables are in."""
+    def some(name, *columns):
+        return table(spark, sf_dir, name).select(*columns)
+
+    orders = (some("orders", "o_orderkey", "o_custkey", "o_orderdate")
+              .join(some("customer", "c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+              .join(some("nation", "n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
+              .select("o_orderkey", "o_custkey", "o_orderdate", "n_name"))
+    lines = some("lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity", "l_discount")
+    joined = lines.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+    before = [F.date_sub(F.to_date("o_orderdate"), days).cast("string").alias(name) for name, days in (("d1", 400), ("d2", 300), ("d3", 100))]
+    rows = joined.select(F.struct(*lines.columns).alias("l"), F.struct("o_custkey", "o_orderdate").alias("o"), F.struct("n_name").alias("n"), *before)
+    return spark.sql(RAW_CASES_SQL.split("FROM {lineitem}")[0] + "FROM {rows}", rows=rows)
 
 
 def articles_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,8 +165,9 @@ def landed(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
 
 
 def raw_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Untyped, CSV-like case table (every column a string), landed once."""
-    return landed(spark, sf_dir, "raw_cases", lambda: raw_cases_query(spark, sf_dir))
+    """Untyped, CSV-like case table (every column a string), landed once, as
+    the join deals it: its rows are not shuffled again."""
+    return landed(spark, sf_dir, "raw_cases", lambda: raw_cases_query(spark, sf_dir), lambda df, path: df.write.mode("overwrite").parquet(path))
 
 
 def detailed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,10 +177,19 @@ def detailed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed, cleaned and derived case table, landed once, partitioned by ANO/MES."""
-    from ..operators.cleaning import process
+    from ..operators.cleaning import calendar_exprs, clean, derive
     from .sinks import save_processed
 
-    return landed(spark, sf_dir, "cases", lambda: process(raw_cases(spark, sf_dir)), save_processed)
+    month = [c for c in calendar_exprs() if c in ("ANO", "MES")]
+
+    def cleaned():
+        return clean(raw_cases(spark, sf_dir)).withColumns({c: calendar_exprs()[c] for c in month})
+
+    def derived(df):  # the month stays the column that the rows are sorted by
+        out = derive(df.withColumnsRenamed({c: "_" + c for c in month}))
+        return out.select(*[F.col("_" + c).alias(c) if c in month else c for c in out.columns if c[1:] not in month])
+
+    return landed(spark, sf_dir, "cases", cleaned, lambda df, path: save_processed(df, path, derive=derived))
 
 
 def rollup(spark: SparkSession, sf_dir: str) -> DataFrame:

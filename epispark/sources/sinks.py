@@ -4,6 +4,7 @@ JSON, in rows or as one nested document."""
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..operators.quality import RULES
 
-def save_processed(df: DataFrame, path: str, partition_by=("ANO", "MES"), max_records_per_file: int = 5_000_000) -> None:
+def save_processed(df: DataFrame, path: str, partition_by=("ANO", "MES"), max_records_per_file: int = 5_000_000,
+                   derive: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Overwrite ``path`` with ``df`` partitioned by year and month.
 
     ``rebalance`` on the partition columns groups each month's rows before
@@ -20,9 +22,13 @@ def save_processed(df: DataFrame, path: str, partition_by=("ANO", "MES"), max_re
     AQE splits a month larger than the advisory partition size into
     several tasks, so a hot month never lands in a single task.  Rows are
     then date-sorted inside each file for tight row-group statistics.
+
+    Columns that follow from the others can be left to ``derive``, which adds
+    them after the rows were shuffled and sorted, so that neither moves them.
     """
     order = list(partition_by) + (["DT_NOTIFIC"] if "DT_NOTIFIC" in df.columns else [])
-    (df.hint("rebalance", *partition_by).sortWithinPartitions(*order).write.mode("overwrite")
+    placed = df.hint("rebalance", *partition_by).sortWithinPartitions(*order)
+    ((derive(placed) if derive else placed).write.mode("overwrite")
      .option("maxRecordsPerFile", max_records_per_file).partitionBy(*partition_by).parquet(path))
 
 

@@ -101,3 +101,56 @@ def test_outliers_of_many_values_equal_those_of_the_map(spark):
     for method in ("iqr", "percentile"):
         assert Q.q_outliers(df, method=method, many_values=True).collect() == Q.q_outliers(df, method=method).collect()
     assert Q.q_outliers(df.limit(0), many_values=True).collect() == Q.q_outliers(df.limit(0)).collect() == []
+
+
+def _base_tables(spark, folder):
+    """Small base tables with null and repeated keys, one file each."""
+    import datetime as dt
+
+    day = lambda i: dt.datetime(2000, 1, 1) + dt.timedelta(days=37 * i)
+    tables = {
+        "nation": ([(1, "A"), (2, "B"), (None, "C")], "n_nationkey int, n_name string"),
+        "customer": ([(i if i % 9 else None, i % 3 or None) for i in range(40)] + [(3, 1), (3, 2)], "c_custkey long, c_nationkey int"),
+        "orders": ([(i if i % 11 else None, i % 45, day(i)) for i in range(90)] + [(5, 4, None), (6, None, day(1))], "o_orderkey long, o_custkey long, o_orderdate timestamp"),
+        "lineitem": ([(i % 97 if i % 13 else None, i % 211 if i % 8 else None, i % 10, i % 7 + 1, float(i % 50), (i % 11) / 100, "RAN"[i % 3]) for i in range(600)],
+                     "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_returnflag string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    return list(tables)
+
+
+def test_raw_cases_shuffle_narrow_rows_only(spark, tmp_path):
+    """The joins in another order give the rows of the SQL; what is shuffled
+    are columns of the tables, also where a table would fit a broadcast."""
+    from collections import Counter
+
+    from epispark.sources import fixtures as FX
+
+    names = _base_tables(spark, tmp_path)
+    got = FX.raw_cases_query(spark, str(tmp_path))
+    want = spark.sql(FX.RAW_CASES_SQL, **{n: FX.table(spark, str(tmp_path), n) for n in names})
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect())) and got.schema == want.schema and got.count() > 300
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [l_orderkey" in plan
+
+
+def test_landed_cases_are_not_shuffled_as_strings(spark, tmp_path, monkeypatch):
+    """The raw cases are written as the join deals them, the cases are
+    shuffled without the derived columns and come out as ``process`` makes
+    them."""
+    from collections import Counter
+
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from epispark.operators.cleaning import process
+    from epispark.sources import fixtures as FX
+
+    _base_tables(spark, tmp_path)
+    moved, hint = [], DataFrame.hint
+    monkeypatch.setattr(DataFrame, "hint", lambda self, name, *a: (moved.append((name, self.columns)), hint(self, name, *a))[1])
+    got = FX.cases(spark, str(tmp_path))
+    wide = [c for name, c in moved if name == "rebalance"]
+    assert len(wide) == 1 and "FAIXA_ETARIA" not in wide[0] and "STATUS_VACINAL_COVID" not in wide[0]
+    want = process(FX.raw_cases(spark, str(tmp_path))).select(*got.columns)
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect())) and dict(got.dtypes) == dict(want.dtypes)
