@@ -22,6 +22,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import params as P
+from ..session import scratch_path
+
+MOST_PLACES = 1_000_000  # lines of broken records that are broadcast, some 60 MB
 
 
 def delimiter_frame(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
@@ -85,6 +88,15 @@ def _after(order: Window, start: Column) -> Column:
     return F.coalesce(base, start).bitwiseXOR((turns % 2).cast("int"))
 
 
+def _few(spark: SparkSession, places: DataFrame) -> DataFrame:
+    """``places`` written and read back, so that their number is known before
+    the lines meet them; marked for broadcast if there are few."""
+    path = scratch_path(spark, "record_places")
+    places.write.parquet(path)
+    written = spark.read.schema(places.schema).parquet(path)
+    return F.broadcast(written) if written.count() <= MOST_PLACES else written
+
+
 def records(spark: SparkSession, path: str, sep: str, encoding: str = "UTF-8") -> DataFrame:
     """The records of delimited files, one row each (``value``): lines, or
     lines joined by ``\\n`` where a break lies inside a quoted field.
@@ -96,7 +108,9 @@ def records(spark: SparkSession, path: str, sep: str, encoding: str = "UTF-8") -
     split), which gives every split its start state and every line its own.
     Opening and closing lines then bound the records of several lines; only
     their lines are gathered, all others pass as they are, without a shuffle
-    of text.  A line is known by file, split and place in the scan.
+    of text: the places of those lines are written, and with at most
+    ``MOST_PLACES`` of them every task gets them all (beyond that the joins
+    are the planner's).  A line is known by file, split and place in the scan.
 
     A quote that is still open at the end of a file opens nothing: the lines
     from there on are records of their own.  Blank lines inside quotes belong
@@ -143,7 +157,7 @@ def records(spark: SparkSession, path: str, sep: str, encoding: str = "UTF-8") -
                     F.when(F.col("_tail").isNotNull(), F.struct(F.struct("_block", F.col("_tail").alias("_at")).alias("r"), F.col("_tail").alias("a"), F.col("_last").alias("b"))))
     over = across.select("_file", "_block", "_latest", "_left_open", F.explode(parts).alias("p")).where(
         "p is not null and not (_left_open = 1 and p.r = _latest)").select("_file", "_block", F.col("p.r").alias("_record"), F.explode(F.sequence("p.a", "p.b")).alias("_at"))
-    members = within.unionByName(over)
+    members = _few(spark, within.unionByName(over))
     single = lines.join(members.select(*place), place, "left_anti").select("value")
     joined = lines.join(members, place).groupBy("_file", "_record").agg(F.array_sort(F.collect_list(F.struct("_block", "_at", "value"))).alias("l"))
     return single.unionByName(joined.select(F.array_join(F.transform("l", lambda x: x["value"]), "\n").alias("value")))

@@ -154,3 +154,22 @@ def test_landed_cases_are_not_shuffled_as_strings(spark, tmp_path, monkeypatch):
     assert len(wide) == 1 and "FAIXA_ETARIA" not in wide[0] and "STATUS_VACINAL_COVID" not in wide[0]
     want = process(FX.raw_cases(spark, str(tmp_path))).select(*got.columns)
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect())) and dict(got.dtypes) == dict(want.dtypes)
+
+
+def test_csv_lines_are_not_shuffled_for_a_few_broken_records(spark, tmp_path, monkeypatch):
+    from epispark.sources import csv as CSV
+
+    path = tmp_path / "broken.csv"
+    path.write_text("a;b\n" + "".join(f'{i};"x\n\ny {i}"\n' if i % 50 == 0 else f"{i};z\n" for i in range(400)))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = CSV.records(spark, str(path), ";")
+        plan = few._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        monkeypatch.setattr(CSV, "MOST_PLACES", 0)
+        many = CSV.records(spark, str(path), ";")
+        assert "SortMergeJoin" in many._jdf.queryExecution().sparkPlan().toString()
+        assert sorted(few.collect()) == sorted(many.collect()) and few.count() == 401
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
