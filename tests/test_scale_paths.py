@@ -173,3 +173,17 @@ def test_csv_lines_are_not_shuffled_for_a_few_broken_records(spark, tmp_path, mo
         assert sorted(few.collect()) == sorted(many.collect()) and few.count() == 401
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_quality_state_shuffles_its_hashes_once(spark, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from epispark.operators import quality_state as QS
+
+    df = spark.createDataFrame([(str(i % 30), f"{2000 + i % 3}-01-01", str(i % 90)) for i in range(120)], "NU_NOTIFIC string, DT_NOTIFIC string, NU_IDADE_N string")
+    moved, hint = [], DataFrame.hint
+    monkeypatch.setattr(DataFrame, "hint", lambda self, name, *a: (moved.append(name), hint(self, name, *a))[1])
+    QS.save_state(QS.quality_state(df), str(tmp_path / "state"))
+    assert moved == []
+    rows = QS.load_state(spark, str(tmp_path / "state")).rows
+    assert rows.agg({"n": "sum"}).first()[0] == 120 and rows.select("_batch").distinct().count() == 3
