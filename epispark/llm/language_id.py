@@ -172,9 +172,12 @@ def _add_words(counts: Counter, text: str | None) -> None:
 
 
 def _add_grams(counts: Counter, word: str, n: int) -> None:
-    for size in range(1, MOST_GRAM + 1):
-        for g in word_grams(word, size):
-            counts[g] += n
+    grams = [g for size in range(1, MOST_GRAM + 1) for g in word_grams(word, size)]
+    if n == 1:  # most distinct words
+        counts.update(grams)
+        return
+    for g in grams:
+        counts[g] += n
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
